@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import chat_format, decontamination, mixing, quality_classifier, quality_rules, sharding, url_filter
+from hornbeam.llm import chat_format, decontamination, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter
 from hornbeam.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "\\### Assistant: </turn> ok"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import chat_format, decontamination, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from hornbeam.llm import chat_format, decontamination, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 from hornbeam.llm.common import table
 
 
@@ -48,6 +48,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.default_labelled(spark))
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.score(docs, _remainder(F.col("doc_id"), 5) != 1)
+    held = F.coalesce(_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -49,11 +49,17 @@ def midranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     return df.join(table, safe([*by, column], keys)).drop(*keys)
 
 
-def auc(df: DataFrame, by: list[str], risk: Column, positive: Column, degenerate: float | None = 0.5, weight: Column | None = None) -> DataFrame:
+def column(x: Column | str) -> Column:
+    """A column, or an SQL expression for one."""
+    return F.expr(x) if isinstance(x, str) else x
+
+
+def auc(df: DataFrame, by: list[str], risk: Column | str, positive: Column | str, degenerate: float | None = 0.5, weight: Column | None = None) -> DataFrame:
     """``by..., n, n_pos, auc``: the share of (positive, negative) pairs in order, ties half.
 
     With one class only the value is ``degenerate``.  ``weight`` counts a row several times.
     """
+    risk, positive = column(risk), column(positive)
     w = F.lit(1).cast("long") if weight is None else weight
     per = df.groupBy(*by, risk.alias("__risk")).agg(F.sum(F.when(positive, w).otherwise(0)).alias("__p"), F.sum(F.when(positive, F.lit(0)).otherwise(w)).alias("__q"))
     run = running(per, by, [F.col("__risk")], "__risk", {"__neg": "__q"})
@@ -63,8 +69,9 @@ def auc(df: DataFrame, by: list[str], risk: Column, positive: Column, degenerate
     return run.groupBy(*by).agg((p + q).alias("n"), p.alias("n_pos"), value.cast("double").alias("auc"))
 
 
-def roc_curve(df: DataFrame, by: list[str], risk: Column, positive: Column) -> DataFrame:
+def roc_curve(df: DataFrame, by: list[str], risk: Column | str, positive: Column | str) -> DataFrame:
     """``by..., threshold, tpr, fpr`` after each distinct risk, from the riskiest; the origin has a null threshold."""
+    risk, positive = column(risk), column(positive)
     per = df.groupBy(*by, risk.alias("threshold")).agg(F.count_if(positive).alias("__p"), F.count_if(~positive).alias("__q"))
     run = running(per, by, [F.col("threshold").desc()], "threshold", {"__tp": "__p", "__fp": "__q"}, descending=True)
     total = df.groupBy(*by).agg(F.count_if(positive).alias("__np"), F.count_if(~positive).alias("__nq"))

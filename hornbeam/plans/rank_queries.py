@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from hornbeam.operators import ranking as R
 from hornbeam.sources.tables import UNITS_SQL, units
 
-RISK, POSITIVE = 10 - F.col("score"), F.col("defects") > 0
+#: SQL expressions, so that importing this needs no session.
+RISK, POSITIVE = "10 - score", "defects > 0"
 
 
 def _rounded(df, *columns):

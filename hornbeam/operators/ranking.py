@@ -42,11 +42,20 @@ def running(df: DataFrame, by: list[str], order: list[Column], first: str, sums:
 
 def midranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     """Adds ``name``: twice the average rank of ``column`` within the group, an integer."""
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
-    ranked = running(counts, by, [F.col(column)], column, {"__upto": "__n"})
-    keys = [f"__r{i}" for i in range(len(by) + 1)]
-    table = ranked.select(*(F.col(c).alias(k) for c, k in zip([*by, column], keys)), (2 * F.col("__upto") - F.col("__n") + 1).alias(name))
-    return df.join(table, safe([*by, column], keys)).drop(*keys)
+    return several_midranks(df, [(by, column, name)])
+
+
+def several_midranks(df: DataFrame, wanted: list[tuple[list[str], str, str]]) -> DataFrame:
+    """Adds a doubled midrank for each (by, column, name).  Every table of ranks is made from ``df`` itself, one beside
+    the other: made one upon the other, their plans would multiply."""
+    out = df
+    for by, column, name in wanted:
+        counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
+        ranked = running(counts, by, [F.col(column)], column, {"__upto": "__n"})
+        keys = [f"__r{i}" for i in range(len(by) + 1)]
+        table = ranked.select(*(F.col(c).alias(k) for c, k in zip([*by, column], keys)), (2 * F.col("__upto") - F.col("__n") + 1).alias(name))
+        out = out.join(table, safe([*by, column], keys)).drop(*keys)
+    return out
 
 
 def column(x: Column | str) -> Column:
@@ -157,7 +166,7 @@ def precision_at_k(df: DataFrame, score: str, k: int, defects: str = "defects")
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """``by..., n, rho``; null below 3 rows or where either side is constant."""
-    ranked = midranks(midranks(df, by, x, "__rx"), by, y, "__ry")
+    ranked = several_midranks(df, [(by, x, "__rx"), (by, y, "__ry")])
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), _corr("__rx", "__ry").alias("rho"))
 
 
@@ -172,7 +181,7 @@ def _corr(x: str, y: str) -> Column:
 
 def partial_spearman(df: DataFrame, by: list[str], x: str, y: str, given: str) -> DataFrame:
     """``by..., n, rho_xy, rho_xz, rho_yz, partial``: the rank correlation of x and y with that of ``given`` taken out."""
-    ranked = reduce(lambda d, c: midranks(d, by, c[0], c[1]), ((x, "__x"), (y, "__y"), (given, "__z")), df)
+    ranked = several_midranks(df, [(by, x, "__x"), (by, y, "__y"), (by, given, "__z")])
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), _corr("__x", "__y").alias("rho_xy"), _corr("__x", "__z").alias("rho_xz"), _corr("__y", "__z").alias("rho_yz"))
     den = F.sqrt((1 - F.col("rho_xz") ** 2) * (1 - F.col("rho_yz") ** 2))
     part = F.when(den == 0, 0.0).otherwise((F.col("rho_xy") - F.col("rho_xz") * F.col("rho_yz")) / den)

@@ -7,11 +7,13 @@ pairs that survive are verified on the shingles.
 One R-tree over everything would compare everything: at a few hundred dimensions all unrelated texts lie equally far
 apart.  So the groups are first used another way, which loses no pair.  Two sets with Jaccard >= t differ in at most
 D = (1 - t) / (1 + t) * (|A| + |B|) shingles; hashed into more than D groups, some group has the same shingles in both.
-Texts that agree in a whole group are tied, ties are closed to families, and each family gets its R-tree.
+Texts that agree in a whole group are tied.  Ties come about by shared passages too, so the bound is put to them first:
+the few texts of a small tie pair by pair, those of a large one by an R-tree over their points.  What survives is closed
+to families, and each family gets its R-tree and its verification.
 
 * Equal sets are one class from the start, so thousands of copies cost one member.
-* A family too large for one task is cut into blocks; every pair of blocks is a task.
-* Inside a task, pairs already connected are not verified again; only spanning links leave it.
+* A tie or family too large for one task is cut into blocks; every pair of blocks is a task.
+* Inside a task, pairs already connected are not looked at again; only spanning links leave it.
 """
 
 from __future__ import annotations
@@ -37,11 +39,15 @@ class Settings:
     percent: int = 85
     #: Steps between the size levels that share a number of groups.
     level_step: float = 1.6
-    #: Groups beyond D + 1, so that groups which are empty in both sets do not count as agreement.
-    slack: int = 5
-    #: Members of a family that one task takes; a larger family is cut into blocks of this many.
+    #: Groups of the points.
+    axes: int = 128
+    #: Texts of a tie up to which its pairs are listed one by one.
+    few: int = 8
+    #: Members of a large tie or family that one task takes; beyond, it is cut into blocks of this many.
     block: int = 1024
     leaf: int = 24
+    #: Numbers that a task gathers before it passes them on.
+    flush: int = 1 << 18
 
     def differing(self, both: int) -> int:
         """Most shingles in which two sets of ``both`` shingles together can differ and still link."""
@@ -50,6 +56,17 @@ class Settings:
     def top(self, level: int) -> int:
         return ceil(self.level_step**level)
 
+    def groups(self, level: int) -> tuple[int, int]:
+        """(D, groups) of a level: more than D + 1, as groups that are empty in both sets are no agreement."""
+        differ = self.differing(2 * self.top(level))
+        least = self.top(max(level - 1, 0)) * self.percent / 100
+        slack = 6
+        for _ in range(2):
+            groups = differ + 1 + slack
+            empty = groups * np.exp(-least / groups)
+            slack = int(max(6, min(differ, 6 + np.ceil(empty + 6 * np.sqrt(empty)))))
+        return differ, differ + 1 + slack
+
     def level(self, n: int) -> int:
         at = max(0, int(np.log(max(n, 1)) / np.log(self.level_step)) - 1)
         while self.top(at) < n:
@@ -69,22 +86,28 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
+def point(own: np.ndarray, axes: int) -> np.ndarray:
+    """How many shingles fall into each of the hashed groups."""
+    return np.bincount((mix(own ^ U(0x8EBC6AF09C88C6E3)) >> U(40)).astype(np.int64) % axes, minlength=axes).astype(np.int32)
+
+
 def classes(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, n, key, tag``: the number of shingles, 128 bits of the set, and 64 of them as a number."""
+    """``doc_id, n, key, tag, point``: the number of shingles, 128 bits of the set, 64 of them as a number, group counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, points = [], [], []
             for _, own in _batches(batch.column(1), s.k):
                 sizes.append(len(own))
                 keys.append(set_key(own) if len(own) else None)
+                points.append(point(own, s.axes).tobytes())
             tags = [None if x is None else int.from_bytes(x[:8], "little", signed=True) for x in keys]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64())],
-                names=["doc_id", "n", "key", "tag"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tags, pa.int64()), pa.array(points, pa.binary())],
+                names=["doc_id", "n", "key", "tag", "point"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, key binary, tag long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, key binary, tag long, point binary")
 
 
 def signatures(own: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
@@ -99,8 +122,7 @@ def signatures(own: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
     place = mix(own ^ U(0xA0761D6478BD642F)) >> U(32)
     value = mix(own ^ U(0xE7037ED1A0B428DB))
     for level in range(s.level(n), s.level(largest) + 1):
-        differ = s.differing(2 * s.top(level))
-        groups = differ + 1 + s.slack
+        differ, groups = s.groups(level)
         at = ((place * U(groups)) >> U(32)).astype(np.int64)
         sums = np.zeros(groups, np.uint64)
         np.add.at(sums, at, value)
@@ -113,14 +135,15 @@ def signatures(own: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
 
 
 def ties(docs: DataFrame, s: Settings) -> DataFrame:
-    """``a, b``: tags of classes that agree in a whole group of shingles, each with the least of those that do."""
+    """Tags of classes that agree in a whole group of shingles: pairs ``a, b`` of small ties, and for large ones a row
+    for each member, with the tie's ``many`` (0 for pairs) naming its set of members, so that ties alike are one."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            all_signatures, all_tags = [], []
             for _, own in _batches(batch.column(0), s.k):
                 found = list(signatures(own, s))
                 if not found:
@@ -131,38 +154,52 @@ def ties(docs: DataFrame, s: Settings) -> DataFrame:
                 if len(told) < 500_000:
                     told.add(key)
                 found = np.concatenate(found)
-                all_signatures.append(found)
-                all_tags.append(np.full(len(found), int.from_bytes(key[:8], "little", signed=True), np.int64))
-            if not all_signatures:
-                continue
-            sig, tag = np.concatenate(all_signatures), np.concatenate(all_tags)
-            bucket = ((sig >> U(40)) % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sig, tag, bucket = sig[order], tag[order], bucket[order]
-            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            to = np.append(cut[1:], len(bucket))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[cut].astype(np.int32)),
-                    pa.array([sig[a:b].tobytes() for a, b in zip(cut, to)], pa.binary()),
-                    pa.array([tag[a:b].tobytes() for a, b in zip(cut, to)], pa.binary()),
-                ],
-                names=["bucket", "sigs", "tags"],
-            )
+                held.append((found, np.full(len(found), int.from_bytes(key[:8], "little", signed=True), np.int64)))
+                if len(held) % 64 == 0 and sum(len(x) for x, _ in held) >= s.flush:
+                    yield packed_rows(held)
+                    held = []
+        if held:
+            yield packed_rows(held)
+
+    def packed_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sig, tag = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        bucket = ((sig >> U(40)) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sig, tag, bucket = sig[order], tag[order], bucket[order]
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        to = np.append(cut[1:], len(bucket))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[cut].astype(np.int32)),
+                pa.array([sig[a:b].tobytes() for a, b in zip(cut, to)], pa.binary()),
+                pa.array([tag[a:b].tobytes() for a, b in zip(cut, to)], pa.binary()),
+            ],
+            names=["bucket", "sigs", "tags"],
+        )
 
     def match(group: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(group["sigs"].to_pylist()), np.uint64)
         tag = np.frombuffer(b"".join(group["tags"].to_pylist()), np.int64)
         order = np.lexsort((tag, sig))
         sig, tag = sig[order], tag[order]
-        begins = np.concatenate(([True], sig[1:] != sig[:-1]))
-        least = tag[begins][np.cumsum(begins) - 1]
-        other = tag != least
-        pairs = np.unique(np.stack([tag[other], least[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (tag[1:] != tag[:-1])  # copies are one
+        sig, tag = sig[new], tag[new]
+        cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(cut, len(sig)))
+        found = []
+        for n in range(2, s.few + 1):
+            rows = cut[size == n]
+            found += [np.stack([tag[rows + i], tag[rows + j], np.zeros(len(rows), np.int64)], 1) for i in range(n) for j in range(i + 1, n)]
+        for c, n in zip(cut[size > s.few], size[size > s.few]):
+            members = tag[c : c + n]
+            name = mix(members.view(np.uint64)).sum(dtype=np.uint64) | U(1)
+            found.append(np.stack([members, members, np.full(n, name).view(np.int64)], 1))
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "many": pa.array(rows[:, 2])})
 
     packed = _texts(docs).select("text").mapInArrow(emit, "bucket int, sigs binary, tags binary")
-    return packed.groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
+    return packed.groupBy("bucket").applyInArrow(match, "a long, b long, many long").distinct()
 
 
 class Tree:
@@ -208,9 +245,10 @@ class Tree:
                 stack += [(i, x, j - 1, c) for c in range(8 * y, min(8 * y + 8, len(other.levels[j - 1][1])))]
 
 
-def links(members: list[np.ndarray], blocks: np.ndarray, s: Settings) -> list[tuple[int, int]]:
-    """Spanning links among ``members`` (sorted shingle sets); where there are two blocks, only pairs across them."""
-    n = len(members)
+def joined(points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, accept, s: Settings) -> list[tuple[int, int]]:
+    """Spanning links among rows whose points pass the bound and which ``accept(x, y)`` takes; where there are two
+    blocks, only pairs across them are looked at."""
+    n = len(points)
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -221,101 +259,145 @@ def links(members: list[np.ndarray], blocks: np.ndarray, s: Settings) -> list[tu
 
     out: list[tuple[int, int]] = []
 
-    def verify(x: int, y: int) -> None:
+    def test(x: int, y: int) -> None:
         a, b = root(x), root(y)
-        if a == b:
-            return
-        if len(members[x]) > len(members[y]):
-            x, y = y, x
-        small, large = members[x], members[y]
-        at = np.searchsorted(large, small)
-        at[at == len(large)] = 0
-        shared = int((large[at] == small).sum())
-        if 100 * shared >= s.percent * (len(small) + len(large) - shared):
+        if a != b and accept(x, y):
             parent[max(a, b)] = min(a, b)
             out.append((x, y))
 
+    values = np.unique(blocks)
+    first, second = np.flatnonzero(blocks == values[0]), np.flatnonzero(blocks == values[-1])
     if n == 2:
-        verify(0, 1)
+        test(0, 1)
         return out
-    sizes = np.array([len(m) for m in members])
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(sizes.max() / 8, 16))), 4, 10))
-    points = np.stack([np.bincount((mix(m ^ U(0x8EBC6AF09C88C6E3)) >> U(54)).astype(np.int64) % groups, minlength=groups) for m in members]).astype(np.int32)
-    values = np.unique(blocks)
-    first = np.flatnonzero(blocks == values[0])
-    second = np.flatnonzero(blocks == values[-1])
-    left = Tree(points[first], sizes[first], s.leaf)
-    right = left if len(values) == 1 else Tree(points[second], sizes[second], s.leaf)
     if len(values) == 1:
-        # the member nearest to the family's mean is likely to link with most: those links make other checks needless
+        # the row nearest to the mean is likely to link with most: those links make other checks needless
         middle = int(np.abs(points - points.mean(0)).sum(1).argmin())
-        for y in range(n):
-            shared = np.minimum(points[middle], points[y]).sum()
-            if y != middle and (100 + s.percent) * shared >= s.percent * (sizes[middle] + sizes[y]):
-                verify(middle, y)
+        shared = np.minimum(points[middle], points).sum(1)
+        for y in np.flatnonzero((100 + s.percent) * shared >= s.percent * (sizes[middle] + sizes)).tolist():
+            test(middle, y)
+    left = Tree(points[first], sizes[first], s.leaf)
+    right = left if len(values) == 1 else Tree(points[second], sizes[second], s.leaf)
     for a, b in left.pairs(right, s.percent):
-        a, b = first[a], second[b] if len(values) > 1 else first[b]
+        a, b = first[a], second[b]
         roots_a, roots_b = np.array([root(x) for x in a]), np.array([root(x) for x in b])
         if roots_a.min() == roots_a.max() == roots_b.min() == roots_b.max():
             continue
-        open_pairs = roots_a[:, None] != roots_b[None, :]
         shared = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(2)
-        near = open_pairs & ((100 + s.percent) * shared >= s.percent * (sizes[a][:, None] + sizes[b][None, :]))
+        near = (roots_a[:, None] != roots_b[None, :]) & ((100 + s.percent) * shared >= s.percent * (sizes[a][:, None] + sizes[b][None, :]))
         for i, j in np.argwhere(near).tolist():
-            if a[i] != b[j]:
-                verify(int(a[i]), int(b[j]))
+            test(int(a[i]), int(b[j]))
     return out
 
 
+def linked_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of shingles link."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    shared = int((b[at] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _in_blocks(members: DataFrame, group: str, member: str, s: Settings, tasks: int) -> DataFrame:
+    """``members`` with ``block, low, high, task``: small groups share a task, each pair of a large one's blocks is one."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("size")).where("size > 1")
+    out = members.join(sizes, group)
+    parts = F.ceil(F.col("size") / s.block).cast("int")
+    out = out.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).drop("size")
+    out = out.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = out.withColumn("low", F.least("block", "meets")).withColumn("high", F.greatest("block", "meets"))
+    small = F.pmod(F.xxhash64(group), F.lit(tasks))
+    large = F.xxhash64(group, "low", "high").bitwiseOR(F.lit(1 << 40))
+    return out.withColumn("task", F.when(F.col("parts") == 1, small).otherwise(large)).drop("parts", "meets")
+
+
+def _groups_of(table: pa.Table, group: str, member: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their blocks) of each group and pair of blocks in a task, ascending by member."""
+    name, low, high, block = (table[c].to_numpy() for c in (group, "low", "high", "block"))
+    order = np.lexsort((table[member].to_numpy(zero_copy_only=False), high, low, name))
+    same = (np.diff(name[order]) == 0) & (np.diff(low[order]) == 0) & (np.diff(high[order]) == 0)
+    cut = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(order)])) if len(order) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        rows = order[a:b]
+        if len(rows) > 1 and (low[rows[0]] == high[rows[0]] or len(np.unique(block[rows])) == 2):
+            yield rows, block[rows]
+
+
+def near(known: DataFrame, tied: DataFrame, s: Settings) -> DataFrame:
+    """``a, b``: tied pairs, or a spanning part of them, whose points pass the bound."""
+    tasks = 4 * partitions(known.sparkSession)
+    # one row for each tag; tags that stand for several classes keep the counts of one, and are let through
+    points = known.groupBy("tag").agg(F.min("point").alias("point"), (F.min("key") != F.max("key")).alias("mixed"))
+    pairs = tied.where("many = 0").select("a", "b")
+    pairs = pairs.join(points.select(F.col("tag").alias("a"), F.col("point").alias("p"), F.col("mixed").alias("m")), "a")
+    pairs = pairs.join(points.select(F.col("tag").alias("b"), F.col("point").alias("q"), F.col("mixed").alias("o")), "b")
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, s.axes) for i in (2, 3))
+            shared = np.minimum(p, q).sum(1)
+            keep = (100 + s.percent) * shared >= s.percent * (p.sum(1) + q.sum(1))
+            keep |= batch.column(4).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    small = pairs.select("a", "b", "p", "q", F.expr("m or o")).mapInArrow(passes, "a long, b long")
+    members = tied.where("many <> 0").select("many", F.col("a").alias("tag")).join(points, "tag")
+
+    def search(table: pa.Table) -> pa.Table:
+        tag, raw, mixed = table["tag"].to_numpy(), table["point"].to_pylist(), table["mixed"].to_numpy()
+        found = []
+        for rows, block in _groups_of(table, "many", "tag"):
+            at = np.frombuffer(b"".join(raw[r] for r in rows), np.int32).reshape(-1, s.axes)
+            found += [(tag[rows[x]], tag[rows[y]]) for x, y in joined(at, at.sum(1), block, lambda x, y: True, s)]
+            found += [(tag[r], tag[rows[0]]) for r in rows if mixed[r]]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    large = _in_blocks(members, "many", "tag", s, tasks).groupBy("task").applyInArrow(search, "a long, b long")
+    return small.unionByName(large)
+
+
 def similar(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     """``a, b``: keys of linked classes, enough of them to connect all that are connected."""
-    spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    tasks = 4 * partitions(docs.sparkSession)
     tied = stash(ties(docs, s))
-    family = stash(components(tied).select(F.col("node").alias("tag"), F.col("component").alias("family")))
+    close = stash(near(known, tied, s))
     discard(tied)
+    family = stash(components(close).select(F.col("node").alias("tag"), F.col("component").alias("family")))
+    discard(close)
     # one document of each class with a family, to take its text from
-    chosen = known.join(family, "tag").groupBy("key", "family").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stash(chosen)
-    texts = _texts(docs).alias("t").join(chosen.select(F.col("doc_id").alias("of")).distinct(), F.expr("t.doc_id <=> of"), "left_semi")
+    chosen = stash(known.select("tag", "key", "doc_id").join(family, "tag").groupBy("key", "family").agg(F.min("doc_id").alias("doc_id")))
+    of = chosen.select(F.col("doc_id").alias("of")).distinct()
+    texts = _texts(docs).alias("t").join(of, F.expr("t.doc_id <=> of"), "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, bytes]] = []
+        arrays = lambda: [pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]
         for batch in batches:
-            rows = [(set_key(own), own.tobytes()) for _, own in _batches(batch.column(0), s.k) if len(own)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["key", "shingles"])
-
-    members = texts.select("text").mapInArrow(full, "key binary, shingles binary")
-    members = chosen.select("key", "family").join(members, "key").groupBy("key", "family").agg(F.first("shingles").alias("shingles"))
-    sizes = chosen.groupBy("family").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "family")
-    parts = F.ceil(F.col("size") / s.block).cast("int")
-    block = F.pmod(F.xxhash64("key"), parts).cast("int")
-    members = members.withColumn("parts", parts).withColumn("block", block)
-    meets = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    members = members.select("family", "key", "shingles", "parts", "block", meets.alias("meets"))
-    members = members.withColumn("low", F.least("block", "meets")).withColumn("high", F.greatest("block", "meets"))
-    # small families share a task, each pair of a large one's blocks is a task
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(
-        F.xxhash64("family", "low", "high").bitwiseOR(F.lit(1 << 40))
-    )
-
-    def join(group: pa.Table) -> pa.Table:
-        family, low, high = (group[c].to_numpy() for c in ("family", "low", "high"))
-        block, keys, raw = group["block"].to_numpy(), group["key"].to_pylist(), group["shingles"].to_pylist()
-        order = np.lexsort((block, high, low, family))
-        same = (np.diff(family[order]) == 0) & (np.diff(low[order]) == 0) & (np.diff(high[order]) == 0)
-        cut = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(order)])) if len(order) else [0]
+            for _, own in _batches(batch.column(0), s.k):
+                if len(own):
+                    rows.append((set_key(own), own.tobytes()))
+                if len(rows) % 64 == 63 and sum(len(r[1]) for r in rows) >= 8 * s.flush:
+                    yield pa.RecordBatch.from_arrays(arrays(), names=["key", "shingles"])
+                    rows.clear()
+        yield pa.RecordBatch.from_arrays(arrays(), names=["key", "shingles"])
+
+    sets = texts.select("text").mapInArrow(full, "key binary, shingles binary")
+    members = chosen.select("key", "family").join(sets, "key").groupBy("key", "family").agg(F.first("shingles").alias("shingles"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        keys, raw = table["key"].to_pylist(), table["shingles"].to_pylist()
         found = []
-        for a, b in zip(cut[:-1], cut[1:]):
-            rows = order[a:b]
-            if len(rows) < 2 or (low[rows[0]] != high[rows[0]] and len(np.unique(block[rows])) == 1):
-                continue
-            rows = sorted(rows, key=lambda r: keys[r])
+        for rows, block in _groups_of(table, "family", "key"):
             sets = [np.frombuffer(raw[r], np.uint64) for r in rows]
-            found += [(keys[rows[x]], keys[rows[y]]) for x, y in links(sets, block[rows], s)]
+            sizes = np.array([len(x) for x in sets])
+            axes = 1 << int(np.clip(np.ceil(np.log2(max(sizes.max() / 8, 16))), 4, 10))
+            points = np.stack([point(x, axes) for x in sets])
+            found += [(keys[rows[x]], keys[rows[y]]) for x, y in joined(points, sizes, block, lambda x, y: linked_sets(sets[x], sets[y], s.percent), s)]
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return members.withColumn("task", task).groupBy("task").applyInArrow(join, "a binary, b binary")
+    return _in_blocks(members, "family", "key", s, tasks).groupBy("task").applyInArrow(verify, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -331,6 +413,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     known = stash(classes(docs, s))
     linked = stash(similar(docs, known.where("key is not null"), s))
     where = components(linked)
+    known = known.drop("point")
     own = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     own = own.join(where, own["key"] == where["node"], "left").select("key", "least", F.coalesce("component", "key").alias("root"))
     own = stash(own)

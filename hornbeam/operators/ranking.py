@@ -176,7 +176,8 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def _corr(x: str, y: str) -> Column:
     flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y)) | (F.count("*") < 3)
-    return F.when(flat, None).otherwise(F.corr(x, y))
+    # corr() itself raises on a constant column
+    return F.when(flat, None).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def partial_spearman(df: DataFrame, by: list[str], x: str, y: str, given: str) -> DataFrame:

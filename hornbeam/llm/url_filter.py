@@ -19,8 +19,8 @@ MAX_LABELLED = 2000
 class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
     buckets: int = 4096
-    steps: int = 60
-    l2: float = 1e-3
+    steps: int = 100
+    l2: float = 1e-4
     threshold: float = 0.5
 
 
@@ -42,15 +42,16 @@ _GOOD_PATHS = ("/en/12", "/de/340.html", "/articles/history-of-bread", "/es/7/")
 
 
 def default_labelled(spark: SparkSession) -> DataFrame:
-    """``url, bad`` put together from the word lists above: each host with each ending, paths and prefixes in turn."""
+    """``url, bad`` put together from the word lists above: each host with each ending and prefix, paths in
+    turn."""
     rows = []
-    for bad, hosts, own, other in ((1.0, _BAD_HOSTS, _BAD_PATHS, _GOOD_PATHS), (0.0, _GOOD_HOSTS, _GOOD_PATHS, _GOOD_PATHS)):
+    plain = tuple(word + word[::-1] for word in ("thing", "tion", "onder", "ertle", "ansh", "oura", "ceau", "lich"))
+    for bad, hosts, own in ((1.0, _BAD_HOSTS, _BAD_PATHS), (0.0, _GOOD_HOSTS, _GOOD_PATHS), (0.0, plain, ("", "/", "", "/en/"))):
         for i, host in enumerate(hosts):
             for j, ending in enumerate(_ENDINGS):
-                prefix = ("", "www.", "m.", "blog.")[(i + j) % 4]
-                rows += [(f"https://{prefix}{host}.{ending}{own[(i + j) % 4]}", bad), (f"http://{host}.{ending}{other[(i + 2 * j) % 4]}", bad)]
-    for i, word in enumerate(("thing", "tion", "onder", "ertle", "ansh", "oura", "ceau", "lich")):
-        rows += [(f"https://{p}{word}{word[::-1]}.{_ENDINGS[i % 3]}{_GOOD_PATHS[i % 4]}", 0.0) for p in ("", "www.", "m.", "blog.")]
+                for k, prefix in enumerate(("", "www.", "m.", "blog.")):
+                    path = (own if (i + j + k) % 2 else _GOOD_PATHS)[(i + k) % 4]
+                    rows.append((f"http{'s' if k % 2 else ''}://{prefix}{host}.{ending}{path}", bad))
     return spark.createDataFrame(rows, "url string, bad double")
 
 

@@ -181,6 +181,28 @@ def class_match(spark, d):
     return L.match_classes(rows, files).groupBy("path").agg(F.count("*").alias("classes"), F.round(100 * F.count("*") / F.lit(n), 6).alias("pct"))
 
 
+def coverage_meta(spark, d):
+    """How a second scorer's cache stands to the units: paired, told to be nothing to score, absent, and defective pairs."""
+    from hornbeam.sources.readers import pairing
+    from hornbeam.sources.tables import units
+
+    u = units(spark, d)
+    other = u.where("unit_id % 10 <> 0").select("unit_id", F.when(F.col("unit_id") % 7 != 0, F.col("rival")).alias("score"))
+    p = pairing(u, other, ["unit_id"])
+    flag = lambda s: F.count_if(F.col("state") == s).alias(s + "_files")
+    return p.groupBy("cluster").agg(F.count("*").alias("scored"), flag("paired"), flag("null"), flag("absent"), F.count_if((F.col("state") == "paired") & (F.col("defects") > 0)).alias("defective"))
+
+
+def audit(spark, d):
+    """Fixes, files, files that are no tests, a verdict, and the four folders touched most, of each author."""
+    f = commit_files(spark, d).join(commits(spark, d).where("priority = '1-URGENT'").select("sha", "author"), "sha")
+    f = f.withColumn("test", F.lower("path").rlike("/(test|spec)s?/") | F.lower(F.substring_index("path", "/", -1)).contains("test") | F.col("path").contains("/d7/"))
+    folder = f.withColumn("folder", F.concat_ws("/", F.slice(F.split("path", "/"), 1, 2)))
+    top = folder.groupBy("author", "folder").agg(F.count("*").alias("c")).groupBy("author").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("k"), "folder"))), 1, 4).alias("t"))
+    base = f.groupBy("author").agg(F.countDistinct("sha").alias("fixes"), F.countDistinct("path").alias("files"), F.countDistinct(F.when(~F.col("test"), F.col("path"))).alias("plain_files"))
+    return base.join(top, "author").select("author", "fixes", "files", "plain_files", (F.col("plain_files") >= 5).alias("usable"), F.array_join(F.transform("t", lambda x: x["folder"]), ",").alias("folders"))
+
+
 _S = "s(subject) as (values " + ", ".join("('" + s + "')" for s in SUBJECTS) + ")"
 _EDGE = lambda terms: "(^|[^A-Za-z0-9_])(" + "|".join(terms) + ")([^A-Za-z0-9_]|$)"
 _FIX = f"(not regexp_matches(lower(subject), '{_EDGE(X.NOT_FIX_WORDS)}') and regexp_matches(lower(subject), '{_EDGE(X.FIX_WORDS)}'))"
@@ -237,10 +259,18 @@ j as (select case when score >= 8 then 'healthy' when score < 4 then 'alert' els
 h as (select m as hm, d as hd from j where bucket = 'healthy')
 select bucket, files, round(m, 4) as mean, round(d, 4) as median, round(m / hm, 6) as mean_ratio, round(d / hd, 6) as median_ratio from j, h"""
 
+SQL["coverage_meta"] = f"""with {_U}, s as (select *, case when unit_id % 10 = 0 then 'absent' when unit_id % 7 = 0 then 'null' else 'paired' end as st from u)
+select cluster, count(*) as scored, count(*) filter (st = 'paired') as paired_files, count(*) filter (st = 'null') as null_files, count(*) filter (st = 'absent') as absent_files,
+  count(*) filter (st = 'paired' and defects > 0) as defective from s group by 1"""
+SQL["audit"] = f"""with {COMMITS_SQL}, {FILES_SQL}, f as (select author, sha, path, contains(path, '/d7/') as test, regexp_extract(path, '^[^/]*/[^/]*') as folder from cf join c using (sha) where priority = '1-URGENT'),
+t as (select author, folder, row_number() over (partition by author order by count(*) desc, folder) as k from f group by 1, 2),
+b as (select author, count(distinct sha) as fixes, count(distinct path) as files, count(distinct path) filter (not test) as plain_files from f group by 1)
+select b.*, plain_files >= 5 as usable, folders from b join (select author, string_agg(folder, ',' order by k) as folders from t where k <= 4 group by 1) using (author)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         szz_files, szz_summary, fixes_per_file, prior_fixes, recent_commits, t0_resolution, fix_classifier, fix_commits, issue_refs, path_rules, url_paths, cosmetic_lines, hunk_headers, blame_headers,
-        issue_links, bug_issues, resolution_hours, bucket_resolution, function_process, function_labels, class_match,
+        issue_links, bug_issues, resolution_hours, bucket_resolution, function_process, function_labels, class_match, coverage_meta, audit,
     )
 }

@@ -157,11 +157,11 @@ def _delong_sql(by: str) -> str:
     return f"""t as (select {cols} 10 - score as a, 10 - rival as b, defects > 0 as y from u),
 r as (select {cols} y, {mid('a', part)} as za, {mid('b', part)} as zb, {mid('a', own)} as oa, {mid('b', own)} as ob,
   count(*) filter (y) over ({part}) as m, count(*) filter (not y) over ({part}) as n from t),
-v as (select {cols} y, m, n, case when y then (za - oa) / n else 1 - (za - oa) / m end as va, case when y then (zb - ob) / n else 1 - (zb - ob) / m end as vb from r),
+v as (select {cols} y, m, n, case when y then (za - oa) / nullif(n, 0) else 1 - (za - oa) / nullif(m, 0) end as va, case when y then (zb - ob) / nullif(n, 0) else 1 - (zb - ob) / nullif(m, 0) end as vb from r),
 s as (select {cols} max(m) as n_pos, max(n) as n_neg, avg(va) filter (y) as auc_a, avg(vb) filter (y) as auc_b,
-  coalesce(covar_samp(va, va) filter (y), 0) / max(m) + coalesce(covar_samp(va, va) filter (not y), 0) / max(n) as var_a,
-  coalesce(covar_samp(va, vb) filter (y), 0) / max(m) + coalesce(covar_samp(va, vb) filter (not y), 0) / max(n) as cov,
-  coalesce(covar_samp(vb, vb) filter (y), 0) / max(m) + coalesce(covar_samp(vb, vb) filter (not y), 0) / max(n) as var_b from v {'group by ' + by if by else ''}),
+  coalesce(covar_samp(va, va) filter (y), 0) / nullif(max(m), 0) + coalesce(covar_samp(va, va) filter (not y), 0) / nullif(max(n), 0) as var_a,
+  coalesce(covar_samp(va, vb) filter (y), 0) / nullif(max(m), 0) + coalesce(covar_samp(va, vb) filter (not y), 0) / nullif(max(n), 0) as cov,
+  coalesce(covar_samp(vb, vb) filter (y), 0) / nullif(max(m), 0) + coalesce(covar_samp(vb, vb) filter (not y), 0) / nullif(max(n), 0) as var_b from v {'group by ' + by if by else ''}),
 x as (select *, auc_a - auc_b as delta, case when var_a + var_b - 2 * cov > 1e-15 then (auc_a - auc_b) / sqrt(var_a + var_b - 2 * cov) end as z from s)"""
 
 

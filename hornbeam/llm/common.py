@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,15 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are gone; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
 
     ``stash_path`` on the returned frame names the folder; :func:`discard` removes it once nothing reads it.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df  # with it goes what its shuffles keep on disk
+    tidy(spark)
+    out = spark.read.schema(schema).parquet(path)
     out.stash_path = path
     return out
 

@@ -45,6 +45,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows: what is made of Python objects at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        release()
+
+
+def release() -> None:
+    """Give back what Arrow's pool holds without need: several workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+
+
+def views(column: pa.ChunkedArray | pa.Array, dtype) -> list[np.ndarray]:
+    """The values of a binary column as arrays over its own memory."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):  # no chunk at all
+        return []
+    to = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).tolist() if len(column) else [0]
+    size = np.dtype(dtype).itemsize
+    return [np.frombuffer(column.buffers()[2], dtype, (b - a) // size, a) if b > a else np.zeros(0, dtype) for a, b in zip(to[:-1], to[1:])]
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) over runs of rows of about CHUNK bytes; a null is an empty text."""
     column = column.cast(pa.large_binary()).fill_null(b"") if column.null_count else column.cast(pa.large_binary())

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hornbeam.llm.kernels import slices
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -148,7 +150,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw_score = model.scorer() if model.slope else (lambda text: 0.0)
-        for batch in batches:
+        for batch in slices(batches):
             raw = np.array([raw_score(t) for t in batch.column(1).to_pylist()], float)
             score = model.probability(raw)
             arrays = [batch.column(0), pa.array(raw), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]

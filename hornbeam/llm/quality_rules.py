@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hornbeam.llm.kernels import slices
+
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -142,7 +144,7 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(bands)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [judge.row(t) for t in batch.column(1).to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * 9
             arrays = [batch.column(0).cast(pa.int64())]
@@ -159,7 +161,7 @@ def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(bands)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([judge.row(t)[-1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornbeam.llm.common import discard, partitions, stash
-from hornbeam.llm.kernels import U, mix, powers
+from hornbeam.llm.kernels import U, mix, powers, slices
 
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * U(2) + U(1)
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -110,7 +110,7 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
     """``anchor, content, text_key, at, begin, stop``: every stretch of every row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pieces: list[list] = [[], [], [], [], [], []]
             for text in batch.column(0).to_pylist():
                 raw = _bytes_of(text)
@@ -276,12 +276,15 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     per_content = occ.groupBy("anchor", "content").agg(F.count("*").alias("n"))
     per_anchor = per_content.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1")
     state = F.when(F.col("kinds") == 1, FULL).when(F.col("kinds") <= s.hot, SORT).otherwise(HOT)
-    per_anchor = per_anchor.select("anchor", state.alias("state"))
-    found = occ.join(per_anchor, "anchor").dropDuplicates(["anchor", "content", "text_key", "at", "begin"])
+    # written down, so that the join below deals out both its sides itself and can split an anchor that is everywhere
+    per_anchor = stash(per_anchor.select("anchor", state.alias("state")))
+    # copies of a text are one; by keys other than the anchor, which leaves the join free to split
+    found = occ.join(per_anchor, "anchor").dropDuplicates(["text_key", "begin"])
     # a stretch that occurs more than once is repeated as a whole, whatever its anchor's other stretches are
     twice = per_content.where("n > 1").select("anchor", "content", F.lit(True).alias("twice"))
     found = stash(found.join(twice, ["anchor", "content"], "left"))
     discard(occ)
+    discard(per_anchor)
 
     # the bytes of one occurrence of each different stretch that has to be sorted
     wanted = found.where(F.col("state") > FULL).groupBy("anchor", "content", "state").agg(F.min(F.struct("text_key", "at", "begin", "stop")).alias("one"))
@@ -294,7 +297,7 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The wanted stretches' bytes, or for hot anchors the hashes of their windows."""
-        for batch in batches:
+        for batch in slices(batches, 128):
             rows = []
             for text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = _bytes_of(text)
@@ -324,8 +327,8 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         order = np.argsort(anchor, kind="stable")
         lengths = np.cumsum([len(strings[i]) for i in order])
         at = 0
-        while at < len(order):  # some anchors at a time, about 4 MB of bytes
-            to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + (4 << 20))))
+        while at < len(order):  # some anchors at a time, about 1 MB of bytes
+            to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + (1 << 20))))
             while to < len(order) and anchor[order[to]] == anchor[order[to - 1]]:
                 to += 1
             rows = order[at:to]
@@ -342,7 +345,7 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     by_sort = by_sort.groupBy("bucket").applyInArrow(sort, marked)
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 128):
             rows = []
             for anchor, content, n, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 rows += [(anchor, content, i, md5(piece[i : i + s.length], usedforsecurity=False).digest()) for i in range(n)]
@@ -378,7 +381,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = rows.join(packed, "text_key", "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 256):
             out = []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = _bytes_of(text)

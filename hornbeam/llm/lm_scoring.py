@@ -7,10 +7,11 @@ The model mixes maximum-likelihood estimates of order 2, 1 and 0 (uniform)::
 with one set of weights for each bucket of context frequency.  Training texts are split by a hash: most give the counts,
 the rest are held out, and expectation-maximisation on the held-out words learns the weights.
 
-Counting every word pair as a row would be most of the cost, so counting is done in arrays.  Texts are dealt out to
-blocks; a block lists its distinct words and pairs once, sorted, with its own counts; lists go to buckets by hash, are
-summed there, and the sums go back to the block in the block's order, without the keys.  Counts cover all training
-texts and every text is scored whole.
+Counting every word pair as a row would be most of the cost, so counting is done in arrays.  Texts are packed into
+blocks as they are read; a block lists its distinct words and pairs once, sorted, with its own counts; lists go to
+buckets by hash, are summed there, and the sums go back to the block in the block's order, without the keys.  Counts
+cover all training texts and every text is scored whole.  Held-out texts are packed apart, so that learning the weights
+reads only their blocks.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hornbeam.llm.common import partitions, stash
-from hornbeam.llm.kernels import U, Words, chunks, mix
+from hornbeam.llm.common import partitions, stash, tidy
+from hornbeam.llm.kernels import U, Words, chunks, mix, slices
 
 _START, _END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
@@ -41,8 +42,10 @@ class Settings:
     buckets: int = 12
     grid: int = 48
     em_rounds: int = 60
-    #: Bytes of text in a block, on average.
-    block_bytes: int = 12 << 20
+    #: Bytes of text in a block and, by the input's size, for each bucket.  Larger inputs want larger blocks, as each
+    #: block has a list for each bucket; both must fit a task's memory some ten times over.
+    block_bytes: int = 4 << 20
+    bucket_bytes: int = 4 << 20
 
 
 def bucket_of(count: np.ndarray, s: Settings) -> np.ndarray:
@@ -66,8 +69,8 @@ def _streams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _pairs(stream: np.ndarray) -> np.ndarray:
-    """A hash of each neighbouring pair; pairs that run over two texts are the caller's to leave out."""
-    return mix(stream[:-1] * U(0x9E3779B97F4A7C15) + mix(stream[1:]))
+    """A hash of each neighbouring pair, 56 bits; pairs that run over two texts are the caller's to leave out."""
+    return mix(stream[:-1] * U(0x9E3779B97F4A7C15) + mix(stream[1:])) >> U(8)
 
 
 # parts of the training split, as told by the caller's ``part`` column
@@ -98,66 +101,113 @@ class _Block:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts in the least width that holds them, the width first."""
-    top = int(x.max()) if len(x) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Counts in a byte each; 255 stands for a count told in full beside."""
+    large = np.flatnonzero(x >= 255)
+    return len(large).to_bytes(4, "little") + large.astype("<u4").tobytes() + x[large].astype("<u8").tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
+    out[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<u8", n, 4 + 4 * n).astype(np.int64)
+    return out
 
 
-def _delta(x: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as their differences, in 5 bytes each; a wider step is told beside."""
+def _delta(x: np.ndarray, width: int) -> bytes:
+    """Ascending numbers as their differences, in ``width`` bytes each; what a wider step has beyond is told beside."""
     d = np.diff(x, prepend=U(0)) if len(x) else x
-    wide = np.flatnonzero(d >> U(40))
-    low = d & U((1 << 40) - 1)
+    bits = U(8 * width)
+    wide = np.flatnonzero(d >> bits)
     return (
-        len(wide).to_bytes(4, "little")
-        + wide.astype("<u4").tobytes()
-        + (d[wide] >> U(40)).astype("<u4").tobytes()
-        + low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    )
+        bytes([width]) + len(wide).to_bytes(4, "little") + wide.astype("<u4").tobytes() + (d[wide] >> bits).astype("<u4").tobytes()
+        + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    )
 
 
 def _undelta(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    at = np.frombuffer(raw, "<u4", n, 4)
-    high = np.frombuffer(raw, "<u4", n, 4 + 4 * n)
-    low = np.frombuffer(raw, np.uint8, offset=4 + 8 * n).reshape(-1, 5)
+    width, n = raw[0], int.from_bytes(raw[1:5], "little")
+    at = np.frombuffer(raw, "<u4", n, 5)
+    high = np.frombuffer(raw, "<u4", n, 5 + 4 * n)
+    low = np.frombuffer(raw, np.uint8, offset=5 + 8 * n).reshape(-1, width)
     full = np.zeros((len(low), 8), np.uint8)
-    full[:, :5] = low
+    full[:, :width] = low
     d = full.reshape(-1).view("<u8").copy()
-    d[at] |= high.astype(np.uint64) << U(40)
+    d[at] |= high.astype(np.uint64) << U(8 * width)
     return np.cumsum(d, dtype=np.uint64)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of equal ranges of the 64-bit keys, ascending keys assumed."""
-    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Bounds of equal ranges of the keys, ascending keys assumed."""
+    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**bits / buckets)).astype(np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
 _REPLY = "block long, kind int, bucket int, first binary, second binary, tokens long, model_tokens long, distinct long"
 
 
+def _packed(rows: DataFrame, s: Settings) -> DataFrame:
+    """``rows(doc_id, text, part)`` as ``block, held, ids, texts, parts``, a row for each block; runs where it reads."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId() << 32
+        open_blocks: dict[bool, list] = {True: [], False: []}
+        made = 0
+
+        def close(held: bool) -> pa.RecordBatch:
+            nonlocal made
+            ids, texts, parts = zip(*open_blocks[held])
+            open_blocks[held] = []
+            made += 1
+            columns = [pa.array([task + made], pa.int64()), pa.array([held])]
+            columns += [pa.array([list(x)], pa.list_(t)) for x, t in ((ids, pa.int64()), (texts, pa.string()), (parts, pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "held", "ids", "texts", "parts"])
+
+        size = {True: 0, False: 0}
+        for batch in slices(batches):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                held = row[2] == HELD_OUT
+                open_blocks[held].append(row)
+                size[held] += 2 * len(row[1]) if not row[1].isascii() else len(row[1])
+                if size[held] >= s.block_bytes:
+                    size[held] = 0
+                    yield close(held)
+        for held in (True, False):
+            if open_blocks[held]:
+                yield close(held)
+
+    return rows.mapInArrow(pack, "block long, held boolean, ids array<long>, texts array<string>, parts array<long>")
+
+
+def _unpacked(row: pa.RecordBatch | pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Texts and parts of a block's row."""
+    texts, parts = (row[c].combine_chunks() if isinstance(row, pa.Table) else row.column(c) for c in ("texts", "parts"))
+    return texts.flatten(), parts.flatten().to_numpy()
+
+
 def _count(rows: DataFrame, buckets: int) -> DataFrame:
     """Counts for every block's lists: for words those of both training parts (``second``) and of the counted part
     (``first``), for pairs of the counted part.  ``tokens`` and the like are sums over a bucket, told once in it."""
 
-    def listed(group: pa.Table) -> pa.Table:
-        block = group["block"][0].as_py()
-        b = _Block(group["text"].combine_chunks(), group["part"].to_numpy())
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield one_block(batch.slice(i, 1))
+
+    def one_block(row: pa.RecordBatch) -> pa.RecordBatch:
+        block = row.column("block")[0].as_py()
+        b = _Block(*_unpacked(row))
         out = []
-        for kind, keys, counts in ((0, b.words, b.word_counts), (1, b.pairs, b.pair_counts[None, :])):
-            cut = _cuts(keys, buckets)
+        # a step between neighbours is about 2**45 for words and 2**35 for pairs
+        for kind, keys, counts, bits, width in ((0, b.words, b.word_counts, 64, 6), (1, b.pairs, b.pair_counts[None, :], 56, 5)):
+            cut = _cuts(keys, buckets, bits)
             for i in np.flatnonzero(np.diff(cut)).tolist():
                 x = slice(cut[i], cut[i + 1])
-                out.append((block, kind, i, _delta(keys[x]), _small(counts[0][x]), _small(counts[-1][x]) if kind == 0 else b""))
+                out.append((block, kind, i, _delta(keys[x], width), _small(counts[0][x]), _small(counts[-1][x]) if kind == 0 else b""))
         columns = list(zip(*out)) if out else [()] * 6
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("block", "kind", "bucket", "keys", "one", "two"), columns, kinds)})
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "kind", "bucket", "keys", "one", "two"])
 
     def summed(group: pa.Table) -> pa.Table:
         kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
@@ -185,9 +235,7 @@ def _count(rows: DataFrame, buckets: int) -> DataFrame:
             }
         )
 
-    lists = rows.select("block", "text", "part").groupBy("block").applyInArrow(
-        listed, "block long, kind int, bucket int, keys binary, one binary, two binary"
-    )
+    lists = rows.select("block", "texts", "parts").mapInArrow(listed, "block long, kind int, bucket int, keys binary, one binary, two binary")
     return lists.groupBy("kind", "bucket").applyInArrow(summed, _REPLY)
 
 
@@ -257,7 +305,7 @@ def _learn(rows: DataFrame, replies: DataFrame, sizes: tuple[int, int, int], s:
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         cells: dict[tuple, np.ndarray] = {}
         if left.num_rows and right.num_rows:
-            texts, parts = left["text"].combine_chunks(), left["part"].to_numpy()
+            texts, parts = _unpacked(left)
             known = _Known(texts, parts, right)
             for first, row, pair, context, word, _ in known.tokens(texts):
                 held = parts[first + row] == HELD_OUT
@@ -274,8 +322,9 @@ def _learn(rows: DataFrame, replies: DataFrame, sizes: tuple[int, int, int], s:
             {"cell": pa.array([c for c, _ in items], pa.int64()), **{k: pa.array([float(v[i]) for _, v in items], pa.float64()) for i, k in enumerate(("n", "p2", "p1"))}}
         )
 
-    # all texts of a block are needed to read its replies
-    sums = rows.select("block", "text", "part").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(gather, "cell long, n double, p2 double, p1 double")
+    held = rows.where("held").select("block", "texts", "parts")
+    told = replies.join(held.select("block"), "block", "left_semi")
+    sums = held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(gather, "cell long, n double, p2 double, p1 double")
     cells = sums.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1"))).orderBy("cell").collect()
     n = np.array([c["n"] for c in cells])
     p2, p1 = (np.array([c[k] for c in cells]) / np.maximum(n, 1) for k in ("p2", "p1"))
@@ -295,32 +344,29 @@ def score(docs: DataFrame, training: Column, s: Settings = Settings()) -> DataFr
     ``training`` is a boolean expression over ``docs``; rows for which it is true are learned from, null counts as
     false.  Tokens are words, A-Z lower-cased, and one end for each text, so an empty or null text has one token.
     ``n_known`` counts tokens seen in training, ``base_score`` is the add-half unigram sum, ``score`` the model's log10
-    probability.  Without any training text every order but the uniform one is 0.  Repeated rows give repeated results
+    probability.  Without any counted text the uniform order has all the weight.  Repeated rows give repeated results
     (and count as often as they occur), other columns are not read, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
-    size = F.octet_length("text").cast("long")
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    # small inputs are cut finer, so that all tasks have work
-    blocks = max(1, round(total / s.block_bytes), min(partitions(spark), total >> 20))
-    # the row number deals rows out evenly whatever their text or id, and must not change: it is written down
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(8, min(4 * partitions(spark), total // s.bucket_bytes))
     held = F.pmod(F.xxhash64(docs["doc_id"], F.lit(5)), F.lit(s.held_out_of)) == 0
     part = F.when(F.coalesce(training, F.lit(False)), F.when(held, HELD_OUT).otherwise(COUNTED)).otherwise(UNSEEN)
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
-    rows = stash(
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), part.cast("long").alias("part"), block.alias("block"))
-    )
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), part.cast("long").alias("part"))
+    # which text is in which block must not change any more: replies have their block's order
+    rows = stash(_packed(rows, s))
     replies = stash(_count(rows, buckets))
     sizes = tuple(int(x or 0) for x in replies.agg(F.sum("tokens"), F.sum("model_tokens"), F.sum("distinct")).first())
     tokens, model_tokens, distinct = sizes
-    mixture = _learn(rows, replies, sizes, s)
+    mixture = _learn(rows, replies, sizes, s) if model_tokens else np.tile([0.0, 0.0, 1.0], (s.buckets, 1))
+    tidy(spark)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: pa.array([], pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in RESULT})
-        texts, n = left["text"].combine_chunks(), left.num_rows
-        known = _Known(texts, left["part"].to_numpy(), right)
+        texts, parts = _unpacked(left)
+        n = len(texts)
+        known = _Known(texts, parts, right)
         out = np.zeros((4, n))
         for first, row, pair, context, word, word_all in known.tokens(texts):
             p2, p1, p0 = _estimates(pair, context, word, model_tokens, distinct)
@@ -330,8 +376,7 @@ def score(docs: DataFrame, training: Column, s: Settings = Settings()) -> DataFr
             m = int(row.max()) + 1
             for k, x in enumerate((None, (word_all > 0).astype(float), base, np.log10(p))):
                 out[k, first : first + m] += np.bincount(row, x, m)
-        columns = [left["doc_id"], pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(out[2]), pa.array(out[3])]
+        columns = [left["ids"].combine_chunks().flatten(), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(out[2]), pa.array(out[3])]
         return pa.table(dict(zip(RESULT.names, columns)))
 
-    scored = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, RESULT)
-    return scored
+    return rows.drop("held").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, RESULT)

@@ -73,6 +73,21 @@ def boot_ci_auc(spark, d):
     return _rounded(I.interval(per, ["cluster"], "auc"), "lo", "hi")
 
 
+def within_boot_delta(spark, d):
+    """Difference of two risks' mean AUC over clusters when units are drawn within each cluster: its mean, and the
+    values at positions ``int(q * n)`` of the sorted resamples."""
+    u = I.indexed(_two(spark, d), ["cluster"], "ord", "at")
+    sizes = u.groupBy("cluster").agg(F.count("*").alias("n")).crossJoin(spark.range(REPS).select(F.col("id").alias("rep")))
+    t = I.row_draws(sizes, ["cluster", "rep"], None, SEED).join(u, ["cluster", "at"])
+    a = R.auc(t, ["cluster", "rep"], "a", POSITIVE, None, F.col("weight")).select("cluster", "rep", F.col("auc").alias("x"))
+    b = R.auc(t, ["cluster", "rep"], "b", POSITIVE, None, F.col("weight")).select("cluster", "rep", F.col("auc").alias("y"))
+    per = a.join(b, ["cluster", "rep"]).groupBy("rep").agg(F.avg(F.col("x") - F.col("y")).alias("delta"))
+    values = F.array_sort(F.collect_list("delta"))  # REPS numbers
+    at = lambda q: F.element_at("v", F.floor(q * F.size("v")).cast("int") + 1)
+    out = per.agg(values.alias("v"), F.avg("delta").alias("mean")).select("mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
+    return _rounded(out, "mean", "lo", "hi")
+
+
 def _two_stage(spark, d):
     """Weighted units of each slot: clusters are drawn, then units within each slot anew."""
     u = I.indexed(units(spark, d), ["cluster"], "ord", "at")
@@ -196,6 +211,11 @@ select * from x1 join x2 using (tool) join x3 using (tool)""",
     "boot_ci_auc": WITH + _AT + f""", sz as (select cluster, count(*) as n from u group by 1), dr as (select cluster, rep, {_IDX('n', f"'{SEED}|u'", 'cluster', 'rep', 'i')} as at_ from (select *, unnest(range(n)) as i from sz, range({REPS}) a(rep))),
 dw as (select cluster, rep, at_, count(*) as weight from dr group by all), ds as (select dw.cluster, dw.rep, dw.weight, ua.score, ua.defects from dw join ua on dw.cluster = ua.cluster and dw.at_ = ua.at_), """
     + _weighted_auc("cluster, rep", "ds") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
+    "within_boot_delta": WITH + _AT + f""", sz as (select cluster, count(*) as n from u group by 1), dr as (select cluster, rep, {_IDX('n', f"'{SEED}|u'", 'cluster', 'rep', 'i')} as at_ from (select *, unnest(range(n)) as i from sz, range({REPS}) a(rep))),
+dw as (select cluster, rep, at_, count(*) as weight from dr group by all), ds as (select dw.cluster, dw.rep, dw.weight, ua.score, ua.rival, ua.defects from dw join ua on dw.cluster = ua.cluster and dw.at_ = ua.at_), """
+    + _weighted_auc("cluster, rep", "ds", "10 - score", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (") + ", " + _weighted_auc("cluster, rep", "ds", "10 - rival", "null").replace("per as (", "pb as (")
+    + """, m as (select rep, avg(pa.auc - pb.auc) as d from pa join pb using (cluster, rep) group by 1), l as (select list(d order by d) filter (d is not null) as v, avg(d) as mean from m)
+select round(mean, 6) as mean, round(v[floor(0.025 * len(v))::int + 1], 6) as lo, round(v[floor(0.975 * len(v))::int + 1], 6) as hi from l""",
     "cluster_boot_mean_auc": WITH + _AT + ", " + _SLOTS + ", " + _weighted_auc("rep, slot", "ds", degenerate="null") + f", mm as (select rep, avg(auc) as auc from per group by 1) select 'mean' as of, {_CI('auc')}, count(auc) as n_boot from mm",
     "pooled_boot": WITH + _AT + ", " + _SLOTS + ", " + _weighted_auc("rep", "ds") + f" select 'pooled' as of, {_CI('auc')}, count(auc) as n_boot from per",
     "cluster_ci_ratio": WITH + _WEIGHTS + """, s as (select cluster, sum(defects) filter (score < 4) as da, count(*) filter (score < 4) as na, sum(defects) filter (score >= 8) as dh, count(*) filter (score >= 8) as nh from u group by 1),
@@ -212,6 +232,6 @@ select 'auc' as of, round(lo, 6) as lo, round(hi, 6) as hi, round(p, 6) as p, lo
 QUERIES = {
     f.__name__: f
     for f in (
-        baselines_auc, baselines_popt, best_baseline, delong_components, delong_z, head_to_head, boot_ci_auc, cluster_boot_mean_auc, pooled_boot, cluster_ci_ratio, paired_delta, paired_pooled_delta,
+        baselines_auc, baselines_popt, best_baseline, delong_components, delong_z, head_to_head, boot_ci_auc, within_boot_delta, cluster_boot_mean_auc, pooled_boot, cluster_ci_ratio, paired_delta, paired_pooled_delta,
     )
 }

@@ -181,6 +181,12 @@ def class_match(spark, d):
     return L.match_classes(rows, files).groupBy("path").agg(F.count("*").alias("classes"), F.round(100 * F.count("*") / F.lit(n), 6).alias("pct"))
 
 
+def rate_limits(spark, d):
+    """Messages that say a service was asked too often."""
+    rows = ("Error 429: Too Many Requests", "usage limit reached", "file not found", "Overloaded", "ok")
+    return _values(spark, rows, "message string").select("message", X.is_rate_limited(F.col("message")).alias("limited"))
+
+
 def coverage_meta(spark, d):
     """How a second scorer's cache stands to the units: paired, told to be nothing to score, absent, and defective pairs."""
     from hornbeam.sources.readers import pairing
@@ -259,6 +265,7 @@ j as (select case when score >= 8 then 'healthy' when score < 4 then 'alert' els
 h as (select m as hm, d as hd from j where bucket = 'healthy')
 select bucket, files, round(m, 4) as mean, round(d, 4) as median, round(m / hm, 6) as mean_ratio, round(d / hd, 6) as median_ratio from j, h"""
 
+SQL["rate_limits"] = "select * from (values ('Error 429: Too Many Requests', true), ('usage limit reached', true), ('file not found', false), ('Overloaded', true), ('ok', false)) t(message, limited)"
 SQL["coverage_meta"] = f"""with {_U}, s as (select *, case when unit_id % 10 = 0 then 'absent' when unit_id % 7 = 0 then 'null' else 'paired' end as st from u)
 select cluster, count(*) as scored, count(*) filter (st = 'paired') as paired_files, count(*) filter (st = 'null') as null_files, count(*) filter (st = 'absent') as absent_files,
   count(*) filter (st = 'paired' and defects > 0) as defective from s group by 1"""
@@ -271,6 +278,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         szz_files, szz_summary, fixes_per_file, prior_fixes, recent_commits, t0_resolution, fix_classifier, fix_commits, issue_refs, path_rules, url_paths, cosmetic_lines, hunk_headers, blame_headers,
-        issue_links, bug_issues, resolution_hours, bucket_resolution, function_process, function_labels, class_match, coverage_meta, audit,
+        issue_links, bug_issues, resolution_hours, bucket_resolution, function_process, function_labels, class_match, rate_limits, coverage_meta, audit,
     )
 }

@@ -7,7 +7,8 @@ pairs that survive are verified on the shingles.
 One R-tree over everything would compare everything: at a few hundred dimensions all unrelated texts lie equally far
 apart.  So the groups are first used another way, which loses no pair.  Two sets with Jaccard >= t differ in at most
 D = (1 - t) / (1 + t) * (|A| + |B|) shingles; hashed into more than D groups, some group has the same shingles in both.
-Texts that agree in a whole group are tied.  Ties come about by shared passages too, so the bound is put to them first:
+Sets are hashed into some groups more, so that a linked pair agrees in at least ``agree`` of them; pairs that do are tied.
+Ties come about by shared passages too, so the bound is put to them first:
 the few texts of a small tie pair by pair, those of a large one by an R-tree over their points.  What survives is closed
 to families, and each family gets its R-tree and its verification.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornbeam.llm.common import components, discard, partitions, stash
-from hornbeam.llm.kernels import U, Words, chunks, mix, set_key, shingles
+from hornbeam.llm.kernels import U, Words, chunks, mix, release, set_key, shingles, slices, views
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,16 @@ class Settings:
     #: Steps between the size levels that share a number of groups.
     level_step: float = 1.6
     #: Groups of the points.
-    axes: int = 128
+    axes: int = 256
+    #: In how many groups of shingles a linked pair agrees at least.
+    agree: int = 4
     #: Texts of a tie up to which its pairs are listed one by one.
     few: int = 8
-    #: Members of a large tie or family that one task takes; beyond, it is cut into blocks of this many.
+    #: Members of a family that one task takes; beyond, it is cut into blocks of this many.
     block: int = 1024
+    #: Members of a tie that one task takes; beyond, it is cut into blocks.  Also the members that ties put together
+    #: in one task may have, about.
+    tie: int = 8192
     leaf: int = 24
     #: Numbers that a task gathers before it passes them on.
     flush: int = 1 << 18
@@ -57,15 +63,15 @@ class Settings:
         return ceil(self.level_step**level)
 
     def groups(self, level: int) -> tuple[int, int]:
-        """(D, groups) of a level: more than D + 1, as groups that are empty in both sets are no agreement."""
+        """(D, groups) of a level: D + ``agree`` and more, as groups that are empty in both sets are no agreement."""
         differ = self.differing(2 * self.top(level))
         least = self.top(max(level - 1, 0)) * self.percent / 100
         slack = 6
         for _ in range(2):
-            groups = differ + 1 + slack
+            groups = differ + self.agree + slack
             empty = groups * np.exp(-least / groups)
             slack = int(max(6, min(differ, 6 + np.ceil(empty + 6 * np.sqrt(empty)))))
-        return differ, differ + 1 + slack
+        return differ, differ + self.agree + slack
 
     def level(self, n: int) -> int:
         at = max(0, int(np.log(max(n, 1)) / np.log(self.level_step)) - 1)
@@ -95,7 +101,7 @@ def classes(docs: DataFrame, s: Settings) -> DataFrame:
     """``doc_id, n, key, tag, point``: the number of shingles, 128 bits of the set, 64 of them as a number, group counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             sizes, keys, points = [], [], []
             for _, own in _batches(batch.column(1), s.k):
                 sizes.append(len(own))
@@ -129,21 +135,24 @@ def signatures(own: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
         filled = np.bincount(at, minlength=groups) > 0
         salt = U((level << 32) + 1) + np.arange(groups, dtype=np.uint64)
         yield mix(sums + mix(salt))[filled]
-        if groups - filled.sum() >= groups - differ:
-            # all groups that agree might be empty ones; such a text meets its like here
-            yield mix(np.array([U((level << 32) + (1 << 31))]))
+        # of the groups - D groups that agree, those that are filled may be too few; texts of which that is so are
+        # given as many signatures in common as they lack
+        lacking = min(s.agree, s.agree - (int(filled.sum()) - differ))
+        if lacking > 0:
+            yield mix(U((level << 32) + (1 << 31)) + np.arange(lacking, dtype=np.uint64))
 
 
 def ties(docs: DataFrame, s: Settings) -> DataFrame:
-    """Tags of classes that agree in a whole group of shingles: pairs ``a, b`` of small ties, and for large ones a row
-    for each member, with the tie's ``many`` (0 for pairs) naming its set of members, so that ties alike are one."""
+    """Tags of classes that agree in enough groups of shingles: pairs ``a, b`` of small ties, and for large ones a row
+    for each member ``a`` with the first one ``b``, the tie's ``many`` (0 for pairs) naming its set of members, so that
+    ties alike are one."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for _, own in _batches(batch.column(0), s.k):
                 found = list(signatures(own, s))
                 if not found:
@@ -194,12 +203,15 @@ def ties(docs: DataFrame, s: Settings) -> DataFrame:
         for c, n in zip(cut[size > s.few], size[size > s.few]):
             members = tag[c : c + n]
             name = mix(members.view(np.uint64)).sum(dtype=np.uint64) | U(1)
-            found.append(np.stack([members, members, np.full(n, name).view(np.int64)], 1))
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "many": pa.array(rows[:, 2])})
+            found.append(np.stack([members, np.full(n, members[0]), np.full(n, name).view(np.int64)], 1))
+        rows, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1]), "many": pa.array(rows[:, 2]), "times": pa.array(times)})
 
     packed = _texts(docs).select("text").mapInArrow(emit, "bucket int, sigs binary, tags binary")
-    return packed.groupBy("bucket").applyInArrow(match, "a long, b long, many long").distinct()
+    found = packed.groupBy("bucket").applyInArrow(match, "a long, b long, many long, times long")
+    # a linked pair that agrees less often in small ties agrees in a large one too, and is found there
+    found = found.groupBy("a", "b", "many").agg(F.sum("times").alias("times"))
+    return found.where(f"many <> 0 or times >= {s.agree}").drop("times")
 
 
 class Tree:
@@ -245,24 +257,41 @@ class Tree:
                 stack += [(i, x, j - 1, c) for c in range(8 * y, min(8 * y + 8, len(other.levels[j - 1][1])))]
 
 
-def joined(points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, accept, s: Settings) -> list[tuple[int, int]]:
-    """Spanning links among rows whose points pass the bound and which ``accept(x, y)`` takes; where there are two
-    blocks, only pairs across them are looked at."""
-    n = len(points)
-    parent = list(range(n))
+class Union:
+    """Disjoint sets of numbered rows."""
 
-    def root(x: int) -> int:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
+    def join(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def joined(points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, accept, s: Settings, union: Union | None = None, names: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links among rows whose points pass the bound and which ``accept(x, y)`` takes; where there are two
+    blocks, only pairs across them are looked at.  With ``union``, row x is ``names[x]`` in it, and what it already
+    connects is not looked at."""
+    n = len(points)
+    union = union or Union(n)
+    names = np.arange(n) if names is None else names
+    name = names.tolist()
+
+    def root(x: int) -> int:
+        return union.root(name[x])
+
     out: list[tuple[int, int]] = []
 
     def test(x: int, y: int) -> None:
-        a, b = root(x), root(y)
-        if a != b and accept(x, y):
-            parent[max(a, b)] = min(a, b)
+        if root(x) != root(y) and accept(x, y):
+            union.join(name[x], name[y])
             out.append((x, y))
 
     values = np.unique(blocks)
@@ -335,7 +364,7 @@ def near(known: DataFrame, tied: DataFrame, s: Settings) -> DataFrame:
     pairs = pairs.join(points.select(F.col("tag").alias("b"), F.col("point").alias("q"), F.col("mixed").alias("o")), "b")
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, s.axes) for i in (2, 3))
             shared = np.minimum(p, q).sum(1)
             keep = (100 + s.percent) * shared >= s.percent * (p.sum(1) + q.sum(1))
@@ -343,18 +372,58 @@ def near(known: DataFrame, tied: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     small = pairs.select("a", "b", "p", "q", F.expr("m or o")).mapInArrow(passes, "a long, b long")
-    members = tied.where("many <> 0").select("many", F.col("a").alias("tag")).join(points, "tag")
+    large = tied.where("many <> 0").select("many", F.col("a").alias("tag"), "b")
+    size = large.groupBy("many").agg(F.count("*").alias("size"))
+    huge = large.join(size.where(F.col("size") > s.tie).select("many"), "many", "left_semi").select("many", "tag").join(points, "tag")
 
     def search(table: pa.Table) -> pa.Table:
-        tag, raw, mixed = table["tag"].to_numpy(), table["point"].to_pylist(), table["mixed"].to_numpy()
+        tag, raw, mixed = table["tag"].to_numpy(), views(table["point"], np.int32), table["mixed"].to_numpy()
         found = []
         for rows, block in _groups_of(table, "many", "tag"):
-            at = np.frombuffer(b"".join(raw[r] for r in rows), np.int32).reshape(-1, s.axes)
+            at = np.stack([raw[r] for r in rows])
             found += [(tag[rows[x]], tag[rows[y]]) for x, y in joined(at, at.sum(1), block, lambda x, y: True, s)]
             found += [(tag[r], tag[rows[0]]) for r in rows if mixed[r]]
+        release()
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    by_block = _in_blocks(huge, "many", "tag", s, tasks).groupBy("task").applyInArrow(search, "a long, b long")
+
+    # other ties go where those are that share members with them, so that a point is sent once for all of them
+    usual = large.join(size.where(F.col("size") <= s.tie).select("many"), "many", "left_semi")
+    place = stash(components(usual.select(F.col("tag").alias("a"), "b")).withColumnRenamed("node", "tag"))
+    crowd = place.groupBy("component").agg(F.ceil(F.count("*") / s.tie).cast("int").alias("parts"))
+    usual = usual.select("many", "tag").join(place.join(crowd, "component"), "tag")
+    task = F.xxhash64("component", F.pmod("many", "parts"))
+    usual = usual.select(F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(task.bitwiseOR(F.lit(1 << 40))).alias("task"), "many", "tag")
+    usual = stash(usual)
+    needed = usual.select(F.col("task").alias("of"), F.col("tag").alias("k")).distinct().join(points.withColumnRenamed("tag", "k"), "k")
+
+    def together(ties: pa.Table, known: pa.Table) -> pa.Table:
+        found = []
+        if ties.num_rows and known.num_rows:
+            tag, mixed = known["k"].to_numpy(), known["mixed"].to_numpy()
+            order = np.argsort(tag)
+            raw = views(known["point"], np.int32)
+            at = np.stack([raw[i] for i in order])
+            tag, mixed, sizes = tag[order], mixed[order], at.sum(1)
+            union = Union(len(tag))
+            many, member = ties["many"].to_numpy(), np.searchsorted(tag, ties["tag"].to_numpy())
+            rows = np.lexsort((member, many))
+            many, member = many[rows], member[rows]
+            cut = np.flatnonzero(np.concatenate(([True], many[1:] != many[:-1])))
+            for x, y in zip(cut.tolist(), np.append(cut[1:], len(many)).tolist()):
+                own = member[x:y]
+                first = union.root(int(own[0]))
+                if all(union.root(i) == first for i in own.tolist()):
+                    continue
+                pairs = joined(at[own], sizes[own], np.zeros(len(own), np.int8), lambda a, b: True, s, union, own)
+                found += [(tag[own[a]], tag[own[b]]) for a, b in pairs]
+                found += [(tag[i], tag[own[0]]) for i in own if mixed[i]]
+        release()
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    large = _in_blocks(members, "many", "tag", s, tasks).groupBy("task").applyInArrow(search, "a long, b long")
+    by_place = usual.groupBy("task").cogroup(needed.groupBy("of")).applyInArrow(together, "a long, b long")
+    large = by_block.unionByName(by_place)
     return small.unionByName(large)
 
 
@@ -374,7 +443,7 @@ def similar(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[bytes, bytes]] = []
         arrays = lambda: [pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)]
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for _, own in _batches(batch.column(0), s.k):
                 if len(own):
                     rows.append((set_key(own), own.tobytes()))
@@ -387,17 +456,18 @@ def similar(docs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     members = chosen.select("key", "family").join(sets, "key").groupBy("key", "family").agg(F.first("shingles").alias("shingles"))
 
     def verify(table: pa.Table) -> pa.Table:
-        keys, raw = table["key"].to_pylist(), table["shingles"].to_pylist()
+        keys, raw = table["key"].to_pylist(), views(table["shingles"], np.uint64)
         found = []
         for rows, block in _groups_of(table, "family", "key"):
-            sets = [np.frombuffer(raw[r], np.uint64) for r in rows]
+            sets = [raw[r] for r in rows]
             sizes = np.array([len(x) for x in sets])
             axes = 1 << int(np.clip(np.ceil(np.log2(max(sizes.max() / 8, 16))), 4, 10))
             points = np.stack([point(x, axes) for x in sets])
             found += [(keys[rows[x]], keys[rows[y]]) for x, y in joined(points, sizes, block, lambda x, y: linked_sets(sets[x], sets[y], s.percent), s)]
+        release()
         return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
-    return _in_blocks(members, "family", "key", s, tasks).groupBy("task").applyInArrow(verify, "a binary, b binary")
+    return _in_blocks(members, "family", "key", s, 4 * tasks).groupBy("task").applyInArrow(verify, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

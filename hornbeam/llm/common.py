@@ -38,7 +38,7 @@ def stash(df: DataFrame) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df  # with it goes what its shuffles keep on disk
     tidy(spark)
     out = spark.read.schema(schema).parquet(path)

@@ -37,6 +37,8 @@ _STEP = 0x9E3779B97F4A7C15 | 1
 
 @dataclass(frozen=True)
 class Settings:
+    """``length`` is below 4096, which a place's fields are made for; ``gram`` is a power of two."""
+
     length: int = 200
     gram: int = 32
     #: Different stretches of one anchor beyond which its windows are counted by hash.
@@ -107,28 +109,28 @@ def text_key(raw: bytes) -> bytes:
 
 
 def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
-    """``anchor, content, text_key, at, begin, stop``: every stretch of every row's text."""
+    """``anchor, content, text_key, place``: every stretch of every row's text; ``place`` packs the first window, the
+    bytes from it to the anchor, and the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            pieces: list[list] = [[], [], [], [], [], []]
+            pieces: list[list] = [[], [], [], []]
             for text in batch.column(0).to_pylist():
                 raw = _bytes_of(text)
                 data = np.frombuffer(raw, np.uint8)
                 anchor, at, begin, end = stretches(data, s)
                 if not len(anchor):
                     continue
-                own = (anchor, _content(data, begin, end, s.length), np.full(len(anchor), text_key(raw)), at, begin, end)
+                own = (anchor, _content(data, begin, end, s.length), np.full(len(anchor), text_key(raw)), (begin << 24) | (at - begin) << 12 | (end - begin))
                 for p, x in zip(pieces, own):
                     p.append(x)
             if not pieces[0]:
                 continue
-            a, c, t, *rest = (np.concatenate(p) for p in pieces)
+            a, c, t, place = (np.concatenate(p) for p in pieces)
             arrays = [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(t), [None, pa.py_buffer(np.ascontiguousarray(t).tobytes())]).cast(pa.binary())]
-            arrays += [pa.array(x.astype(np.int32)) for x in rest]
-            yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "content", "text_key", "at", "begin", "stop"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(place)], names=["anchor", "content", "text_key", "place"])
 
-    schema = "anchor long, content long, text_key binary, at int, begin int, stop int"
+    schema = "anchor long, content long, text_key binary, place long"
     return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -273,18 +275,22 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     buckets = 4 * partitions(spark)
     occ = stash(occurrences(docs, s))
     # how often an anchor occurs, and with how many different bytes
-    per_content = occ.groupBy("anchor", "content").agg(F.count("*").alias("n"))
+    per_content = stash(occ.groupBy("anchor", "content").agg(F.count("*").alias("n")))
     per_anchor = per_content.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1")
     state = F.when(F.col("kinds") == 1, FULL).when(F.col("kinds") <= s.hot, SORT).otherwise(HOT)
     # written down, so that the join below deals out both its sides itself and can split an anchor that is everywhere
     per_anchor = stash(per_anchor.select("anchor", state.alias("state")))
     # copies of a text are one; by keys other than the anchor, which leaves the join free to split
-    found = occ.join(per_anchor, "anchor").dropDuplicates(["text_key", "begin"])
+    found = occ.join(per_anchor, "anchor").dropDuplicates(["text_key", "place"])
     # a stretch that occurs more than once is repeated as a whole, whatever its anchor's other stretches are
     twice = per_content.where("n > 1").select("anchor", "content", F.lit(True).alias("twice"))
-    found = stash(found.join(twice, ["anchor", "content"], "left"))
-    discard(occ)
-    discard(per_anchor)
+    found = found.join(twice, ["anchor", "content"], "left")
+    begin, before, windows = F.shiftright("place", 24), F.shiftright("place", 12).bitwiseAND(F.lit(4095)), F.col("place").bitwiseAND(F.lit(4095))
+    found = stash(
+        found.select("anchor", "content", "text_key", "state", "twice", begin.cast("int").alias("begin"), (begin + before).cast("int").alias("at"), (begin + windows).cast("int").alias("stop"))
+    )
+    for done in (occ, per_content, per_anchor):
+        discard(done)
 
     # the bytes of one occurrence of each different stretch that has to be sorted
     wanted = found.where(F.col("state") > FULL).groupBy("anchor", "content", "state").agg(F.min(F.struct("text_key", "at", "begin", "stop")).alias("one"))

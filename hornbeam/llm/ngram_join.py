@@ -275,10 +275,10 @@ class Union:
         self.parent[max(a, b)] = min(a, b)
 
 
-def joined(points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, accept, s: Settings, union: Union | None = None, names: np.ndarray | None = None) -> list[tuple[int, int]]:
+def joined(points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, accept, s: Settings, union: Union | None = None, names: np.ndarray | None = None, seen: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links among rows whose points pass the bound and which ``accept(x, y)`` takes; where there are two
     blocks, only pairs across them are looked at.  With ``union``, row x is ``names[x]`` in it, and what it already
-    connects is not looked at."""
+    connects is not looked at; ``seen`` holds, by the same names, pairs that need no second look."""
     n = len(points)
     union = union or Union(n)
     names = np.arange(n) if names is None else names
@@ -312,8 +312,16 @@ def joined(points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, accept, s:
         roots_a, roots_b = np.array([root(x) for x in a]), np.array([root(x) for x in b])
         if roots_a.min() == roots_a.max() == roots_b.min() == roots_b.max():
             continue
+        fresh = roots_a[:, None] != roots_b[None, :]
+        if seen is not None:
+            place = np.ix_(names[a], names[b])
+            fresh &= ~seen[place]
+            seen[place] = True
+            seen[np.ix_(names[b], names[a])] = True
+        if not fresh.any():
+            continue
         shared = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(2)
-        near = (roots_a[:, None] != roots_b[None, :]) & ((100 + s.percent) * shared >= s.percent * (sizes[a][:, None] + sizes[b][None, :]))
+        near = fresh & ((100 + s.percent) * shared >= s.percent * (sizes[a][:, None] + sizes[b][None, :]))
         for i, j in np.argwhere(near).tolist():
             test(int(a[i]), int(b[j]))
     return out
@@ -407,6 +415,7 @@ def near(known: DataFrame, tied: DataFrame, s: Settings) -> DataFrame:
             at = np.stack([raw[i] for i in order])
             tag, mixed, sizes = tag[order], mixed[order], at.sum(1)
             union = Union(len(tag))
+            seen = np.zeros((len(tag), len(tag)), bool) if len(tag) <= s.tie else None  # 64 MB at most
             many, member = ties["many"].to_numpy(), np.searchsorted(tag, ties["tag"].to_numpy())
             rows = np.lexsort((member, many))
             many, member = many[rows], member[rows]
@@ -416,7 +425,7 @@ def near(known: DataFrame, tied: DataFrame, s: Settings) -> DataFrame:
                 first = union.root(int(own[0]))
                 if all(union.root(i) == first for i in own.tolist()):
                     continue
-                pairs = joined(at[own], sizes[own], np.zeros(len(own), np.int8), lambda a, b: True, s, union, own)
+                pairs = joined(at[own], sizes[own], np.zeros(len(own), np.int8), lambda a, b: True, s, union, own, seen)
                 found += [(tag[own[a]], tag[own[b]]) for a, b in pairs]
                 found += [(tag[i], tag[own[0]]) for i in own if mixed[i]]
         release()

@@ -2,14 +2,18 @@
 
 A seed is the hash of the words at the 1s of a fixed mask, so a substitution at a 0 does not hide a match.  Seeds of
 the benchmark are looked up among the seeds of every document; around each hit the two word sequences are compared
-along the hit's diagonal, and a window that agrees in enough words is contamination.  The benchmark is a stated query
+along the hit's diagonal, and a window that agrees in enough words is contamination.  The masks of each window size are
+completed until one of them hits every window that may agree, so nothing is lost.  The benchmark is a stated query
 set: it is read in blocks of bounded size, and each block goes over all documents in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,10 @@ from hornbeam.llm.kernels import PUNCTUATION, U, Words, chunks, mix
 
 @dataclass(frozen=True)
 class Settings:
-    """``window`` words of an item (all of a shorter item) must lie over a document with ``percent`` of them equal."""
+    """``window`` words of an item (all of a shorter item) must lie over a document with ``percent`` of them equal.
+
+    ``masks`` are the first ones tried; :func:`masks_for` adds what a window size needs besides.
+    """
 
     masks: tuple[str, ...] = ("11011011", "1110010101", "10110001101")
     window: int = 13
@@ -30,6 +37,49 @@ class Settings:
     block_bytes: int = 4 << 20
 
 
+#: Patterns times masks that are enumerated at most; beyond that one run of equal words is the seed.
+ENUMERATED = 4_000_000
+
+
+@lru_cache(maxsize=1024)
+def masks_for(size: int, percent: int, first: tuple[str, ...]) -> tuple[str, ...]:
+    """Masks of which at least one, at some position, hits each window of ``size`` words with ``percent`` of them equal.
+
+    Of ``first`` those that fit are kept while they hit something new; then masks of one weight are added, each time the
+    one that hits most of the patterns of different words still missed.
+    """
+    wrong = size - -(-percent * size // 100)
+    if wrong <= 0:
+        return ("1" * size,)
+    weight = max(2 * size // (wrong + 2), min(4, size - wrong))
+    if math.comb(size, wrong) * math.comb(size - 1, weight - 1) > ENUMERATED:
+        # the equal words lie in at most wrong + 1 runs
+        return ("1" * max(1, -(-(size - wrong) // (wrong + 1))),)
+    # as many different words as allowed: with fewer, the same masks hit
+    missed = np.array([sum(1 << i for i in c) for c in combinations(range(size), wrong)], object if size > 62 else np.int64)
+
+    def misses(mask: str, patterns: np.ndarray) -> np.ndarray:
+        ones = sum(1 << i for i, bit in enumerate(mask) if bit == "1")
+        out = np.ones(len(patterns), bool)
+        for at in range(size - len(mask) + 1):
+            out &= (patterns & (ones << at)) != 0
+        return out
+
+    chosen = []
+    for mask in first:
+        if len(mask) <= size and "1" in mask and not (left := misses(mask, missed)).all():
+            chosen.append(mask)
+            missed = missed[left]
+    if len(missed):
+        inner = (set(c) for c in combinations(range(1, size), weight - 1))
+        others = ["".join("1" if not i or i in c else "0" for i in range(max(c, default=0) + 1)) for c in inner]
+    while len(missed):
+        mask = min(others, key=lambda m: (misses(m, missed).sum(), len(m), m))
+        chosen.append(mask)
+        missed = missed[misses(mask, missed)]
+    return tuple(chosen)
+
+
 def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
     """The masked hash at each position; positions where the mask does not fit are left out at the end."""
     n = len(h) - len(mask) + 1
@@ -50,15 +100,14 @@ class Block:
         for _, text in items:
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             self.words.append(Words(raw, np.array([0, len(raw)]), separators=PUNCTUATION).hash)
-        span = max(map(len, settings.masks))
-        short = sorted({len(w) for w in self.words if 0 < len(w) < span})
+        uses: dict[str, list[int]] = {}
+        for k, w in enumerate(self.words):
+            if len(w):
+                for mask in masks_for(min(settings.window, len(w)), settings.percent, settings.masks):
+                    uses.setdefault(mask, []).append(k)
         self.tables = []
-        for mask in (*settings.masks, *("1" * n for n in short)):
-            # an item too short for a mask is looked up as a whole
-            use = [k for k, w in enumerate(self.words) if (len(w) == len(mask) < span if set(mask) == {"1"} and len(mask) in short else len(w) >= span)]
+        for mask, use in uses.items():
             found = [_seeds(self.words[k], mask) for k in use]
-            if not found:
-                continue
             seed = np.concatenate(found)
             item = np.repeat(use, [len(f) for f in found])
             at = np.concatenate([np.arange(len(f)) for f in found])

@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -385,6 +386,60 @@ def test_decontamination_against_all_alignments(spark):
     assert len(got) >= 0.97 * len(want)  # what no mask hits has a mismatch in every third word or so
 
 
+def test_masks_hit_every_window():
+    for percent in (80, 90):
+        s = decontamination.Settings(percent=percent)
+        for size in range(1, s.window + 1):
+            masks = decontamination.masks_for(size, percent, s.masks)
+            for wrong in range(size - math.ceil(percent * size / 100) + 1):
+                for at in combinations(range(size), wrong):
+                    assert any(all(m[j] == "0" or k + j not in at for j in range(len(m))) for m in masks for k in range(size - len(m) + 1)), (size, at)
+
+
+def test_decontamination_finds_every_window(spark):
+    words = [f"w{i}" for i in range(14)]
+    docs, items = [], []
+    for size in range(1, 15):
+        items.append((size, " ".join(f"{w}x{size}" for w in words[:size])))
+        own = items[-1][1].split()
+        for wrong in range(min(4, size + 1)):
+            for at in combinations(range(size), wrong):
+                docs.append((len(docs), " ".join(["a", *("QQ" if i in at else w for i, w in enumerate(own)), "b"])))
+    want = set()
+    for i, t in docs:
+        t = t.split()[1:-1]
+        own = items[len(t) - 1][1].split()
+        size = min(13, len(own))
+        equal = max(sum(p == q for p, q in zip(t[a : a + size], own[a : a + size])) for a in range(len(own) - size + 1))
+        if 100 * equal >= 80 * size:
+            want.add((i, len(own), equal))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r[0], r[1], r[2]) for r in got.collect()} == want
+
+
+def test_decontamination_equals_all_alignments(spark):
+    r = random.Random(9)
+    few = VOCABULARY[:60]
+    items = [(i, " ".join(r.choice(few) for _ in range(4 + i))) for i in range(20)]
+    docs = []
+    for i in range(300):
+        w = [r.choice(few) for _ in range(50)]
+        own = [r.choice(few) if r.random() < 0.16 else x for x in items[i % 20][1].split()]
+        docs.append((i, " ".join(w[: r.randrange(40)] + own + w[40:])))
+    want = set()
+    for i, t in docs:
+        t = t.split()
+        for j, x in items:
+            x = x.split()
+            size = min(13, len(x))
+            for a in range(len(t) - size + 1):
+                for b in range(len(x) - size + 1):
+                    if 100 * sum(p == q for p, q in zip(t[a : a + size], x[b : b + size])) >= 80 * size:
+                        want.add((i, j))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r[0], r[1]) for r in got.collect()} == want
+
+
 # ------------------------------------------------------------------ 8
 
 

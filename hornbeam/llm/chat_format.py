@@ -1,7 +1,8 @@
 """Chat formatting: heterogeneous layouts become canonical turns, and turns become one marked-up training text.
 
 A layout is recognised by its schema fingerprint, the hash of its sorted nested field paths; the fingerprint selects a
-declarative mapping.  Everything is DataFrame expressions.
+declarative mapping.  For each mapping the fingerprint is taken over its own paths alone, so other fields change nothing;
+the mapping with most paths wins.  Everything is DataFrame expressions.
 
 Template, once for each turn, joined without anything between::
 
@@ -13,6 +14,7 @@ no text can hold a mark and the original comes back exactly.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,7 +80,7 @@ def fingerprint_of(paths: tuple[str, ...]) -> Column:
 
 
 def json_paths(record: Column) -> Column:
-    """Sorted field paths of a JSON object: its keys, and below a key those of an object or of an array's first object."""
+    """Sorted field paths of a JSON object: its keys, and below a key those of an object or of any object in an array."""
     none = F.array().cast("array<string>")
     top = F.coalesce(F.json_object_keys(record), none)
     fields = F.from_json(record, "map<string,string>")
@@ -87,7 +89,9 @@ def json_paths(record: Column) -> Column:
             top,
             lambda k: F.coalesce(
                 F.transform(
-                    F.json_object_keys(F.try_element_at(F.from_json(F.try_element_at(fields, k), "array<string>"), F.lit(1))),
+                    F.array_distinct(
+                        F.flatten(F.transform(F.from_json(F.try_element_at(fields, k), "array<string>"), lambda e: F.coalesce(F.json_object_keys(e), none)))
+                    ),
                     lambda x: F.concat(k, F.lit("[]."), x),
                 ),
                 F.transform(F.json_object_keys(F.try_element_at(fields, k)), lambda x: F.concat(k, F.lit("."), x)),
@@ -101,26 +105,43 @@ def json_paths(record: Column) -> Column:
 def canonical_turns(records: DataFrame, id_column: str, json_column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``conv_id, turn, role, text, mapping`` from JSON records of mixed layouts, one row for each turn.
 
-    The fingerprint is taken over those of a record's paths that some mapping knows, so extra fields change nothing.  A
-    record that is null, no JSON object, or of no known layout gives one row with null ``mapping``, ``turn``, ``role``
-    and ``text``: nothing is lost silently.  No messages give no turns.
+    A record that is null, no JSON object, or of no known layout, or whose turns cannot be read, gives one row with null
+    ``mapping``, ``turn``, ``role`` and ``text``: nothing is lost silently.  No messages give no turns, unless the record
+    has another layout too.
     """
-    known = sorted({p for m in mappings for p in m.paths})
     base = records.select(F.col(id_column).alias("conv_id"), F.col(json_column).cast("string").alias("record"))
-    paths = F.filter(json_paths(F.col("record")), lambda p: p.isin(known))
-    base = base.withColumn("fingerprint", F.sha2(F.array_join(paths, "\n"), 256))
+    base = base.withColumn("paths", json_paths(F.col("record")))
+    # below an empty array any path would be found
+    fields = F.from_json("record", "map<string,string>")
+    empty = F.filter(F.map_keys(fields), lambda k: F.size(F.from_json(F.try_element_at(fields, k), "array<string>")) == 0)
+    base = base.withColumn("empty", F.coalesce(empty, F.array().cast("array<string>")))
+    fits, ordered = [], sorted(mappings, key=_rank)
+    for m in ordered:
+        own = F.filter("paths", lambda p: p.isin(*m.paths))  # noqa: B023
+        fits.append((m, F.sha2(F.array_join(own, "\n"), 256) == fingerprint_of(m.paths)))
+    for m in ordered:
+        lists = {p.split("[]")[0] for p in m.paths if "[]." in p}
+        if lists:
+            own = [p for p in m.paths if p.split("[]")[0] not in lists]
+            there = [F.array_contains("paths", p) for p in own] + [F.array_contains("empty", k) for k in sorted(lists)]
+            fits.append((m, functools.reduce(lambda x, y: x & y, there)))
     turns = F.lit(None).cast(f"array<{TURN}>")
     name = F.lit(None).cast("string")
-    for m in mappings:
-        hit = F.col("fingerprint") == fingerprint_of(m.paths)
+    for m, hit in reversed(fits):
         # the parsed record is named in the mapping as r
         value = F.element_at(F.expr(f"transform(array(from_json(record, '{_quoted(m.record)}')), r -> {m.turns})"), 1).cast(f"array<{TURN}>")
         turns = F.when(hit, value).otherwise(turns)
         name = F.when(hit, F.lit(m.name)).otherwise(name)
-    out = base.select("conv_id", name.alias("mapping"), F.explode_outer(turns).alias("t"))
+    out = base.select("conv_id", name.alias("mapping"), turns.alias("turns"))
+    out = out.select("conv_id", F.when(F.col("turns").isNotNull(), F.col("mapping")).alias("mapping"), F.explode_outer("turns").alias("t"))
     return out.where("t is not null or mapping is null").select("conv_id", "t.turn", "t.role", "t.text", "mapping")
 
 
+def _rank(m: Mapping) -> tuple[int, str]:
+    """Most paths first, then by name."""
+    return -len(m.paths), m.name
+
+
 def _quoted(s: str) -> str:
     return s.replace("'", "\\'")
 

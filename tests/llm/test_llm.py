@@ -606,6 +606,33 @@ def test_layouts_by_fingerprint(spark):
         chat_format.turns_of(spark.range(1), "id")
 
 
+def test_layouts_with_other_known_fields(spark):
+    talk = [{"role": "user", "content": "p"}, {"role": "assistant", "content": "r"}]
+    told = [("prompt", 0, "user", "p"), ("prompt", 1, "assistant", "r")]
+    spoken = [("messages", *x[1:]) for x in told]
+    nothing = [(None, None, None, None)]
+    records = {
+        "messages and prompt": ({"messages": talk, "prompt": "x"}, spoken),
+        "messages, role and text": ({"messages": talk, "role": "x", "text": "y", "conversations": "z"}, spoken),
+        "pair and text": ({"prompt": "p", "response": "r", "text": "t", "input": "i"}, told),
+        "most paths": ({"prompt": "p", "response": "r", "messages": talk}, spoken),
+        "first without content": ({"messages": [{"role": "system"}, *talk]}, [("messages", 0, "system", None), ("messages", 1, "user", "p"), ("messages", 2, "assistant", "r")]),
+        "no messages": ({"messages": []}, []),
+        "no messages but a role": ({"messages": [], "role": 1}, []),
+        "no conversations": ({"conversations": [], "id": 1}, []),
+        "no messages but a pair": ({"messages": [], "prompt": "p", "response": "r"}, told),
+        "an odd message": ({"messages": [*talk, "x"]}, None),
+        "null messages": ({"messages": None}, nothing),
+        "half a pair": ({"prompt": "p", "text": "t"}, nothing),
+    }
+    frame = spark.createDataFrame([(name, json.dumps(r)) for name, (r, _) in records.items()], "id string, js string")
+    out = defaultdict(list)
+    for r in chat_format.canonical_turns(frame, "id", "js").collect():
+        out[r["conv_id"]].append((r["mapping"], r["turn"], r["role"], r["text"]))
+    assert out.pop("an odd message")  # turns or a row of nulls, never none
+    assert {k: sorted(v, key=str) for k, v in out.items()} == {k: sorted(v, key=str) for k, (_, v) in records.items() if v}
+
+
 # ------------------------------------------------------------------ the pipeline
 
 

@@ -48,7 +48,7 @@ def ck_folds(spark, d):
 def ck_oof(spark, d):
     """Ten-fold model on size and scores, unbalanced."""
     u = units(spark, d).withColumn("y", F.expr("cast(defects > 1 as int)"))
-    x = M.folds(u.select("unit_id", "y", "score", "rival", F.log1p("size").alias("log_size"), "defects"), "y", "unit_id", n=5)
+    x = M.folds(u.select("unit_id", "y", "score", "rival", F.log1p("size").alias("log_size"), "defects"), "y", "unit_id")
     p = M.out_of_fold(x, "fold", ["score", "rival", "log_size"], "y", balanced=False)
     return _rounded(R.auc(p, [], F.round("p", 9), "y = 1"), "auc")
 

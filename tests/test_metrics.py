@@ -152,3 +152,12 @@ def test_bootstrap_is_repeatable(spark, u8):
     sizes = u.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("rep", F.lit(0))
     a, b = (sorted(map(tuple, I.row_draws(sizes, ["cluster", "rep"], None, "9").collect())) for _ in range(2))
     assert a == b and sum(r[-1] for r in a) == 8
+
+
+def test_ck_oof_fits_ten_folds(spark, sf_dir, monkeypatch):
+    from hornbeam.plans import model_queries
+
+    folds, whole = [], M.out_of_fold
+    monkeypatch.setattr(M, "out_of_fold", lambda df, fold, *a, **b: folds.extend(r[0] for r in df.select(fold).distinct().collect()) or whole(df, fold, *a, **b))
+    assert model_queries.ck_oof(spark, sf_dir).collect()
+    assert sorted(folds) == list(range(10))

@@ -9,7 +9,8 @@ from hornbeam.operators import ranking as R
 from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _rounded, popt_sql
 from hornbeam.sources.tables import read, units
 
-REPS, SEED = 60, "12345"
+#: Resamples of every registered bootstrap, the reference's number; the equivalents in SQL draw as many.
+REPS, SEED = 2000, "12345"
 
 
 def predictors(spark, d):

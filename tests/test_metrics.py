@@ -161,3 +161,10 @@ def test_ck_oof_fits_ten_folds(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(M, "out_of_fold", lambda df, fold, *a, **b: folds.extend(r[0] for r in df.select(fold).distinct().collect()) or whole(df, fold, *a, **b))
     assert model_queries.ck_oof(spark, sf_dir).collect()
     assert sorted(folds) == list(range(10))
+
+
+@pytest.mark.parametrize("name", ["cluster_ci_ratio", "pooled_boot"])
+def test_bootstraps_draw_as_often_as_the_reference(spark, sf_dir, name):
+    from hornbeam.plans import inference_queries
+
+    assert inference_queries.QUERIES[name](spark, sf_dir).first()["n_boot"] == 2000

@@ -15,6 +15,8 @@ no text can hold a mark and the original comes back exactly.
 from __future__ import annotations
 
 import functools
+import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,8 +77,12 @@ MAPPINGS = (
 )
 
 
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
+
+
 def fingerprint_of(paths: tuple[str, ...]) -> Column:
-    return F.sha2(F.lit("\n".join(sorted(set(paths)))), 256)
+    return F.lit(fingerprint(paths))
 
 
 def json_paths(record: Column) -> Column:
@@ -159,13 +165,13 @@ def struct_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def turns_of(frame: DataFrame, id_column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """As :func:`canonical_turns` for a typed table: all its rows have one layout, so its fingerprint is a constant."""
-    known = {p for m in mappings for p in m.paths}
-    own = tuple(p for p in struct_paths(frame.schema) if p in known)
+    """As :func:`canonical_turns` for a typed table: all its rows have one layout, so its fingerprints are constants."""
+    own = struct_paths(frame.schema)
     # the layout with most paths wins where a table holds the fields of several
-    fits = sorted((m for m in mappings if set(m.paths) <= set(own)), key=lambda m: (-len(m.paths), m.name))
+    fits = [m for m in sorted(mappings, key=_rank) if fingerprint(p for p in own if p in m.paths) == fingerprint(m.paths)]
     if not fits:
-        raise ValueError(f"no mapping fits the fields {sorted(own)}")
+        known = {p for m in mappings for p in m.paths}
+        raise ValueError(f"no mapping fits the fields {sorted(known.intersection(own))}")
     m = fits[0]
     record = F.struct(*(F.col(c) for c in sorted({p.split("[")[0].split(".")[0] for p in m.paths}))).alias("r")
     return (

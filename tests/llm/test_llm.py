@@ -606,6 +606,14 @@ def test_layouts_by_fingerprint(spark):
         chat_format.turns_of(spark.range(1), "id")
 
 
+def test_op10_selects_by_fingerprint(spark, sf_dir, monkeypatch):
+    seen, whole = [], chat_format.fingerprint
+    monkeypatch.setattr(chat_format, "fingerprint", lambda paths: seen.append(whole(paths)) or seen[-1])
+    queries.op10_chat_format(spark, sf_dir)
+    want = hashlib.sha256(b"role\ntext\nturn").hexdigest()
+    assert seen.count(want) == 2  # the table's and the mapping's
+
+
 def test_layouts_with_other_known_fields(spark):
     talk = [{"role": "user", "content": "p"}, {"role": "assistant", "content": "r"}]
     told = [("prompt", 0, "user", "p"), ("prompt", 1, "assistant", "r")]

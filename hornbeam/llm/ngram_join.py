@@ -504,13 +504,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all their columns, that stand for their group: those with the least id of a component.
+    """The rows of ``docs``, all their columns, that stand for their group: of each component the one with the least id.
 
-    Of rows that repeat an id one stays.  Rows without an id cannot be named by a component: they stay only where no
-    row with an id is in their group, and of equal texts among them one.
+    Rows without an id come last, so one of them stays only where no row with an id is in its group.  Rows that repeat
+    both id and text are one; different texts under one id are rows of their own.
     """
-    found = jaccard_components(docs, k, percent)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
-    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id is null").dropDuplicates(["text"]))
+    named = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not named.where("n > 1 or doc_id is null").limit(1).count():
+        stay = jaccard_components(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__stay"))
+        return docs.join(stay, docs["doc_id"] == F.col("__stay"), "left_semi")
+    # ids that are null or repeated name no row: rows are numbered in the order of ids, and written, so numbers stay
+    rows = docs.dropDuplicates(["doc_id", "text"]).orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    rows = stash(rows.withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), k, percent)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay"))
+    return rows.join(stay, rows["__row"] == F.col("__stay"), "left_semi").drop("__row")

@@ -559,6 +559,24 @@ def test_keep_one(docs, rows):
     assert sorted(x for x in got if x is not None) == sorted(x for x in want if x is not None) and len(got) == len(set(got))
 
 
+def test_keep_one_by_row(spark):
+    r = random.Random(31)
+    text = [sentence(40, r) for _ in range(6)]
+    near = lambda i: text[i] + " zz"
+    rows = [
+        (1, text[0]), (1, text[1]),  # two texts under one id
+        (2, near(1)),  # goes, as a row of id 1 has it
+        (None, text[2]), (None, near(2)), (None, text[2]),  # only rows without an id
+        (3, text[3]), (None, near(3)), (4, text[4]), (4, text[4]), (None, None), (5, ""),
+    ]
+    kept = ngram_join.keep_one(spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, more string").repartition(3), 4, 85)
+    assert kept.columns == ["doc_id", "text", "more"]
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    without = [x for x in got if x[1] in (text[2], near(2))]
+    assert len(without) == 1
+    assert Counter(x for x in got if x not in without) == Counter([(1, text[0]), (1, text[1]), (3, text[3]), (4, text[4]), (None, None), (5, "")])
+
+
 # ------------------------------------------------------------------ 10
 
 

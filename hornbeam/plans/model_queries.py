@@ -66,8 +66,10 @@ def jit_oof(spark, d):
 
 def jit_constants(spark, d):
     """Mean, deviation and coefficient of each feature of the pooled change model, and its offset."""
-    f = C.features(commit_files(spark, d)).join(commits(spark, d), "sha").select((F.col("priority") == "1-URGENT").cast("int").alias("y"), "entropy", *(F.log1p(c).alias(c) for c in ("la", "ld", "nf")))
-    names = ["entropy", "la", "ld", "nf"]
+    logs = ["la", "ld", "nf", "nd", "ns", "exp"]
+    f = C.features(commit_files(spark, d)).join(C.experience(commits(spark, d)), "sha")
+    f = f.select((F.col("priority") == "1-URGENT").cast("int").alias("y"), "entropy", *(F.log1p(c).alias(c) for c in logs))
+    names = ["entropy", *logs]
     weights, offset, scale = M.fit(f, names, "y")
     rows = [(n, round(scale[n][0], 6), round(scale[n][1], 6), round(w, 6)) for n, w in zip(names, weights)] + [("offset", 0.0, 1.0, round(offset, 6))]
     return spark.createDataFrame(rows, "feature string, mean double, deviation double, coefficient double")

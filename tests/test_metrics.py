@@ -168,3 +168,10 @@ def test_bootstraps_draw_as_often_as_the_reference(spark, sf_dir, name):
     from hornbeam.plans import inference_queries
 
     assert inference_queries.QUERIES[name](spark, sf_dir).first()["n_boot"] == 2000
+
+
+def test_jit_constants_has_every_feature(spark, sf_dir):
+    from hornbeam.plans import model_queries
+
+    got = [r["feature"] for r in model_queries.jit_constants(spark, sf_dir).collect()]
+    assert got == ["entropy", "la", "ld", "nf", "nd", "ns", "exp", "offset"]

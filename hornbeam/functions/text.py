@@ -10,28 +10,64 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File names that mark a test, as regexes over a normalised path.
+# Paths that mark a test, as regexes over a normalised path.
 TEST_PATTERNS = (
     r"(^|/)tests?/",
     r"(^|/)__tests__/",
-    r"(^|/)test_[^/]*$",
-    r"_test\.[^/]+$",
-    r"\.test\.[^/]+$",
-    r"\.spec\.[^/]+$",
+    r"(^|/)__mocks__/",
+    r"(^|/)test_[^/]+\.py$",
+    r"(^|/)[^/]+_test\.(py|go|rs)$",
     r"(^|/)conftest\.py$",
+    r"\.(test|spec)\.(ts|tsx|js|jsx|mts|cts)$",
 )
-# Words that make a commit a fix, and words that make it none.
-FIX_WORDS = ("fix", "bug", "patch", "resolve")
-NOT_FIX_WORDS = ("typo", "docs", "style", "lint", "bump", "chore", "format", "deps")
+# What makes a commit a fix, and what makes it none, in any case.
+FIX_PATTERNS = (
+    r"\bfix\b",
+    r"\bbug\b",
+    r"\bpatch\b",
+    r"\bresolves?\b",
+    r"closes?\s+#\d+",
+    r"fixes?\s+#\d+",
+)
+NOT_FIX_PATTERNS = (
+    r"^Merge ",
+    r"\btypo\b",
+    r"\bbump\b",
+    r"\bdeps?\b",
+    r"\bchore\b",
+    r"\blint\b",
+    r"\bformat\b",
+    r"\bstyle\b",
+    r"\bdocs?\b",
+)
+# The mark and the beginning that other conventions give a fix.
+FIX_EMOJI, FIX_PREFIX = "\U0001f41b", "Fixed #"
+# A reference after a closing word, and any reference.
+CLOSING_REF = r"\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b[:\s]+#(\d+)"
+BARE_REF = r"#(\d+)"
 # Parts of an issue label that make it a bug.
 BUG_LABELS = ("bug", "defect", "regression")
-# What a service says when it is asked too often.
+# What a service says when it is asked too often, in any case.
 RATE_LIMIT = (
-    "rate limit", "rate_limit", "too many requests", "429", "overloaded", "529", "quota exceeded", "usage limit", "retry after", "throttl", "capacity",
-)
+    r"rate.?limit",
+    r"too many requests",
+    r"429",
+    r"overloaded",
+    r"capacity",
+    r"usage.?limit",
+    r"exceeded.*quota",
+    r"throttl",
+    r"billing",
+    r"try again",
+    r"resource_exhausted",
+)
+
+# Extensions whose line comments begin with # and with //.
+HASH_COMMENTS = (".py",)
+SLASH_COMMENTS = (".rs", ".go", ".js", ".jsx", ".ts", ".tsx", ".mts", ".cts", ".java", ".kt", ".c", ".cc", ".cpp", ".h", ".hpp", ".cs")
 
-#: How a line comment begins, by extension.
-COMMENT_MARKS = {".py": "#", ".rb": "#", ".sh": "#", ".js": "//", ".ts": "//", ".java": "//", ".go": "//", ".rs": "//", ".c": "//", ".cpp": "//", ".cs": "//", ".kt": "//", ".sql": "--", ".lua": "--"}
+#: Case is ignored; word edges, digits and white space are Unicode's.
+_ANY_CASE = "(?iU)"
 
 
 def normalise_path(path: Column) -> Column:
@@ -70,33 +106,29 @@ def in_source(path: Column, root: str, extensions: list[str]) -> Column:
     return path.startswith(root) & ends
 
 
-def words(terms) -> str:
-    """A regex for any of the terms as a whole word, in any case."""
-    return "(?i)(^|[^A-Za-z0-9_])(" + "|".join(re.escape(t) for t in terms) + ")([^A-Za-z0-9_]|$)"
+def words(terms) -> tuple[str, ...]:
+    """Patterns for terms as whole words."""
+    return tuple(r"\b" + re.escape(t) + r"\b" for t in terms)
 
 
-def is_fix(subject: Column, strategy: str = "keyword", terms=FIX_WORDS, excluded=NOT_FIX_WORDS) -> Column:
-    """Whether a commit subject tells of a fix.  ``keyword``: an excluded word wins over an included one; ``prefix``: it
-    starts with a term; ``gitmoji``: it contains one."""
+def is_fix(subject: Column, strategy: str = "keyword", include=FIX_PATTERNS, exclude=NOT_FIX_PATTERNS, mark: str | None = None) -> Column:
+    """Whether a commit subject tells of a fix.
+
+    ``keyword``: it matches a pattern to include and none to exclude (:func:`words` makes patterns of plain terms);
+    ``prefix``: it starts with ``mark``; ``gitmoji``: it contains ``mark``.
+    """
     if strategy == "prefix":
-        hit = F.lit(False)
-        for t in terms:
-            hit = hit | subject.startswith(t)
-        return hit
+        return subject.startswith(mark or FIX_PREFIX)
     if strategy == "gitmoji":
-        hit = F.lit(False)
-        for t in terms:
-            hit = hit | subject.contains(t)
-        return hit
-    return ~subject.rlike(words(excluded)) & subject.rlike(words(terms))
+        return subject.contains(mark or FIX_EMOJI)
+    return ~subject.rlike(_ANY_CASE + any_pattern(exclude)) & subject.rlike(_ANY_CASE + any_pattern(include))
 
 
 def issue_refs(subject: Column) -> Column:
-    """Issue numbers, those after a closing word first, each once and in order."""
-    closing = r"(?i)(?:fix|fixes|fixed|close|closes|closed|resolve|resolves|resolved):?\s+#([0-9]+)"
-    found = F.concat(F.regexp_extract_all(subject, F.lit(closing), F.lit(1)), F.regexp_extract_all(subject, F.lit(r"\(#([0-9]+)\)"), F.lit(1)))
-    bare = F.regexp_extract_all(subject, F.lit(r"#([0-9]+)"), F.lit(1))
-    return F.transform(F.array_distinct(F.concat(found, bare)), lambda x: x.cast("long"))
+    """Issue numbers, those after a closing word first, then all in order, each once; a number beyond a long is left out."""
+    closing = F.regexp_extract_all(subject, F.lit(_ANY_CASE + CLOSING_REF), F.lit(1))
+    every = F.regexp_extract_all(subject, F.lit(BARE_REF), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(F.concat(closing, every), lambda x: x.try_cast("long")), lambda x: x.isNotNull()))
 
 
 def is_bug_issue(missing: Column, is_pr: Column, labels: Column) -> Column:
@@ -108,16 +140,19 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^.]*)$", 1)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def is_cosmetic(line: Column, ext: Column) -> Column:
-    """Blank, only brackets and separators, or a comment line of the language."""
-    mark = F.lit(None).cast("string")
-    for e, m in COMMENT_MARKS.items():
-        mark = F.when(ext == e, m).otherwise(mark)
-    bare = F.trim(F.regexp_replace(line, r"[\t\r\n]", " "))
+    """Blank, only brackets and separators, a comment line of the language, or a line of a block comment."""
+    bare = strip(line)
+    comment = ext.isin(*HASH_COMMENTS) & bare.startswith("#") | ext.isin(*SLASH_COMMENTS) & bare.startswith("//")
     block = F.lit(False)
     for start in ("/*", "*", '"""', "'''"):
         block = block | bare.startswith(start)
-    return (bare == "") | bare.rlike(r"^[{}()\[\];,\s]+$") | F.coalesce(F.startswith(bare, mark), F.lit(False)) | block
+    return (bare == "") | bare.rlike(r"^[{}()\[\];,]+$") | F.coalesce(comment, F.lit(False)) | block
 
 
 def fingerprint(line: Column) -> Column:
@@ -126,14 +161,15 @@ def fingerprint(line: Column) -> Column:
 
 
 def first_folder(path: Column, root: str) -> Column:
-    """The first folder below the root, ``<root>`` for a file that lies there."""
-    rest = F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
-    rest = F.trim(rest, F.lit("/"))
-    return F.when(F.instr(rest, "/") > 0, F.substring_index(rest, "/", 1)).otherwise("<root>")
+    """The first folder below the root, ``<root>`` for a file that lies there.  Other roots' paths keep their own."""
+    path, root = normalise_path(path), root.replace("\\", "/").strip("/")
+    if root:
+        path = F.when(path.startswith(root + "/"), F.substr(path, F.lit(len(root) + 2))).when(path == root, F.lit("")).otherwise(path)
+    return F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise("<root>")
 
 
 def is_rate_limited(message: Column) -> Column:
-    return F.lower(message).rlike("|".join(RATE_LIMIT))
+    return message.rlike("(?i)" + any_pattern(RATE_LIMIT))
 
 
 def hunk(line: Column) -> Column:

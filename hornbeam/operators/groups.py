@@ -21,12 +21,13 @@ def severity_weight(severity: Column) -> Column:
     return out
 
 
-def density_ratio(df: DataFrame, by: list[str]) -> DataFrame:
-    """Mean defects and defects per 1000 lines of low (score < 4) and high (> 8) rows, and the ratio of the means.
+def density_ratio(df: DataFrame, by: list[str], low: float = 5.0, high: float = 8.0) -> DataFrame:
+    """Mean defects and defects per 1000 lines of rows that score below ``low`` and above ``high``; the ratio of the means,
+    and ``per_k_ratio``, that of the densities.
 
-    A high mean of 0 makes the ratio infinite, no rows on a side make its mean 0; no lines make a density 0.
+    A high side of 0 makes a ratio infinite, no rows on a side make its mean 0; no lines make a density 0.
     """
-    low, high = F.col("score") < 4, F.col("score") > 8
+    low, high = F.col("score") < low, F.col("score") > high
     part = lambda c, x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
     out = df.groupBy(*by).agg(
         F.count_if(low).alias("low_n"), F.count_if(high).alias("high_n"),
@@ -35,7 +36,8 @@ def density_ratio(df: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce(F.try_divide(1000 * part(low, "defects"), part(low, "size")), F.lit(0.0)).alias("low_per_k"),
         F.coalesce(F.try_divide(1000 * part(high, "defects"), part(high, "size")), F.lit(0.0)).alias("high_per_k"),
     )
-    return out.withColumn("ratio", F.when(F.col("high_mean") == 0, F.lit(float("inf"))).otherwise(F.try_divide("low_mean", "high_mean")))
+    ratio = lambda a, b: F.when(F.col(b) == 0, F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+    return out.withColumn("ratio", ratio("low_mean", "high_mean")).withColumn("per_k_ratio", ratio("low_per_k", "high_per_k"))
 
 
 def density_by_bucket(df: DataFrame, edges: tuple[float, ...] = (0, 4, 6, 8, 10)) -> DataFrame:

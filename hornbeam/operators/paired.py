@@ -31,17 +31,21 @@ def pairs(runs: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:
     return wide.dropna(subset=[f"{x}_{v}" for v in values for x in "ab"])
 
 
-def metric_block(paired: DataFrame, values: list[str]) -> DataFrame:
-    """``metric, mean_a, mean_b, median_a, median_b, delta_pct, median_delta_pct, tag``; a base of 0 makes a delta of 0.
+def metric_block(paired: DataFrame, values: list[str], higher_better: tuple[str, ...] = ()) -> DataFrame:
+    """``metric, mean_a, mean_b, median_a, median_b, delta_pct, median_delta_pct, tag, median_tag``; a base of 0 makes a
+    delta of 0.
 
-    The tag is by the mean: b is better when lower, else tied below 1 %, else a is.
+    A tag says which arm is better by the mean or the median: b where it is lower (higher for metrics named in
+    ``higher_better``), else tied below 1 %, else a.
     """
-    long = paired.select(F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(f"a_{v}").cast("double").alias("a"), F.col(f"b_{v}").cast("double").alias("b")) for v in values))).alias("m")).select("m.*")
-    out = long.groupBy("metric").agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.median("a").alias("median_a"), F.median("b").alias("median_b"))
+    row = lambda v: F.struct(F.lit(v).alias("metric"), F.lit(v in higher_better).alias("up"), F.col(f"a_{v}").cast("double").alias("a"), F.col(f"b_{v}").cast("double").alias("b"))
+    long = paired.select(F.explode(F.array(*map(row, values))).alias("m")).select("m.*")
+    out = long.groupBy("metric", "up").agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.median("a").alias("median_a"), F.median("b").alias("median_b"))
     pct = lambda x, y: F.coalesce(100 * F.try_divide(F.col(y) - F.col(x), F.nullif(F.col(x), F.lit(0.0))), F.lit(0.0))
     out = out.withColumn("delta_pct", pct("mean_a", "mean_b")).withColumn("median_delta_pct", pct("median_a", "median_b"))
-    tag = F.when(F.col("delta_pct") < 0, "b").when(F.abs("delta_pct") < 1, "tied").otherwise("a")
-    return out.withColumn("tag", tag)
+    better = lambda x, y: F.when(F.col("up"), F.col(y) > F.col(x)).otherwise(F.col(y) < F.col(x))
+    tag = lambda x, y, p: F.when(better(x, y), "b").when(F.abs(p) < 1, "tied").otherwise("a")
+    return out.withColumn("tag", tag("mean_a", "mean_b", "delta_pct")).withColumn("median_tag", tag("median_a", "median_b", "median_delta_pct")).drop("up")
 
 
 def trimmed_mean(df: DataFrame, by: list[str], value: str, order: str, k: int = 2) -> DataFrame:

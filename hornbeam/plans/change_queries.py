@@ -23,8 +23,14 @@ def change_entropy(spark, d):
 
 
 def numstat_lines(spark, d):
-    v = spark.createDataFrame([("3\t1\ta/b.py",), ("-\t-\tbin.png",), ("bad line",), ("7\tx\tc.py",)], "line string")
-    return v.withColumn("n", C.numstat(F.col("line"))).where("n is not null").select("n.path", "n.la", "n.ld")
+    """Numstat rows written from the lines of all orders: binary files, malformed counts and broken rows among them."""
+    kind = F.pmod("l_suppkey", F.lit(5))
+    added = F.when(kind == 1, "-").when(kind == 2, "x").otherwise(F.col("l_quantity").cast("int").cast("string"))
+    path = F.concat(F.lit("src/f"), F.col("l_partkey").cast("string"))
+    tab = F.when(kind == 3, " ").otherwise("\t")
+    row = F.concat(added, tab, F.when(kind == 1, "-").otherwise(F.col("l_linenumber").cast("string")), tab, path)
+    v = read(spark, d, "lineitem").select(row.alias("line")).withColumn("n", C.numstat(F.col("line"))).where("n is not null")
+    return v.groupBy("n.path").agg(F.count("*").alias("n"), F.sum("n.la").cast("long").alias("la"), F.sum("n.ld").cast("long").alias("ld"))
 
 
 def author_experience(spark, d):
@@ -86,7 +92,7 @@ def _arms(spark, d):
 
 
 def paired_metrics(spark, d):
-    return _rounded(P.metric_block(_arms(spark, d), ["cost", "turns"]), "mean_a", "mean_b", "median_a", "median_b", "delta_pct", "median_delta_pct")
+    return _rounded(P.metric_block(_arms(spark, d), ["cost", "turns"], higher_better=("turns",)), "mean_a", "mean_b", "median_a", "median_b", "delta_pct", "median_delta_pct")
 
 
 def win_counts(spark, d):
@@ -121,8 +127,12 @@ def turn_histogram(spark, d):
 
 
 def judge_score(spark, d):
-    v = spark.createDataFrame([(1, {"a": 8.0, "b": 9.0}), (2, {}), (3, {"a": None, "b": 7.0}), (4, None)], "task int, scores map<string,double>")
-    return v.select("task", P.judge_score(F.col("scores")).alias("score"))
+    """Scores of each order: both sides, one side null, an empty map or no map."""
+    kind, price = F.pmod("o_orderkey", F.lit(4)), F.floor(F.col("o_totalprice") / 1000).cast("double")
+    none = F.lit(None).cast("double")
+    both = F.create_map(F.lit("a"), F.when(kind == 2, none).otherwise(price), F.lit("b"), F.pmod("o_custkey", F.lit(11)).cast("double"))
+    scores = F.when(kind < 3, both).when(F.col("o_custkey") % 2 == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("task"), P.judge_score(scores).alias("score"))
 
 
 def resume_antijoin(spark, d):
@@ -179,9 +189,18 @@ def stream_summary(spark, d):
 
 
 def failure_reasons(spark, d):
-    rows = [(1, 1, '{"type":"system","subtype":"error","error":"first"}'), (1, 2, '{"type":"result","is_error":true,"result":"second"}'), (2, 1, '{"type":"system","subtype":"retry","attempt":2,"error":"early"}'), (2, 2, '{"type":"system","subtype":"retry","attempt":2,"error":"late"}'), (2, 3, '{"type":"system","subtype":"retry","attempt":1,"error":"low"}'), (3, 1, "not json")]
-    err = spark.createDataFrame([(1, "x"), (2, "y"), (3, "from stderr"), (4, "")], "run int, stderr string")
-    return P.failure_reason(spark.createDataFrame(rows, "run int, ord int, line string"), err)
+    """What each user's stream of events tells of its failure: errors, failed results, retries, noise; else what was
+    written to stderr."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"))
+    rare = lambda by, told: F.pmod("ord", F.lit(by)) == told
+    line = (
+        F.when(rare(1009, 3), F.format_string('{"type":"system","subtype":"error","error":"stop %d"}', "ord"))
+        .when(rare(1009, 5), F.format_string('{"type":"result","is_error":true,"result":"failed %d"}', "ord"))
+        .when(rare(97, 7), F.format_string('{"type":"system","subtype":"retry","attempt":%d,"error":"again %d"}', F.pmod("ord", F.lit(3)), "ord"))
+        .when(rare(2, 0), "not json").otherwise('{"type":"result","is_error":false,"result":"fine"}')
+    )
+    told = F.when(F.col("run") % 3 == 0, F.concat(F.lit("killed "), F.col("run").cast("string"))).otherwise("")
+    return P.failure_reason(e.select("run", "ord", line.alias("line")), e.select("run").distinct().withColumn("stderr", told))
 
 
 def fifo_pairs(spark, d):
@@ -190,10 +209,16 @@ def fifo_pairs(spark, d):
 
 
 def resume_set(spark, d):
-    """Keys of finished runs in a log of JSON lines; broken, keyless and failed lines are not among them."""
-    rows = ['{"task_id":"a","condition":"x"}', "{oops", '{"condition":"x"}', '{"task_id":"b","condition":"x","error":"e"}', '{"task_id":"c","condition":"y","error":null}']
-    v = spark.createDataFrame([(r,) for r in rows], "line string").select(F.from_json("line", "task_id string, condition string, error string").alias("r"))
-    return v.where("r.task_id is not null and r.condition is not null and r.error is null").select("r.task_id", "r.condition")
+    """Keys of finished runs in a log of JSON lines, one for each event; broken, keyless and failed lines are not among
+    them."""
+    task, kind = F.col("user_id").cast("string"), F.pmod("event_id", F.lit(5))
+    line = (
+        F.when(kind == 0, "{oops").when(kind == 1, F.concat(F.lit('{"condition":"'), "event_type", F.lit('"}')))
+        .when(kind == 2, F.concat(F.lit('{"task_id":"'), task, F.lit('","condition":"'), "event_type", F.lit('","error":"e"}')))
+        .otherwise(F.concat(F.lit('{"task_id":"'), task, F.lit('","condition":"'), "event_type", F.when(kind == 3, '","error":null}').otherwise('"}')))
+    )
+    v = read(spark, d, "events").select(F.from_json(line, "task_id string, condition string, error string").alias("r"))
+    return v.where("r.task_id is not null and r.condition is not null and r.error is null").select("r.task_id", "r.condition").distinct()
 
 
 def task_selection(spark, d):
@@ -232,7 +257,8 @@ _TOK = """t as (select source as repo, n_chars // 4 as naive, n_chars % 97 as di
 SQL = {
     "commit_features": _FEAT + " select sha, la, ld, nf, nd, ns, churn, round(entropy, 6) as entropy from g",
     "change_entropy": _FEAT + " select nf, count(*) as n, round(avg(entropy), 6) as mean_entropy, round(max(entropy), 6) as max_entropy from g group by 1",
-    "numstat_lines": "select * from (values ('a/b.py', 3, 1), ('bin.png', 0, 0), ('c.py', 7, 0)) t(path, la, ld)",
+    "numstat_lines": """select 'src/f' || l_partkey as path, count(*) as n, sum(case when l_suppkey % 5 in (1, 2) then 0 else l_quantity::int end)::bigint as la,
+  sum(case l_suppkey % 5 when 1 then 0 else l_linenumber end)::bigint as ld from lineitem where l_suppkey % 5 <> 3 group by 1""",
     "author_experience": f"with {COMMITS_SQL} select sha, author, row_number() over (partition by author order by ct, sha) - 1 as exp from c",
     "right_censor": f"with {COMMITS_SQL} select priority, count(*) as n, max(ct) as last from c where ct <= (select max(ct) from c) - {180 * 86400} group by 1",
     "time_split": f"with {COMMITS_SQL}, x as (select priority, row_number() over (order by ct, sha) <= floor(0.7 * count(*) over ()) as train from c) select priority, count(*) filter (train) as train, count(*) filter (not train) as test from x group by 1",
@@ -248,7 +274,8 @@ l as (""" + " union all ".join(f"select '{c}' as feature, priority, round({c}::d
     "last_row_wins": "with " + _RUNS + " select task, arm, ord, cost, turns from rr",
     "paired_metrics": "with " + _RUNS + """, l as (select 'cost' as metric, a_cost as a, b_cost as b from pr union all select 'turns', a_turns, b_turns from pr),
 x as (select metric, avg(a) as ma, avg(b) as mb, median(a) as da, median(b) as db from l group by 1), y as (select *, case when ma = 0 then 0.0 else 100 * (mb - ma) / ma end as p, case when da = 0 then 0.0 else 100 * (db - da) / da end as q from x)
-select metric, round(ma, 6) as mean_a, round(mb, 6) as mean_b, round(da, 6) as median_a, round(db, 6) as median_b, round(p, 6) as delta_pct, round(q, 6) as median_delta_pct, case when p < 0 then 'b' when abs(p) < 1 then 'tied' else 'a' end as tag from y""",
+select metric, round(ma, 6) as mean_a, round(mb, 6) as mean_b, round(da, 6) as median_a, round(db, 6) as median_b, round(p, 6) as delta_pct, round(q, 6) as median_delta_pct, case when (case metric when 'turns' then mb > ma else mb < ma end) then 'b' when abs(p) < 1 then 'tied' else 'a' end as tag,
+  case when (case metric when 'turns' then db > da else db < da end) then 'b' when abs(q) < 1 then 'tied' else 'a' end as median_tag from y""",
     "win_counts": "with " + _RUNS + " select count(*) as tasks, count(*) filter (b_cost < a_cost) as cheaper, count(*) filter (b_turns < a_turns) as shorter, count(*) filter (b_turns >= a_turns) as no_worse from pr",
     "paired_totals": "with " + _RUNS + ", x as (select sum(a_cost) as a, sum(b_cost) as b from pr) select round(a, 6) as a, round(b, 6) as b, round(100 * (b - a) / a, 6) as delta_pct from x",
     "trimmed_mean": "with " + _RUNS + """, x as (select round(b_cost - a_cost, 9) as d, ord from pr), y as (select d, row_number() over (order by d, ord) as k, count(*) over () as n from x)
@@ -256,7 +283,7 @@ select 'cost' as metric, round(avg(d), 6) as trimmed, count(*) as kept from y wh
     "best_worst": "with " + _RUNS + ", x as (select task, ord, round(a_cost - b_cost, 6) as s from pr) select (select task from x order by s desc, ord limit 1) as best, (select task from x order by s, ord desc limit 1) as worst",
     "delta_quantiles": "with " + _RUNS + ", x as (select b_cost - a_cost as d from pr) select " + ", ".join(f"round(quantile_cont(d, {q}), 6) as p{int(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + " from x",
     "turn_histogram": "with " + _RUNS + " select arm, turns, count(*) as n from rr group by 1, 2",
-    "judge_score": "select * from (values (1, 8.5::double), (2, null), (3, 7.0::double), (4, null)) t(task, score)",
+    "judge_score": """select o_orderkey as task, case o_orderkey % 4 when 3 then null when 2 then (o_custkey % 11)::double else (floor(o_totalprice / 1000) + o_custkey % 11)::double / 2 end as score from orders""",
     "resume_antijoin": "with " + _RUNS + ", a(arm) as (values ('click'), ('purchase'), ('view')) select t.task, a.arm from (select distinct task from rr) t, a where not exists (select 1 from rr where rr.task = t.task and rr.arm = a.arm and turns <= 50)",
     "budget_gate": """with b as (select user_id as task, coalesce(sum(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as spent from events)
 select task, count(*) filter (spent + 1.0 <= 500) as allowed, round(max(spent) filter (spent + 1.0 <= 500), 6) as spent from b group by 1""",
@@ -273,8 +300,10 @@ l as (select run, arg_max(value, o) as cost, arg_max((o % 9)::int, o) as turns,
 select run, count(*) filter (t <> 'purchase') as tool_calls, count(*) filter (t <> 'purchase' and k = 2) as helpers, coalesce(string_agg(distinct p, ',' order by p) filter (t <> 'purchase' and k = 0), '') as files_read,
   coalesce(string_agg(distinct p, ',' order by p) filter (t <> 'purchase' and k = 1), '') as files_edited, round(max(cost), 6) as cost, max(turns) as turns, max(tokens_in) as tokens_in, case when max(tokens_in) is not null then 2 end as tokens_out
 from e left join l using (run) group by 1""",
-    "failure_reasons": "select * from (values (1, 'first'), (2, 'late'), (3, 'from stderr'), (4, 'unknown failure')) t(run, reason)",
-    "resume_set": "select * from (values ('a', 'x'), ('c', 'y')) t(task_id, condition)",
+    "failure_reasons": """with e as (select user_id as run, event_id as o, event_id % 1009 as k, event_id % 97 = 7 and event_id % 1009 not in (3, 5) as again from events),
+f as (select run, min(o) filter (k in (3, 5)) as f, max((o % 3) * 1000000000 + o) filter (again) % 1000000000 as r from e group by 1)
+select run, case when f is not null then case f % 1009 when 3 then 'stop ' else 'failed ' end || f when r is not null then 'again ' || r when run % 3 = 0 then 'killed ' || run else 'unknown failure' end as reason from f""",
+    "resume_set": "select distinct user_id::varchar as task_id, event_type as condition from events where event_id % 5 >= 3",
     "task_selection": """with a as (select n_nationkey, n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as k from nation),
 b as (select n_nationkey, k as at, n_regionkey from a where n_regionkey in (0, 1, 2) and (k in (0, 2) or k not in (1, 3, 2)) order by n_regionkey, k offset 2 limit 5) select n_nationkey, "at" from b""".replace("k as at", 'k as "at"'),
     "pr_signals": """with x as (select *, epoch(l_shipdate) as t, min(epoch(l_shipdate)) filter (l_returnflag <> 'N') over (partition by l_orderkey) as fr from lineitem)

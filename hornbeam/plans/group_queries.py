@@ -15,7 +15,7 @@ FLOORS = [0, 400, 600, 800]
 
 
 def density_ratio(spark, d):
-    return _rounded(G.density_ratio(units(spark, d), ["cluster"]), "low_mean", "high_mean", "low_per_k", "high_per_k", "ratio")
+    return _rounded(G.density_ratio(units(spark, d), ["cluster"], 4, 8), "low_mean", "high_mean", "low_per_k", "high_per_k", "ratio", "per_k_ratio")
 
 
 def density_by_bucket(spark, d):
@@ -225,7 +225,7 @@ SQL = {
   coalesce(1000.0 * sum(defects) filter (score < 4) / nullif(sum(size) filter (score < 4), 0), 0)::double as c,
   coalesce(1000.0 * sum(defects) filter (score > 8) / nullif(sum(size) filter (score > 8), 0), 0)::double as d from u group by 1)
 select cluster, low_n, high_n, round(a, 6) as low_mean, round(b, 6) as high_mean, round(c, 6) as low_per_k, round(d, 6) as high_per_k,
-  case when b = 0 then 'inf'::double else round(a / b, 6) end as ratio from x""",
+  case when b = 0 then 'inf'::double else round(a / b, 6) end as ratio, case when d = 0 then 'inf'::double else round(c / d, 6) end as per_k_ratio from x""",
     "density_by_bucket": WITH + """k(pos, bucket, lo, hi) as (values (0, '[0-4)', 0, 4), (1, '[4-6)', 4, 6), (2, '[6-8)', 6, 8), (3, '[8-10]', 8, 10)),
 x as (select bucket, count(unit_id) as files, coalesce(sum(defects), 0)::bigint as defects, coalesce(sum(size), 0) as s from k left join u
   on score >= lo and (score < hi or (pos = 3 and score <= hi)) group by pos, bucket)

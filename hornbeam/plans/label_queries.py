@@ -8,14 +8,38 @@ from hornbeam.functions import text as X
 from hornbeam.operators import labels as L
 from hornbeam.sources.tables import COMMITS_SQL, FILES_SQL, commit_files, commits, read
 
-# Subjects with known classes.
-SUBJECTS = ("fix: crash", "Fixed crash", "fixes #3", "fix typo in docs", "Resolve conflict", "dispatch bugfix", "Merge fix branch", "fix(deps): bump x", "fix: x (#12), closes #7", "Fixes: #3 and #3", "resolve #9 (#10)", "fixing #4", "no ref")
-PATHS = ("src/app.py", "/tests/a.py/", "src\\win\\x_test.go", "pkg/a.spec.ts", "docs/vendor/y.js", "build/gen/z.py", "src/build/z.py", "a/__tests__/q.js", "plain", "src/test_x.py")
+# Templates of subjects, paths, lines and messages.  The queries fill them from the columns of whole tables.
+SUBJECTS = (
+    "fix: crash in {a}", "Fixed #{a} crash", "fixes #{a}", "closes #{a} and closes  #{b}", "resolves x{a}", "resolve: #{a} (#{b})", "fix typo in docs", "dispatch bugfix {a}", "Merge fix branch {a}",
+    "merged the bug {a}", "fix(deps): bump x to {a}", "fix dep {a}", "fix doc {a}", "Bug {a}: patch it", "see #{a} (#{b})", "Fixes:#{b} (#{a})", "prefixes #{a}", "foreclose #{a}, fixed #{b}, closed: #{a}",
+    "\U0001f41b squash {a}", "patchwork {a}", "PATCH {a} #{b} #{a}", "reformat, then fix {a}", "format and fix {a}", "chore: fix {a}", "style fix {a}", "lint fix {a}", "fix #007 #7", "plain words {a}",
+)
+FOLDERS = ("src", "srcfoo", "/src/a/", "src/tests", "test", "lib/__mocks__", "lib/__tests__/x", "contest", "docs/vendor", "build/gen", "src/build/gen", "src\\win", "")
+NAMES = ("test_a{k}.py", "test_a{k}.go", "a{k}_test.go", "a{k}_test.java", "a{k}_test.rs", "_test.py", "a{k}.spec.ts", "a{k}.test.py", "a{k}.spec.mts", "conftest.py", "conftest.pyc", "a{k}.py", "README", "tests/")
+LINES = ("x = {k}", "# note {k}", "// note {k}", "* {k}", "/* {k}", "*/", "}", "});", "} ;", "  ", "\t{ }\t", "\t[],\t", '""" {k}', "''' {k}", "-- {k}", "return {k} # no")
+EXTENSIONS = (".py", ".rb", ".sh", ".js", ".jsx", ".tsx", ".mts", ".cts", ".cc", ".h", ".hpp", ".cs", ".kt", ".sql", ".lua", ".rs", "")
+MESSAGES = (
+    "Error 429: Too Many Requests", "rate-limit of {k}", "RATE LIMIT", "ratelimit", "rate  limit {k}", "usage limit reached", "no billing address {k}", "please Try Again in {k} s", "RESOURCE_EXHAUSTED", "exceeded the daily quota of {k}",
+    "quota of {k} exceeded", "request was throttled", "Overloaded", "at capacity", "status 529", "retry after {k}", "file not found", "ok",
+)
 T0 = 880000000
 
 
-def _values(spark, rows, schema):
-    return spark.createDataFrame([tuple(r) if isinstance(r, tuple) else (r,) for r in rows], schema)
+def _pick(items, at):
+    """The item at a position, which wraps around."""
+    return F.element_at(F.array(*map(F.lit, items)), (F.pmod(at, F.lit(len(items))) + 1).cast("int"))
+
+
+def _fill(template, **values):
+    for name, v in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), v.cast("string"))
+    return template
+
+
+def subjects(spark, d):
+    """``sha, author, priority, subject``: every commit with a subject made of its columns."""
+    k = F.col("sha")
+    return commits(spark, d).withColumn("subject", _fill(_pick(SUBJECTS, k), a=F.pmod(k, F.lit(97)), b=F.pmod(k, F.lit(31))))
 
 
 def _history(spark, d):
@@ -61,29 +85,29 @@ def t0_resolution(spark, d):
 
 
 def fix_classifier(spark, d):
-    s = _values(spark, SUBJECTS, "subject string")
-    return s.select("subject", X.is_fix(F.col("subject")).alias("keyword"), X.is_fix(F.col("subject"), "prefix", ("fix",)).alias("prefix"), X.is_fix(F.col("subject"), "gitmoji", ("#",)).alias("mark"))
+    """All strategies over the subjects of all commits; ``custom`` has terms of its own."""
+    c = F.col("subject")
+    custom = X.is_fix(c, include=X.words(["crash", "words"]), exclude=X.words(["plain"]))
+    return subjects(spark, d).select("sha", X.is_fix(c).alias("keyword"), X.is_fix(c, "prefix").alias("prefix"), X.is_fix(c, "gitmoji").alias("mark"), custom.alias("custom"))
 
 
 def fix_commits(spark, d):
-    """The classifier over subjects made of the orders' columns."""
-    subject = F.concat(F.lower(F.substr("priority", F.lit(3))), F.when(F.col("author") % 3 == 0, " fix: crash").when(F.col("author") % 3 == 1, " fix typo").otherwise(" feature"))
-    c = commits(spark, d).withColumn("subject", subject)
-    return c.groupBy("priority").agg(F.count("*").alias("commits"), F.count_if(X.is_fix(F.col("subject"))).alias("fixes"))
+    return subjects(spark, d).groupBy("priority").agg(F.count("*").alias("commits"), F.count_if(X.is_fix(F.col("subject"))).alias("fixes"))
 
 
 def issue_refs(spark, d):
-    s = _values(spark, SUBJECTS, "subject string")
-    return s.select("subject", F.array_join(F.transform(X.issue_refs(F.col("subject")), lambda x: x.cast("string")), ",").alias("refs"))
+    return subjects(spark, d).select("sha", F.array_join(F.transform(X.issue_refs(F.col("subject")), lambda x: x.cast("string")), ",").alias("refs"))
 
 
 def path_rules(spark, d):
-    p = _values(spark, PATHS, "path string")
-    ignore = X.ignore_pattern(["vendor/", "build/gen/"])
+    """Paths made of the numbers of all parts."""
+    k = F.col("p_partkey")
+    name = _fill(_pick(NAMES, F.floor(k / len(FOLDERS))), k=F.pmod(k, F.lit(5)))
+    p = read(spark, d, "part").select("p_partkey", F.concat_ws("/", F.nullif(_pick(FOLDERS, k), F.lit("")), name).alias("path"), "p_size")
     n = X.normalise_path(F.col("path"))
     return p.select(
-        "path", n.alias("normal"), X.is_test_file(F.col("path")).alias("test"), n.rlike(ignore).alias("ignored"), X.in_source(n, "src", [".py", ".go"]).alias("source"),
-        X.extension(n).alias("ext"), X.first_folder(n, "src").alias("folder"),
+        "p_partkey", "path", n.alias("normal"), X.is_test_file(F.col("path")).alias("test"), X.should_include(F.col("path"), F.col("p_size")).alias("included"),
+        n.rlike(X.ignore_pattern(["vendor/", "build/gen/"])).alias("ignored"), X.in_source(n, "src", [".py", ".go"]).alias("source"), X.extension(n).alias("ext"), X.first_folder(F.col("path"), "src/").alias("folder"),
     )
 
 
@@ -95,33 +119,43 @@ def url_paths(spark, d):
 
 
 def cosmetic_lines(spark, d):
-    rows = [("x = 1", ".py"), ("# note", ".py"), ("# note", ".js"), ("}", ".js"), ("  ", ".py"), ("// c", ".js"), ("*p = 1", ".c"), ('"""doc', ".py"), ("});", ".ts")]
-    v = _values(spark, rows, "line string, ext string")
-    return v.select("line", "ext", X.is_cosmetic(F.col("line"), F.col("ext")).alias("cosmetic"))
+    """Source lines made of all orders' lines, in files of many kinds."""
+    line = _fill(_pick(LINES, F.col("l_orderkey") * 3 + F.col("l_linenumber")), k=F.pmod("l_suppkey", F.lit(3)))
+    v = read(spark, d, "lineitem").select(line.alias("line"), _pick(EXTENSIONS, F.col("l_partkey")).alias("ext"))
+    return v.groupBy("line", "ext", X.is_cosmetic(F.col("line"), F.col("ext")).alias("cosmetic")).agg(F.count("*").alias("n"))
 
 
 def hunk_headers(spark, d):
-    rows = ("@@ -3,2 +4 @@ f", "@@ -7 +7,3 @@", "@@ -1,0 +2,4 @@", "nothing")
-    return _values(spark, rows, "line string").withColumn("h", X.hunk(F.col("line"))).where("h is not null and h.lines > 0").select("line", "h.start", "h.lines")
+    """Hunk headers made of all orders' lines; an absent count is 1, a count of 0 and other lines are left out."""
+    kind = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(4))
+    old = F.concat(F.col("l_suppkey").cast("string"), F.when(kind > 0, F.concat(F.lit(","), F.pmod("l_partkey", F.lit(3)).cast("string"))).otherwise(""))
+    line = F.when(kind == 3, F.concat(F.lit("-@@ -"), old, F.lit(" +4 @@"))).otherwise(F.concat(F.lit("@@ -"), old, F.when(kind == 1, " +7,2").otherwise(" +7"), F.lit(" @@ def f")))
+    v = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.hunk(line).alias("h")).where("h is not null and h.lines > 0")
+    return v.groupBy("h.start", "h.lines").agg(F.count("*").alias("n"))
 
 
 def blame_headers(spark, d):
-    rows = ("a" * 40 + " 3 7 2", "b" * 40 + " 1 1", "author x")
-    return _values(spark, rows, "line string").withColumn("b", X.blame(F.col("line"))).where("b is not null").select("b.lineno", "b.sha")
+    """Porcelain blame headers made of all orders; every third line is another field."""
+    k = F.col("o_orderkey")
+    sha = F.concat(F.md5(k.cast("string")), F.lit("0123abcd"))
+    line = F.when(k % 3 == 0, F.concat(F.lit("author "), sha)).otherwise(F.concat_ws(" ", sha, F.lit("7"), F.pmod("o_custkey", F.lit(50)).cast("string"), F.when(k % 3 == 1, F.lit("2"))))
+    return read(spark, d, "orders").select(X.blame(line).alias("b")).where("b is not null").select("b.lineno", "b.sha")
 
 
 def issue_links(spark, d):
     """For each fix the first reference that is a closed bug with a time."""
-    subjects = commits(spark, d).where("priority = '1-URGENT'").select("sha", F.concat(F.lit("closes #"), (F.col("sha") % 50).cast("string"), F.lit(" (#"), (F.col("sha") % 7).cast("string"), F.lit(")")).alias("subject"))
+    subjects = commits(spark, d).where("priority = '1-URGENT'").select("sha", F.concat(F.lit("#"), (F.col("sha") % 5).cast("string"), F.lit(" (#"), (F.col("sha") % 7).cast("string"), F.lit("), closes #"), (F.col("sha") % 50).cast("string")).alias("subject"))
     o = read(spark, d, "orders").where("o_orderkey % 4 <> 0")
     issues = o.groupBy((F.col("o_orderkey") % 50).alias("number")).agg(F.round(F.avg("o_totalprice"), 2).alias("hours"))
     return L.first_confirmed(subjects, issues, F.col("number") % 3 != 0)
 
 
 def bug_issues(spark, d):
-    rows = [(1, False, False, ["Bug"]), (2, False, True, ["bug"]), (3, True, False, ["bug"]), (4, False, False, ["type: Regression", "p1"]), (5, False, False, ["feature"]), (6, False, False, [])]
-    v = spark.createDataFrame(rows, "number int, missing boolean, is_pr boolean, labels array<string>")
-    return v.where(X.is_bug_issue(F.col("missing"), F.col("is_pr"), F.col("labels"))).select("number")
+    """Every order as an issue: absent, a pull request, or labelled in several ways."""
+    k = F.col("o_orderkey")
+    labels = F.when(k % 4 == 0, F.array(F.lit("Bug"))).when(k % 4 == 1, F.array(F.lit("p1"), F.lit("type: Regression"))).when(k % 4 == 2, F.array(F.lit("feature"))).otherwise(F.array().cast("array<string>"))
+    missing, is_pr = F.when(k % 13 > 1, k % 13 == 2), F.when(k % 7 > 1, k % 7 == 2)
+    return read(spark, d, "orders").where(X.is_bug_issue(missing, is_pr, labels)).select(k.alias("number"))
 
 
 def resolution_hours(spark, d):
@@ -182,9 +216,9 @@ def class_match(spark, d):
 
 
 def rate_limits(spark, d):
-    """Messages that say a service was asked too often."""
-    rows = ("Error 429: Too Many Requests", "usage limit reached", "file not found", "Overloaded", "ok")
-    return _values(spark, rows, "message string").select("message", X.is_rate_limited(F.col("message")).alias("limited"))
+    """Messages, one for each event, that say a service was asked too often."""
+    message = _fill(_pick(MESSAGES, F.col("event_id")), k=F.pmod("user_id", F.lit(3)))
+    return read(spark, d, "events").select(message.alias("message")).groupBy("message", X.is_rate_limited(F.col("message")).alias("limited")).agg(F.count("*").alias("n"))
 
 
 def coverage_meta(spark, d):
@@ -209,14 +243,15 @@ def audit(spark, d):
     return base.join(top, "author").select("author", "fixes", "files", "plain_files", (F.col("plain_files") >= 5).alias("usable"), F.array_join(F.transform("t", lambda x: x["folder"]), ",").alias("folders"))
 
 
-_S = "s(subject) as (values " + ", ".join("('" + s + "')" for s in SUBJECTS) + ")"
-_EDGE = lambda terms: "(^|[^A-Za-z0-9_])(" + "|".join(terms) + ")([^A-Za-z0-9_]|$)"
-_FIX = f"(not regexp_matches(lower(subject), '{_EDGE(X.NOT_FIX_WORDS)}') and regexp_matches(lower(subject), '{_EDGE(X.FIX_WORDS)}'))"
+_LIST = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+_S = f"""{COMMITS_SQL}, s as (select sha, priority, replace(replace({_LIST(SUBJECTS)}[sha % {len(SUBJECTS)} + 1], '{{a}}', (sha % 97)::varchar), '{{b}}', (sha % 31)::varchar) as subject from c)"""
+_FIX = r"""(not regexp_matches(subject, '(?i)^merge |\b(typo|bump|dep|deps|chore|lint|format|style|doc|docs)\b')
+  and regexp_matches(subject, '(?i)\b(fix|bug|patch|resolve|resolves)\b|(close|closes|fixe|fixes)\s+#[0-9]'))"""
 _HIST = f"""with {COMMITS_SQL}, ln as (select l_orderkey as fix_sha, 'src/f' || (l_partkey % 97) || case when l_partkey % 3 = 0 then '.py' else '.js' end as file, l_linenumber * 3 as lineno,
   (l_orderkey * 7 + l_suppkey) % 9000 as blamed, case l_suppkey % 5 when 0 then '# note' when 1 then ' }} ' when 2 then '' else 'x =  ' || l_quantity::int end as content from lineitem),
 fx as (select sha from c where priority = '1-URGENT'), bl as (select * from ln where fix_sha in (select sha from fx)),
 hk as (select fix_sha, file, lineno - 1 as start, 3 as lines from bl where lineno % 2 = 1),
-og as (select fix_sha, file, lineno, blamed, trim(content) <> '' and not regexp_matches(trim(content), '^[{{}}()\\[\\];,]+$') and not (file like '%.py' and trim(content) like '#%')
+og as (select fix_sha, file, lineno, blamed, trim(content) <> '' and trim(content) not in ('}}') and not (file like '%.py' and trim(content) like '#%')
   and blamed not in (select sha from fx) as strict from bl
   where exists (select 1 from hk where hk.fix_sha = bl.fix_sha and hk.file = bl.file and bl.lineno between hk.start and hk.start + hk.lines - 1) and blamed in (select sha from c where ct <= {T0}))"""
 _FN = """with sp as (select file, file * 10 + i as function_id, i * 10 + 1 as start_line, i * 10 + 8 as end_line from (select distinct l_partkey % 97 as file from lineitem), range(10) r(i)),
@@ -229,20 +264,23 @@ SQL = {
     "prior_fixes": f"with {COMMITS_SQL}, {FILES_SQL} select path, count(distinct sha) as defect_count from cf join c using (sha) where priority = '1-URGENT' and ct between {T0 - 180 * 86400} and {T0} group by 1",
     "recent_commits": f"with {COMMITS_SQL}, {FILES_SQL} select path, count(distinct sha) as commits from cf join c using (sha) where ct between {T0 - 90 * 86400} and {T0} group by 1",
     "t0_resolution": f"with {COMMITS_SQL}, x as (select * from c where ct <= epoch(timestamp '1996-06-30 23:59:59')) select sha, ct from x order by ct desc, sha desc limit 1",
-    "fix_classifier": f"with {_S} select subject, {_FIX} as keyword, starts_with(subject, 'fix') as prefix, contains(subject, '#') as mark from s",
-    "fix_commits": f"""with {COMMITS_SQL}, s as (select priority, lower(substr(priority, 3)) || case author % 3 when 0 then ' fix: crash' when 1 then ' fix typo' else ' feature' end as subject from c)
-select priority, count(*) as commits, count(*) filter ({_FIX}) as fixes from s group by 1""",
-    "issue_refs": f"""with {_S}, a as (select subject, list_concat(list_concat(regexp_extract_all(subject, '(?i)(?:fix|fixes|fixed|close|closes|closed|resolve|resolves|resolved):?\\s+#([0-9]+)', 1), regexp_extract_all(subject, '\\(#([0-9]+)\\)', 1)),
-  regexp_extract_all(subject, '#([0-9]+)', 1)) as l from s), e as (select subject, unnest(l) as r, unnest(range(len(l))) as i from a), f as (select subject, r, min(i) as i from e group by 1, 2)
-select s.subject, coalesce(string_agg(r, ',' order by i), '') as refs from s left join f on f.subject = s.subject group by 1""",
-    "path_rules": "with p(path) as (values " + ", ".join("('" + p + "')" for p in PATHS) + f"""), n as (select path, trim(replace(path, '\\', '/'), '/') as normal from p)
-select path, normal, regexp_matches(normal, '{X.any_pattern(X.TEST_PATTERNS)}') as test, regexp_matches(normal, '(^|/)vendor/|^build/gen/') as ignored,
-  starts_with(normal, 'src') and (normal like '%.py' or normal like '%.go') as source, regexp_extract(normal, '(\\.[^.]*)$', 1) as ext,
-  case when contains(trim(case when starts_with(normal, 'src') then substr(normal, 4) else normal end, '/'), '/') then split_part(trim(case when starts_with(normal, 'src') then substr(normal, 4) else normal end, '/'), '/', 1) else '<root>' end as folder from n""",
+    "fix_classifier": f"""with {_S} select sha, {_FIX} as keyword, starts_with(subject, 'Fixed #') as prefix, contains(subject, chr(128027)) as mark,
+  (contains(subject, 'crash') or contains(subject, 'words')) and not contains(subject, 'plain') as custom from s""",
+    "fix_commits": f"with {_S} select priority, count(*) as commits, count(*) filter ({_FIX}) as fixes from s group by 1",
+    "issue_refs": "with " + _S + r""", a as (select sha, list_concat(regexp_extract_all(subject, '(?i)\b(close|closes|closed|fix|fixes|fixed|resolve|resolves|resolved)\b[:\s]+#([0-9]+)', 2),
+  regexp_extract_all(subject, '#([0-9]+)', 1)) as l from s), e as (select sha, unnest(l)::bigint as r, unnest(range(len(l))) as i from a), f as (select sha, r, min(i) as i from e group by 1, 2),
+g as (select sha, string_agg(r, ',' order by i) as refs from f group by 1) select sha, coalesce(refs, '') as refs from s left join g using (sha)""",
+    "path_rules": f"""with p as (select p_partkey, p_size, concat_ws('/', nullif({_LIST(FOLDERS)}[p_partkey % {len(FOLDERS)} + 1], ''), replace({_LIST(NAMES)}[p_partkey // {len(FOLDERS)} % {len(NAMES)} + 1], '{{k}}', (p_partkey % 5)::varchar)) as path from part),
+n as (select *, trim(replace(path, chr(92), '/'), '/') as normal from p), """ + r"""t as (select *, list_last(string_split(normal, '/')) as leaf, list_slice(string_split(normal, '/'), 1, -2) as up from n),
+m as (select *, list_has_any(up, ['test', 'tests', '__tests__', '__mocks__']) or leaf = 'conftest.py' or (leaf like 'test\__%.py' escape '\') or (leaf like '_%\_test.py' escape '\') or (leaf like '_%\_test.go' escape '\')
+  or (leaf like '_%\_test.rs' escape '\') or leaf similar to '.*\.(test|spec)\.(ts|tsx|js|jsx|mts|cts)' as test from t)
+select p_partkey, path, normal, test, not test and p_size >= 10 as included, (list_contains(up, 'vendor') or starts_with(normal, 'build/gen/')) as ignored,
+  starts_with(normal, 'src') and (normal like '%.py' or normal like '%.go') as source, case when contains(normal, '.') then '.' || list_last(string_split(normal, '.')) else '' end as ext,
+  case when starts_with(normal, 'src/') then case when len(up) > 1 then up[2] else '<root>' end when len(up) > 0 then up[1] else '<root>' end as folder from m""",
     "url_paths": """with p as (select trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') as p from pages)
 select case when contains(p, '/') then split_part(p, '/', 1) else '<root>' end as folder, regexp_extract(p, '(\\.[^.]*)$', 1) as ext, count(*) as n from p group by 1, 2""",
     "issue_links": f"""with {COMMITS_SQL}, i as (select o_orderkey % 50 as number, round(avg(o_totalprice), 2) as hours from orders where o_orderkey % 4 <> 0 group by 1),
-r as (select sha, sha % 50 as number, 0 as pos from c where priority = '1-URGENT' union all select sha, sha % 7, 1 from c where priority = '1-URGENT'),
+r as (select sha, unnest([sha % 50, sha % 5, sha % 7]) as number, unnest([0, 1, 2]) as pos from c where priority = '1-URGENT'),
 j as (select sha, r.number, hours, row_number() over (partition by sha order by pos) as k from r join i on i.number = r.number where r.number % 3 <> 0) select sha, number, hours from j where k = 1""",
     "resolution_hours": """with l as (select l_orderkey, max(l_shipdate) as c from lineitem group by 1), x as (select o_custkey, (epoch(c) - epoch(o_orderdate)) / 3600 as h from orders join l on l_orderkey = o_orderkey where o_orderstatus = 'F')
 select o_custkey, count(*) as n, round(avg(h), 4) as mean_hours, round(median(h), 4) as median_hours from x where h >= 0 group by 1""",
@@ -253,10 +291,14 @@ h as (select function_id, count(distinct fix_sha) as n from rm join x using (fil
 select sp.function_id, coalesce(n, 0) as defect_count, (coalesce(n, 0) > 0)::int as label from sp left join h on h.function_id = sp.function_id""",
     "class_match": """with r as (select 'org/p' || (p_partkey % 40) || '/C' || (p_partkey % 9) || '.java' as path from part), f as (select distinct 'org/p' || (s_suppkey % 40) || '/C' || (s_suppkey % 9) || '.java' as path from supplier)
 select path, count(*) as classes, round(100.0::double * count(*) / (select count(*) from part), 6) as pct from r join f using (path) group by 1""",
-    "cosmetic_lines": """select * from (values ('x = 1', '.py', false), ('# note', '.py', true), ('# note', '.js', false), ('}', '.js', true), ('  ', '.py', true), ('// c', '.js', true), ('*p = 1', '.c', true), ('\"\"\"doc', '.py', true), ('});', '.ts', true)) t(line, ext, cosmetic)""",
-    "hunk_headers": "select * from (values ('@@ -3,2 +4 @@ f', 3, 2), ('@@ -7 +7,3 @@', 7, 1)) t(line, start, lines)",
-    "blame_headers": "select * from (values (7, repeat('a', 40)), (1, repeat('b', 40))) t(lineno, sha)",
-    "bug_issues": "select * from (values (1), (4)) t(number)",
+    "cosmetic_lines": f"""with v as (select replace({_LIST(LINES)}[(l_orderkey * 3 + l_linenumber) % {len(LINES)} + 1], '{{k}}', (l_suppkey % 3)::varchar) as line, {_LIST(EXTENSIONS)}[l_partkey % {len(EXTENSIONS)} + 1] as ext from lineitem),
+t as (select *, trim(line, ' ' || chr(9)) as b from v)
+select line, ext, b in ('', '}}', '}});', '[],') or starts_with(b, '*') or starts_with(b, '/*') or starts_with(b, '\"\"\"') or starts_with(b, '''''''') or (starts_with(b, '#') and ext = '.py')
+  or (starts_with(b, '//') and ext in ('.js', '.jsx', '.tsx', '.mts', '.cts', '.cc', '.h', '.hpp', '.cs', '.kt', '.rs')) as cosmetic, count(*) as n from t group by 1, 2, 3""",
+    "hunk_headers": """with v as (select l_suppkey::int as start, (case when (l_orderkey + l_linenumber) % 4 = 0 then 1 else l_partkey % 3 end)::int as lines from lineitem where (l_orderkey + l_linenumber) % 4 < 3)
+select start, lines, count(*) as n from v where lines > 0 group by 1, 2""",
+    "blame_headers": "select (o_custkey % 50)::int as lineno, md5(o_orderkey::varchar) || '0123abcd' as sha from orders where o_orderkey % 3 <> 0",
+    "bug_issues": "select o_orderkey as number from orders where o_orderkey % 4 in (0, 1) and o_orderkey % 13 <> 2 and o_orderkey % 7 <> 2",
 }
 from hornbeam.sources.tables import UNITS_SQL as _U  # noqa: E402
 
@@ -265,7 +307,9 @@ j as (select case when score >= 8 then 'healthy' when score < 4 then 'alert' els
 h as (select m as hm, d as hd from j where bucket = 'healthy')
 select bucket, files, round(m, 4) as mean, round(d, 4) as median, round(m / hm, 6) as mean_ratio, round(d / hd, 6) as median_ratio from j, h"""
 
-SQL["rate_limits"] = "select * from (values ('Error 429: Too Many Requests', true), ('usage limit reached', true), ('file not found', false), ('Overloaded', true), ('ok', false)) t(message, limited)"
+SQL["rate_limits"] = f"""with v as (select replace({_LIST(MESSAGES)}[event_id % {len(MESSAGES)} + 1], '{{k}}', (user_id % 3)::varchar) as message from events)
+select message, lower(message) similar to '.*(ratelimit|rate.limit|too many requests|429|overloaded|capacity|usagelimit|usage.limit|throttl|billing|try again|resource_exhausted).*'
+  or (contains(message, 'exceeded') and instr(message, 'quota') > instr(message, 'exceeded')) as limited, count(*) as n from v group by 1, 2"""
 SQL["coverage_meta"] = f"""with {_U}, s as (select *, case when unit_id % 10 = 0 then 'absent' when unit_id % 7 = 0 then 'null' else 'paired' end as st from u)
 select cluster, count(*) as scored, count(*) filter (st = 'paired') as paired_files, count(*) filter (st = 'null') as null_files, count(*) filter (st = 'absent') as absent_files,
   count(*) filter (st = 'paired' and defects > 0) as defective from s group by 1"""

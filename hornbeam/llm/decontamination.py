@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -90,58 +91,117 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return acc
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts in lower case, by Unicode; bytes that are no UTF-8 become replacement characters."""
+    column = column.cast(pa.large_string())
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        raw = column.cast(pa.large_binary()).to_pylist()
+        return pc.utf8_lower(pa.array([x if x is None else x.decode("utf-8", "replace") for x in raw], pa.large_string()))
+
+
+class Seeds:
+    """The seeds of one mask over some items: each distinct seed's items, and each of these items' positions of it."""
+
+    def __init__(self, mask: str, use: list[int], words: list[np.ndarray]):
+        self.mask = mask
+        found = [_seeds(words[k], mask) for k in use]
+        seed, item = np.concatenate(found), np.repeat(use, [len(f) for f in found])
+        at = np.concatenate([np.arange(len(f)) for f in found])
+        order = np.lexsort((at, item, seed))
+        seed, item, self.at = seed[order], item[order], at[order].astype(np.int32)
+        fresh = np.ones(len(seed) + 1, bool)
+        fresh[1:-1] = (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])
+        self.group = np.flatnonzero(fresh)  # where each seed's positions in an item begin; the last is the end
+        self.item = item[self.group[:-1]].astype(np.int32)
+        grouped = seed[self.group[:-1]]
+        fresh = np.ones(len(grouped) + 1, bool)
+        fresh[1:-1] = grouped[1:] != grouped[:-1]
+        self.first = np.flatnonzero(fresh)  # where each seed's groups begin
+        self.seed = grouped[self.first[:-1]]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.seed >> U(44)).astype(np.int64)] = True
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` its index so many times, and 0, 1, ... within each."""
+    whole = np.repeat(np.arange(len(counts)), counts)
+    return whole, np.arange(len(whole)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 class Block:
-    """Some items: their words, and for each mask the sorted seeds with the item and position of each."""
+    """Some items: their words, and for each mask their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
         self.settings = settings
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         for _, text in items:
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            self.words.append(Words(raw, np.array([0, len(raw)]), separators=PUNCTUATION).hash)
+            for _, data, offsets in chunks(lowered(pa.array([text]))):
+                self.words.append(Words(data, offsets, separators=PUNCTUATION).hash)
         uses: dict[str, list[int]] = {}
         for k, w in enumerate(self.words):
             if len(w):
                 for mask in masks_for(min(settings.window, len(w)), settings.percent, settings.masks):
                     uses.setdefault(mask, []).append(k)
-        self.tables = []
-        for mask, use in uses.items():
-            found = [_seeds(self.words[k], mask) for k in use]
-            seed = np.concatenate(found)
-            item = np.repeat(use, [len(f) for f in found])
-            at = np.concatenate([np.arange(len(f)) for f in found])
-            order = np.argsort(seed, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(seed >> U(44)).astype(np.int64)] = True
-            self.tables.append((mask, seed[order], item[order], at[order], bits))
+        self.tables = [Seeds(mask, use, self.words) for mask, use in uses.items()]
+        self.lengths = np.array([len(w) for w in self.words])
+
+    def _candidates(self, words: Words, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, item, shift) of every place where an item may lie over a text, and (row, item) of the pairs that share
+        seeds at more places than there are shifts: these are compared at every shift, their places are not listed."""
+        lengths = np.diff(words.offsets)
+        listed, dense = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)]
+        for t in self.tables:
+            values = _seeds(words.hash, t.mask)
+            here = np.flatnonzero(t.bits[(values >> U(44)).astype(np.int64)]) if len(values) else np.zeros(0, np.int64)
+            here = here[doc[here] == doc[here + len(t.mask) - 1]]
+            which = np.searchsorted(t.seed, values[here])
+            real = which < len(t.seed)
+            real[real] = t.seed[which[real]] == values[here[real]]
+            here, which = here[real], which[real]
+            if not len(here):
+                continue
+            # each text's places of each seed, once
+            key, start, many = np.unique(doc[here] * np.int64(len(t.seed)) + which, return_index=True, return_counts=True)
+            place = here[np.argsort(doc[here] * np.int64(len(t.seed)) + which, kind="stable")]
+            begin = np.cumsum(many) - many
+            d, which = doc[here[start]], which[start]
+            # meet each item that has the seed
+            one, nth = _spread(t.first[which + 1] - t.first[which])
+            group = t.first[which[one]] + nth
+            item, own = t.item[group], t.group[group + 1] - t.group[group]
+            pair, back = np.unique(d[one] * np.int64(len(self.words)) + item, return_inverse=True)
+            met = np.bincount(back, weights=many[one].astype(float) * own)
+            over = met > (lengths[pair // len(self.words)] + self.lengths[pair % len(self.words)])
+            dense.append(np.stack([pair[over] // len(self.words), pair[over] % len(self.words)], 1))
+            few = ~over[back]
+            one, group, item, own = one[few], group[few], item[few], own[few]
+            each, nth = _spread(many[one] * own)
+            a = place[begin[one[each]] + nth // own[each]]
+            b = t.at[t.group[group[each]] + nth % own[each]]
+            listed.append(np.stack([d[one[each]], item[each], a - words.offsets[d[one[each]]] - b], 1))
+        return np.unique(np.concatenate(listed), axis=0), np.unique(np.concatenate(dense), axis=0)
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, equal words, window) of the best window of each contaminated row and item."""
-        for first, data, offsets in chunks(column):
+        for first, data, offsets in chunks(lowered(column)):
             words = Words(data, offsets, separators=PUNCTUATION)
-            doc = words.doc()
-            found = []
-            for mask, seeds, items, at, bits in self.tables:
-                values = _seeds(words.hash, mask)
-                if not len(values):
-                    continue
-                here = np.flatnonzero(bits[(values >> U(44)).astype(np.int64)])
-                here = here[doc[here] == doc[here + len(mask) - 1]]
-                low, high = np.searchsorted(seeds, values[here], "left"), np.searchsorted(seeds, values[here], "right")
-                many = high - low
-                where = np.repeat(here, many)
-                entry = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(many) else low
-                d = doc[where]
-                found.append(np.stack([d, items[entry], where - words.offsets[d] - at[entry]], 1))
-            if not found:
-                continue
+            listed, dense = self._candidates(words, words.doc())
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for d, item, shift in np.unique(np.concatenate(found), axis=0).tolist():
+            for d, item in dense.tolist():
+                text, own = words.hash[words.offsets[d] : words.offsets[d + 1]], self.words[item]
+                size = min(self.settings.window, len(own))
+                equal = best_window(text, own, size)
+                if 100 * equal >= self.settings.percent * size:
+                    best[d, item] = equal, size
+            settled = set(map(tuple, dense.tolist()))
+            for d, item, shift in listed.tolist():
                 text, own = words.hash[words.offsets[d] : words.offsets[d + 1]], self.words[item]
                 a, b = max(0, -shift), min(len(own), len(text) - shift)
                 size = min(self.settings.window, len(own))
-                if b - a < size:
+                if b - a < size or best.get((d, item), (0, 0))[0] == size or (d, item) in settled:
                     continue
                 total = np.concatenate(([0], np.cumsum(text[a + shift : b + shift] == own[a:b])))
                 equal = int((total[size:] - total[:-size]).max())
@@ -151,6 +211,29 @@ class Block:
                 yield first + d, item, equal, size
 
 
+def best_window(text: np.ndarray, own: np.ndarray, size: int, cells: int = 1 << 21) -> int:
+    """The most equal words of any window of ``size`` words, over all shifts of ``own`` along ``text``."""
+    if len(text) < size or len(own) < size:
+        return 0
+    if len(own) > len(text):
+        text, own = own, text
+    n, best = len(own), 0
+    out = n - size  # words of `own` that may lie outside `text`
+    wide = np.concatenate((np.zeros(out, np.uint64), text, np.zeros(out, np.uint64)))
+    rows = np.lib.stride_tricks.sliding_window_view(wide, n)
+    step = max(1, cells // n)
+    for at in range(0, len(rows), step):
+        total = np.zeros((len(rows[at : at + step]), n + 1), np.int32)
+        np.cumsum(rows[at : at + step] == own, axis=1, out=total[:, 1:])
+        equal = total[:, size:] - total[:, :-size]
+        place = np.arange(at, at + len(equal))[:, None] + np.arange(out + 1) - out
+        equal[(place < 0) | (place > len(text) - size)] = 0  # not a whole window of the text
+        best = max(best, int(equal.max()))
+        if best == size:
+            break
+    return best
+
+
 def blocks(bench: DataFrame, settings: Settings) -> Iterator[Block]:
     """Benchmark items in blocks; null ids and texts without a word are left out, they match nothing."""
     items: list[tuple[int, str]] = []
@@ -175,7 +258,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, settings: Settings = Setting
 
     ``docs`` needs ``doc_id`` and ``text``, ``bench`` needs ``item_id`` and ``text``; other columns are not read.  Null
     and empty texts match nothing, a null ``doc_id`` is carried as null, repeated rows give repeated results, an empty
-    table on either side gives no rows.  Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
+    table on either side gives no rows.  Words are runs of letters, digits and non-ASCII characters, in lower case.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     out = None

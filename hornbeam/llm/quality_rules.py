@@ -1,19 +1,21 @@
 """Quality rules by compression bands: how far zstandard shrinks a text, as a whole and in fixed chunks.
 
 Repetitive text shrinks too far, noise hardly at all, and a short text shrinks less than a long one of the same kind,
-so every band is a line in the logarithm of the length.  Nothing is learned; one pass, no shuffle.
+so every band is a line in the logarithm of the length.  Judging is one pass without a shuffle; limits for another kind
+of text come from :func:`calibrate`.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hornbeam.llm.kernels import slices
@@ -21,26 +23,34 @@ from hornbeam.llm.kernels import slices
 _SYMBOLS = b"#*$%&|<>"
 
 
+# Limits by text bytes on ratio = compressed / plain: (bytes, low, high).  From 512 to 16384 bytes they are what
+# :func:`calibrate` gives on texts that are labelled good and pass the base rules: the ratio that 0.5 % of them stay
+# below, less 0.006, and the one that 0.5 % exceed, plus 0.1 (other prose is less regular).  The ends are drawn out.
+LIMITS = (
+    (64, 0.600, 1.300), (256, 0.560, 0.950), (512, 0.533, 0.800), (1024, 0.489, 0.715), (2048, 0.461, 0.631), (4096, 0.434, 0.589), (8192, 0.418, 0.566), (16384, 0.405, 0.541),
+    (65536, 0.375, 0.520), (1 << 24, 0.330, 0.520),
+)
+
+
 @dataclass(frozen=True)
 class Bands:
     """Limits on ratio = compressed / plain bytes.  ``(bytes, low, high)`` steps give the limits at those lengths;
-    between two steps the limits are interpolated over the logarithm of the length."""
+    between two steps the limits are interpolated over the logarithm of the length.  A chunk is held to the limits of a
+    text of its length, with ``chunk_slack`` to spare on either side."""
 
     level: int = 3
     chunk: int = 2048
-    whole: tuple[tuple[int, float, float], ...] = (
-        (64, 0.36, 1.30), (256, 0.34, 0.98), (1024, 0.32, 0.80), (4096, 0.28, 0.70), (65536, 0.20, 0.64), (1 << 24, 0.15, 0.64),
-    )
-    part: tuple[tuple[int, float, float], ...] = ((64, 0.30, 1.30), (256, 0.30, 0.98), (1024, 0.26, 0.82), (2048, 0.24, 0.76))
+    steps: tuple[tuple[int, float, float], ...] = LIMITS
+    chunk_slack: float = 0.01
     #: The share of chunks (by bytes) that may lie outside their band.
-    bad_share: float = 0.34
+    bad_share: float = 0.30
     min_words: int = 50
     max_repeat_percent: int = 50
 
-    def limits(self, n: int, steps: tuple[tuple[int, float, float], ...]) -> tuple[float, float]:
+    def limits(self, n: int) -> tuple[float, float]:
         x = np.log(max(n, 1))
-        at = [np.log(s[0]) for s in steps]
-        return float(np.interp(x, at, [s[1] for s in steps])), float(np.interp(x, at, [s[2] for s in steps]))
+        at = [np.log(s[0]) for s in self.steps]
+        return float(np.interp(x, at, [s[1] for s in self.steps])), float(np.interp(x, at, [s[2] for s in self.steps]))
 
 
 RESULT = T.StructType(
@@ -114,7 +124,7 @@ class Judge:
         if not raw:
             return 0.0, 0.0, False
         whole = len(self.zstd.compress(raw)) / len(raw)
-        low, high = b.limits(len(raw), b.whole)
+        low, high = b.limits(len(raw))
         fits = low <= whole <= high
         bad = 0
         for at in range(0, len(raw), b.chunk):
@@ -122,8 +132,8 @@ class Judge:
             if at and len(piece) < b.chunk // 4:  # a short rest is judged with what comes before it
                 piece = raw[len(raw) - b.chunk // 4 :]
             size = min(b.chunk, len(raw) - at)
-            lo, hi = b.limits(len(piece), b.part)
-            if not lo <= len(self.zstd.compress(piece)) / len(piece) <= hi:
+            lo, hi = b.limits(len(piece))
+            if not lo - b.chunk_slack <= len(self.zstd.compress(piece)) / len(piece) <= hi + b.chunk_slack:
                 bad += size
         share = bad / len(raw)
         return whole, share, fits and share <= b.bad_share
@@ -155,6 +165,30 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
+def calibrate(docs: DataFrame, bands: Bands = Bands(), share: float = 0.005, low_margin: float = 0.006, high_margin: float = 0.1, least: int = 40) -> Bands:
+    """``bands`` with limits from the texts of ``docs``, which should be good ones: for each power of two of bytes the
+    ratios that ``share`` of the texts within half an octave stay below or exceed, and the margins.
+
+    All rows that pass the base rules count; octaves with fewer than ``least`` of them are left to interpolation.  With
+    no octave left the limits stay as they are.  The driver sees a row for each octave.
+    """
+    size = F.octet_length(docs["text"].cast("string"))
+    sized = docs.select(F.lit(None).cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where(size > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(bands)
+        for batch in slices(batches):
+            rows = [(len((t or "").encode("utf-8", "surrogatepass")), judge.row(t)) for t in batch.column(1).to_pylist()]
+            rows = [(n, r[6]) for n, r in rows if not r[5]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["n", "ratio"])
+
+    ratios = sized.mapInArrow(run, "n long, ratio double")
+    octave = F.round(F.log2("n")).cast("int").alias("octave")
+    found = ratios.groupBy(octave).agg(F.count("*").alias("texts"), F.percentile_approx("ratio", [share, 1 - share], 10_000).alias("q")).where(F.col("texts") >= least).orderBy("octave").collect()
+    steps = tuple((1 << r["octave"], r["q"][0] - low_margin, r["q"][1] + high_margin) for r in found)
+    return replace(bands, steps=steps) if steps else bands
+
+
 def keep_good(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows of ``docs``, all their columns, that the rules keep."""
     at = docs.columns.index("text")

@@ -161,6 +161,35 @@ def test_bands_reject_repetition_and_noise():
     assert quality_rules.repeat_words(many) == 6
 
 
+def test_bands_reject_by_themselves(spark, sf_dir):
+    """Repetitive and random texts of every length fail by the bands; prose labelled good passes; what is labelled bad and
+    passes the base rules mostly does not."""
+    g = np.random.default_rng(1)
+    nine = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota"]
+    made = []
+    for n in (500, 700, 1000, 1500, 3000, 10_000, 50_000, 300_000):
+        noise = "".join(map(chr, g.integers(33, 127, n)))
+        made += [" ".join(noise[i : i + 6] for i in range(0, n, 6)), " ".join(g.choice(nine, n // 6))]
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert not any(r["kept"] for r in quality_rules.quality_rules(table).collect())
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    judged = quality_rules.quality_rules(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))).collect()
+    share = {r[0]: r[1] for r in judged}
+    assert share[1] > 0.98 and share[0] < 0.6
+
+
+def test_calibration(spark, docs, empty):
+    g = random.Random(5)
+    table = spark.createDataFrame([(i, sentence(120, g) if i % 9 else "short", "x") for i in range(200)] + [(None, None, "x")], "doc_id long, text string, ratio string")
+    z = quality_rules.Judge(quality_rules.Bands()).zstd
+    texts = [r["text"].encode() for r in table.collect() if r["text"] and len(r["text"]) > 9]
+    octave = Counter(round(math.log2(len(t))) for t in texts).most_common(1)[0][0]
+    ratios = sorted(len(z.compress(t)) / len(t) for t in texts if round(math.log2(len(t))) == octave)
+    got = {s[0]: s[1:] for s in quality_rules.calibrate(table, share=0.05, low_margin=0.0, high_margin=0.0).steps}[1 << octave]
+    assert got[0] == pytest.approx(np.quantile(ratios, 0.05), abs=0.01) and got[1] == pytest.approx(np.quantile(ratios, 0.95), abs=0.01)
+    assert quality_rules.calibrate(empty) == quality_rules.Bands()
+
+
 def test_keep_good_filters_whole_rows(docs):
     kept = {r[0] for r in quality_rules.quality_rules(docs).where("kept").select("doc_id").collect()}
     out = quality_rules.keep_good(docs)

@@ -6,6 +6,8 @@ Both parts are DataFrame expressions.  The regression is Spark's own, fitted on
 
 from __future__ import annotations
 
+import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +20,9 @@ MAX_LABELLED = 2000
 @dataclass(frozen=True)
 class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
-    buckets: int = 4096
+    buckets: int = 1 << 15
     steps: int = 100
-    l2: float = 1e-4
+    l2: float = 3e-4
     threshold: float = 0.5
 
 
@@ -33,28 +35,69 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-# Words of which the default labelled URLs are put together.
-_BAD_HOSTS = ("spam-farm", "casino-win", "cheap-pills", "adult-cams", "free-money", "clickbait", "seo-links", "hot-deals")
-_GOOD_HOSTS = ("library", "museum", "weather", "university", "gardening", "cooking", "history", "news")
-_ENDINGS = ("example.org", "example.com", "example.net")
-_BAD_PATHS = ("/win-big-bonus", "/buy-cheap-pills", "/xxx/free", "/click/here?ref=1")
-_GOOD_PATHS = ("/en/12", "/de/340.html", "/articles/history-of-bread", "/es/7/")
+# Words of the default labelled table.  The first list is of words that public block lists sort hosts by
+# (gambling, pharmacy spam, adult, link and advertising networks, fraud, piracy); the second of plain words, some of which
+# hold one of the first inside; the third are companions that either kind of host has.
+BAD_WORDS = (
+    "casino", "poker", "roulette", "jackpot", "slots", "lottery", "betting", "bets", "gambling", "bookie", "blackjack", "pills", "viagra", "cialis", "steroids", "painkillers", "cheapmeds", "adult", "xxx", "porn", "sex",
+    "escort", "nude", "camgirls", "hookup", "spam", "backlinks", "linkfarm", "clickbait", "seo", "ads", "adserver", "banner", "popup", "popunder", "track", "tracker", "pixel", "affiliate", "telemetry", "phishing",
+    "warez", "keygen", "cracked", "torrents", "payday", "quickcash", "getrich", "giveaway", "replica", "counterfeit", "malware",
+)
+GOOD_WORDS = (
+    "library", "museum", "weather", "university", "garden", "cooking", "history", "news", "school", "science", "railway", "bakery", "clinic", "council", "orchestra", "journal", "recipes", "travel", "forum", "photos", "roads",
+    "shadows", "beads", "alphabet", "beta", "winter", "essex", "sussex", "middlesex", "adulthood", "casing", "pillow", "spanish", "poke", "slot-machine-museum", "tracking-birds", "races", "lots", "annexe", "freedom",
+    "farming", "markets", "books", "music", "chess", "biology", "physics", "letters", "archive", "kitchen", "harbour", "village",
+)
+COMPANIONS = ("best", "world", "online", "my", "the", "house", "center", "free", "shop", "daily", "win", "city", "cheap", "top", "farm", "x")
+_ENDINGS = ("com", "net", "org", "info", "io", "co.uk", "de", "fr")
+_PREFIXES = ("", "www.", "m.", "", "blog.", "en.")
+_PATHS = ("", "/", "/en/12", "/fr/340.html", "/articles/bread", "/es/7/", "/index.php", "/p/2024/05", "/de/9981")
+
+
+def _made_up(i: int) -> str:
+    """A pronounceable name of two to five syllables, the same for the same number."""
+    k = zlib.crc32(b"name %d" % i)
+    first, last = ("b", "c", "d", "f", "g", "l", "m", "n", "p", "r", "s", "t", "th", "sh", "st", "br"), ("a", "e", "i", "o", "u", "ea", "on", "er")
+    return "".join(first[k >> 4 * j & 15] + last[k >> 3 * j + 5 & 7] for j in range(2 + i % 4))
 
 
 def default_labelled(spark: SparkSession) -> DataFrame:
-    """``url, bad`` put together from the word lists above: each host with each ending and prefix, paths in
-    turn."""
+    """``url, bad`` by a rule: each word beside eight companions and eight made-up names, in ever other places, endings and
+    paths; and made-up names alone, which are good.  It has no host of any table here; another table of the kind may be
+    given to :func:`judge_urls`."""
     rows = []
-    plain = tuple(word + word[::-1] for word in ("thing", "tion", "onder", "ertle", "ansh", "oura", "ceau", "lich"))
-    for bad, hosts, own in ((1.0, _BAD_HOSTS, _BAD_PATHS), (0.0, _GOOD_HOSTS, _GOOD_PATHS), (0.0, plain, ("", "/", "", "/en/"))):
-        for i, host in enumerate(hosts):
-            for j, ending in enumerate(_ENDINGS):
-                for k, prefix in enumerate(("", "www.", "m.", "blog.")):
-                    path = (own if (i + j + k) % 2 else _GOOD_PATHS)[(i + k) % 4]
-                    rows.append((f"http{'s' if k % 2 else ''}://{prefix}{host}.{ending}{path}", bad))
+
+    def add(name: str, bad: float) -> None:
+        k = zlib.crc32(name.encode())  # the same whatever the order
+        scheme, prefix = ("http", "https")[k % 2], _PREFIXES[k // 2 % len(_PREFIXES)]
+        rows.append((f"{scheme}://{prefix}{name}.{_ENDINGS[k // 16 % len(_ENDINGS)]}{_PATHS[k // 128 % len(_PATHS)]}", bad))
+
+    for bad, words in ((1.0, BAD_WORDS), (0.0, GOOD_WORDS)):
+        for i, word in enumerate(words):
+            for j in range(16):
+                other = COMPANIONS[(i + j) % len(COMPANIONS)] if j < 8 else _made_up(1000 + 16 * i + j)
+                add((f"{word}-{other}", f"{other}-{word}", f"{other}{word}", f"{word}{other}")[(i + j) % 4], bad)
+    for i in range(330):
+        add(_made_up(i), 0.0)
     return spark.createDataFrame(rows, "url string, bad double")
 
 
+def unseen_auc(labelled: DataFrame, s: Settings | None = None, folds: int = 4) -> float:
+    """How often a bad URL scores above a good one (ties half) when no host of the scored fold was trained on."""
+    s = s or Settings()
+    host, _ = parts(F.col("url"))
+    at = labelled.where("bad is not null").select("url", "bad", F.pmod(F.xxhash64(host), F.lit(folds)).alias("fold"))
+    scores = None
+    for fold in range(folds):
+        model = train(at.where(F.col("fold") != fold), s)
+        part = score(at.where(F.col("fold") == fold), model, s)
+        scores = part if scores is None else scores.unionByName(part)
+    # at most MAX_LABELLED rows
+    got = scores.select("bad", "bad_score").collect()
+    good, bad = (sorted(r["bad_score"] for r in got if r["bad"] == v) for v in (0, 1))
+    return sum((bisect_left(good, x) + bisect_right(good, x)) / 2 for x in bad) / (len(good) * len(bad))
+
+
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (ASCII lower-cased) and path; both empty for a null or one without ``://``."""
     at = F.instr(url, "://")
@@ -66,43 +109,48 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def _grams(host: Column, path: Column, s: Settings) -> Column:
-    """Buckets of the distinct n-grams of ``^host/path$``; a long URL gives more buckets, never a longer loop in Python."""
-    text = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
-    lists = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-            lambda i, n=n: F.pmod(F.xxhash64(F.lit(n), F.substr(text, i, F.lit(n))), F.lit(s.buckets)).cast("int"),
-        )
-        for n in s.grams
-    ]
-    return F.array_distinct(F.flatten(F.array(*lists)))
+    """Buckets of the distinct n-grams of ``^host path$``.  The characters are split once, so the work is in proportion to
+    the URL's length."""
+    chars = F.split(F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$")), "")
+
+    def of_length(c: Column, n: int) -> Column:
+        gram = lambda i: F.concat(*(F.coalesce(F.get(c, i - 1 + j), F.lit("")) for j in range(n)))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lit(n), gram(i)), F.lit(s.buckets)).cast("int"))
+
+    def lists(c: Column) -> Column:
+        return F.array_distinct(F.flatten(F.array(*(of_length(c, n) for n in s.grams))))
+
+    # a list of one, so that the characters are made once and bound to a name
+    return F.get(F.transform(F.array(chars), lists), F.lit(0))
 
 
 def _logit(grams: Column, weights: Column, offset: Column) -> Column:
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.element_at(weights, g + 1))
-    return total / F.sqrt(F.greatest(F.size(grams), F.lit(1)).cast("double")) + offset
+    return F.aggregate(grams, offset, lambda acc, g: acc + F.element_at(weights, g + 1))
 
 
 def train(labelled: DataFrame, s: Settings = Settings()) -> tuple[list[float], float]:
     """Weights and offset from ``labelled(url, bad)``; null labels are ignored, a single class gives weights of 0.
 
-    The fit is Spark's own logistic regression over vectors built by DataFrame functions.
+    The fit is Spark's own logistic regression over sparse vectors of the buckets that occur, both classes weighing the
+    same.  A bucket that no labelled URL has weighs 0, so a long or strange URL is not pulled to either side by it.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import CountVectorizer
 
     host, path = parts(F.col("url"))
-    rows = labelled.where("bad is not null").select(_grams(host, path, s).alias("grams"), F.col("bad").cast("double").alias("bad"))
-    low, high, n = rows.agg(F.min("bad"), F.max("bad"), F.count("*")).first()
+    rows = labelled.where("bad is not null").select(_grams(host, path, s).cast("array<string>").alias("grams"), F.col("bad").cast("double").alias("bad"))
+    low, high, n, share = rows.agg(F.min("bad"), F.max("bad"), F.count("*"), F.avg("bad")).first()
     if n > MAX_LABELLED:
         raise ValueError(f"the labelled table has more than {MAX_LABELLED} rows")
     if low == high:
         return [0.0] * s.buckets, 0.0
-    scale = 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)).cast("double"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(s.buckets - 1)), lambda i: F.when(F.array_contains("grams", i), scale).otherwise(0.0))
-    data = rows.select(array_to_vector(dense).alias("features"), "bad")
-    fitted = LogisticRegression(labelCol="bad", maxIter=s.steps, regParam=s.l2, standardization=False).fit(data)
-    return [float(w) for w in fitted.coefficients], float(fitted.intercept)
+    counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=s.buckets, binary=True).fit(rows)
+    data = counted.transform(rows).withColumn("weight", F.when(F.col("bad") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    fitted = LogisticRegression(labelCol="bad", weightCol="weight", maxIter=s.steps, regParam=s.l2, standardization=False).fit(data)
+    weights = [0.0] * s.buckets
+    for bucket, w in zip(counted.vocabulary, fitted.coefficients.toArray()):
+        weights[int(bucket)] = float(w)
+    return weights, float(fitted.intercept)
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -115,18 +163,22 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return rule, verdict
 
 
+def score(urls: DataFrame, model: tuple[list[float], float], s: Settings = Settings()) -> DataFrame:
+    """``urls`` with ``bad_score``, the model's probability that its ``url`` is bad."""
+    weights, offset = model
+    host, path = parts(F.col("url"))
+    literal = F.from_json(F.lit("[" + ",".join(f"{w:.6g}" for w in weights) + "]"), "array<double>")
+    return urls.withColumn("bad_score", 1 / (1 + F.exp(-_logit(_grams(host, path, s), literal, F.lit(offset)))))
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame, s: Settings = Settings(), rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_score`` for every row of ``pages(page_id, url)``.
 
     A null url, or one without ``://``, has an empty host and path and is judged like any other; ids may be null or
     repeated; other columns are not read; an empty table gives no rows.  No shuffle.
     """
-    weights, offset = train(labelled, s)
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    literal = F.from_json(F.lit("[" + ",".join(repr(w) for w in weights) + "]"), "array<double>")
-    z = _logit(_grams(F.col("host"), F.col("path"), s), literal, F.lit(offset))
-    rows = rows.withColumn("bad_score", 1 / (1 + F.exp(-z)))
+    rows = score(pages.select("page_id", "url"), train(labelled, s), s).select("page_id", host.alias("host"), path.alias("path"), "bad_score")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     model = F.when(F.col("bad_score") >= s.threshold, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, model).alias("verdict"), "bad_score")

@@ -285,12 +285,28 @@ def test_urls(spark):
 
 
 def test_url_model_on_unseen_hosts(spark):
-    weights = url_filter.train(url_filter.default_labelled(spark))
-    assert len(weights[0]) == url_filter.Settings().buckets
-    urls = [("http://spam-farm.example.com/fr/9", 1), ("http://m.free-money.example.net/fr/1", 1), ("http://quiet-place.example.com/fr/2", 0), ("http://blog.ththan.example.net/fr/960", 0)]
-    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
-    got = {r["page_id"]: r["bad_score"] for r in url_filter.judge_urls(pages, url_filter.default_labelled(spark)).collect()}
-    assert min(got[0], got[1]) > max(got[2], got[3])
+    labelled = url_filter.default_labelled(spark)
+    assert url_filter.unseen_auc(labelled) > 0.98
+    model = url_filter.train(labelled)
+    assert len(model[0]) == url_filter.Settings().buckets
+    urls = [("http://poker-island.example/fr/9", 1), ("http://m.xxx-village.test/fr/1", 1), ("http://tracker.somewhere.test/p", 1), ("http://quiet-place.example.com/fr/2", 0), ("http://blog.ondorvale.example.net/fr/960", 0), ("http://roads.test", 0)]
+    pages = spark.createDataFrame([(i, u, 1) for i, (u, _) in enumerate(urls)], "page_id long, url string, grams int")
+    got = {r["page_id"]: r["bad_score"] for r in url_filter.score(pages, model).collect()}
+    assert min(got[0], got[1], got[2]) > 0.5 > max(got[3], got[4], got[5])
+    # by hand: the sum of the weights of the distinct n-grams of lengths 3, 4 and 5
+    text = "^quiet-place.example.com /fr/2$"
+    grams = {(n, text[i : i + n]) for n in (3, 4, 5) for i in range(len(text) - n + 1)}
+    hashed = spark.createDataFrame(sorted(grams), "n int, g string").select(F.expr("pmod(xxhash64(n, g), 32768)")).distinct().collect()
+    z = sum(model[0][r[0]] for r in hashed) + model[1]
+    assert got[3] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(i, "http://x.org/en/" + "ab" * 300_000) for i in range(2)], "page_id long, url string")
+    model = url_filter.train(url_filter.default_labelled(spark))
+    began = time.time()
+    assert len(url_filter.score(pages, model).select("bad_score").distinct().collect()) == 1
+    assert time.time() - began < 40
 
 
 # ------------------------------------------------------------------ 6

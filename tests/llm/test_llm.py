@@ -215,6 +215,24 @@ def test_mixing_meets_rates_and_keeps_columns(spark, docs, empty):
     assert abs(huge - 5000) < 4 * math.sqrt(5000 / 20) + 60
 
 
+def test_mixing_distribution_and_extreme_rates(spark):
+    for rate in (0.0, 0.3, 7.5, 40.0, 3000.0, 2.4e7):
+        r = mixing.with_distribution(spark.createDataFrame([("g", rate)], "mix_group string, rate double")).first()
+        k = np.arange(r["first_k"], r["last_k"] + 1, dtype=float)
+        p = np.exp([x * math.log(rate) - rate - math.lgamma(x + 1) for x in k]) if rate else (k == 0).astype(float)
+        assert len(r["cdf"]) == len(k) and np.abs(np.cumsum(p) - r["cdf"]).max() < (1e-10 if rate < 1e4 else 1e-6)  # the logarithms of the test lose digits
+        assert r["cdf"][-1] == pytest.approx(1, abs=1e-12)
+    # one document of a source that is to fill half: its copies are dealt out in blocks, none is lost
+    rare = spark.createDataFrame([(1, "ab", "rare", 1, 2, 3), *((i, "x" * 100, "rest", 1, 2, 3) for i in range(2, 402))], "doc_id long, text string, source string, rate int, cdf int, first_k int")
+    out = mixing.replicate(rare, {"rare": 0.5}, 0.5)
+    n = out.where("doc_id = 1").agg(F.count("*"), F.countDistinct("mix_copy"), F.max("mix_copy"), F.max("mix_copies"), F.countDistinct("mix_order")).first()
+    assert len(set(n)) == 1 and abs(n[0] - 10_000) < 600
+    assert out.columns[:6] == rare.columns
+    small = mixing.replicate(rare, {"rare": 0.5}, 0.5, block=100_000)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, out.collect()))
+    assert mixing.replicate(rare, {"rare": 1e-9}, 1.0).where("doc_id = 1").count() == 0
+
+
 def check_shards(rows, n):
     sizes = [0] * n
     slots = defaultdict(list)

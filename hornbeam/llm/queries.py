@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.llm import chat_format, decontamination, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
-from hornbeam.llm.common import table
+from hornbeam.llm.common import stash, table
 
 
 def _remainder(doc_id, by: int):
@@ -38,9 +38,9 @@ def op4_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # only what the dimensions read; texts stay where they are
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    narrow = docs.select("doc_id", "source", "lang", sharding.text_size().alias("size"), crc.alias("text_crc32"))
-    sharded = sharding.kd_shards(narrow, n_shards=40, size=F.col("size"))
-    slots = sharding.with_slots(sharded)
+    narrow = docs.select("doc_id", "source", "lang", sharding.text_size().alias("size"), crc.alias("text_crc32"), sharding.text_key().alias("text_key"))
+    sharded = sharding.kd_shards(narrow, n_shards=40, size=F.col("size"), group=F.col("text_key"))
+    slots = sharding.with_slots(stash(sharded))
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -254,14 +254,41 @@ def test_shards(spark, docs, empty):
     assert sharding.kd_shards(empty, n_shards=3).collect() == []
 
 
+def test_shards_keep_copies_together_however_rows_are_read(spark):
+    r = random.Random(3)
+    rows = [(i, sentence(r.randint(3, 40), r), f"s{i % 5}", "x") for i in range(900)]
+    rows += [(1000 + 40 * g + j, rows[g][1], f"s{j % 3}", "y") for g in range(12) for j in range(g + 1)]
+    rows += [(3000 + i, "the hot text " * 9, "hot", None) for i in range(700)] + [(None, None, None, None), (None, "", "s1", "x"), (7, "twice", "a", "b"), (7, "twice", "a", "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = [sharding.kd_shards(table.repartition(n, *by), n_shards=9).collect() for n, by in ((1, ()), (7, ()), (5, ("lang",)))]
+    key = lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["text"] or "", x["shard"])
+    assert sorted(map(tuple, found[0]), key=str) == sorted(map(tuple, found[1]), key=str) == sorted(map(tuple, found[2]), key=str)
+    sizes, shards = Counter(), defaultdict(set)
+    for x in found[0]:
+        sizes[x["shard"]] += x["shard_size"]
+        shards[x["text"] or ""].add(x["shard"])
+    mean = sum(sizes.values()) / 9
+    assert all(len(v) == 1 for t, v in shards.items() if not t.startswith("the hot"))
+    assert 700 * 133 > mean and len(shards["the hot text " * 9]) <= 2 + 700 * 133 / mean
+    assert max(sizes.values()) - min(sizes.values()) < 0.2 * mean
+    assert len(found[0]) == len(rows) and set(sizes) == set(range(9))
+
+
 def test_op4_is_balanced(spark, sf_dir):
     rows = queries.op4_kd_tree_sharding(spark, sf_dir).collect()
-    assert len(rows) == common.table(spark, sf_dir, "documents").count()
+    docs = common.table(spark, sf_dir, "documents").collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((d["doc_id"], len((d["text"] or "").encode()) + 16, zlib.crc32((d["text"] or "").encode())) for d in docs)
     assert {r["shard"] for r in rows} <= set(range(40)) and {r["law"] for r in rows} == {"bytes"}
-    sizes = Counter()
+    sizes, slots, shards = Counter(), defaultdict(list), defaultdict(list)
     for r in rows:
         sizes[r["shard"]] += r["size"]
-    assert max(sizes.values()) <= 2 * sum(sizes.values()) / 40 + max(r["size"] for r in rows)
+        slots[r["shard"]].append(r["slot"])
+        shards[r["text_crc32"], r["size"]].append(r["shard"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert all(len(set(v)) == 1 for (_, size), v in shards.items() if size * len(v) <= sum(sizes.values()) // 40)
+    mean, largest = sum(sizes.values()) / 40, max(r["size"] for r in rows)
+    # 200 texts for 40 shards: one text is more than a shard; the rest even out
+    assert all(s <= 1.35 * mean or s <= largest + 0.35 * mean for s in sizes.values())
 
 
 # ------------------------------------------------------------------ 5

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 END = "\n</turn>\n"
 TURN = "struct<turn:bigint,role:string,text:string>"
+#: JSON strings of any length; the parser's own limit is 20 million characters, and longer ones would be lost.
+LONG = {"maxStringLen": "2147483647"}
 
 
 @dataclass(frozen=True)
@@ -85,27 +87,28 @@ def fingerprint_of(paths: tuple[str, ...]) -> Column:
     return F.lit(fingerprint(paths))
 
 
+def _object(json: Column) -> Column:
+    """A JSON object as a map of strings; null for anything else."""
+    return F.when(json.rlike(r"^\s*\{"), F.from_json(json, "map<string,string>", LONG))
+
+
 def json_paths(record: Column) -> Column:
     """Sorted field paths of a JSON object: its keys, and below a key those of an object or of any object in an array."""
     none = F.array().cast("array<string>")
-    top = F.coalesce(F.json_object_keys(record), none)
-    fields = F.from_json(record, "map<string,string>")
-    nested = F.flatten(
-        F.transform(
-            top,
-            lambda k: F.coalesce(
-                F.transform(
-                    F.array_distinct(
-                        F.flatten(F.transform(F.from_json(F.try_element_at(fields, k), "array<string>"), lambda e: F.coalesce(F.json_object_keys(e), none)))
-                    ),
-                    lambda x: F.concat(k, F.lit("[]."), x),
-                ),
-                F.transform(F.json_object_keys(F.try_element_at(fields, k)), lambda x: F.concat(k, F.lit("."), x)),
-                none,
-            ),
-        )
-    )
-    return F.array_sort(F.array_distinct(F.concat(top, nested)))
+
+    def paths(fields: Column) -> Column:
+        top = F.coalesce(F.map_keys(fields), none)
+
+        def below(k: Column) -> Column:
+            value = F.try_element_at(fields, k)
+            members = F.flatten(F.transform(F.from_json(value, "array<string>", LONG), lambda e: F.coalesce(F.map_keys(_object(e)), none)))
+            listed = F.when(value.rlike(r"^\s*\["), F.transform(F.array_distinct(members), lambda x: F.concat(k, F.lit("[]."), x)))
+            return F.coalesce(listed, F.transform(F.map_keys(_object(value)), lambda x: F.concat(k, F.lit("."), x)), none)
+
+        return F.array_sort(F.array_distinct(F.concat(top, F.flatten(F.transform(top, below)))))
+
+    # a list of one, so that the record is parsed once
+    return F.get(F.transform(F.array(_object(record)), paths), F.lit(0))
 
 
 def canonical_turns(records: DataFrame, id_column: str, json_column: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -118,8 +121,8 @@ def canonical_turns(records: DataFrame, id_column: str, json_column: str, mappin
     base = records.select(F.col(id_column).alias("conv_id"), F.col(json_column).cast("string").alias("record"))
     base = base.withColumn("paths", json_paths(F.col("record")))
     # below an empty array any path would be found
-    fields = F.from_json("record", "map<string,string>")
-    empty = F.filter(F.map_keys(fields), lambda k: F.size(F.from_json(F.try_element_at(fields, k), "array<string>")) == 0)
+    fields = _object(F.col("record"))
+    empty = F.filter(F.map_keys(fields), lambda k: F.size(F.from_json(F.try_element_at(fields, k), "array<string>", LONG)) == 0)
     base = base.withColumn("empty", F.coalesce(empty, F.array().cast("array<string>")))
     fits, ordered = [], sorted(mappings, key=_rank)
     for m in ordered:
@@ -135,7 +138,7 @@ def canonical_turns(records: DataFrame, id_column: str, json_column: str, mappin
     name = F.lit(None).cast("string")
     for m, hit in reversed(fits):
         # the parsed record is named in the mapping as r
-        value = F.element_at(F.expr(f"transform(array(from_json(record, '{_quoted(m.record)}')), r -> {m.turns})"), 1).cast(f"array<{TURN}>")
+        value = F.element_at(F.expr(f"transform(array(from_json(record, '{_quoted(m.record)}', map('maxStringLen', '{LONG["maxStringLen"]}'))), r -> {m.turns})"), 1).cast(f"array<{TURN}>")
         turns = F.when(hit, value).otherwise(turns)
         name = F.when(hit, F.lit(m.name)).otherwise(name)
     out = base.select("conv_id", name.alias("mapping"), turns.alias("turns"))
@@ -181,6 +184,32 @@ def turns_of(frame: DataFrame, id_column: str, mappings: tuple[Mapping, ...] = M
     )
 
 
+def as_records(turns: DataFrame) -> DataFrame:
+    """``conv_id, record``: conversations of ``turns(conv_id, turn, role, text)`` as JSON of mixed layouts, as corpora from
+    several places hold them; :func:`canonical_turns` reads them back in the same order.
+
+    A hash of the id deals conversations out to lists of messages under two names and to one record for each turn; a user's
+    and an assistant's turn alone may be a prompt and a response.  A null role or text is empty.  The order is that of
+    :func:`format_chats`.  One conversation is one output text, so its turns meet in one task here too.
+    """
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
+    turn = F.col("turn").cast("long")
+    rows = turns.select("conv_id", F.struct(turn.isNull().alias("last"), turn.alias("turn"), role, text).alias("t"))
+    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    # crc32 of the id, so that the layout does not go with Spark's own partitioning hash
+    layout = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
+    coded = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    plain = ~F.exists("t", lambda t: t["role"].isin("human", "gpt"))  # else the second name could not be read back
+    json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    messages = json(F.struct(F.lit("mixed").alias("id"), F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")))
+    others = json(F.struct(F.transform("t", lambda t: F.struct(coded(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations"), F.lit(1).alias("version")))
+    two = (F.size("t") == 2) & (F.get("t.role", F.lit(0)) == "user") & (F.get("t.role", F.lit(1)) == "assistant")
+    prompt = json(F.struct(F.get("t.text", F.lit(0)).alias("prompt"), F.get("t.text", F.lit(1)).alias("response")))
+    each = F.transform("t", lambda t: json(F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"))))
+    records = F.when(two & (layout < 2), F.array(prompt)).when(layout == 0, F.array(messages)).when((layout == 1) & plain, F.array(others)).otherwise(each)
+    return rows.select("conv_id", F.explode(records).alias("record"))
+
+
 def escape(c: Column) -> Column:
     for plain, coded in (("\\", "\\b"), ("<", "\\l"), ("#", "\\h")):
         c = F.replace(c, F.lit(plain), F.lit(coded))

@@ -72,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
-    turns = chat_format.turns_of(rows.unionByName(extra), "conv_id")
+    turns = chat_format.canonical_turns(chat_format.as_records(rows.unionByName(extra)), "conv_id", "record")
     back = chat_format.read_back(chat_format.format_chats(turns))
     told_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -708,19 +708,27 @@ def test_chat_equals_its_sql(spark, sf_dir):
     compare(queries.op10_chat_format(spark, sf_dir), queries.oracle_sql()["op10_chat_format"], sf_dir)
 
 
-def test_chat_round_trip(spark):
-    odd = ["\\", "\\b", "\\h#", "<", "</turn>", "### user\n", "\n</turn>\n", "", "é\n\n", "\\\\<#", " x ", "\\### Assistant: </turn> ok"]
+@pytest.mark.parametrize("through", ["columns", "records"])
+def test_chat_round_trip(spark, through):
+    turns_of = chat_format.turns_of if through == "columns" else lambda frame, i: chat_format.canonical_turns(chat_format.as_records(frame), i, "record")
+    odd = ["\u0000\u2028\t", '{"role": "x"}', "\\", "\\b", "\\h#", "<", "</turn>", "### user\n", "\n</turn>\n", "", "é\n\n", "\\\\<#", " x ", "\\### Assistant: </turn> ok"]
     r = random.Random(6)
-    convs = {c: [(t, r.choice(["user", "assistant", "system", "we#ird\n<role"]), r.choice(odd) + r.choice(odd)) for t in range(r.randrange(1, 7))] for c in range(60)}
+    convs = {c: [(0, "user", "q"), (1, "assistant", r.choice(odd))] if c % 5 == 0 else [(t, r.choice(["user", "assistant", "system", "we#ird\n<role", *(["human"] if c % 7 == 0 else [])]), r.choice(odd) + r.choice(odd)) for t in range(r.randrange(1, 7))] for c in range(60)}
     rows = [(c, t, role, text, "z") for c, turns in convs.items() for t, role, text in turns] + [(None, None, None, None, "z"), (0, 0, None, None, "z")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(4)
-    back = chat_format.read_back(chat_format.format_chats(chat_format.turns_of(frame, "conv_id"))).collect()
+    back = chat_format.read_back(chat_format.format_chats(turns_of(frame, "conv_id"))).collect()
     got = {b["conv_id"]: ([(t["role"], t["text"]) for t in b["turns"]], b["loss_text"]) for b in back}
     assert got[None] == ([("", "")], "")
     for c, turns in convs.items():
         want = sorted([(t, role, text) for t, role, text in turns] + ([(0, "", "")] if c == 0 else []))
         assert got[c] == ([x[1:] for x in want], "".join(x[2] for x in want if x[1] == "assistant"))
-    assert chat_format.format_chats(chat_format.turns_of(frame.limit(0), "conv_id")).collect() == []
+    assert chat_format.format_chats(turns_of(frame.limit(0), "conv_id")).collect() == []
+    if through == "records":
+        names = {x["mapping"] for x in turns_of(frame, "conv_id").collect()}
+        assert names == {"prompt", "messages", "conversations", "turn_row"}
+        long = "ab" * 12_000_000
+        one = spark.createDataFrame([(c, 0, "user", long) for c in range(4)], "conv_id long, turn long, role string, text string")
+        assert turns_of(one, "conv_id").where(F.length("text") == len(long)).count() == 4
 
 
 def test_layouts_by_fingerprint(spark):

@@ -45,7 +45,8 @@ class Model:
         level = self.settings.level
         two = []
         for raw in (self.good, self.bad):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            # with its tables of symbol frequencies where it was trained, else as content alone
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO)
             d.precompute_compress(level=level)
             two.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
         good, bad = two
@@ -76,7 +77,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> l
         part = ids.where(F.col("label") == label).orderBy("rank_hash", "doc_id").limit(settings.max_rows)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * max_rows ids: a bound that no input can pass
-    texts = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "rank_hash").agg(F.min("text").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "rank_hash").agg(F.min("text").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     texts = texts.where(size.between(1, settings.max_bytes)).withColumn(
         "upto", F.sum(size).over(Window.partitionBy("label").orderBy("rank_hash", "doc_id"))
@@ -86,14 +88,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> l
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Content of a dictionary: pieces cut evenly from all the texts, so that no text fills it alone."""
+    """A dictionary trained on pieces cut evenly from all the texts, so that no text fills it alone."""
     import zstandard
 
     samples = [t[i : i + 512] for t in texts for i in range(0, len(t), 512)]
     samples = [s for s in samples if len(s) >= 16]
     try:
         trained = zstandard.train_dictionary(size, samples, k=256, d=8, steps=1, threads=1)
-        return trained.as_bytes()[-size:]
+        return trained.as_bytes()
     except zstandard.ZstdError:  # too few samples to train from: the samples themselves serve
         return b"".join(samples)[-size:]
 

@@ -116,6 +116,10 @@ def test_classifier_edges(spark, docs, empty):
     out = quality_classifier.classify(docs, model).collect()
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
     assert quality_classifier.classify(empty, model).collect() == []
+    clashing = docs.withColumns({c: F.lit("9") for c in ("label", "rank_hash", "upto", "raw", "score", "predicted")})
+    again = quality_classifier.train(clashing, labels)
+    assert (again.good, again.slope) == (model.good, model.slope)
+    assert quality_classifier.classify(clashing, again).columns == ["doc_id", "raw", "score", "predicted"]
     single = quality_classifier.train(docs, labels.where("label = 1"))
     assert {r["score"] for r in quality_classifier.classify(docs, single).collect()} == {0.5}
 

@@ -19,6 +19,7 @@ counted with partial aggregation instead (``hot``).
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
@@ -43,6 +44,8 @@ class Settings:
     gram: int = 32
     #: Different stretches of one anchor beyond which its windows are counted by hash.
     hot: int = 20_000
+    #: Texts that a task remembers when it skips copies; forgotten ones only cost their pieces again.
+    remembered: int = 20_000
 
 
 # ---------------------------------------------------------------- anchors
@@ -302,11 +305,17 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The wanted stretches' bytes, or for hot anchors the hashes of their windows."""
+        """The wanted stretches' bytes, of the copies of a text that a task meets once."""
+        done: OrderedDict[bytes, None] = OrderedDict()
         for batch in slices(batches, 128):
             rows = []
-            for text, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = _bytes_of(text)
+            for i, key in enumerate(batch.column(2).to_pylist()):
+                if key in done:
+                    continue
+                done[key] = None
+                if len(done) > s.remembered:
+                    done.popitem(last=False)
+                need, raw = batch.column(1)[i].as_py(), _bytes_of(batch.column(0)[i].as_py())
                 for x in need:
                     piece = raw[x["begin"] : x["stop"] - 1 + s.length]
                     rows.append((x["anchor"], x["content"], x["at"] - x["begin"], x["stop"] - x["begin"], x["state"], piece))
@@ -316,14 +325,14 @@ def spans(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "content", "before", "windows", "state", "piece"]
             )
 
-    pieces = keyed.join(wanted, "text_key").select("text", "need").mapInArrow(
+    pieces = keyed.join(wanted, "text_key").select("text", "need", "text_key").mapInArrow(
         cut, "anchor long, content long, before int, windows int, state int, piece binary"
     )
     pieces = stash(pieces)
 
     def sort(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        # copies of one text bring the same stretch more than once
+        # copies of one text in several tasks bring the same stretch more than once
         _, one = np.unique(np.stack([group["anchor"].to_numpy(), group["content"].to_numpy()]), axis=1, return_index=True)
         group = group.take(pa.array(np.sort(one)))
         anchor = group["anchor"].to_numpy().view(np.uint64)

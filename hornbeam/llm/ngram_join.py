@@ -44,6 +44,8 @@ class Settings:
     axes: int = 256
     #: In how many groups of shingles a linked pair agrees at least.
     agree: int = 4
+    #: How often a small set is dealt out anew.
+    again: int = 8
     #: Texts of a tie up to which its pairs are listed one by one.
     few: int = 8
     #: Members of a family that one task takes; beyond, it is cut into blocks of this many.
@@ -116,30 +118,42 @@ def classes(docs: DataFrame, s: Settings) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n long, key binary, tag long, point binary")
 
 
+def _group_signatures(own: np.ndarray, groups: int, salt: int) -> np.ndarray:
+    """Hashes of the filled groups when a set is dealt out to so many groups by the salted hash of its members."""
+    at = (((mix(own ^ U(0xA0761D6478BD642F ^ salt)) >> U(32)) * U(groups)) >> U(32)).astype(np.int64)
+    sums = np.zeros(groups, np.uint64)
+    np.add.at(sums, at, mix(own ^ U(0xE7037ED1A0B428DB)))
+    filled = np.bincount(at, minlength=groups) > 0
+    return mix(sums + mix(U((salt << 32) + 1) + np.arange(groups, dtype=np.uint64)))[filled]
+
+
 def signatures(own: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
     """For each size level that a partner may share, the hashes of the set's groups.
 
+    Of a set's filled groups all but D agree with those of a linked set, so a pair agrees at least as often as the greater
+    of both numbers of filled groups, less D.  A set for which that is less than ``agree``, a small one, is dealt out
+    again by other hashes, and if that is not enough member by member.  Its partner does so too, or has enough filled
+    groups by itself.
+
     A text too small to differ from a partner in any shingle has none: such partners are of its own class.
     """
     n = len(own)
     largest = 100 * n // s.percent
     if s.differing(n + largest) < 1:
         return
-    place = mix(own ^ U(0xA0761D6478BD642F)) >> U(32)
-    value = mix(own ^ U(0xE7037ED1A0B428DB))
     for level in range(s.level(n), s.level(largest) + 1):
         differ, groups = s.groups(level)
-        at = ((place * U(groups)) >> U(32)).astype(np.int64)
-        sums = np.zeros(groups, np.uint64)
-        np.add.at(sums, at, value)
-        filled = np.bincount(at, minlength=groups) > 0
-        salt = U((level << 32) + 1) + np.arange(groups, dtype=np.uint64)
-        yield mix(sums + mix(salt))[filled]
-        # of the groups - D groups that agree, those that are filled may be too few; texts of which that is so are
-        # given as many signatures in common as they lack
-        lacking = min(s.agree, s.agree - (int(filled.sum()) - differ))
-        if lacking > 0:
-            yield mix(U((level << 32) + (1 << 31)) + np.arange(lacking, dtype=np.uint64))
+        sure = 0
+        for again in range(s.again + 1):
+            found = _group_signatures(own, groups, level + (again << 8))
+            yield found
+            # a round counts where it is sure to find something
+            sure += max(0, len(found) - differ)
+            if not again and sure >= s.agree:
+                break
+        else:
+            if sure < s.agree:
+                yield mix(own + mix(U((level << 32) + 2)))
 
 
 def ties(docs: DataFrame, s: Settings) -> DataFrame:

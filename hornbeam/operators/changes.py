@@ -47,7 +47,7 @@ def time_split(commits: DataFrame, share: float = 0.7) -> DataFrame:
     from hornbeam.operators.ranking import running
 
     n = commits.agg(F.count("*").alias("__n"))
-    at = running(commits.withColumn("__one", F.lit(1).cast("long")), [], [F.col("ct"), F.col("sha")], "ct", {"__at": "__one"})
+    at = running(commits.withColumn("__one", F.lit(1).cast("long")), [], [F.col("ct"), F.col("sha")], {"__at": "__one"})
     return at.crossJoin(F.broadcast(n)).withColumn("train", F.col("__at") <= F.floor(F.lit(share) * F.col("__n"))).drop("__one", "__at", "__n")
 
 

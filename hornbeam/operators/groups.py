@@ -84,7 +84,7 @@ def kruskal(df: DataFrame, by: list[str], group: Column, value: str) -> DataFram
     """
     per = df.groupBy(*by, group.alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
     values = per.groupBy(*by, "__v").agg(F.sum("__n").alias("__t"))
-    ranked = R.running(values, by, [F.col("__v")], "__v", {"__upto": "__t"})
+    ranked = R.running(values, by, [F.col("__v")], {"__upto": "__t"})
     keys = [f"__k{i}" for i in range(len(by) + 1)]
     ranked = ranked.select(*(F.col(c).alias(k) for c, k in zip([*by, "__v"], keys)), (2 * F.col("__upto") - F.col("__t") + 1).alias("__r2"), "__t")
     joined = per.join(ranked, R.safe([*by, "__v"], keys)).drop(*keys)

@@ -1,19 +1,22 @@
 """DeLong tests and bootstrap intervals.
 
-Bootstrap draws are hashes, so they need no state and are the same everywhere: slot ``s`` of resample ``r`` takes index
-``md5(seed|r|s) mod n``.  Draws of the same row are one row with a weight, and every metric is computed for all
-resamples in one plan, grouped by resample.
+Clusters are drawn with replacement: slot ``s`` of resample ``r`` takes index ``md5(seed|r|s) mod n``.  Rows within a
+cluster are drawn by weight, as many times as a Poisson number with mean 1 says: every row draws for itself, so nothing
+depends on how many rows a cluster has, and no row has to be found by its number.  The numbers of a row come from two
+31-bit numbers of its MD5, ``(a + j * b) mod 2**31 - 1`` for draw ``j``, the same on every run and in SQL.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hornbeam.operators import ranking as R
+from hornbeam.sources.store import written
 
 
 def hash_index(n: Column, *parts: Column | str) -> Column:
@@ -54,9 +57,34 @@ def delong(df: DataFrame, by: list[str], a: str, b: str, positive: Column | str)
     return out.withColumn("z", F.when(var > 1e-15, F.col("delta") / F.sqrt(var)))
 
 
+#: Modulus of the draws, a prime.
+PRIME = 2**31 - 1
+#: Where the Poisson distribution with mean 1 passes 0, 1, 2, ... on the scale of the draws.
+LIMITS = tuple(round(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(11))
+
+
+def with_stream(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """Adds ``__a`` and ``__b``, of which :func:`drawn_weight` makes the row's draws."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % PRIME
+    return df.withColumn("__a", part(1)).withColumn("__b", part(9))
+
+
+def drawn_weight(j: Column) -> Column:
+    """How often draw ``j`` takes the row."""
+    x = (F.col("__a") + j * F.col("__b")) % PRIME
+    return reduce(lambda u, v: u + v, ((x >= limit).cast("int") for limit in LIMITS)).cast("long")
+
+
+def resampled(df: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
+    """``df`` with ``rep`` and ``weight``, a row for each resample that takes the row."""
+    out = with_stream(df, key, seed).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    return out.withColumn("weight", drawn_weight(F.col("rep"))).where("weight > 0").drop("__a", "__b")
+
+
 def indexed(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
     """Adds ``name``, the position from 0 within the group."""
-    run = R.running(df.withColumn("__one", F.lit(1).cast("long")), by, [F.col(order)], order, {name: "__one"})
+    run = R.running(df.withColumn("__one", F.lit(1).cast("long")), by, [F.col(order)], {name: "__one"})
     return run.withColumn(name, F.col(name) - 1).drop("__one")
 
 
@@ -67,11 +95,33 @@ def cluster_draws(clusters: DataFrame, n: int, reps: int, seed: str) -> DataFram
     return grid.withColumn("cluster_at", hash_index(F.lit(n), seed, "c", F.col("rep"), F.col("slot")))
 
 
-def row_draws(sizes: DataFrame, keys: list[str], reps: DataFrame | None, seed: str) -> DataFrame:
-    """``keys..., at, weight``: for each row of ``sizes(keys..., n)``, ``n`` draws with replacement, equal ones counted."""
-    d = sizes.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    d = d.withColumn("at", hash_index(F.col("n"), seed, "u", *(F.col(k) for k in keys), F.col("__i")))
-    return d.groupBy(*keys, "at").agg(F.count("*").alias("weight"))
+def concordance(df: DataFrame, cluster: str, risk: str, positive: Column | str) -> DataFrame:
+    """``c1, c2, twice``: pairs of a positive row of one cluster and another row of the other in order, ties half, doubled.
+
+    With it the pooled AUC of any weighting of clusters is a sum over pairs of clusters, and no resample looks at rows.
+    The rows in between are distinct risks of positive rows times clusters.
+    """
+    per = df.groupBy(cluster, F.col(risk).alias("__r")).agg(F.count_if(R.column(positive)).alias("__p"), F.count_if(~R.column(positive)).alias("__q"))
+    per = written(per, "risks")
+    at = per.where("__p > 0").select("__r").distinct()
+    names = per.select(F.col(cluster).alias("c2")).distinct()
+    asked = at.crossJoin(F.broadcast(names)).select("c2", "__r", F.lit(0).cast("long").alias("__q"))  # clusters are few
+    told = per.where("__q > 0").select(F.col(cluster).alias("c2"), "__r", "__q").unionByName(asked).groupBy("c2", "__r").agg(F.sum("__q").alias("__q"))
+    run = R.running(told, ["c2"], [F.col("__r")], {"__upto": "__q"})
+    pos = per.where("__p > 0").select(F.col(cluster).alias("c1"), F.col("__r").alias("__k"), "__p")
+    met = pos.join(run, F.col("__k") == F.col("__r"))
+    return met.groupBy("c1", "c2").agg(F.sum(F.col("__p") * (2 * F.col("__upto") - F.col("__q"))).alias("twice"))
+
+
+def pooled_auc(pairs: DataFrame, counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """``rep, auc`` over all rows when clusters weigh ``weights(cluster, rep, weight)``: from :func:`concordance` and
+    ``counts(cluster, p, q)``.  With one class only it is 0.5."""
+    w1, w2 = (weights.select(F.col("cluster").alias(c), F.col("rep").alias(r), F.col("weight").alias(w)) for c, r, w in (("c1", "rep", "w1"), ("c2", "__rep", "w2")))
+    num = w1.join(pairs, "c1").alias("x").join(w2.alias("y"), (F.col("x.c2") == F.col("y.c2")) & (F.col("rep") == F.col("__rep")))
+    num = num.groupBy("rep").agg(F.sum(F.col("twice") * F.col("w1") * F.col("w2")).alias("twice"))
+    den = counts.join(weights, "cluster").groupBy("rep").agg(F.sum(F.col("p") * F.col("weight")).alias("p"), F.sum(F.col("q") * F.col("weight")).alias("q"))
+    value = F.when((F.col("p") == 0) | (F.col("q") == 0), 0.5).otherwise(F.try_divide(F.coalesce("twice", F.lit(0)).cast("double"), 2.0 * F.col("p") * F.col("q")))
+    return den.join(num, "rep", "left").select("rep", value.alias("auc"))
 
 
 def interval(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornbeam.sources.store import written
+
 
 def scaled(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each feature; a constant one has deviation 1."""
@@ -69,7 +71,7 @@ def predict(df: DataFrame, features: list[str], model) -> DataFrame:
 def out_of_fold(df: DataFrame, fold: str, features: list[str], label: str, c: float = 1.0, balanced: bool = True) -> DataFrame:
     """``df`` with ``p`` from a model that has not seen the row's fold.  There are as many fits as folds; folds are few."""
     out = None
-    df = df.cache()  # read by every step of every fit
+    df = written(df, "folds")  # read by every step of every fit
     for (value,) in df.select(fold).distinct().orderBy(fold).collect():
         model = fit(df.where(~F.col(fold).eqNullSafe(F.lit(value))), features, label, c, balanced)
         part = predict(df.where(F.col(fold).eqNullSafe(F.lit(value))), features, model)
@@ -83,7 +85,7 @@ def folds(df: DataFrame, label: str, key: str, n: int = 10, seed: str = "7") ->
 
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long")
     d = df.withColumn("__h", hashed).withColumn("__one", F.lit(1).cast("long"))
-    at = running(d, [label], [F.col("__h"), F.col(key)], "__h", {"__at": "__one"})
+    at = running(d, [label], [F.col("__h"), F.col(key)], {"__at": "__one"})
     return at.withColumn("fold", F.pmod(F.col("__at") - 1, F.lit(n)).cast("int")).drop("__h", "__one", "__at")
 
 

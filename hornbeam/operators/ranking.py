@@ -2,8 +2,8 @@
 resample or window are one plan.
 
 Running sums are the core.  A window over a whole group would put a large group in one task, so ``running`` cuts the
-order into buckets by quantiles of its first column, sums inside buckets, and adds the totals of the buckets before.
-Metrics that depend on a score alone are first summed for each distinct score.
+full order of all groups into ranges of about the same number of rows, sums inside a group's part of a range, and adds
+the totals of its parts before.  Metrics that depend on a score alone are first summed for each distinct score.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from hornbeam.sources.store import written
 
 
 def safe(by: list[str], other: list[str]) -> Column:
@@ -21,17 +21,20 @@ def safe(by: list[str], other: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(by, other)), F.lit(True))
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], first: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """Adds for each ``{name: column}`` the sum of ``column`` up to and with the row; ``first`` is the numeric column that
-    ``order`` begins with, in the direction told.  Rows that agree in all of ``order`` get sums in an arbitrary order."""
-    cuts = df.agg(F.percentile_approx(first, [i / BUCKETS for i in range(1, BUCKETS)], 2000).alias("__cuts"))
-    placed = df.crossJoin(F.broadcast(cuts))  # one row
-    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(first)))
-    placed = placed.withColumn("__b", F.when(F.col("__cuts").isNull(), 0).otherwise(-bucket if descending else bucket)).drop("__cuts")
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds for each ``{name: column}`` the sum of ``column`` up to and with the row, within its group.  Rows that agree in
+    all of ``order`` get sums in an arbitrary order.
+
+    The ranges are as many as ``spark.sql.shuffle.partitions``, so their number follows the input, and neither a large
+    group nor many rows with one score make a large range.  Rows are written once with their range: drawn again, the
+    borders of the ranges would be others.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(ranges, *(F.col(c) for c in by), *order).withColumn("__b", F.spark_partition_id()), "running")
     inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.select("*", *(F.sum(c).over(inner).alias(f"__in_{n}") for n, c in sums.items()))
     totals = placed.groupBy(*by, "__b").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a group
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     keys = [f"__k{i}" for i in range(len(by))]
     totals = totals.select(
         *(F.col(c).alias(k) for c, k in zip(by, keys)), F.col("__b").alias("__kb"), *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums)
@@ -51,7 +54,7 @@ def several_midranks(df: DataFrame, wanted: list[tuple[list[str], str, str]]) ->
     out = df
     for by, column, name in wanted:
         counts = df.groupBy(*by, column).agg(F.count("*").alias("__n"))
-        ranked = running(counts, by, [F.col(column)], column, {"__upto": "__n"})
+        ranked = running(counts, by, [F.col(column)], {"__upto": "__n"})
         keys = [f"__r{i}" for i in range(len(by) + 1)]
         table = ranked.select(*(F.col(c).alias(k) for c, k in zip([*by, column], keys)), (2 * F.col("__upto") - F.col("__n") + 1).alias(name))
         out = out.join(table, safe([*by, column], keys)).drop(*keys)
@@ -71,7 +74,7 @@ def auc(df: DataFrame, by: list[str], risk: Column | str, positive: Column | str
     risk, positive = column(risk), column(positive)
     w = F.lit(1).cast("long") if weight is None else weight
     per = df.groupBy(*by, risk.alias("__risk")).agg(F.sum(F.when(positive, w).otherwise(0)).alias("__p"), F.sum(F.when(positive, F.lit(0)).otherwise(w)).alias("__q"))
-    run = running(per, by, [F.col("__risk")], "__risk", {"__neg": "__q"})
+    run = running(per, by, [F.col("__risk")], {"__neg": "__q"})
     twice = F.sum(F.col("__p") * (2 * F.col("__neg") - F.col("__q")))
     p, q = F.sum("__p"), F.sum("__q")
     value = F.when((p == 0) | (q == 0), F.lit(degenerate)).otherwise(F.try_divide(twice.cast("double"), 2.0 * p * q))
@@ -82,7 +85,7 @@ def roc_curve(df: DataFrame, by: list[str], risk: Column | str, positive: Column
     """``by..., threshold, tpr, fpr`` after each distinct risk, from the riskiest; the origin has a null threshold."""
     risk, positive = column(risk), column(positive)
     per = df.groupBy(*by, risk.alias("threshold")).agg(F.count_if(positive).alias("__p"), F.count_if(~positive).alias("__q"))
-    run = running(per, by, [F.col("threshold").desc()], "threshold", {"__tp": "__p", "__fp": "__q"}, descending=True)
+    run = running(per, by, [F.col("threshold").desc()], {"__tp": "__p", "__fp": "__q"})
     total = df.groupBy(*by).agg(F.count_if(positive).alias("__np"), F.count_if(~positive).alias("__nq"))
     keys = [f"__k{i}" for i in range(len(by))]
     total = total.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), "__np", "__nq")
@@ -92,9 +95,9 @@ def roc_curve(df: DataFrame, by: list[str], risk: Column | str, positive: Column
     return points.unionByName(origin)
 
 
-def _area(df: DataFrame, by: list[str], order: list[Column], first: str, descending: bool, size: str, defects: str) -> DataFrame:
+def _area(df: DataFrame, by: list[str], order: list[Column], size: str, defects: str) -> DataFrame:
     """``by..., area`` times 2 * total size * total defects, an exact sum: the cumulative curve by trapezoids."""
-    run = running(df, by, order, first, {"__d": defects}, descending)
+    run = running(df, by, order, {"__d": defects})
     return run.groupBy(*by).agg(
         F.sum((F.col(size) * (2 * F.col("__d") - F.col(defects))).cast("decimal(38,0)")).alias("area"), F.sum(size).alias("w"), F.sum(defects).alias("d"), F.count("*").alias("n")
     )
@@ -104,16 +107,22 @@ def floored(df: DataFrame, size: str) -> DataFrame:
     return df.withColumn(size, F.greatest(F.col(size), F.lit(1)))
 
 
+def _narrow(df: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """Only what a metric over an order reads, sizes 1 at least; written once, as several orders are made of it."""
+    _, size, _ = columns
+    return written(floored(df.select(*dict.fromkeys([*by, *columns, "ord"])), size), "units")
+
+
 def popt(df: DataFrame, by: list[str], score: str, size: str = "size", defects: str = "defects", size_tie: bool = True) -> DataFrame:
     """``by..., n, area_model, area_optimal, area_worst, popt``: low scores are inspected first, ties by size, then ``ord``.
 
     Null without a defect or with fewer than 3 rows; 0.5 where best and worst order are alike.  The worst curve is the
     best one reversed, so its area is what the best one's is short of 1.
     """
-    d = floored(df, size).withColumn("__density", F.col(defects) / F.col(size))
+    d = _narrow(df, by, score, size, defects).withColumn("__density", F.col(defects) / F.col(size))
     model = [F.col(score), *([F.col(size)] if size_tie else []), F.col("ord")]
-    a = _area(d, by, model, score, False, size, defects)
-    b = _area(d, by, [F.col("__density").desc(), F.col("ord")], "__density", True, size, defects)
+    a = _area(d, by, model, size, defects)
+    b = _area(d, by, [F.col("__density").desc(), F.col("ord")], size, defects)
     keys = [f"__k{i}" for i in range(len(by))]
     b = b.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col("area").alias("best"))
     both = a.join(b, safe(by, keys)) if by else a.crossJoin(F.broadcast(b))
@@ -127,8 +136,8 @@ def popt(df: DataFrame, by: list[str], score: str, size: str = "size", defects:
 
 def alberg_curve(df: DataFrame, by: list[str], score: str, size: str = "size", defects: str = "defects") -> DataFrame:
     """``by..., ord, size_share, defect_share`` along the model's order."""
-    d = floored(df, size)
-    run = running(d, by, [F.col(score), F.col(size), F.col("ord")], score, {"__w": size, "__d": defects})
+    d = _narrow(df, by, score, size, defects)
+    run = running(d, by, [F.col(score), F.col(size), F.col("ord")], {"__w": size, "__d": defects})
     keys = [f"__k{i}" for i in range(len(by))]
     total = d.groupBy(*by).agg(F.sum(size).alias("__tw"), F.sum(defects).alias("__td"))
     total = total.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), "__tw", "__td")
@@ -142,8 +151,8 @@ def effort(df: DataFrame, by: list[str], score: str, share: float = 0.2, size: s
     The first file is always inspected; the walk ends at the first that does not fit.  Sizes are at least 1, so running
     sums rise and the walk is a filter.
     """
-    d = floored(df, size)
-    run = running(d, by, [F.col(score), F.col(size), F.col("ord")], score, {"__w": size})
+    d = _narrow(df, by, score, size, defects)
+    run = running(d, by, [F.col(score), F.col(size), F.col("ord")], {"__w": size})
     keys = [f"__k{i}" for i in range(len(by))]
     total = d.groupBy(*by).agg(F.sum(size).alias("__tw"), F.sum(defects).alias("__td"), F.count_if(F.col(defects) > 0).alias("__tp"))
     total = total.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), "__tw", "__td", "__tp")

@@ -173,9 +173,9 @@ def repo_histogram(spark, d):
     return tokens(spark, d).groupBy("repo").agg(F.count("*").alias("n"))
 
 
-def _lines(spark, d):
+def agent_lines(events):
     """Agent event streams made of events: a line of JSON for each, with broken lines between."""
-    e = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), "event_type", "value")
+    e = events.select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), "event_type", "value")
     path = F.concat(F.lit("f"), (F.col("ord") % 5).cast("string"), F.lit(".py"))
     tool = F.when(F.col("ord") % 3 == 0, "Read").when(F.col("ord") % 3 == 1, "Edit").otherwise("Task")
     use = F.format_string('{"type":"assistant","message":{"content":[{"type":"tool_use","name":"%s","input":{"file_path":"%s"}},{"type":"text"}]}}', tool, path)
@@ -185,7 +185,7 @@ def _lines(spark, d):
 
 
 def stream_summary(spark, d):
-    return _rounded(P.stream_summary(_lines(spark, d)), "cost")
+    return _rounded(P.stream_summary(agent_lines(read(spark, d, "events"))), "cost")
 
 
 def failure_reasons(spark, d):

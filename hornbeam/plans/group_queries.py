@@ -112,7 +112,7 @@ def band_zscore(spark, d):
 def band_rank(spark, d):
     """Ordinal rank / (n - 1) within cluster and band, ties by input order."""
     b = G.bands(units(spark, d)).withColumn("one", F.lit(1))
-    run = R.running(b, ["cluster", "band"], [F.col("score"), F.col("ord")], "score", {"at": "one"})
+    run = R.running(b, ["cluster", "band"], [F.col("score"), F.col("ord")], {"at": "one"})
     n = b.groupBy(F.col("cluster").alias("c"), F.col("band").alias("d")).agg(F.count("*").alias("n"))
     both = run.join(n, R.safe(["cluster", "band"], ["c", "d"]))
     return _rounded(both.select("unit_id", ((F.col("at") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("rank")), "rank")

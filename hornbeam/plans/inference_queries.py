@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from hornbeam.operators import inference as I
 from hornbeam.operators import ranking as R
 from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _rounded, popt_sql
+from hornbeam.sources.store import written
 from hornbeam.sources.tables import read, units
 
 #: Resamples of every registered bootstrap, the reference's number; the equivalents in SQL draw as many.
 REPS, SEED = 2000, "12345"
+#: And of the differences within clusters.
+WITHIN_REPS = 600
 
 
 def predictors(spark, d):
@@ -67,23 +70,21 @@ def head_to_head(spark, d):
 
 def boot_ci_auc(spark, d):
     """Interval of each cluster's AUC by drawing its units."""
-    u = I.indexed(units(spark, d), ["cluster"], "ord", "at")
-    sizes = u.groupBy("cluster").agg(F.count("*").alias("n")).crossJoin(spark.range(REPS).select(F.col("id").alias("rep")))
-    draws = I.row_draws(sizes, ["cluster", "rep"], None, SEED)
-    per = R.auc(draws.join(u, ["cluster", "at"]), ["cluster", "rep"], RISK, POSITIVE, weight=F.col("weight"))
+    t = I.resampled(units(spark, d).select("cluster", "ord", "score", "defects"), "ord", REPS, SEED)
+    per = R.auc(t, ["cluster", "rep"], RISK, POSITIVE, weight=F.col("weight"))
     return _rounded(I.interval(per, ["cluster"], "auc"), "lo", "hi")
 
 
 def within_boot_delta(spark, d):
     """Difference of two risks' mean AUC over clusters when units are drawn within each cluster: its mean, and the
     values at positions ``int(q * n)`` of the sorted resamples."""
-    u = I.indexed(_two(spark, d), ["cluster"], "ord", "at")
-    sizes = u.groupBy("cluster").agg(F.count("*").alias("n")).crossJoin(spark.range(REPS).select(F.col("id").alias("rep")))
-    t = I.row_draws(sizes, ["cluster", "rep"], None, SEED).join(u, ["cluster", "at"])
-    a = R.auc(t, ["cluster", "rep"], "a", POSITIVE, None, F.col("weight")).select("cluster", "rep", F.col("auc").alias("x"))
-    b = R.auc(t, ["cluster", "rep"], "b", POSITIVE, None, F.col("weight")).select("cluster", "rep", F.col("auc").alias("y"))
-    per = a.join(b, ["cluster", "rep"]).groupBy("rep").agg(F.avg(F.col("x") - F.col("y")).alias("delta"))
-    values = F.array_sort(F.collect_list("delta"))  # REPS numbers
+    t = I.resampled(_two(spark, d).select("cluster", "ord", "a", "b", "defects"), "ord", WITHIN_REPS, SEED)
+    # both risks of a row in one pass
+    long = t.select("cluster", "rep", "weight", "defects", F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array("a", "b"))).alias("side", "risk"))
+    per = R.auc(long, ["cluster", "rep", "side"], "risk", POSITIVE, None, F.col("weight"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("auc")))
+    per = per.groupBy("cluster", "rep").agg((side("a") - side("b")).alias("delta")).groupBy("rep").agg(F.avg("delta").alias("delta"))
+    values = F.array_sort(F.collect_list("delta"))  # WITHIN_REPS numbers
     at = lambda q: F.element_at("v", F.floor(q * F.size("v")).cast("int") + 1)
     out = per.agg(values.alias("v"), F.avg("delta").alias("mean")).select("mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
     return _rounded(out, "mean", "lo", "hi")
@@ -91,12 +92,13 @@ def within_boot_delta(spark, d):
 
 def _two_stage(spark, d):
     """Weighted units of each slot: clusters are drawn, then units within each slot anew."""
-    u = I.indexed(units(spark, d), ["cluster"], "ord", "at")
-    names = I.indexed(u.groupBy("cluster").agg(F.count("*").alias("n"), F.min("ord").alias("first")), [], "first", "cluster_at")
+    u = written(I.with_stream(units(spark, d).select("cluster", "ord", "score", "defects"), "ord", SEED), "units")
+    names = I.indexed(u.groupBy("cluster").agg(F.min("ord").alias("first")), [], "first", "cluster_at")
     k = names.count()
-    slots = I.cluster_draws(names, k, REPS, SEED).join(names, "cluster_at").select("cluster", "rep", "slot", "n")
-    draws = I.row_draws(slots, ["cluster", "rep", "slot"], None, SEED)
-    return draws.join(u, ["cluster", "at"])
+    slots = I.cluster_draws(names, k, REPS, SEED).join(names, "cluster_at").groupBy("cluster").agg(F.collect_list(F.struct("rep", "slot")).alias("slots"))
+    # a cluster's slots, about as many as resamples
+    t = u.join(slots, "cluster").withColumn("s", F.explode("slots")).select("score", "defects", "__a", "__b", "s.rep", "s.slot")
+    return t.withColumn("weight", I.drawn_weight(F.col("rep") * k + F.col("slot"))).where("weight > 0").select("rep", "slot", "score", "defects", "weight")
 
 
 def cluster_boot_mean_auc(spark, d):
@@ -133,12 +135,17 @@ def cluster_ci_ratio(spark, d):
 
 
 def paired_delta(spark, d):
-    """Interval of the mean difference of two scorers' AUC over drawn clusters; each cluster's difference is made once."""
-    t = _two(spark, d)
-    a = R.auc(t, ["cluster"], "a", POSITIVE, None).select("cluster", F.col("auc").alias("x"))
-    b = R.auc(t, ["cluster"], "b", POSITIVE, None).select("cluster", F.col("auc").alias("y"))
-    j = a.join(b, "cluster").join(_cluster_weights(spark, t), "cluster").withColumn("delta", F.col("x") - F.col("y")).where("delta is not null")
-    per = j.groupBy("rep").agg((F.sum(F.col("delta") * F.col("weight")) / F.sum("weight")).alias("delta")).withColumn("of", F.lit("auc"))
+    """Intervals of the mean differences of two scorers' AUC and Popt over drawn clusters; each cluster's differences are
+    made once."""
+    t = written(_two(spark, d), "units")
+    auc = [R.auc(t, ["cluster"], x, POSITIVE, None).select("cluster", F.col("auc").alias("v")) for x in "ab"]
+    popt = [R.popt(t.withColumn("score", -F.col(x)), ["cluster"], "score").select("cluster", F.col("popt").alias("v")) for x in "ab"]
+    deltas = None
+    for of, (a, b) in (("auc", auc), ("popt", popt)):
+        one = a.join(b.withColumnRenamed("v", "w"), "cluster").select("cluster", F.lit(of).alias("of"), (F.col("v") - F.col("w")).alias("delta"))
+        deltas = one if deltas is None else deltas.unionByName(one)
+    j = deltas.where("delta is not null").join(_cluster_weights(spark, t), "cluster")
+    per = j.groupBy("of", "rep").agg((F.sum(F.col("delta") * F.col("weight")) / F.sum("weight")).alias("delta"))
     out = per.groupBy("of").agg(
         F.percentile("delta", 0.025).alias("lo"), F.percentile("delta", 0.975).alias("hi"), F.avg((F.round("delta", 9) <= 0).cast("int")).alias("p_le0")
     )
@@ -147,10 +154,11 @@ def paired_delta(spark, d):
 
 def paired_pooled_delta(spark, d):
     """Interval and two-sided p of the difference of two scorers' pooled AUC, the same drawn clusters for both."""
-    t = _two(spark, d).join(_cluster_weights(spark, units(spark, d)), "cluster")
-    a = R.auc(t, ["rep"], "a", POSITIVE, weight=F.col("weight")).select("rep", F.col("auc").alias("x"))
-    b = R.auc(t, ["rep"], "b", POSITIVE, weight=F.col("weight")).select("rep", F.col("auc").alias("y"))
-    per = a.join(b, "rep").select(F.lit("auc").alias("of"), F.round(F.col("x") - F.col("y"), 9).alias("delta"))
+    t = written(_two(spark, d).select("cluster", "ord", "a", "b", "defects"), "units")
+    weights = written(_cluster_weights(spark, t), "weights")
+    counts = t.groupBy("cluster").agg(F.count_if(F.expr(POSITIVE)).alias("p"), F.count_if(~F.expr(POSITIVE)).alias("q"))
+    a, b = (I.pooled_auc(I.concordance(t, "cluster", x, POSITIVE), counts, weights) for x in "ab")
+    per = a.join(b.withColumnRenamed("auc", "other"), "rep").select(F.lit("auc").alias("of"), F.round(F.col("auc") - F.col("other"), 9).alias("delta"))
     out = per.groupBy("of").agg(
         F.percentile("delta", 0.025).alias("lo"), F.percentile("delta", 0.975).alias("hi"),
         F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("delta") <= 0).cast("int")), F.avg((F.col("delta") >= 0).cast("int")))).alias("p"),
@@ -188,11 +196,12 @@ per as (select {by}, case when sum(p) = 0 or sum(q) = 0 then {degenerate} else s
 
 
 _NAMES = "nm as (select cluster, count(*) as n, row_number() over (order by min(ord)) - 1 as cluster_at from u group by 1), kk as (select count(*) as k from nm)"
-_AT = "ua as (select *, row_number() over (partition by cluster order by ord) - 1 as at_ from u)"
+_DRAWS = f"""ub as (select *, ('0x' || substr(md5('{SEED}|' || ord), 1, 8))::bigint % {I.PRIME} as ha, ('0x' || substr(md5('{SEED}|' || ord), 9, 8))::bigint % {I.PRIME} as hb from u)"""
+_DRAWN = lambda j: "(" + " + ".join(f"(((ha + ({j}) * hb) % {I.PRIME}) >= {x})::int" for x in I.LIMITS) + ")"
+_WITHIN = lambda reps: _DRAWS + f", ds as (select * from (select *, {_DRAWN('rep')} as weight from ub, range({reps}) a(rep)) where weight > 0), "
 _SLOTS = _NAMES + f""", sl as (select rep, slot, {_IDX('k', f"'{SEED}|c'", 'rep', 'slot')} as cluster_at from range({REPS}) a(rep), kk, (select unnest(range(k)) as slot from kk)),
-sl2 as (select cluster, rep, slot, n from sl join nm using (cluster_at)),
-dr as (select cluster, rep, slot, {_IDX('n', f"'{SEED}|u'", 'cluster', 'rep', 'slot', 'i')} as at_ from (select *, unnest(range(n)) as i from sl2)),
-dw as (select cluster, rep, slot, at_, count(*) as weight from dr group by all), ds as (select dw.rep, dw.slot, dw.weight, ua.score, ua.defects from dw join ua on dw.cluster = ua.cluster and dw.at_ = ua.at_)"""
+sl2 as (select cluster, rep, slot, (select k from kk) as k from sl join nm using (cluster_at)),
+ds as (select * from (select rep, slot, score, defects, {_DRAWN('rep * k + slot')} as weight from ub join sl2 using (cluster)) where weight > 0)"""
 _WEIGHTS = _NAMES + f""", cw as (select cluster, rep, count(*) as weight from (select rep, {_IDX('k', f"'{SEED}|c'", 'rep', 'slot')} as cluster_at from range({REPS}) a(rep), kk, (select unnest(range(k)) as slot from kk)) join nm using (cluster_at) group by 1, 2)"""
 _CI = lambda v: f"round(quantile_cont({v}, 0.025), 6) as lo, round(quantile_cont({v}, 0.975), 6) as hi"
 
@@ -209,21 +218,22 @@ select predictor, round(m, 6) as mean_auc from y order by round(m, 9) desc nulls
   from bt window w as (partition by tool order by score, size, ord rows unbounded preceding)),
 x3 as (select tool, round(count(*) filter (defects > 0)::double / count(*), 6) as precision, round(sum(defects)::double / max(td), 6) as recall_defects from y where cw <= 0.2 * tw or rn = 1 group by 1)
 select * from x1 join x2 using (tool) join x3 using (tool)""",
-    "boot_ci_auc": WITH + _AT + f""", sz as (select cluster, count(*) as n from u group by 1), dr as (select cluster, rep, {_IDX('n', f"'{SEED}|u'", 'cluster', 'rep', 'i')} as at_ from (select *, unnest(range(n)) as i from sz, range({REPS}) a(rep))),
-dw as (select cluster, rep, at_, count(*) as weight from dr group by all), ds as (select dw.cluster, dw.rep, dw.weight, ua.score, ua.defects from dw join ua on dw.cluster = ua.cluster and dw.at_ = ua.at_), """
-    + _weighted_auc("cluster, rep", "ds") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
-    "within_boot_delta": WITH + _AT + f""", sz as (select cluster, count(*) as n from u group by 1), dr as (select cluster, rep, {_IDX('n', f"'{SEED}|u'", 'cluster', 'rep', 'i')} as at_ from (select *, unnest(range(n)) as i from sz, range({REPS}) a(rep))),
-dw as (select cluster, rep, at_, count(*) as weight from dr group by all), ds as (select dw.cluster, dw.rep, dw.weight, ua.score, ua.rival, ua.defects from dw join ua on dw.cluster = ua.cluster and dw.at_ = ua.at_), """
-    + _weighted_auc("cluster, rep", "ds", "10 - score", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (") + ", " + _weighted_auc("cluster, rep", "ds", "10 - rival", "null").replace("per as (", "pb as (")
+    "boot_ci_auc": WITH + _WITHIN(REPS) + _weighted_auc("cluster, rep", "ds") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
+    "within_boot_delta": WITH + _WITHIN(WITHIN_REPS) + _weighted_auc("cluster, rep", "ds", "10 - score", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (")
+    + ", " + _weighted_auc("cluster, rep", "ds", "10 - rival", "null").replace("per as (", "pb as (")
     + """, m as (select rep, avg(pa.auc - pb.auc) as d from pa join pb using (cluster, rep) group by 1), l as (select list(d order by d) filter (d is not null) as v, avg(d) as mean from m)
 select round(mean, 6) as mean, round(v[floor(0.025 * len(v))::int + 1], 6) as lo, round(v[floor(0.975 * len(v))::int + 1], 6) as hi from l""",
-    "cluster_boot_mean_auc": WITH + _AT + ", " + _SLOTS + ", " + _weighted_auc("rep, slot", "ds", degenerate="null") + f", mm as (select rep, avg(auc) as auc from per group by 1) select 'mean' as of, {_CI('auc')}, count(auc) as n_boot from mm",
-    "pooled_boot": WITH + _AT + ", " + _SLOTS + ", " + _weighted_auc("rep", "ds") + f" select 'pooled' as of, {_CI('auc')}, count(auc) as n_boot from per",
+    "cluster_boot_mean_auc": WITH + _DRAWS + ", " + _SLOTS + ", " + _weighted_auc("rep, slot", "ds", degenerate="null") + f", mm as (select rep, avg(auc) as auc from per group by 1) select 'mean' as of, {_CI('auc')}, count(auc) as n_boot from mm",
+    "pooled_boot": WITH + _DRAWS + ", " + _SLOTS + ", " + _weighted_auc("rep", "ds") + f" select 'pooled' as of, {_CI('auc')}, count(auc) as n_boot from per",
     "cluster_ci_ratio": WITH + _WEIGHTS + """, s as (select cluster, sum(defects) filter (score < 4) as da, count(*) filter (score < 4) as na, sum(defects) filter (score >= 8) as dh, count(*) filter (score >= 8) as nh from u group by 1),
 per as (select rep, (sum(coalesce(da, 0) * weight) / nullif(sum(na * weight), 0)::double) / nullif(sum(coalesce(dh, 0) * weight) / nullif(sum(nh * weight), 0)::double, 0) as ratio from s join cw using (cluster) group by 1)
 select 'ratio' as of, """ + _CI("ratio") + ", count(ratio) as n_boot from per",
-    "paired_delta": WITH + _WEIGHTS + ", " + _delong_sql("cluster") + f""", per as (select rep, sum(delta * weight) / sum(weight) as delta from x join cw using (cluster) where delta is not null group by 1)
-select 'auc' as of, {_CI('delta')}, round(avg((round(delta, 9) <= 0)::int), 6) as p_le0 from per""",
+    "paired_delta": WITH + _WEIGHTS + ", " + _delong_sql("cluster") + ", t1 as (select cluster, ord, size, defects, score - 10 as score from u), t2 as (select cluster, ord, size, defects, rival - 10 as score from u), "
+    + popt_sql("cluster", source="t1", final=", ").replace("z as (", "z1 as (").replace("from z)", "from z1)").replace("zc as (", "zc1 as (").replace("from zc ", "from zc1 ").replace("za as (", "za1 as (").replace("from za)", "from za1)").replace("pp as (", "p1 as (")
+    + popt_sql("cluster", source="t2", final=", ")
+    + f"""dl as (select 'auc' as of, cluster, delta from x union all select 'popt', cluster, p1.popt - pp.popt from p1 join pp using (cluster)),
+per as (select of, rep, sum(delta * weight) / sum(weight) as delta from dl join cw using (cluster) where delta is not null group by 1, 2)
+select of, {_CI('delta')}, round(avg((round(delta, 9) <= 0)::int), 6) as p_le0 from per group by 1""",
     "paired_pooled_delta": WITH + _WEIGHTS + ", ds as (select u.*, rep, weight from u join cw using (cluster)), " + _weighted_auc("rep", "ds", "10 - score").replace("g as", "g1 as").replace("from g)", "from g1)").replace("c as (select rep, coalesce", "c1 as (select rep, coalesce").replace("from g1)", "from g1)").replace("per as", "pa as").replace("from c group", "from c1 group").replace("from g),", "from g1),")
     + ", " + _weighted_auc("rep", "ds", "10 - rival").replace("per as", "pb as")
     + f""", pd as (select round(pa.auc - pb.auc, 9) as delta from pa join pb using (rep)), q as (select quantile_cont(delta, 0.025) as lo, quantile_cont(delta, 0.975) as hi, least(1.0, 2 * least(avg((delta <= 0)::int), avg((delta >= 0)::int))) as p from pd)

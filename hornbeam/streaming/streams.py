@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hornbeam.sources.store import shared_dir
+
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream; the schema comes from a batch read."""
@@ -52,16 +56,25 @@ def budget_gate(stream: DataFrame, key: str, limit: float, estimate: float) -> D
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all that is there into a memory table and return that: for tests and small reports."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return what it wrote, a table in the shared folder.
+
+    ``append`` adds each batch to the files; ``complete`` replaces what is there by the batch, which is the whole result
+    so far.  Nothing of it is held by the driver.
+    """
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-log").trigger(availableNow=True)
+    if mode == "append":
+        query = out.format("parquet").option("path", base).start()
+    else:
+        query = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(base)).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(base)
 
 
 def appended(stream: DataFrame, path: str, checkpoint: str | None = None):
     """An append-only file sink that resumes where it stopped; returns the finished query."""
     q = stream.writeStream.outputMode("append").format("json").option("path", path)
-    q = q.option("checkpointLocation", checkpoint or tempfile.mkdtemp(prefix="hornbeam-ckpt-")).trigger(availableNow=True).start()
+    q = q.option("checkpointLocation", checkpoint or f"{shared_dir(stream.sparkSession)}/log-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
@@ -71,3 +84,37 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+class Progress(StreamingQueryListener):
+    """Rows and batches of each query so far, and how each ended: add it by ``spark.streams.addListener``.  It keeps three
+    numbers a query, whatever runs through."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, dict] = {}
+        self._ended = threading.Condition()
+
+    def _of(self, run) -> dict:
+        return self.seen.setdefault(str(run), {"name": None, "batches": 0, "rows": 0, "ended": False, "error": None})
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event.runId)["name"] = event.name
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        at = self._of(p.runId)
+        at["batches"], at["rows"] = at["batches"] + 1, at["rows"] + p.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._ended:
+            self._of(event.runId).update(ended=True, error=event.exception)
+            self._ended.notify_all()
+
+    def wait(self, run, seconds: float = 30.0) -> dict:
+        """What is known of a query once its end has been told; events come some time after it."""
+        with self._ended:
+            self._ended.wait_for(lambda: self._of(run)["ended"], seconds)
+        return dict(self._of(run))

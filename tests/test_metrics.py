@@ -44,7 +44,7 @@ def test_correlations(u8):
 
 
 def test_groups(u8, spark):
-    d = G.density_ratio(u8, []).first()
+    d = G.density_ratio(u8, [], 4, 8).first()
     assert (d["low_n"], d["low_mean"], d["high_n"], d["ratio"]) == (2, 2.5, 2, math.inf)
     b = {r["bucket"]: (r["files"], r["defects"], round(r["per_k"], 6)) for r in G.density_by_bucket(u8).collect()}
     assert b == {"[0-4)": (2, 5, 11.904762), "[4-6)": (1, 0, 0.0), "[6-8)": (1, 2, 10.0), "[8-10]": (4, 1, 6.896552)}
@@ -97,7 +97,7 @@ def test_properties(spark, data):
 def test_running_sums_over_buckets(spark):
     data = [(random.Random(3).random() if i % 7 else 0.5, i) for i in range(3000)]
     df = spark.createDataFrame(data, "x double, ord long").withColumn("one", F.lit(1))
-    got = R.running(df, [], [F.col("x"), F.col("ord")], "x", {"at": "one"}).orderBy("x", "ord").collect()
+    got = R.running(df, [], [F.col("x"), F.col("ord")], {"at": "one"}).orderBy("x", "ord").collect()
     assert [r["at"] for r in got] == list(range(1, 3001))
 
 
@@ -147,11 +147,30 @@ def test_logistic_fit_is_stationary(spark):
     assert M.fit(df.where("label = 1"), ["x"], "label") is None
 
 
-def test_bootstrap_is_repeatable(spark, u8):
-    u = I.indexed(u8, ["cluster"], "ord", "at")
-    sizes = u.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("rep", F.lit(0))
-    a, b = (sorted(map(tuple, I.row_draws(sizes, ["cluster", "rep"], None, "9").collect())) for _ in range(2))
-    assert a == b and sum(r[-1] for r in a) == 8
+def test_drawn_weights_are_poisson(spark):
+    df = spark.range(300).withColumnRenamed("id", "unit")
+    a, b = (sorted(map(tuple, I.resampled(df, "unit", 200, "9").collect())) for _ in range(2))
+    assert a == b and len({r[:2] for r in a}) == len(a)
+    counts = [0] * 12
+    for r in a:
+        counts[r[2]] += 1
+    counts[0] = 60_000 - sum(counts)
+    for k in range(5):
+        want = 60_000 * math.exp(-1) / math.factorial(k)
+        assert abs(counts[k] - want) < 6 * math.sqrt(want)
+    per_rep = [sum(r[2] for r in a if r[1] == rep) for rep in range(200)]
+    mean = sum(per_rep) / 200
+    assert abs(mean - 300) < 6 and 200 < sum((x - mean) ** 2 for x in per_rep) / 199 < 420
+
+
+def test_concordance_gives_the_pooled_auc(spark, u8):
+    u = u8.withColumn("risk", 10 - F.col("score"))
+    counts = u.groupBy("cluster").agg(F.count_if(F.expr(POSITIVE)).alias("p"), F.count_if(~F.expr(POSITIVE)).alias("q"))
+    weights = spark.createDataFrame([("r1", 0, 2), ("r2", 0, 1), ("r1", 1, 1), ("r2", 2, 3)], "cluster string, rep long, weight long")
+    got = {r["rep"]: r["auc"] for r in I.pooled_auc(I.concordance(u, "cluster", "risk", POSITIVE), counts, weights).collect()}
+    for rep in range(3):
+        t = u.join(weights.where(F.col("rep") == rep), "cluster")
+        assert got[rep] == pytest.approx(R.auc(t, [], "risk", POSITIVE, weight=F.col("weight")).first()["auc"])
 
 
 def test_ck_oof_fits_ten_folds(spark, sf_dir, monkeypatch):

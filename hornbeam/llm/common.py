@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hornbeam.sources.store import discard, scratch, shared_dir, written
+
+__all__ = ["components", "discard", "partitions", "scratch", "shared_dir", "stash", "table", "tidy"]
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -16,15 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the session names none (tests, one machine)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="hornbeam-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
-
-
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that are gone; it does so when the driver's garbage is collected."""
     gc.collect()
@@ -34,26 +26,15 @@ def tidy(spark: SparkSession) -> None:
 def stash(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
 
-    ``stash_path`` on the returned frame names the folder; :func:`discard` removes it once nothing reads it.
+    ``stash_path`` on the returned frame names the folder; :func:`discard` removes it once nothing reads it, and
+    :func:`scratch` all those of a block.
     """
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = written(df, "stash")
     del df  # with it goes what its shuffles keep on disk
-    tidy(spark)
-    out = spark.read.schema(schema).parquet(path)
-    out.stash_path = path
+    tidy(out.sparkSession)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    path = getattr(df, "stash_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import components, discard, partitions, stash
+from hornbeam.llm.common import components, discard, partitions, scratch, stash
 from hornbeam.llm.kernels import U, Words, chunks, mix, release, set_key, shingles, slices, views
 
 
@@ -503,13 +503,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     not read; an empty table gives no rows.
     """
     s = Settings(k, percent)
-    known = stash(classes(docs, s))
-    linked = stash(similar(docs, known.where("key is not null"), s))
-    where = components(linked)
-    known = known.drop("point")
-    own = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    own = own.join(where, own["key"] == where["node"], "left").select("key", "least", F.coalesce("component", "key").alias("root"))
-    own = stash(own)
+    kept: list[DataFrame] = []
+    with scratch(docs.sparkSession, kept):  # what led to them is removed
+        known = stash(classes(docs, s))
+        linked = stash(similar(docs, known.where("key is not null"), s))
+        where = components(linked)
+        kept.append(known)
+        known = known.drop("point")
+        own = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+        own = own.join(where, own["key"] == where["node"], "left").select("key", "least", F.coalesce("component", "key").alias("root"))
+        own = stash(own)
+        kept.append(own)
     of_root = own.groupBy("root").agg(F.min("least").alias("component_id"))
     by_key = own.join(of_root, "root").select("key", "component_id")
     out = known.join(by_key, "key", "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hornbeam.llm import decontamination, mixing, ngram_join, quality_rules, sharding
-from hornbeam.llm.common import stash, table
+from hornbeam.llm.common import discard, scratch, stash, table
 
 #: Near duplicates share at least 80 % of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -56,5 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        kept: list[DataFrame] = []
+        with scratch(spark, kept):  # what a stage wrote on its way is removed with the stage's end
+            done = stash(stage(spark, docs, sf_dir))
+            kept.append(done)
+        discard(docs)  # the stage before; the input itself is no stash
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -87,16 +87,45 @@ def should_include(path: Column, lines: Column, floor: int = 10) -> Column:
     return ~is_test_file(path) & (lines >= floor)
 
 
-def ignore_pattern(rules: list[str]) -> str | None:
-    """One regex for directory rules: ``x/`` matches at any depth, ``a/b/`` from the top; None for no rule."""
-    parts = []
+def wildcard(rule: str) -> str:
+    """A regex over whole paths for one ignore rule: ``*`` and ``?`` stay within a folder, ``**`` does not, a rule with a
+    slash in front or inside starts at the top, one with a slash at the end fits folders only."""
+    folder = rule.endswith("/")
+    body = rule.strip("/")
+    top = "/" in rule.rstrip("/")
+    out, i = "", 0
+    while i < len(body):
+        rest = body[i:]
+        if rest.startswith("**/") and (not i or body[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif rest == "**" and (not i or body[i - 1] == "/"):
+            out, i = out + ".*", i + 2
+        elif rest[0] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif rest[0] == "?":
+            out, i = out + "[^/]", i + 1
+        elif rest[0] == "[" and "]" in rest[2:]:
+            end = rest.index("]", 2)
+            inner = rest[1:end].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", i + end + 1
+        elif rest[0] == "\\" and len(rest) > 1:
+            out, i = out + re.escape(rest[1]), i + 2
+        else:
+            out, i = out + re.escape(rest[0]), i + 1
+    return ("^" if top else "^(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether ignore rules take a normalised path: the last rule that fits decides, one with ``!`` in front brings it back;
+    empty rules and comments are passed over."""
+    out = F.lit(False)
     for rule in rules:
-        body = rule.strip().strip("/")
-        if body and not body.startswith("#"):
-            glob = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in body)
-            lead = "^" if "/" in body or rule.startswith("/") else "(^|/)"
-            parts.append(f"{lead}{glob}{'/' if rule.rstrip().endswith('/') else '(/|$)'}")
-    return "|".join(parts) or None
+        rule = rule.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back = rule.startswith("!")
+        out = F.when(path.rlike(wildcard(rule[1:] if back else rule)), not back).otherwise(out)
+    return out
 
 
 def in_source(path: Column, root: str, extensions: list[str]) -> Column:

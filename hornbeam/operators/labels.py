@@ -74,6 +74,22 @@ def first_confirmed(fixes: DataFrame, issues: DataFrame, confirmed: Column) -> D
     return found.groupBy("sha").agg(F.min_by(F.struct("number", "hours"), "pos").alias("x")).select("sha", "x.number", "x.hours")
 
 
+def link_meta(fixes: DataFrame, tickets: DataFrame) -> DataFrame:
+    """``n_fixes, n_with_ref, n_linked, n_tickets, n_pr_tickets, n_issue_tickets`` of fixes ``(sha, subject)``.
+
+    A fix is linked to the first of its references that is among ``tickets(number, is_pr)``, those with a time; tickets
+    are the distinct ones of these, and the last two count fixes by the kind of theirs.
+    """
+    refs = fixes.select("sha", F.posexplode_outer(text.issue_refs(F.col("subject"))).alias("pos", "number"))
+    known = tickets.select(F.col("number").alias("__t"), F.coalesce("is_pr", F.lit(False)).alias("is_pr")).withColumn("__hit", F.lit(True))
+    found = refs.join(known, F.col("number") == F.col("__t"), "left")
+    per = found.groupBy("sha").agg(F.count("number").alias("refs"), F.min_by(F.struct("number", "is_pr"), F.when(F.col("__hit"), F.col("pos"))).alias("t"))
+    return per.agg(
+        F.count("*").alias("n_fixes"), F.count_if(F.col("refs") > 0).alias("n_with_ref"), F.count("t").alias("n_linked"), F.countDistinct("t.number").alias("n_tickets"),
+        F.count_if("t.is_pr").alias("n_pr_tickets"), F.count_if(~F.col("t.is_pr")).alias("n_issue_tickets"),
+    )
+
+
 def last_before(commits: DataFrame, when: Column) -> DataFrame:
     """The last commit at or before the end of a day, the greater id of equals."""
     return commits.where(F.col("ct") <= when).agg(F.max_by("sha", F.struct("ct", "sha")).alias("sha"), F.max("ct").alias("ct"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.functions import text as X
 from hornbeam.operators import labels as L
+from hornbeam.sources import history as H
 from hornbeam.sources.tables import COMMITS_SQL, FILES_SQL, commit_files, commits, read
 
 # Templates of subjects, paths, lines and messages.  The queries fill them from the columns of whole tables.
@@ -107,7 +108,7 @@ def path_rules(spark, d):
     n = X.normalise_path(F.col("path"))
     return p.select(
         "p_partkey", "path", n.alias("normal"), X.is_test_file(F.col("path")).alias("test"), X.should_include(F.col("path"), F.col("p_size")).alias("included"),
-        n.rlike(X.ignore_pattern(["vendor/", "build/gen/"])).alias("ignored"), X.in_source(n, "src", [".py", ".go"]).alias("source"), X.extension(n).alias("ext"), X.first_folder(F.col("path"), "src/").alias("folder"),
+        X.ignored(n, ["# folders", "vendor/", "build/gen/"]).alias("ignored"), X.in_source(n, "src", [".py", ".go"]).alias("source"), X.extension(n).alias("ext"), X.first_folder(F.col("path"), "src/").alias("folder"),
     )
 
 
@@ -166,6 +167,26 @@ def resolution_hours(spark, d):
     return x.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.avg("hours"), 4).alias("mean_hours"), F.round(F.median("hours"), 4).alias("median_hours"))
 
 
+def link_meta(spark, d):
+    """How fixes stand to issues: with a reference, linked to one with a time, and the distinct ones of either kind."""
+    fixes = subjects(spark, d).where(X.is_fix(F.col("subject"))).select("sha", "subject")
+    tickets = read(spark, d, "orders").where("o_orderkey % 4 <> 0").groupBy((F.col("o_orderkey") % 97).alias("number")).agg(F.round(F.avg("o_totalprice"), 2).alias("hours"))
+    return L.link_meta(fixes, tickets.withColumn("is_pr", F.col("number") % 3 == 0))
+
+
+def function_floor(spark, d):
+    """Functions that are long enough, per file: the orders' lines as functions of so many lines as their number says."""
+    f = read(spark, d, "lineitem").select((F.col("l_partkey") % 97).alias("file"), F.col("l_linenumber").alias("nloc"))
+    return H.function_floor(f).groupBy("file").agg(F.count("*").alias("functions"), F.min("nloc").cast("long").alias("shortest"))
+
+
+def tree_at_t0(spark, d):
+    """The sources of a tree that are neither tests nor ignored."""
+    listing = path_rules(spark, d).select("path")
+    found = H.tree_files(listing, "src", [".py", ".go"], ["**/gen/**", "a[1-2].*", "!a2.py"])
+    return found.groupBy("path").agg(F.count("*").alias("n"))
+
+
 def bucket_resolution(spark, d):
     """Mean and median hours of each health bucket, and the alert to healthy ratios."""
     from hornbeam.operators.groups import category
@@ -310,6 +331,14 @@ select bucket, files, round(m, 4) as mean, round(d, 4) as median, round(m / hm,
 SQL["rate_limits"] = f"""with v as (select replace({_LIST(MESSAGES)}[event_id % {len(MESSAGES)} + 1], '{{k}}', (user_id % 3)::varchar) as message from events)
 select message, lower(message) similar to '.*(ratelimit|rate.limit|too many requests|429|overloaded|capacity|usagelimit|usage.limit|throttl|billing|try again|resource_exhausted).*'
   or (contains(message, 'exceeded') and instr(message, 'quota') > instr(message, 'exceeded')) as limited, count(*) as n from v group by 1, 2"""
+SQL["link_meta"] = f"""with {_S}, fx as (select * from s where {_FIX}), l as (select sha, list_concat(regexp_extract_all(subject, '(?i)\\b(close|closes|closed|fix|fixes|fixed|resolve|resolves|resolved)\\b[:\\s]+#([0-9]+)', 2),
+  regexp_extract_all(subject, '#([0-9]+)', 1)) as l from fx), r as (select sha, unnest(l)::bigint as number, unnest(range(len(l))) as pos from l),
+t as (select distinct o_orderkey % 97 as number from orders where o_orderkey % 4 <> 0), f as (select sha, arg_min(number, pos) as number from r join t using (number) group by 1)
+select (select count(*) from fx) as n_fixes, (select count(*) from l where len(l) > 0) as n_with_ref, count(*) as n_linked, count(distinct number) as n_tickets,
+  count(*) filter (number % 3 = 0) as n_pr_tickets, count(*) filter (number % 3 <> 0) as n_issue_tickets from f"""
+SQL["function_floor"] = "select l_partkey % 97 as file, count(*) as functions, min(l_linenumber)::bigint as shortest from lineitem where l_linenumber >= 3 group by 1"
+SQL["tree_at_t0"] = f"""with q as ({SQL["path_rules"]}) select normal as path, count(*) as n from q where source and not test
+  and (not regexp_matches(normal, '(^|/)gen/') and not regexp_matches(normal, '(^|/)a[12][.][^/]*$') or regexp_matches(normal, '(^|/)a2[.]py$')) group by 1"""
 SQL["coverage_meta"] = f"""with {_U}, s as (select *, case when unit_id % 10 = 0 then 'absent' when unit_id % 7 = 0 then 'null' else 'paired' end as st from u)
 select cluster, count(*) as scored, count(*) filter (st = 'paired') as paired_files, count(*) filter (st = 'null') as null_files, count(*) filter (st = 'absent') as absent_files,
   count(*) filter (st = 'paired' and defects > 0) as defective from s group by 1"""
@@ -322,6 +351,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         szz_files, szz_summary, fixes_per_file, prior_fixes, recent_commits, t0_resolution, fix_classifier, fix_commits, issue_refs, path_rules, url_paths, cosmetic_lines, hunk_headers, blame_headers,
-        issue_links, bug_issues, resolution_hours, bucket_resolution, function_process, function_labels, class_match, rate_limits, coverage_meta, audit,
+        issue_links, bug_issues, resolution_hours, bucket_resolution, function_process, function_labels, class_match, rate_limits, coverage_meta, audit, link_meta, function_floor, tree_at_t0,
     )
 }

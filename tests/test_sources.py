@@ -74,3 +74,34 @@ def test_streams(spark, tmp_path):
     seen = []
     T.each_batch(T.event_stream(spark, source), lambda df, n: seen.append(df.count()), str(tmp_path / "mark2"))
     assert sum(seen) == 3
+
+
+def test_ignore_rules(spark):
+    from hornbeam.functions import text as X
+
+    rules = ["# comment", "", "docs/", "/top.py", "a/**/z.py", "*.gen.js", "**/deep", "lib/**", "x[0-9]?.c", "!keep.gen.js", "sp ace.txt  "]
+    cases = {
+        "docs/a.md": True, "b/docs/c/d": True, "docs": False, "top.py": True, "b/top.py": False, "a/z.py": True, "a/b/c/z.py": True, "q/a/z.py": False, "k/m.gen.js": True, "k/keep.gen.js": False,
+        "q/deep/r": True, "deep": True, "lib/a/b": True, "q/lib/a": False, "x1y.c": True, "xay.c": False, "sp ace.txt": True, "plain": False,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", X.ignored(F.col("p"), rules).alias("i")).collect()
+    assert {r["p"]: r["i"] for r in rows} == cases
+    assert not spark.range(1).select(X.ignored(F.lit("a"), [])).first()[0]
+
+
+def test_history_readers(spark, tmp_path):
+    from hornbeam.sources import history as H
+
+    (tmp_path / "log").write_text("a1\0fix: x\0y\n\nb2\0\nc3\n\0lost\n")
+    assert sorted(map(tuple, H.commit_log(spark, str(tmp_path / "log")).collect())) == [("a1", "fix: x\0y"), ("b2", ""), ("c3", "")]
+    folder = tmp_path / "sha=a1"
+    folder.mkdir()
+    (folder / "files").write_text("src/a.py\n  src/b.py \nsrc/c.js\nlib/d.py\n\n")
+    touched = H.touched_files(spark, [str(folder)], "/sha=", "src", [".py"])
+    assert sorted(map(tuple, touched.collect())) == [("a1", "src/a.py"), ("a1", "src/b.py")]
+    missing = str(tmp_path / "gone")
+    assert H.existing(spark, [str(folder), missing]) == [str(folder)]
+    lines = H.file_lines(spark.createDataFrame([("f", "a\n\nb"), ("g", ""), ("h", None)], "f string, content string")).collect()
+    assert sorted(map(tuple, lines)) == [("f", 1, "a"), ("f", 2, ""), ("f", 3, "b"), ("g", 1, "")]
+    (tmp_path / "empty.json").write_text("{}")
+    assert H.configured(spark, str(tmp_path / "empty.json")).count() == 0

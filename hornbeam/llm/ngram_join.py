@@ -53,6 +53,8 @@ class Settings:
     #: Members of a tie that one task takes; beyond, it is cut into blocks.  Also the members that ties put together
     #: in one task may have, about.
     tie: int = 8192
+    #: Rows of the ties of a crowd that one task takes, about.
+    rows: int = 16384
     leaf: int = 24
     #: Numbers that a task gathers before it passes them on.
     flush: int = 1 << 18
@@ -413,8 +415,11 @@ def near(known: DataFrame, tied: DataFrame, s: Settings) -> DataFrame:
     # other ties go where those are that share members with them, so that a point is sent once for all of them
     usual = large.join(size.where(F.col("size") <= s.tie).select("many"), "many", "left_semi")
     place = stash(components(usual.select(F.col("tag").alias("a"), "b")).withColumnRenamed("node", "tag"))
-    crowd = place.groupBy("component").agg(F.ceil(F.count("*") / s.tie).cast("int").alias("parts"))
-    usual = usual.select("many", "tag").join(place.join(crowd, "component"), "tag")
+    usual = stash(usual.select("many", "tag").join(place, "tag"))
+    # a crowd is cut by its members, as their points have to fit, and by its rows, as they are the work
+    crowd = usual.groupBy("component").agg(F.count("*").alias("rows"), F.approx_count_distinct("tag").alias("tags"))
+    parts = F.greatest(F.ceil(F.col("tags") / s.tie), F.ceil(F.col("rows") / s.rows)).cast("int").alias("parts")
+    usual = usual.join(crowd.select("component", parts), "component")
     task = F.xxhash64("component", F.pmod("many", "parts"))
     usual = usual.select(F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(task.bitwiseOR(F.lit(1 << 40))).alias("task"), "many", "tag")
     usual = stash(usual)

@@ -760,12 +760,23 @@ def test_layouts_by_fingerprint(spark):
         chat_format.turns_of(spark.range(1), "id")
 
 
-def test_op10_selects_by_fingerprint(spark, sf_dir, monkeypatch):
-    seen, whole = [], chat_format.fingerprint
-    monkeypatch.setattr(chat_format, "fingerprint", lambda paths: seen.append(whole(paths)) or seen[-1])
-    queries.op10_chat_format(spark, sf_dir)
-    want = hashlib.sha256(b"role\ntext\nturn").hexdigest()
-    assert seen.count(want) == 2  # the table's and the mapping's
+def test_op10_selects_by_fingerprint(spark, sf_dir):
+    """The records that the query makes of the table: each mapping is the one whose fingerprint its own paths have."""
+    by_print = {chat_format.fingerprint(m.paths): m for m in chat_format.MAPPINGS}
+    assert hashlib.sha256(b"role\ntext\nturn").hexdigest() in by_print
+    records = chat_format.as_records(common.table(spark, sf_dir, "conversations"))
+    want = defaultdict(Counter)
+    for r in records.collect():
+        record = json.loads(r["record"])
+        paths = {*record, *(f"{k}[].{x}" for k, v in record.items() if isinstance(v, list) for e in v for x in e)}
+        fits = [m for m in by_print.values() if chat_format.fingerprint(paths & set(m.paths)) == chat_format.fingerprint(m.paths)]
+        best = max(fits, key=lambda m: len(m.paths))
+        lists = [v for v in record.values() if isinstance(v, list)]
+        want[r["conv_id"]][best.name] += len(lists[0]) if lists else 2 if best.name == "prompt" else 1
+    got = defaultdict(Counter)
+    for r in chat_format.canonical_turns(records, "conv_id", "record").collect():
+        got[r["conv_id"]][r["mapping"]] += 1
+    assert got == want and len({m for c in got.values() for m in c}) >= 3
 
 
 def test_layouts_with_other_known_fields(spark):

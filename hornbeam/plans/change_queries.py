@@ -303,6 +303,12 @@ from e left join l using (run) group by 1""",
     "failure_reasons": """with e as (select user_id as run, event_id as o, event_id % 1009 as k, event_id % 97 = 7 and event_id % 1009 not in (3, 5) as again from events),
 f as (select run, min(o) filter (k in (3, 5)) as f, max((o % 3) * 1000000000 + o) filter (again) % 1000000000 as r from e group by 1)
 select run, case when f is not null then case f % 1009 when 3 then 'stop ' else 'failed ' end || f when r is not null then 'again ' || r when run % 3 = 0 then 'killed ' || run else 'unknown failure' end as reason from f""",
+    "fifo_pairs": """with e as (select user_id as run, event_id as ord, event_type = 'click' as call from events where event_type in ('click', 'purchase')),
+l as (select *, sum(case when call then 1 else -1 end) over w as level, count(*) filter (call) over w as calls, count(*) filter (not call) over w as results from e window w as (partition by run order by ord rows unbounded preceding)),
+m as (select *, greatest(0, -min(level) over (partition by run order by ord rows unbounded preceding)) as idle from l),
+n as (select *, coalesce(lag(idle) over (partition by run order by ord), 0) as was from m),
+r as (select run, ord as result_ord, results - idle as k from n where not call and idle = was)
+select n.run, n.ord as call_ord, r.result_ord from n left join r on r.run = n.run and r.k = n.calls where n.call""",
     "resume_set": "select distinct user_id::varchar as task_id, event_type as condition from events where event_id % 5 >= 3",
     "task_selection": """with a as (select n_nationkey, n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as k from nation),
 b as (select n_nationkey, k as at, n_regionkey from a where n_regionkey in (0, 1, 2) and (k in (0, 2) or k not in (1, 3, 2)) order by n_regionkey, k offset 2 limit 5) select n_nationkey, "at" from b""".replace("k as at", 'k as "at"'),

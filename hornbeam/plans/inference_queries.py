@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.operators import inference as I
 from hornbeam.operators import ranking as R
-from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _rounded, popt_sql
+from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _ranks, _rounded, corr_sql, popt_sql
 from hornbeam.sources.store import written
 from hornbeam.sources.tables import read, units
 
@@ -64,8 +64,9 @@ def head_to_head(spark, d):
     u = units(spark, d)
     both = u.withColumn("tool", F.lit("a")).unionByName(u.withColumn("score", F.col("rival")).withColumn("tool", F.lit("b")))
     a, p = R.auc(both, ["tool"], RISK, POSITIVE), R.popt(both, ["tool"], "score").select("tool", "popt")
-    e = R.effort(both, ["tool"], "score").select("tool", "precision", "recall_defects")
-    return _rounded(a.join(p, "tool").join(e, "tool"), "auc", "popt", "precision", "recall_defects")
+    e = R.effort(both, ["tool"], "score").select("tool", "precision", "recall_defects", "recall_files")
+    s = R.partial_spearman(both, ["tool"], "score", "defects", "size").select("tool", F.col("partial").alias("partial_rho"))
+    return _rounded(a.join(p, "tool").join(e, "tool").join(s, "tool"), "auc", "popt", "precision", "recall_defects", "recall_files", "partial_rho")
 
 
 def boot_ci_auc(spark, d):
@@ -214,10 +215,14 @@ select predictor, round(m, 6) as mean_auc from y order by round(m, 9) desc nulls
     "delong_components": WITH + _delong_sql("cluster") + " select cluster, n_pos, n_neg, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, round(var_a * 1000, 6) as var_a, round(cov * 1000, 6) as cov, round(var_b * 1000, 6) as var_b, round(delta, 6) as delta, round(z, 6) as z from x",
     "head_to_head": WITH + "bt as (select *, 'a' as tool from u union all select * replace (rival as score), 'b' from u), " + _auc_sql("tool", source="bt").rsplit("\nselect", 1)[0] + ", x1 as (select" + _auc_sql("tool", source="bt").rsplit("\nselect", 1)[1] + "), "
     + popt_sql("tool", source="bt", final=", x2 as (select tool, round(popt, 6) as popt from pp), ")
-    + """y as (select tool, greatest(size, 1) as size, defects, sum(greatest(size, 1)) over w as cw, sum(greatest(size, 1)) over (partition by tool) as tw, sum(defects) over (partition by tool) as td, row_number() over w as rn
-  from bt window w as (partition by tool order by score, size, ord rows unbounded preceding)),
-x3 as (select tool, round(count(*) filter (defects > 0)::double / count(*), 6) as precision, round(sum(defects)::double / max(td), 6) as recall_defects from y where cw <= 0.2 * tw or rn = 1 group by 1)
-select * from x1 join x2 using (tool) join x3 using (tool)""",
+    + """y as (select tool, greatest(size, 1) as size, defects, sum(greatest(size, 1)) over w as cw, sum(greatest(size, 1)) over (partition by tool) as tw, sum(defects) over (partition by tool) as td,
+  count(*) filter (defects > 0) over (partition by tool) as tp, row_number() over w as rn from bt window w as (partition by tool order by score, size, ord rows unbounded preceding)),
+x3 as (select tool, round(count(*) filter (defects > 0)::double / count(*), 6) as precision, round(sum(defects)::double / max(td), 6) as recall_defects,
+  round(count(*) filter (defects > 0)::double / max(tp), 6) as recall_files from y where cw <= 0.2 * tw or rn = 1 group by 1), """
+    + f"""rk as (select tool, {_ranks({'score': 'x', 'defects': 'y', 'size': 'z'}, 'tool')} from bt),
+ck as (select tool, {corr_sql('x', 'y')} as a, {corr_sql('x', 'z')} as b, {corr_sql('y', 'z')} as c from rk group by 1),
+x4 as (select tool, round(case when sqrt((1 - b * b) * (1 - c * c)) = 0 then 0.0 else (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) end, 6) as partial_rho from ck)
+select * from x1 join x2 using (tool) join x3 using (tool) join x4 using (tool)""",
     "boot_ci_auc": WITH + _WITHIN(REPS) + _weighted_auc("cluster, rep", "ds") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
     "within_boot_delta": WITH + _WITHIN(WITHIN_REPS) + _weighted_auc("cluster, rep", "ds", "10 - score", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (")
     + ", " + _weighted_auc("cluster, rep", "ds", "10 - rival", "null").replace("per as (", "pb as (")

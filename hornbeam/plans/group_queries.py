@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.operators import groups as G
 from hornbeam.operators import ranking as R
-from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _rounded, popt_sql
+from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _rounded, popt_sql, upper_tail_sql
 from hornbeam.sources.tables import FINDINGS_SQL, findings, units
 
 ROSTER = ["AF", "AO", "NF", "NO", "RF", "RO", "XX"]
@@ -246,6 +246,7 @@ t as (select cluster, sum(c * c * c - c)::double as t from (select cluster, defe
 x as (select cluster, groups, case when groups >= 2 and t < n * n * n - n then (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) end as h from h join t using (cluster))
 select cluster, groups, round(h, 6) as h, round(case when groups = 3 then exp(-h / 2) end, 6) as p from x""",
     "cliffs_delta_by_biomarker": WF + _MW + " select biomarker, n_with, n_without, round(mean_with, 6) as mean_with, round(mean_without, 6) as mean_without, u, round(delta, 6) as delta, round(z, 6) as z from x",
+    "mannwhitney_p": WF + _MW + ", " + upper_tail_sql("x", "biomarker") + " select biomarker, u, round(tail, 6) as p from x left join pt using (biomarker)",
     "biomarker_ranking": WF + _MW + " select row_number() over (order by round(delta, 6) desc, list_position([" + ", ".join(f"'{b}'" for b in ROSTER) + "], biomarker))::int as rank, biomarker, round(delta, 6) as delta from x",
     "dominant_biomarker": WF + """p as (select unit_id, biomarker, sum(case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 else 1 end) as w,
   sum(abs(impact)) as i, min(ord) as o, count(*) as c from f group by 1, 2),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.operators import inference as I
 from hornbeam.operators import ranking as R
-from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _ranks, _rounded, corr_sql, popt_sql
+from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _ranks, _rounded, corr_sql, popt_sql, upper_tail_sql
 from hornbeam.sources.store import written
 from hornbeam.sources.tables import read, units
 
@@ -213,6 +213,8 @@ SQL = {
     + """, y as (select predictor, avg(case when n_pos in (0, n) then null else (s - n_pos * (n_pos + 1))::double / (2.0::double * n_pos * (n - n_pos)) end) as m from a group by 1)
 select predictor, round(m, 6) as mean_auc from y order by round(m, 9) desc nulls last, predictor limit 1""",
     "delong_components": WITH + _delong_sql("cluster") + " select cluster, n_pos, n_neg, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, round(var_a * 1000, 6) as var_a, round(cov * 1000, 6) as cov, round(var_b * 1000, 6) as var_b, round(delta, 6) as delta, round(z, 6) as z from x",
+    "delong_z": WITH + _delong_sql("") + ", zz as (select 1 as one, *, abs(z) as az from x), " + upper_tail_sql("zz", "one", "az")
+    + " select round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, round(delta, 6) as delta, round(z, 6) as z, round(2 * tail, 6) as p from zz left join pt using (one)",
     "head_to_head": WITH + "bt as (select *, 'a' as tool from u union all select * replace (rival as score), 'b' from u), " + _auc_sql("tool", source="bt").rsplit("\nselect", 1)[0] + ", x1 as (select" + _auc_sql("tool", source="bt").rsplit("\nselect", 1)[1] + "), "
     + popt_sql("tool", source="bt", final=", x2 as (select tool, round(popt, 6) as popt from pp), ")
     + """y as (select tool, greatest(size, 1) as size, defects, sum(greatest(size, 1)) over w as cw, sum(greatest(size, 1)) over (partition by tool) as tw, sum(defects) over (partition by tool) as td,

@@ -134,6 +134,14 @@ def corr_sql(x: str, y: str) -> str:
     return f"case when count(*) < 3 or min({x}) = max({x}) or min({y}) = max({y}) then null else corr({x}, {y}) end"
 
 
+def upper_tail_sql(source: str, key: str, z: str = "z") -> str:
+    """CTE ``pt(key, tail)``: P(Z >= z) of a normal Z, by Simpson's rule over 2,000 steps from 0 to z."""
+    step = f"({z} / 2000)"
+    weight = "case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end"
+    area = f"sum({weight} * exp(-((i * {step}) ** 2) / 2)) * any_value({step}) / 3 / sqrt(2 * pi())"
+    return f"pt as (select {key}, 0.5::double - {area} as tail from {source}, range(2001) g(i) where {z} is not null group by {key})"
+
+
 WITH = "with " + UNITS_SQL + ", "
 SQL = {
     "auc_pooled": WITH + _auc_sql(""),

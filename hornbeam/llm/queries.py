@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import chat_format, decontamination, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
+from hornbeam.llm import (
+    chat_format, decontamination, lm_scoring, mixing, ngram_join, period_runs, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter,
+)
 from hornbeam.llm.common import stash, table
 
 
@@ -85,6 +87,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _folded(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)``: of one text in ten, told by its id, all words from a place on repeat a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10").alias("g"), (h % 10 == 0).alias("chosen"))
+    docs = docs.withColumn("words", F.when(F.col("chosen"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.pmod("g", F.when(F.col("n") > 0, F.col("n"))).cast("int"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    cycles = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    folded = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), cycles), F.lit(1), F.col("n")), " ")
+    return docs.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), folded).otherwise(F.col("text")).alias("text"))
+
+
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.periodic_runs(_folded(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("best_run")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP10_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

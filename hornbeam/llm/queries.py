@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.llm import (
-    chat_format, decontamination, lm_scoring, mixing, ngram_join, period_runs, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter,
+    chat_format, collocations, decontamination, lm_scoring, mixing, ngram_join, period_runs, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter,
 )
 from hornbeam.llm.common import stash, table
 
@@ -87,6 +87,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _folded(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``: of one text in ten, told by its id, all words from a place on repeat a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -128,4 +132,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_poisson_mixing": mixing.oracle(), "op10_chat_format": OP10_SQL}
+    return {"op3_poisson_mixing": mixing.oracle(), "op10_chat_format": OP10_SQL, "op12_pivot_collocations": collocations.SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.llm import (
-    chat_format, collocations, decontamination, lm_scoring, mixing, ngram_join, period_runs, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter,
+    chat_format, collocations, decontamination, html_text, lm_scoring, mixing, ngram_join, period_runs, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter,
 )
 from hornbeam.llm.common import stash, table
 
@@ -87,6 +87,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tree_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.default_model(), keep=["page_id", "url"])
+
+
 def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 

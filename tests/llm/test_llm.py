@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import time
 import zlib
@@ -151,7 +152,8 @@ def test_rules_against_brute_force(docs, rows, empty):
         failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
         assert r["base_failed"] == failed and not (failed and r["kept"])
         if text:
-            assert r["whole_ratio"] == len(z.compress(text.encode())) / len(text.encode())
+            form = quality_rules.one_byte_form(text)[0]
+            assert r["whole_ratio"] == len(z.compress(form)) / len(form)
     assert quality_rules.quality_rules(empty).collect() == []
 
 
@@ -166,8 +168,8 @@ def test_bands_reject_repetition_and_noise():
 
 
 def test_bands_reject_by_themselves(spark, sf_dir):
-    """Repetitive and random texts of every length fail by the bands; prose labelled good passes; what is labelled bad and
-    passes the base rules mostly does not."""
+    """Repetitive and random texts of every length fail by the bands; prose labelled good passes; of what is labelled bad and
+    passes the base rules a part does not (52 % on sf0.1: wider bands for other prose tell less apart here)."""
     g = np.random.default_rng(1)
     nine = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota"]
     made = []
@@ -179,14 +181,40 @@ def test_bands_reject_by_themselves(spark, sf_dir):
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     judged = quality_rules.quality_rules(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double"))).collect()
     share = {r[0]: r[1] for r in judged}
-    assert share[1] > 0.98 and share[0] < 0.6
+    assert share[1] > 0.98 and share[0] < 0.8
+
+
+def test_one_byte_form():
+    assert quality_rules.one_byte_form("plain #1") == (b"plain #1", 0.0) and quality_rules.one_byte_form("") == (b"", 0.0)
+    assert quality_rules.one_byte_form("béé à") == (b"b\x81\x81 \x80", 0.0)
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 127))) * 2 + "\u9000\U0001f600"
+    form, wide = quality_rules.one_byte_form(many)
+    assert form[:127] == bytes(range(128, 255)) and form[254:] == b"\xff\x00\x90\x00\xff\x01\xf6\x00" and wide == 2 / 256
+
+
+def test_bands_hold_for_other_alphabets_and_other_prose(spark, sf_dir):
+    """Good texts written with the letters of another alphabet stay, and so do licences, which are formulaic."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    good = [r[0] for r in docs.join(labels.where("quality = 1"), "doc_id").select("text").collect()]
+    judge = quality_rules.Judge(quality_rules.Bands())
+    passed = [t for t in good if not judge.row(t)[5]]
+    for first in (0x430, 0x915, 0x5D0, 0x10D0):  # Cyrillic, Devanagari, Hebrew, Georgian letters
+        letters = {ord(c): chr(first + i) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+        written = [t.lower().translate(letters) for t in passed]
+        assert np.mean([judge.row(t)[-1] for t in written if not judge.row(t)[5]]) >= 0.95
+        noise = [" ".join("".join(chr(first + rng.randrange(26)) for _ in range(rng.randint(2, 9))) for _ in range(1500)), " ".join(rng.choice(written[0].split()[:20]) for _ in range(900))]
+        assert not any(judge.row(t)[-1] for t in noise)
+    folder = "/usr/share/common-licenses"
+    licences = [open(f"{folder}/{f}", encoding="utf-8", errors="ignore").read() for f in sorted(os.listdir(folder))] if os.path.isdir(folder) else []
+    verdicts = [judge.row(t) for t in licences]
+    assert all(v[-1] for v in verdicts if not v[5])
 
 
 def test_calibration(spark, docs, empty):
     g = random.Random(5)
     table = spark.createDataFrame([(i, sentence(120, g) if i % 9 else "short", "x") for i in range(200)] + [(None, None, "x")], "doc_id long, text string, ratio string")
     z = quality_rules.Judge(quality_rules.Bands()).zstd
-    texts = [r["text"].encode() for r in table.collect() if r["text"] and len(r["text"]) > 9]
+    texts = [quality_rules.one_byte_form(r["text"])[0] for r in table.collect() if r["text"] and len(r["text"]) > 9]
     octave = Counter(round(math.log2(len(t))) for t in texts).most_common(1)[0][0]
     ratios = sorted(len(z.compress(t)) / len(t) for t in texts if round(math.log2(len(t))) == octave)
     got = {s[0]: s[1:] for s in quality_rules.calibrate(table, share=0.05, low_margin=0.0, high_margin=0.0).steps}[1 << octave]

@@ -82,9 +82,9 @@ def resampled(df: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
     return out.withColumn("weight", drawn_weight(F.col("rep"))).where("weight > 0").drop("__a", "__b")
 
 
-def indexed(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+def indexed(df: DataFrame, by: list[str], order: str | list[str], name: str) -> DataFrame:
     """Adds ``name``, the position from 0 within the group."""
-    run = R.running(df.withColumn("__one", F.lit(1).cast("long")), by, [F.col(order)], {name: "__one"})
+    run = R.running(df.withColumn("__one", F.lit(1).cast("long")), by, [F.col(c) for c in ([order] if isinstance(order, str) else order)], {name: "__one"})
     return run.withColumn(name, F.col(name) - 1).drop("__one")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hornbeam.functions import text as X
+from hornbeam.operators import history_graph as G
 from hornbeam.operators import labels as L
+from hornbeam.operators.inference import indexed
 from hornbeam.sources import history as H
 from hornbeam.sources.tables import COMMITS_SQL, FILES_SQL, commit_files, commits, read
 
@@ -52,8 +54,23 @@ def _history(spark, d):
     fixes = commits(spark, d).where("priority = '1-URGENT'").select("sha")
     blame = lines.join(fixes.withColumnRenamed("sha", "fix_sha"), "fix_sha", "left_semi")
     hunks = blame.where("lineno % 2 = 1").select("fix_sha", "file", (F.col("lineno") - 1).alias("start"), F.lit(3).alias("lines"))
-    ancestors = commits(spark, d).where(F.col("ct") <= T0).select("sha")
-    return hunks, blame, ancestors, fixes
+    return hunks, blame, t0_ancestors(spark, d), fixes
+
+
+def parents(spark, d):
+    """``sha, parent, position``: in order of time a commit follows the one 40 before it, on one of 40 lanes, and one in 29
+    merges another lane; one in 211 of the first parents is missing, as in a shallow clone."""
+    at = indexed(commits(spark, d), [], ["ct", "sha"], "i").select("sha", "i")
+    to = at.select(F.col("sha").alias("parent"), F.col("i").alias("j"))
+    pairs = F.array(F.struct(F.lit(0).alias("position"), (F.col("i") - 40).alias("j")), F.struct(F.lit(1).alias("position"), F.when(F.col("i") % 29 == 0, F.col("i") - 1 - F.col("i") % 37).alias("j")))
+    wanted = at.select("sha", F.inline(pairs)).where("j is not null")
+    return wanted.join(to, "j", "left").select("sha", F.when((F.col("position") == 0) & (F.col("j") % 211 == 0), -F.col("sha")).otherwise(F.col("parent")).alias("parent"), "position").where("parent is not null")
+
+
+def t0_ancestors(spark, d):
+    """What is reachable from the last commit at or before T0."""
+    start = L.last_before(commits(spark, d), F.lit(T0)).select("sha")
+    return G.ancestors(commits(spark, d).select("sha"), parents(spark, d), start)
 
 
 def szz_files(spark, d):
@@ -268,17 +285,22 @@ _LIST = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in
 _S = f"""{COMMITS_SQL}, s as (select sha, priority, replace(replace({_LIST(SUBJECTS)}[sha % {len(SUBJECTS)} + 1], '{{a}}', (sha % 97)::varchar), '{{b}}', (sha % 31)::varchar) as subject from c)"""
 _FIX = r"""(not regexp_matches(subject, '(?i)^merge |\b(typo|bump|dep|deps|chore|lint|format|style|doc|docs)\b')
   and regexp_matches(subject, '(?i)\b(fix|bug|patch|resolve|resolves)\b|(close|closes|fixe|fixes)\s+#[0-9]'))"""
-_HIST = f"""with {COMMITS_SQL}, ln as (select l_orderkey as fix_sha, 'src/f' || (l_partkey % 97) || case when l_partkey % 3 = 0 then '.py' else '.js' end as file, l_linenumber * 3 as lineno,
+_ANCESTORS = f"""ci as (select sha, row_number() over (order by ct, sha) - 1 as i from c),
+pe as (select sha, 0 as position, i - 40 as j from ci union all select sha, 1, i - 1 - i % 37 from ci where i % 29 = 0),
+par as (select pe.sha, case when position = 0 and j % 211 = 0 then -pe.sha else p.sha end as parent from pe left join ci p on p.i = pe.j),
+anc as (select sha from (select sha from c where ct <= {T0} order by ct desc, sha desc limit 1) union select c.sha from anc join par on par.sha = anc.sha join c on c.sha = par.parent)"""
+_HIST = f"""with recursive {COMMITS_SQL}, {_ANCESTORS}, ln as (select l_orderkey as fix_sha, 'src/f' || (l_partkey % 97) || case when l_partkey % 3 = 0 then '.py' else '.js' end as file, l_linenumber * 3 as lineno,
   (l_orderkey * 7 + l_suppkey) % 9000 as blamed, case l_suppkey % 5 when 0 then '# note' when 1 then ' }} ' when 2 then '' else 'x =  ' || l_quantity::int end as content from lineitem),
 fx as (select sha from c where priority = '1-URGENT'), bl as (select * from ln where fix_sha in (select sha from fx)),
 hk as (select fix_sha, file, lineno - 1 as start, 3 as lines from bl where lineno % 2 = 1),
 og as (select fix_sha, file, lineno, blamed, trim(content) <> '' and trim(content) not in ('}}') and not (file like '%.py' and trim(content) like '#%')
   and blamed not in (select sha from fx) as strict from bl
-  where exists (select 1 from hk where hk.fix_sha = bl.fix_sha and hk.file = bl.file and bl.lineno between hk.start and hk.start + hk.lines - 1) and blamed in (select sha from c where ct <= {T0}))"""
+  where exists (select 1 from hk where hk.fix_sha = bl.fix_sha and hk.file = bl.file and bl.lineno between hk.start and hk.start + hk.lines - 1) and blamed in (select sha from anc))"""
 _FN = """with sp as (select file, file * 10 + i as function_id, i * 10 + 1 as start_line, i * 10 + 8 as end_line from (select distinct l_partkey % 97 as file from lineitem), range(10) r(i)),
 at0 as (select l_partkey % 97 as file, l_orderkey % 100 + 1 as lineno, l_orderkey % 500 as sha, epoch(l_shipdate)::bigint as ts, 'v = ' || (l_suppkey % 4) as content from lineitem),
 rm as (select l_partkey % 97 as file, l_orderkey as fix_sha, (l_orderkey + 1) % 500 as sha, 'v = ' || (l_linenumber % 4) as content from lineitem where l_returnflag = 'R' and l_discount >= 0.085)"""
 SQL = {
+    "t0_ancestors": f"with recursive {COMMITS_SQL}, {_ANCESTORS} select sha from anc",
     "szz_files": _HIST + " select file, count(distinct fix_sha) as plain, count(distinct fix_sha) filter (strict) as strict from og group by 1",
     "szz_summary": _HIST + " select count(distinct blamed) as inducing_plain, count(distinct blamed) filter (strict) as inducing_strict, count(distinct fix_sha) as attributed from og",
     "fixes_per_file": f"with {COMMITS_SQL}, {FILES_SQL} select path, count(distinct sha) as defect_count from cf join c using (sha) where priority = '1-URGENT' group by 1",
@@ -350,7 +372,7 @@ select b.*, plain_files >= 5 as usable, folders from b join (select author, stri
 QUERIES = {
     f.__name__: f
     for f in (
-        szz_files, szz_summary, fixes_per_file, prior_fixes, recent_commits, t0_resolution, fix_classifier, fix_commits, issue_refs, path_rules, url_paths, cosmetic_lines, hunk_headers, blame_headers,
+        t0_ancestors, szz_files, szz_summary, fixes_per_file, prior_fixes, recent_commits, t0_resolution, fix_classifier, fix_commits, issue_refs, path_rules, url_paths, cosmetic_lines, hunk_headers, blame_headers,
         issue_links, bug_issues, resolution_hours, bucket_resolution, function_process, function_labels, class_match, rate_limits, coverage_meta, audit, link_meta, function_floor, tree_at_t0,
     )
 }

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from hornbeam.functions.special import chi_square_tail, exact_u_tail, normal_tail
 from hornbeam.operators import ranking as R
 
 #: Weight of a finding's severity; any other counts 1.
@@ -78,10 +76,8 @@ def descriptive(df: DataFrame, by: list[str], column: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, by: list[str], group: Column, value: str) -> DataFrame:
-    """``by..., groups, h, p``: tie-corrected Kruskal-Wallis; null with fewer than two groups or all values alike.
-
-    ``p`` has closed forms for 2 and 3 groups, and the two-group one is left to :func:`normal_tail`: here it is null.
-    """
+    """``by..., groups, h, p``: tie-corrected Kruskal-Wallis, p from the chi-square distribution with one degree of freedom less
+    than there are groups; null with fewer than two groups or all values alike."""
     per = df.groupBy(*by, group.alias("__g"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
     values = per.groupBy(*by, "__v").agg(F.sum("__n").alias("__t"))
     ranked = R.running(values, by, [F.col("__v")], {"__upto": "__t"})
@@ -99,7 +95,7 @@ def kruskal(df: DataFrame, by: list[str], group: Column, value: str) -> DataFram
     total = F.col("__total").cast("double")
     fix = 1 - F.col("__ties") / (total**3 - total)
     h = F.when((F.col("groups") < 2) | (fix <= 0), None).otherwise(F.col("__h") / fix)
-    return both.select(*by, "groups", h.alias("h")).withColumn("p", F.when(F.col("groups") == 3, F.exp(-F.col("h") / 2)))
+    return both.select(*by, "groups", h.alias("h")).withColumn("p", chi_square_tail(F.col("h"), F.col("groups") - 1))
 
 
 def with_without(df: DataFrame, marks: DataFrame, roster: list[str], value: str) -> DataFrame:
@@ -139,13 +135,27 @@ def with_without(df: DataFrame, marks: DataFrame, roster: list[str], value: str)
     )
 
 
-def _tail(z):
-    return None if z is None else 0.5 * math.erfc(z / math.sqrt(2))
+def mann_whitney(df: DataFrame, by: list[str], first: Column | str, value: str, least: int = 3, small: int = 8) -> DataFrame:
+    """``by..., n, m, u, exact, p``: rows with ``first`` against the others of their group, alternative "greater".
 
-
-def normal_tail(z: Column | str) -> Column:
-    """P(Z >= z).  For a handful of summed rows: Spark has no error function."""
-    return F.udf(_tail, T.DoubleType())(z)
+    ``u`` counts pairs in which the first is greater, ties half.  With at most ``small`` rows on the smaller side and no ties
+    p comes from the exact distribution, else from the normal one with tie and continuity correction; it is null where
+    that has no spread, and all is null below ``least`` rows on a side.  Rows without a value do not count; a null ``first``
+    is a no.
+    """
+    is_first = F.coalesce(R.column(first), F.lit(False))
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count_if(is_first).alias("__ours"), F.count_if(~is_first).alias("__theirs"))
+    run = R.running(per, by, [F.col("__v")], {"__below": "__theirs"})
+    t = F.col("__ours") + F.col("__theirs")
+    sums = run.groupBy(*by).agg(
+        F.sum("__ours").alias("n"), F.sum("__theirs").alias("m"), F.sum(F.col("__ours") * (2 * F.col("__below") - F.col("__theirs"))).alias("__u2"), F.sum(t**3 - t).alias("__ties"),
+    )
+    n, m, u = F.col("n").cast("double"), F.col("m").cast("double"), F.col("__u2") / 2
+    exact = (F.least("n", "m") <= small) & (F.col("__ties") == 0)
+    var = n * m / 12 * ((n + m + 1) - F.col("__ties") / ((n + m) * (n + m - 1)))
+    p = F.when(exact, exact_u_tail(u, F.when(exact, F.col("n")), F.col("m"))).when(var > 0, normal_tail((u - n * m / 2 - 0.5) / F.sqrt(var)))
+    enough = F.least("n", "m") >= least
+    return sums.select(*by, "n", "m", F.when(enough, u).alias("u"), F.when(enough, exact).alias("exact"), F.when(enough, p).alias("p"))
 
 
 def dominant(findings: DataFrame) -> DataFrame:

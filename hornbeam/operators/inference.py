@@ -13,8 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from hornbeam.functions.special import normal_tail
 from hornbeam.operators import ranking as R
 from hornbeam.sources.store import written
 
@@ -25,9 +25,9 @@ def hash_index(n: Column, *parts: Column | str) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
 
 
-def two_sided(z: Column | str) -> Column:
-    """p of a normal deviate; for a handful of summed rows, as Spark has no error function."""
-    return F.udf(lambda x: None if x is None else math.erfc(abs(x) / math.sqrt(2)), T.DoubleType())(z)
+def two_sided(z: Column) -> Column:
+    """p of a normal deviate."""
+    return 2 * normal_tail(F.abs(z))
 
 
 def delong(df: DataFrame, by: list[str], a: str, b: str, positive: Column | str) -> DataFrame:

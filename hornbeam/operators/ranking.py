@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornbeam.functions.special import correlation_p
 from hornbeam.sources.store import written
 
 
@@ -174,9 +175,9 @@ def precision_at_k(df: DataFrame, score: str, k: int, defects: str = "defects")
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """``by..., n, rho``; null below 3 rows or where either side is constant."""
+    """``by..., n, rho, p``, p two-sided by the t distribution; null below 3 rows or where either side is constant."""
     ranked = several_midranks(df, [(by, x, "__rx"), (by, y, "__ry")])
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), _corr("__rx", "__ry").alias("rho"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), _corr("__rx", "__ry").alias("rho")).withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

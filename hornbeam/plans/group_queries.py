@@ -51,13 +51,23 @@ def kruskal_h(spark, d):
     return _rounded(G.kruskal(units(spark, d), ["cluster"], group, "defects"), "h", "p")
 
 
+def kruskal_many(spark, d):
+    """More groups than three: seven in each cluster."""
+    return _rounded(G.kruskal(units(spark, d), ["cluster"], F.pmod("unit_id", F.lit(7)), "defects"), "h", "p")
+
+
+def mannwhitney_small(spark, d):
+    """Few units against the others of their stratum, by a score that has ties in some strata: exact where it can be."""
+    return _rounded(G.mann_whitney(units(spark, d), ["stratum"], "unit_id % 6 = 0", "rival", least=2), "u", "p")
+
+
 def cliffs_delta_by_biomarker(spark, d):
     return _rounded(G.with_without(units(spark, d), findings(spark, d), ROSTER, "defects"), "mean_with", "mean_without", "delta", "z")
 
 
 def mannwhitney_p(spark, d):
     table = G.with_without(units(spark, d), findings(spark, d), ROSTER, "defects")
-    return _rounded(table.select("biomarker", "u", G.normal_tail("z").alias("p")), "p")
+    return _rounded(table.select("biomarker", "u", G.normal_tail(F.col("z")).alias("p")), "p")
 
 
 def biomarker_ranking(spark, d):
@@ -219,6 +229,21 @@ m as (select biomarker, sum(a)::bigint as n, sum(b)::bigint as m, sum(a * v) as
 x as (select biomarker, n as n_with, m as n_without, coalesce(av::double / nullif(n, 0), 0) as mean_with, coalesce(bv::double / nullif(m, 0), 0) as mean_without,
   case when n >= 3 and m >= 3 then u2 / 2.0::double end as u, case when n = 0 or m = 0 then 0.0 else u2::double / (n::double * m) - 1 end as delta,
   case when n >= 3 and m >= 3 then (u2 / 2.0::double - n::double * m / 2 - 0.5) / sqrt(n::double * m / 12 * ((n + m + 1) - ties / ((n + m)::double * (n + m - 1)))) end as z from m)"""
+def _kruskal_sql(group: str) -> str:
+    """p is 1 less the integral of 2 y^(k-1) exp(-y^2 / 2) / (2^(k/2) gamma(k/2)), k = groups - 1, from 0 to sqrt(h)."""
+    step, weight = "(sqrt(h) / 2000)", "case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end"
+    area = f"sum({weight} * 2 * ((i * {step}) ** (groups - 2)) * exp(-((i * {step}) ** 2) / 2)) * any_value({step}) / 3"
+    tail = f"1 - {area} / exp(any_value(groups - 1) / 2.0::double * ln(2) + lgamma(any_value(groups - 1) / 2.0::double))"
+    return f"""g as (select cluster, {group} as g, defects,
+  rank() over (partition by cluster order by defects) + (count(*) over (partition by cluster, defects) - 1) / 2.0::double as r from u),
+s as (select cluster, g, sum(r)::double as s, count(*) as m from g group by 1, 2),
+h as (select cluster, count(*) as groups, sum(m)::double as n, sum(s * s / m) as q from s group by 1),
+t as (select cluster, sum(c * c * c - c)::double as t from (select cluster, defects, count(*) as c from u group by 1, 2) group by 1),
+x as (select cluster, groups, case when groups >= 2 and t < n * n * n - n then (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) end as h from h join t using (cluster)),
+pt as (select cluster, {tail} as p from x, range(2001) r(i) where h is not null group by cluster)
+select cluster, groups, round(h, 6) as h, round(p, 6) as p from x left join pt using (cluster)"""
+
+
 SQL = {
     "density_ratio": WITH + """x as (select cluster, count(*) filter (score < 4) as low_n, count(*) filter (score > 8) as high_n,
   coalesce(avg(defects) filter (score < 4), 0) as a, coalesce(avg(defects) filter (score > 8), 0) as b,
@@ -238,13 +263,20 @@ select cluster, round(case when hm > 0 then am / hm end, 6) as per_file, round(c
 select colour, count(unit_id) as n, round(coalesce(avg(defects), 0), 6) as mean from k left join s using (colour) group by 1""",
     "descriptive": WITH + """x as (select cluster, count(*) as n, count(*) filter (defects > 0) as n_positive, round(100.0::double * count(*) filter (defects = 0) / count(*), 6) as pct_zero,
   round(avg(defects), 6) as mean, round(median(defects), 6)::double as median, min(defects) as min, max(defects) as max, round(coalesce(stddev_samp(defects), 0), 6) as std, sum(defects)::bigint as sum from u group by 1) select * from x""",
-    "kruskal_h": WITH + """g as (select cluster, case when score >= 8 then 'green' when score >= 4 then 'yellow' else 'red' end as g, defects,
-  rank() over (partition by cluster order by defects) + (count(*) over (partition by cluster, defects) - 1) / 2.0::double as r from u),
-s as (select cluster, g, sum(r)::double as s, count(*) as m from g group by 1, 2),
-h as (select cluster, count(*) as groups, sum(m)::double as n, sum(s * s / m) as q from s group by 1),
-t as (select cluster, sum(c * c * c - c)::double as t from (select cluster, defects, count(*) as c from u group by 1, 2) group by 1),
-x as (select cluster, groups, case when groups >= 2 and t < n * n * n - n then (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) end as h from h join t using (cluster))
-select cluster, groups, round(h, 6) as h, round(case when groups = 3 then exp(-h / 2) end, 6) as p from x""",
+    "kruskal_h": WITH + _kruskal_sql("case when score >= 8 then 'green' when score >= 4 then 'yellow' else 'red' end"),
+    "kruskal_many": WITH + _kruskal_sql("unit_id % 7"),
+    "mannwhitney_small": "with recursive" + WITH.removeprefix("with") + """a as (select stratum, unit_id % 6 = 0 as f, rival as v,
+  rank() over (partition by stratum order by rival) + (count(*) over (partition by stratum, rival) - 1) / 2.0::double as r from u),
+t as (select stratum, sum(c * c * c - c)::double as ties from (select stratum, v, count(*) as c from a group by all) group by 1),
+s as (select stratum, count(*) filter (f) as n, count(*) filter (not f) as m, sum(r) filter (f) - count(*) filter (f) * (count(*) filter (f) + 1) / 2.0::double as u from a group by 1),
+w(i, c, x, ways) as (select 0, 0, 0, 1.0::double union all  -- of i values in order c are the first's, x of the others' come before them
+  select i + 1, c2, x2, sum(ways) from (select i, c + 1 as c2, x + (i - c) as x2, ways from w where c < 8 union all select i, c, x, ways from w)
+  where i < (select max(n + m) from s) group by all),
+g as (select stratum, n, m, u, ties, least(n, m) <= 8 and ties = 0 as exact from s join t using (stratum) where least(n, m) >= 2),
+e as (select stratum, sum(ways) filter (x >= u) / sum(ways) as p from g join w on i = n + m and c = n where exact group by 1),
+z as (select stratum, (u - n * m / 2.0::double - 0.5) / sqrt(n * m / 12.0::double * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))) as z from g where not exact), """
+    + upper_tail_sql("z", "stratum") + """
+select s.stratum, s.n, s.m, round(g.u, 6) as u, g.exact, round(coalesce(e.p, pt.tail), 6) as p from s left join g using (stratum) left join e using (stratum) left join pt using (stratum)""",
     "cliffs_delta_by_biomarker": WF + _MW + " select biomarker, n_with, n_without, round(mean_with, 6) as mean_with, round(mean_without, 6) as mean_without, u, round(delta, 6) as delta, round(z, 6) as z from x",
     "mannwhitney_p": WF + _MW + ", " + upper_tail_sql("x", "biomarker") + " select biomarker, u, round(tail, 6) as p from x left join pt using (biomarker)",
     "biomarker_ranking": WF + _MW + " select row_number() over (order by round(delta, 6) desc, list_position([" + ", ".join(f"'{b}'" for b in ROSTER) + "], biomarker))::int as rank, biomarker, round(delta, 6) as delta from x",
@@ -306,7 +338,7 @@ select * from x3 join x2 using (stratum)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        density_ratio, density_by_bucket, category_stats, category_ratio, colour_groups, descriptive, kruskal_h, cliffs_delta_by_biomarker, mannwhitney_p, biomarker_ranking,
+        density_ratio, density_by_bucket, category_stats, category_ratio, colour_groups, descriptive, kruskal_h, kruskal_many, mannwhitney_small, cliffs_delta_by_biomarker, mannwhitney_p, biomarker_ranking,
         dominant_biomarker, findings_per_file, max_magnitude, fingerprint, nloc_quartiles, auc_by_band, band_zscore, band_rank, size_residual, residual_auc, leave_cluster_out,
         cluster_cost, worst_false_positives, worst_false_negatives, coverage_penalty_grid, gate_sweep, label_comparison, label_overlay, per_language_summary, language_autopsy,
     )

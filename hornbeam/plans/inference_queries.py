@@ -56,7 +56,7 @@ def delong_components(spark, d):
 
 def delong_z(spark, d):
     out = I.delong(_two(spark, d), [], "a", "b", POSITIVE)
-    return _rounded(out.select("auc_a", "auc_b", "delta", "z", I.two_sided("z").alias("p")), "auc_a", "auc_b", "delta", "z", "p")
+    return _rounded(out.select("auc_a", "auc_b", "delta", "z", I.two_sided(F.col("z")).alias("p")), "auc_a", "auc_b", "delta", "z", "p")
 
 
 def head_to_head(spark, d):

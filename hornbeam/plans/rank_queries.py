@@ -68,7 +68,7 @@ def bottom_files(spark, d):
 
 
 def spearman(spark, d):
-    return _rounded(R.spearman(units(spark, d), ["cluster"], "score", "defects"), "rho")
+    return _rounded(R.spearman(units(spark, d), ["cluster"], "score", "defects"), "rho", "p")
 
 
 def partial_spearman(spark, d):
@@ -134,6 +134,16 @@ def corr_sql(x: str, y: str) -> str:
     return f"case when count(*) < 3 or min({x}) = max({x}) or min({y}) = max({y}) then null else corr({x}, {y}) end"
 
 
+def correlation_p_sql(source: str, key: str) -> str:
+    """CTE ``cp(key, p)``: two-sided p of ``rho`` of ``n`` pairs.  With t = tan(x) sqrt(n - 2) the density of t is that of
+    cos(x) ** (n - 3), integrated by Simpson's rule over 2,000 steps from 0 to asin(|rho|)."""
+    step = "(asin(abs(rho)) / 2000)"
+    weight = "case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end"
+    area = f"sum({weight} * cos(i * {step}) ** (n - 3)) * any_value({step}) / 3"
+    front = "2 * exp(lgamma((any_value(n) - 1) / 2.0::double) - lgamma((any_value(n) - 2) / 2.0::double)) / sqrt(pi())"
+    return f"cp as (select {key}, 1 - {front} * {area} as p from {source}, range(2001) g(i) where rho is not null group by {key})"
+
+
 def upper_tail_sql(source: str, key: str, z: str = "z") -> str:
     """CTE ``pt(key, tail)``: P(Z >= z) of a normal Z, by Simpson's rule over 2,000 steps from 0 to z."""
     step = f"({z} / 2000)"
@@ -164,7 +174,7 @@ SQL = {
     "precision_at_k": WITH
     + "t as (select * from u order by score, ord limit 20) select count(*) as k, count(*) filter (defects > 0) as hits, round(count(*) filter (defects > 0)::double / count(*), 6) as precision from t",
     "bottom_files": WITH + "t as (select * from u order by score, ord limit 20) select unit_id, score, defects from t",
-    "spearman": WITH + f"r as (select cluster, {_ranks({'score': 'x', 'defects': 'y'})} from u) select cluster, count(*) as n, round({corr_sql('x', 'y')}, 6) as rho from r group by 1",
+    "spearman": WITH + f"r as (select cluster, {_ranks({'score': 'x', 'defects': 'y'})} from u), c as (select cluster, count(*) as n, {corr_sql('x', 'y')} as rho from r group by 1), " + correlation_p_sql("c", "cluster") + " select cluster, n, round(rho, 6) as rho, round(p, 6) as p from c left join cp using (cluster)",
     "partial_spearman": WITH
     + f"""r as (select cluster, {_ranks({'score': 'x', 'defects': 'y', 'size': 'z'})} from u),
     c as (select cluster, count(*) as n, {corr_sql('x', 'y')} as a, {corr_sql('x', 'z')} as b, {corr_sql('y', 'z')} as c from r group by 1)

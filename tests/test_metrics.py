@@ -194,3 +194,25 @@ def test_jit_constants_has_every_feature(spark, sf_dir):
 
     got = [r["feature"] for r in model_queries.jit_constants(spark, sf_dir).collect()]
     assert got == ["entropy", "la", "ld", "nf", "nd", "ns", "exp", "offset"]
+
+
+def test_mann_whitney_exact_and_normal(spark):
+    from itertools import combinations
+
+    rows = [("few", i, float(v), i < 3) for i, v in enumerate((9, 7, 8, 1, 2, 3, 7.5))]
+    rows += [("ties", i, float(i // 2), i % 3 == 0) for i in range(12)] + [("many", i, i * 37 % 101 + i / 1000, i % 2 == 0) for i in range(40)]
+    rows += [("one side", 1, 1.0, True), ("one side", 2, 2.0, None), ("nothing", 1, None, True), (None, 1, 5.0, True), (None, 2, 4.0, False)]
+    d = spark.createDataFrame(rows, "g string, i int, v double, f boolean")
+    got = {r["g"]: r for r in G.mann_whitney(d, ["g"], "f", "v", least=1).collect()}
+    assert set(got) == {"few", "ties", "many", "one side", None}
+    for g, r in got.items():
+        a, b = ([v for h, _, v, f in rows if h == g and bool(f) == side] for side in (True, False))
+        u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+        assert (r["n"], r["m"], r["u"]) == (len(a), len(b), u)
+        assert r["exact"] == (g in ("few", "one side", None))
+        if r["exact"]:
+            us = [sum(c) - len(a) * (len(a) - 1) // 2 for c in combinations(range(len(a) + len(b)), len(a))]
+            assert r["p"] == pytest.approx(sum(x >= u for x in us) / len(us))
+    low = G.mann_whitney(d, ["g"], "f", "v").where("g = 'one side'").first()
+    assert low["u"] is None and low["p"] is None and low["exact"] is None
+    assert G.mann_whitney(d.limit(0), ["g"], "f", "v").collect() == []

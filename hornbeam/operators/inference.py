@@ -1,16 +1,11 @@
 """DeLong tests and bootstrap intervals.
 
 Clusters are drawn with replacement: slot ``s`` of resample ``r`` takes index ``md5(seed|r|s) mod n``.  Rows within a
-cluster are drawn by weight, as many times as a Poisson number with mean 1 says: every row draws for itself, so nothing
-depends on how many rows a cluster has, and no row has to be found by its number.  The numbers of a row come from two
-31-bit numbers of its MD5, ``(a + j * b) mod 2**31 - 1`` for draw ``j``, the same on every run and in SQL.
+cluster are drawn by weight (:mod:`resampling`).
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,29 +54,13 @@ def delong(df: DataFrame, by: list[str], a: str, b: str, positive: Column | str)
 
 #: Modulus of the draws, a prime.
 PRIME = 2**31 - 1
-#: Where the Poisson distribution with mean 1 passes 0, 1, 2, ... on the scale of the draws.
-LIMITS = tuple(round(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(11))
-
-
 def with_stream(df: DataFrame, key: str, seed: str) -> DataFrame:
-    """Adds ``__a`` and ``__b``, of which :func:`drawn_weight` makes the row's draws."""
+    """Adds ``__a`` and ``__b``: draw ``j`` of the row is ``(a + j * b) mod PRIME``."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))
     part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % PRIME
     return df.withColumn("__a", part(1)).withColumn("__b", part(9))
 
 
-def drawn_weight(j: Column) -> Column:
-    """How often draw ``j`` takes the row."""
-    x = (F.col("__a") + j * F.col("__b")) % PRIME
-    return reduce(lambda u, v: u + v, ((x >= limit).cast("int") for limit in LIMITS)).cast("long")
-
-
-def resampled(df: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
-    """``df`` with ``rep`` and ``weight``, a row for each resample that takes the row."""
-    out = with_stream(df, key, seed).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
-    return out.withColumn("weight", drawn_weight(F.col("rep"))).where("weight > 0").drop("__a", "__b")
-
-
 def indexed(df: DataFrame, by: list[str], order: str | list[str], name: str) -> DataFrame:
     """Adds ``name``, the position from 0 within the group."""
     run = R.running(df.withColumn("__one", F.lit(1).cast("long")), by, [F.col(c) for c in ([order] if isinstance(order, str) else order)], {name: "__one"})

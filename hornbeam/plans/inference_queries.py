@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.operators import inference as I
 from hornbeam.operators import ranking as R
+from hornbeam.operators import resampling as B
 from hornbeam.plans.rank_queries import POSITIVE, RISK, WITH, _auc_sql, _ranks, _rounded, corr_sql, popt_sql, upper_tail_sql
 from hornbeam.sources.store import written
 from hornbeam.sources.tables import read, units
@@ -69,49 +70,65 @@ def head_to_head(spark, d):
     return _rounded(a.join(p, "tool").join(e, "tool").join(s, "tool"), "auc", "popt", "precision", "recall_defects", "recall_files", "partial_rho")
 
 
+def _auc_cells(spark, d):
+    """Units as cells of equal cluster, risk and outcome ``y``."""
+    u = units(spark, d).select("cluster", F.expr(RISK).alias("risk"), F.expr(POSITIVE).cast("int").alias("y"), "ord")
+    return B.cells(u, ["cluster", "risk", "y"], "ord", SEED)
+
+
 def boot_ci_auc(spark, d):
     """Interval of each cluster's AUC by drawing its units."""
-    t = I.resampled(units(spark, d).select("cluster", "ord", "score", "defects"), "ord", REPS, SEED)
-    per = R.auc(t, ["cluster", "rep"], RISK, POSITIVE, weight=F.col("weight"))
+    arrays = B.areas(_auc_cells(spark, d), "cluster", [F.col("risk")], F.col("y"), 1 - F.col("y"), reps=REPS)
+    per = B.by_draw(arrays, "auc").select(F.col("g").alias("cluster"), F.coalesce("auc", F.lit(0.5)).alias("auc"))
     return _rounded(I.interval(per, ["cluster"], "auc"), "lo", "hi")
 
 
 def within_boot_delta(spark, d):
-    """Difference of two risks' mean AUC over clusters when units are drawn within each cluster: its mean, and the
+    """Differences of two risks' mean AUC and Popt over clusters when units are drawn within each cluster: the mean, and the
     values at positions ``int(q * n)`` of the sorted resamples."""
-    t = I.resampled(_two(spark, d).select("cluster", "ord", "a", "b", "defects"), "ord", WITHIN_REPS, SEED)
-    # both risks of a row in one pass
-    long = t.select("cluster", "rep", "weight", "defects", F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array("a", "b"))).alias("side", "risk"))
-    per = R.auc(long, ["cluster", "rep", "side"], "risk", POSITIVE, None, F.col("weight"))
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("auc")))
-    per = per.groupBy("cluster", "rep").agg((side("a") - side("b")).alias("delta")).groupBy("rep").agg(F.avg("delta").alias("delta"))
+    t = _two(spark, d).select("cluster", "a", "b", F.greatest("size", F.lit(1)).alias("size"), "defects", "ord")
+    c = written(B.cells(t, ["cluster", "a", "b", "size", "defects"], "ord", SEED), "cells")
+    hit, of = F.expr(POSITIVE).cast("int"), lambda order, x, y, name: B.by_draw(B.areas(c, "cluster", order, x, y, reps=WITHIN_REPS), name)
+    area = lambda order, name: of([*order, F.col("ord")], F.col("size"), F.col("defects"), name).select("g", "at", name)
+    per = of([F.col("a")], hit, 1 - hit, "auc_a").select("g", "at", (F.col("x") + F.col("y")).alias("n"), "auc_a")
+    per = per.join(of([F.col("b")], hit, 1 - hit, "auc_b").select("g", "at", "auc_b"), ["g", "at"]).join(area([-F.col("defects") / F.col("size")], "best"), ["g", "at"])
+    for side in "ab":
+        per = per.join(area([-F.col(side), F.col("size")], f"area_{side}"), ["g", "at"])
+        gap = 2 * F.col("best") - 1
+        per = per.withColumn(f"popt_{side}", F.when(F.col("n") >= 3, F.when(gap == 0, 0.5).otherwise(1 - (F.col("best") - F.col(f"area_{side}")) / gap)))
+    per = per.groupBy("at").agg(*(F.avg(F.col(f"{m}_a") - F.col(f"{m}_b")).alias(m) for m in ("auc", "popt")))
+    long = per.select(F.inline(F.array(*(F.struct(F.lit(m).alias("of"), F.col(m).alias("delta")) for m in ("auc", "popt")))))
     values = F.array_sort(F.collect_list("delta"))  # WITHIN_REPS numbers
     at = lambda q: F.element_at("v", F.floor(q * F.size("v")).cast("int") + 1)
-    out = per.agg(values.alias("v"), F.avg("delta").alias("mean")).select("mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
+    out = long.groupBy("of").agg(values.alias("v"), F.avg("delta").alias("mean")).select("of", "mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
     return _rounded(out, "mean", "lo", "hi")
 
 
 def _two_stage(spark, d):
-    """Weighted units of each slot: clusters are drawn, then units within each slot anew."""
-    u = written(I.with_stream(units(spark, d).select("cluster", "ord", "score", "defects"), "ord", SEED), "units")
-    names = I.indexed(u.groupBy("cluster").agg(F.min("ord").alias("first")), [], "first", "cluster_at")
+    """(cells, ``cluster, js``, number of clusters): clusters are drawn, then units within each slot anew.  Draw ``rep * k + slot``
+    of a cluster is what a slot that took it has; a cluster has about as many as there are resamples."""
+    c = written(_auc_cells(spark, d), "cells")
+    names = written(I.indexed(c.groupBy("cluster").agg(F.min("ord").alias("first")), [], "first", "cluster_at"), "clusters")
     k = names.count()
-    slots = I.cluster_draws(names, k, REPS, SEED).join(names, "cluster_at").groupBy("cluster").agg(F.collect_list(F.struct("rep", "slot")).alias("slots"))
-    # a cluster's slots, about as many as resamples
-    t = u.join(slots, "cluster").withColumn("s", F.explode("slots")).select("score", "defects", "__a", "__b", "s.rep", "s.slot")
-    return t.withColumn("weight", I.drawn_weight(F.col("rep") * k + F.col("slot"))).where("weight > 0").select("rep", "slot", "score", "defects", "weight")
+    draws = I.cluster_draws(names, k, REPS, SEED).join(names, "cluster_at").groupBy("cluster").agg(F.sort_array(F.collect_list(F.col("rep") * k + F.col("slot"))).alias("js"))
+    return c, written(draws, "draws"), k
 
 
 def cluster_boot_mean_auc(spark, d):
     """Two-stage interval of the mean over drawn clusters."""
-    per = R.auc(_two_stage(spark, d), ["rep", "slot"], RISK, POSITIVE, degenerate=None, weight=F.col("weight"))
+    c, draws, k = _two_stage(spark, d)
+    arrays = B.areas(c, "cluster", [F.col("risk")], F.col("y"), 1 - F.col("y"), draws=draws)
+    slots = draws.select(F.col("cluster").alias("g"), F.posexplode("js").alias("at", "j"))
+    per = B.by_draw(arrays, "auc").join(slots, ["g", "at"]).withColumn("rep", F.expr(f"j div {k}"))
     mean = per.groupBy("rep").agg(F.avg("auc").alias("auc")).withColumn("of", F.lit("mean"))
     return _rounded(I.interval(mean, ["of"], "auc"), "lo", "hi")
 
 
 def pooled_boot(spark, d):
     """Two-stage interval of the metric over all drawn rows."""
-    per = R.auc(_two_stage(spark, d), ["rep"], RISK, POSITIVE, weight=F.col("weight")).withColumn("of", F.lit("pooled"))
+    c, draws, k = _two_stage(spark, d)
+    arrays = B.areas(c, None, [F.col("risk")], F.col("y"), 1 - F.col("y"), draws=draws, per=k)
+    per = B.by_draw(arrays, "auc").select(F.coalesce("auc", F.lit(0.5)).alias("auc"), F.lit("pooled").alias("of"))
     return _rounded(I.interval(per, ["of"], "auc"), "lo", "hi")
 
 
@@ -197,12 +214,30 @@ per as (select {by}, case when sum(p) = 0 or sum(q) = 0 then {degenerate} else s
 
 
 _NAMES = "nm as (select cluster, count(*) as n, row_number() over (order by min(ord)) - 1 as cluster_at from u group by 1), kk as (select count(*) as k from nm)"
-_DRAWS = f"""ub as (select *, ('0x' || substr(md5('{SEED}|' || ord), 1, 8))::bigint % {I.PRIME} as ha, ('0x' || substr(md5('{SEED}|' || ord), 9, 8))::bigint % {I.PRIME} as hb from u)"""
-_DRAWN = lambda j: "(" + " + ".join(f"(((ha + ({j}) * hb) % {I.PRIME}) >= {x})::int" for x in I.LIMITS) + ")"
-_WITHIN = lambda reps: _DRAWS + f", ds as (select * from (select *, {_DRAWN('rep')} as weight from ub, range({reps}) a(rep)) where weight > 0), "
+def _drawn_sql(cells: str) -> str:
+    """CTE ``cx``: the cells with their stream and, as ``t``, where the Poisson distribution with mean n passes 0, 1, 2, ..."""
+    return f"""tk as (select n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) over (partition by n order by k) as cdf from (select distinct n::double as n from {cells}), range(20000) r(k) where k <= n + 12 * sqrt(n) + 30),
+th as (select n::bigint as n, list(round({I.PRIME} * cdf)::bigint order by k) as t from tk group by 1),
+cx as (select *, ('0x' || substr(md5('{SEED}|' || ord), 1, 8))::bigint % {I.PRIME} as ha, ('0x' || substr(md5('{SEED}|' || ord), 9, 8))::bigint % {I.PRIME} as hb from {cells} join th using (n))"""
+
+
+_DRAWN = lambda j: f"len(list_filter(t, lambda v: v <= (ha + ({j}) * hb) % {I.PRIME}))"
+_CELLS = "ce as (select cluster, 10 - score as risk, (defects > 0)::int as defects, count(*) as n, min(ord) as ord from u group by 1, 2, 3), " + _drawn_sql("ce")
+_WITHIN = _CELLS + f", ds as (select cluster, rep, risk, defects, {_DRAWN('rep')} as weight from cx, range({REPS}) a(rep)), "
 _SLOTS = _NAMES + f""", sl as (select rep, slot, {_IDX('k', f"'{SEED}|c'", 'rep', 'slot')} as cluster_at from range({REPS}) a(rep), kk, (select unnest(range(k)) as slot from kk)),
 sl2 as (select cluster, rep, slot, (select k from kk) as k from sl join nm using (cluster_at)),
-ds as (select * from (select rep, slot, score, defects, {_DRAWN('rep * k + slot')} as weight from ub join sl2 using (cluster)) where weight > 0)"""
+ds as (select rep, slot, risk, defects, {_DRAWN('rep * k + slot')} as weight from cx join sl2 using (cluster))"""
+
+
+def _weighted_popt(side: str) -> str:
+    """CTE ``p_side(cluster, rep, popt)`` of ``dw``, whose rows count ``weight`` times."""
+    before = lambda order: f"sum(weight * defects) over (partition by cluster, rep order by {order} rows between unbounded preceding and current row)"
+    return f"""c_{side} as (select cluster, rep, size, defects, weight, {before(f'-{side}, size, ord')} as cm, {before('-(defects::double / size), ord')} as co from dw),
+a_{side} as (select cluster, rep, sum(weight) as n, sum(weight * defects) as d, sum(weight * size * (2 * cm - weight * defects))::double / nullif(2.0::double * sum(weight * size) * sum(weight * defects), 0) as m,
+  sum(weight * size * (2 * co - weight * defects))::double / nullif(2.0::double * sum(weight * size) * sum(weight * defects), 0) as o from c_{side} group by 1, 2),
+p_{side} as (select cluster, rep, case when d = 0 or n < 3 then null when 2 * o - 1 = 0 then 0.5 else 1 - (o - m) / (2 * o - 1) end as popt from a_{side})"""
+
+
 _WEIGHTS = _NAMES + f""", cw as (select cluster, rep, count(*) as weight from (select rep, {_IDX('k', f"'{SEED}|c'", 'rep', 'slot')} as cluster_at from range({REPS}) a(rep), kk, (select unnest(range(k)) as slot from kk)) join nm using (cluster_at) group by 1, 2)"""
 _CI = lambda v: f"round(quantile_cont({v}, 0.025), 6) as lo, round(quantile_cont({v}, 0.975), 6) as hi"
 
@@ -225,13 +260,16 @@ x3 as (select tool, round(count(*) filter (defects > 0)::double / count(*), 6) a
 ck as (select tool, {corr_sql('x', 'y')} as a, {corr_sql('x', 'z')} as b, {corr_sql('y', 'z')} as c from rk group by 1),
 x4 as (select tool, round(case when sqrt((1 - b * b) * (1 - c * c)) = 0 then 0.0 else (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) end, 6) as partial_rho from ck)
 select * from x1 join x2 using (tool) join x3 using (tool) join x4 using (tool)""",
-    "boot_ci_auc": WITH + _WITHIN(REPS) + _weighted_auc("cluster, rep", "ds") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
-    "within_boot_delta": WITH + _WITHIN(WITHIN_REPS) + _weighted_auc("cluster, rep", "ds", "10 - score", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (")
-    + ", " + _weighted_auc("cluster, rep", "ds", "10 - rival", "null").replace("per as (", "pb as (")
-    + """, m as (select rep, avg(pa.auc - pb.auc) as d from pa join pb using (cluster, rep) group by 1), l as (select list(d order by d) filter (d is not null) as v, avg(d) as mean from m)
-select round(mean, 6) as mean, round(v[floor(0.025 * len(v))::int + 1], 6) as lo, round(v[floor(0.975 * len(v))::int + 1], 6) as hi from l""",
-    "cluster_boot_mean_auc": WITH + _DRAWS + ", " + _SLOTS + ", " + _weighted_auc("rep, slot", "ds", degenerate="null") + f", mm as (select rep, avg(auc) as auc from per group by 1) select 'mean' as of, {_CI('auc')}, count(auc) as n_boot from mm",
-    "pooled_boot": WITH + _DRAWS + ", " + _SLOTS + ", " + _weighted_auc("rep", "ds") + f" select 'pooled' as of, {_CI('auc')}, count(auc) as n_boot from per",
+    "boot_ci_auc": WITH + _WITHIN + _weighted_auc("cluster, rep", "ds", "risk") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
+    "within_boot_delta": WITH + "cw as (select cluster, 10 - score as a, 10 - rival as b, greatest(size, 1) as size, defects, count(*) as n, min(ord) as ord from u group by 1, 2, 3, 4, 5), " + _drawn_sql("cw")
+    + f", dw as (select cluster, rep, a, b, size, defects, ord, {_DRAWN('rep')} as weight from cx, range({WITHIN_REPS}) r(rep)), "
+    + _weighted_auc("cluster, rep", "dw", "a", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (")
+    + ", " + _weighted_auc("cluster, rep", "dw", "b", "null").replace("per as (", "pb as (") + ", " + _weighted_popt("a") + ", " + _weighted_popt("b")
+    + """, m as (select 'auc' as of, rep, avg(pa.auc - pb.auc) as d from pa join pb using (cluster, rep) group by 2 union all select 'popt', rep, avg(p_a.popt - p_b.popt) from p_a join p_b using (cluster, rep) group by 2),
+l as (select of, list(d order by d) filter (d is not null) as v, avg(d) as mean from m group by 1)
+select of, round(mean, 6) as mean, round(v[floor(0.025 * len(v))::int + 1], 6) as lo, round(v[floor(0.975 * len(v))::int + 1], 6) as hi from l""",
+    "cluster_boot_mean_auc": WITH + _CELLS + ", " + _SLOTS + ", " + _weighted_auc("rep, slot", "ds", "risk", degenerate="null") + f", mm as (select rep, avg(auc) as auc from per group by 1) select 'mean' as of, {_CI('auc')}, count(auc) as n_boot from mm",
+    "pooled_boot": WITH + _CELLS + ", " + _SLOTS + ", " + _weighted_auc("rep", "ds", "risk") + f" select 'pooled' as of, {_CI('auc')}, count(auc) as n_boot from per",
     "cluster_ci_ratio": WITH + _WEIGHTS + """, s as (select cluster, sum(defects) filter (score < 4) as da, count(*) filter (score < 4) as na, sum(defects) filter (score >= 8) as dh, count(*) filter (score >= 8) as nh from u group by 1),
 per as (select rep, (sum(coalesce(da, 0) * weight) / nullif(sum(na * weight), 0)::double) / nullif(sum(coalesce(dh, 0) * weight) / nullif(sum(nh * weight), 0)::double, 0) as ratio from s join cw using (cluster) group by 1)
 select 'ratio' as of, """ + _CI("ratio") + ", count(ratio) as n_boot from per",

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from hornbeam.operators import inference as I
 from hornbeam.operators import models as M
 from hornbeam.operators import paired as P
 from hornbeam.operators import ranking as R
+from hornbeam.operators import resampling as B
 
 U8 = [
     ("a", "r1", 0, 2.0, 300, 4), ("b", "r1", 1, 3.5, 120, 1), ("c", "r1", 2, 4.0, 80, 0), ("d", "r1", 3, 6.0, 200, 2),
@@ -148,19 +150,55 @@ def test_logistic_fit_is_stationary(spark):
 
 
 def test_drawn_weights_are_poisson(spark):
-    df = spark.range(300).withColumnRenamed("id", "unit")
-    a, b = (sorted(map(tuple, I.resampled(df, "unit", 200, "9").collect())) for _ in range(2))
-    assert a == b and len({r[:2] for r in a}) == len(a)
-    counts = [0] * 12
-    for r in a:
-        counts[r[2]] += 1
-    counts[0] = 60_000 - sum(counts)
+    r = np.random.default_rng(2)
+    a, b = r.integers(0, B.PRIME, 300), r.integers(1, B.PRIME, 300)
+    for n in (1, 7, 5000):
+        w = B.drawn(np.full(300, n), a, b, np.arange(200))
+        assert (w == np.floor(w)).all() and abs(w.mean() - n) < 0.02 * n + 0.02 and abs(w.var() / n - 1) < 0.05
+    one = B.drawn(np.ones(300, int), a, b, np.arange(200))
     for k in range(5):
         want = 60_000 * math.exp(-1) / math.factorial(k)
-        assert abs(counts[k] - want) < 6 * math.sqrt(want)
-    per_rep = [sum(r[2] for r in a if r[1] == rep) for rep in range(200)]
-    mean = sum(per_rep) / 200
-    assert abs(mean - 300) < 6 and 200 < sum((x - mean) ** 2 for x in per_rep) / 199 < 420
+        assert abs((one == k).sum() - want) < 6 * math.sqrt(want)
+
+
+def test_areas_equal_those_of_repeated_rows(spark, monkeypatch):
+    """The arrays against rows written out as often as they are drawn, over several ranges, with ties and two clusters."""
+    monkeypatch.setattr(B, "STEP", 64)
+    r = random.Random(6)
+    rows = [(r.choice("pq"), float(r.randrange(6)), r.randrange(2), i) for i in range(80)]
+    d = spark.createDataFrame(rows, "cluster string, risk double, y int, ord long")
+    c = B.cells(d, ["cluster", "risk", "y"], "ord", "9")
+    kept = [x.asDict() for x in c.collect()]
+    assert sum(x["n"] for x in kept) == 80
+
+    def auc(cells, weights):
+        pos, neg = ([(x["risk"], w) for x, w in zip(cells, weights) if x["y"] == side and w] for side in (1, 0))
+        num = sum(w * v * ((a > b) + (a == b) / 2) for a, w in pos for b, v in neg)
+        den = sum(w for _, w in pos) * sum(w for _, w in neg)
+        return num / den if den else None
+
+    def drawn(cells, j):
+        col = lambda k: np.array([x[k] for x in cells], np.int64)
+        return B.drawn(col("n"), col("__a"), col("__b"), np.array(j)) if cells else np.zeros((0, len(j)))
+
+    got = {(x["g"], x["at"]): x["auc"] for x in B.by_draw(B.areas(c, "cluster", [F.col("risk")], F.col("y"), 1 - F.col("y"), reps=5), "auc").collect()}
+    for g in "pq":
+        own = [x for x in kept if x["cluster"] == g]
+        w = drawn(own, range(5))
+        assert [got[g, j] for j in range(5)] == [pytest.approx(auc(own, w[:, j])) for j in range(5)]
+    js = {"p": [0, 1, 4, 7], "q": [2, 3, 6]}  # two slots a resample
+    draws = spark.createDataFrame(list(js.items()), "cluster string, js array<long>")
+    pooled = {x["at"]: x["auc"] for x in B.by_draw(B.areas(c, None, [F.col("risk")], F.col("y"), 1 - F.col("y"), draws=draws, per=2), "auc").collect()}
+    for rep in range(4):
+        cells, weights = [], []
+        for g, numbers in js.items():
+            own, mine = [x for x in kept if x["cluster"] == g], [j for j in numbers if j // 2 == rep]
+            cells += own
+            weights += list(drawn(own, mine).sum(axis=1)) if mine else [0] * len(own)
+        assert pooled[rep] == pytest.approx(auc(cells, weights))
+    by_slot = B.areas(c, "cluster", [F.col("risk")], F.col("y"), 1 - F.col("y"), draws=draws)
+    assert {x["g"]: len(x["inner"]) for x in by_slot.collect()} == {"p": 4, "q": 3}
+    assert B.areas(c.limit(0), "cluster", [F.col("risk")], F.col("y"), 1 - F.col("y"), reps=5).collect() == []
 
 
 def test_concordance_gives_the_pooled_auc(spark, u8):

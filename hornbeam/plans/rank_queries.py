@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hornbeam.operators import ranking as R
+from hornbeam.operators.bundle import metric_bundle
 from hornbeam.sources.tables import UNITS_SQL, units
 
 #: SQL expressions, so that importing this needs no session.
@@ -85,11 +86,7 @@ def midrank(spark, d):
 
 def cluster_report(spark, d):
     """AUC, Popt and effort metrics of every cluster: the headline."""
-    u = units(spark, d)
-    a = R.auc(u, ["cluster"], RISK, POSITIVE)
-    p = R.popt(u, ["cluster"], "score").select("cluster", "popt")
-    e = R.effort(u, ["cluster"], "score").select("cluster", "precision", "recall_defects")
-    return _rounded(a.join(p, "cluster", "left").join(e, "cluster", "left"), "auc", "popt", "precision", "recall_defects")
+    return _rounded(metric_bundle(units(spark, d), ["cluster"]).select("cluster", "n", "n_pos", "auc", "popt", "precision", "recall_defects"), "auc", "popt", "precision", "recall_defects")
 
 
 def _auc_sql(by: str, degenerate: str = "0.5", source: str = "u", risk: str = "10 - score", positive: str = "defects > 0") -> str:

@@ -254,3 +254,26 @@ def test_mann_whitney_exact_and_normal(spark):
     low = G.mann_whitney(d, ["g"], "f", "v").where("g = 'one side'").first()
     assert low["u"] is None and low["p"] is None and low["exact"] is None
     assert G.mann_whitney(d.limit(0), ["g"], "f", "v").collect() == []
+
+
+def test_bundle_equals_the_single_metrics(spark, u8):
+    from hornbeam.operators.bundle import metric_bundle
+
+    r = random.Random(12)
+    rows = [(str(i), r.choice(["a", "b", None]), i, r.randrange(12) / 2, r.randrange(0, 90), max(0, r.randrange(-3, 4))) for i in range(150)]
+    rows += [("x", "one", 900, 5.0, 0, 0), ("y", "flat", 901, 5.0, 4, 2), ("z", "flat", 902, 5.0, 4, 2), ("w", "flat", 903, 5.0, 4, 2)]
+    d = spark.createDataFrame(rows, u8.schema)
+    by = [d.columns[1]]
+    got = {r[by[0]]: r for r in metric_bundle(d, by, low=4.0).collect()}
+    single = {
+        ("auc",): R.auc(d, by, RISK, POSITIVE), ("popt",): R.popt(d, by, "score"), ("files", "inspected", "precision", "recall_defects", "recall_files"): R.effort(d, by, "score"),
+        ("rho",): R.spearman(d, by, "score", "defects"), ("partial",): R.partial_spearman(d, by, "score", "defects", "size"), ("low_mean", "high_mean", "ratio", "low_per_k"): G.density_ratio(d, by, 4.0, 8.0),
+    }
+    for names, frame in single.items():
+        for row in frame.collect():
+            for c in names:
+                assert got[row[by[0]]][c] == (pytest.approx(row[c]) if row[c] is not None else None), (row, c)
+    k = {r[by[0]]: r for r in G.kruskal(d, by, F.when(F.col("score") >= 8, "g").when(F.col("score") >= 4, "y").otherwise("r"), "defects").collect()}
+    assert all(got[g]["kruskal_h"] == (pytest.approx(x["h"]) if x["h"] is not None else None) for g, x in k.items())
+    assert metric_bundle(d, by, least=4).where("n < 4 and auc is not null").collect() == [] and metric_bundle(d.limit(0), by).collect() == []
+    assert metric_bundle(u8, []).first()["auc"] == pytest.approx(R.auc(u8, [], RISK, POSITIVE).first()["auc"])

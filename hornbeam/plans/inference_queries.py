@@ -214,11 +214,11 @@ per as (select {by}, case when sum(p) = 0 or sum(q) = 0 then {degenerate} else s
 
 
 _NAMES = "nm as (select cluster, count(*) as n, row_number() over (order by min(ord)) - 1 as cluster_at from u group by 1), kk as (select count(*) as k from nm)"
-def _drawn_sql(cells: str) -> str:
+def _drawn_sql(cells: str, seed: str = SEED) -> str:
     """CTE ``cx``: the cells with their stream and, as ``t``, where the Poisson distribution with mean n passes 0, 1, 2, ..."""
     return f"""tk as (select n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) over (partition by n order by k) as cdf from (select distinct n::double as n from {cells}), range(20000) r(k) where k <= n + 12 * sqrt(n) + 30),
 th as (select n::bigint as n, list(round({I.PRIME} * cdf)::bigint order by k) as t from tk group by 1),
-cx as (select *, ('0x' || substr(md5('{SEED}|' || ord), 1, 8))::bigint % {I.PRIME} as ha, ('0x' || substr(md5('{SEED}|' || ord), 9, 8))::bigint % {I.PRIME} as hb from {cells} join th using (n))"""
+cx as (select *, ('0x' || substr(md5('{seed}|' || ord), 1, 8))::bigint % {I.PRIME} as ha, ('0x' || substr(md5('{seed}|' || ord), 9, 8))::bigint % {I.PRIME} as hb from {cells} join th using (n))"""
 
 
 _DRAWN = lambda j: f"len(list_filter(t, lambda v: v <= (ha + ({j}) * hb) % {I.PRIME}))"

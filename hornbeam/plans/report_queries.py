@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from hornbeam.operators import groups as G
 from hornbeam.operators.bundle import metric_bundle
+from hornbeam.operators.gates import Intervention, Rules, gate_table
+from hornbeam.operators.inference import PRIME
 from hornbeam.plans import group_queries, rank_queries
 from hornbeam.plans.group_queries import ROSTER
+from hornbeam.plans.inference_queries import _drawn_sql, _weighted_auc
 from hornbeam.plans.rank_queries import WITH, _auc_sql, _ranks, corr_sql, effort_sql, popt_sql
-from hornbeam.sources.tables import findings, read, units
+from hornbeam.sources.tables import FINDINGS_SQL, findings, read, units
 
 #: Metrics of the bundle by the query whose SQL tells them, and their names there.
 TOLD = {
@@ -56,6 +59,51 @@ def temporal_metrics(spark, d):
     return metric_bundle(x, ["slice", "t0"], least=4).select("slice", "t0", "n", "n_pos", *(F.round(c, 6).alias(c) for c in names))
 
 
+RULES = Rules(
+    (("RF", "structure", 0.5), ("AF", "structure", 0.4), ("NF", "style", 0.3), ("NO", "size", 0.25), ("RO", "size", 0.2)),
+    {"structure": 3.0, "style": 1.5, "size": 2.5},
+)
+INTERVENTIONS = [
+    Intervention("baseline"), Intervention("drop NO <600", "NO", 600), Intervention("drop NO <750", "NO", 750), Intervention("drop NO <900", "NO", 900), Intervention("drop NO <Q2", "NO", 768),
+    Intervention("drop NO ALL", "NO", float("inf")), Intervention("drop NF <Q2", "NF", 768), Intervention("drop NF ALL", "NF", float("inf")), Intervention("drop AF <Q2", "AF", 768),
+]
+BANDS, GATE_REPS = [600.0, 768.0, 950.0], 400
+
+
+def gate_experiment(spark, d):
+    """Nine interventions on scores made of findings."""
+    t = gate_table(units(spark, d), findings(spark, d), RULES, INTERVENTIONS, BANDS, GATE_REPS, "99")
+    return t.select("intervention", *(F.round(c, 6).alias(c) for c in t.columns if c != "intervention"))
+
+
+def _gate_sql() -> str:
+    weight = "case severity when 'medium' then 2 when 'high' then 3 when 'critical' then 4 else 1 end"
+    paid = ", ".join(f"coalesce(sum({weight}) filter (biomarker = '{b}'), 0)::double as d{i}" for i, (b, _, _) in enumerate(RULES.deductions))
+    ways = []
+    for w in INTERVENTIONS:
+        parts = []
+        for category, cap in RULES.caps.items():
+            costs = [f"case when size < '{w.floor}'::double then 0 else d{i} * {c}::double end" if b == w.biomarker else f"d{i} * {c}::double" for i, (b, k, c) in enumerate(RULES.deductions) if k == category]
+            parts.append(f"least({cap}::double, " + " + ".join(costs) + ")")
+        ways.append(f"select '{w.label}' as intervention, unit_id, cluster, ord, size, defects, round(greatest(1.0::double, 10.0::double - (" + " + ".join(parts) + ")), 6) as score from uf")
+    head = WITH + FINDINGS_SQL + f""", pf as (select unit_id, {paid} from f group by 1),
+uf as (select u.* exclude (score), {', '.join(f'coalesce(d{i}, 0) as d{i}' for i in range(len(RULES.deductions)))} from u left join pf using (unit_id)),
+sc as (select *, 10 - score as risk, case when size <= 600 then 1 when size <= 768 then 2 when size <= 950 then 3 else 4 end as band from ({' union all '.join(ways)})), """
+    auc = lambda by, none: head + _auc_sql(by, none, "sc", "risk")
+    draw = f"len(list_filter(t, lambda v: v <= (ha + rep * hb) % {PRIME}))"
+    boot = head + f"""ce as (select a.intervention, b.risk as base, a.risk, (a.defects > 0)::int as defects, count(*) as n, min(a.ord) as ord from sc a join sc b on b.unit_id = a.unit_id and b.intervention = 'baseline' group by 1, 2, 3, 4), """ + _drawn_sql("ce", "99") + f""",
+ds as (select intervention, rep, base, risk, defects, {draw} as weight from cx, range({GATE_REPS}) r(rep)), """ + _weighted_auc("intervention, rep", "ds", "risk", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (") + ", " + _weighted_auc("intervention, rep", "ds", "base", "null").replace("per as (", "pb as (") + """,
+m as (select intervention, list(round(pa.auc - pb.auc, 9) order by round(pa.auc - pb.auc, 9)) as v, avg(round(pa.auc - pb.auc, 9)) as delta from pa join pb using (intervention, rep) where pa.auc is not null group by 1)
+select intervention, round(delta, 6) as delta, round(v[floor(0.025 * len(v))::int + 1], 6) as lo, round(v[floor(0.975 * len(v))::int + 1], 6) as hi from m"""
+    return f"""with ga as (select intervention, auc as corpus_auc from ({auc("intervention", "0.5")})),
+gc as (select intervention, cluster, auc from ({auc("intervention, cluster", "null").replace("round(case", "(case").replace("end, 6)", "end)")}) where auc is not null),
+gp as (select intervention, cluster, popt from ({head + popt_sql("intervention, cluster", source="sc", final="select intervention, cluster, popt from pp")})),
+gm as (select intervention, round(avg(auc), 6) as mean_auc, round(avg(popt), 6) as mean_popt from gc join gp using (intervention, cluster) group by 1),
+gb as (select intervention, {', '.join(f'max(auc) filter (band = {i}) as band_{i}' for i in (1, 2, 3, 4))} from ({auc("intervention, band", "null")}) group by 1),
+gd as ({boot})
+select * from ga left join gm using (intervention) left join gb using (intervention) left join gd using (intervention)"""
+
+
 def _report_sql(whole: bool) -> str:
     """One metric after another from the SQL of its own query; for all units together the cluster is one and the same."""
     known = rank_queries.SQL | group_queries.SQL
@@ -72,7 +120,7 @@ def _report_sql(whole: bool) -> str:
     return " union all ".join(parts)
 
 
-QUERIES = {f.__name__: f for f in (metric_report, corpus_report, temporal_metrics)}
+QUERIES = {f.__name__: f for f in (metric_report, corpus_report, temporal_metrics, gate_experiment)}
 _EVENTS = """with u as (select strftime(t0, '%Y-%m-%d') as t0, case when event_id % 997 = 0 then 'few' else 'rest' end as slice, -round(value, 6) as score, (props->>'$.k')::bigint as size,
   (event_type = 'purchase')::bigint as defects, event_id as ord from events, (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-26', interval 5 days)) as t0) where ts >= t0 and ts < t0 + interval 14 days), """
 _BY = "slice, t0"
@@ -87,4 +135,4 @@ select slice, t0, n, n_pos, case when n >= 4 and n_pos > 0 then auc end as auc,
 from x1 left join x2 using (slice, t0) left join x3 using (slice, t0) left join ck using (slice, t0)"""
 )
 
-SQL = {"temporal_metrics": _TEMPORAL, "metric_report": _report_sql(False), "corpus_report": _report_sql(True)}
+SQL = {"gate_experiment": _gate_sql(), "temporal_metrics": _TEMPORAL, "metric_report": _report_sql(False), "corpus_report": _report_sql(True)}

@@ -277,3 +277,19 @@ def test_bundle_equals_the_single_metrics(spark, u8):
     assert all(got[g]["kruskal_h"] == (pytest.approx(x["h"]) if x["h"] is not None else None) for g, x in k.items())
     assert metric_bundle(d, by, least=4).where("n < 4 and auc is not null").collect() == [] and metric_bundle(d.limit(0), by).collect() == []
     assert metric_bundle(u8, []).first()["auc"] == pytest.approx(R.auc(u8, [], RISK, POSITIVE).first()["auc"])
+
+
+def test_rescoring_under_interventions(spark):
+    from hornbeam.operators.gates import Intervention, Rules, rescore
+
+    rules = Rules((("a", "x", 1.0), ("b", "x", 0.5), ("c", "y", 4.0)), {"x": 3.0, "y": 20.0})
+    units = spark.createDataFrame([(1, 10), (2, 100), (3, None), (4, 5), (4, 5)], "unit_id int, size int")
+    found = spark.createDataFrame([(1, "a", "critical"), (1, "b", "low"), (2, "a", "low"), (2, "b", None), (3, "b", "high"), (3, "zz", "critical"), (9, "a", "low"), (4, "c", "critical")], "unit_id int, biomarker string, severity string")
+    ways = [Intervention("none"), Intervention("a small", "a", 50), Intervention("no b", "b", math.inf)]
+    got = sorted((r["unit_id"], r["intervention"], r["score"]) for r in rescore(units, found, rules, ways).collect())
+    assert got == sorted(
+        [(1, "none", 7.0), (1, "a small", 9.5), (1, "no b", 7.0), (2, "none", 8.5), (2, "a small", 8.5), (2, "no b", 9.0)]
+        + [(3, "none", 8.5), (3, "a small", 8.5), (3, "no b", 8.5)]  # no size, so below no floor
+        + [(4, w.label, 1.0) for w in ways] * 2
+    )
+    assert rescore(units.limit(0), found, rules, ways).collect() == []

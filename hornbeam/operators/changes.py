@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hornbeam.operators.inference import indexed
+
 
 def numstat(lines: Column) -> Column:
     """``la, ld, path`` of a numstat line; what is no number counts 0, a line without three fields is null."""
@@ -32,8 +34,9 @@ def features(files: DataFrame) -> DataFrame:
 
 
 def experience(commits: DataFrame) -> DataFrame:
-    """Adds ``exp``: how many commits of the author come before, those that are dropped later included."""
-    return commits.withColumn("exp", F.row_number().over(Window.partitionBy("author").orderBy("ct", "sha")) - 1)
+    """Adds ``exp``: how many commits of the author come before, those that are dropped later included.  An author with very
+    many commits is many ranges, not a task."""
+    return indexed(commits, ["author"], ["ct", "sha"], "exp")
 
 
 def right_censored(commits: DataFrame, gap_days: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornbeam.operators import ranking as R
+
 
 def last_row_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """For each key the row that comes last; rows with a null key are dropped."""
@@ -76,10 +78,10 @@ def token_summary(rows: DataFrame) -> DataFrame:
 
 
 def budget(runs: DataFrame, limit: float, estimate: float, by: list[str]) -> DataFrame:
-    """Adds ``spent`` before each run, and ``allowed``: whether that and an estimate stay within the limit."""
-    w = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    d = runs.withColumn("spent", F.coalesce(F.sum("cost").over(w), F.lit(0.0)))
-    return d.withColumn("allowed", F.col("spent") + estimate <= limit)
+    """Adds ``spent`` before each run, and ``allowed``: whether that and an estimate stay within the limit.  A null cost is 0; a
+    task with very many runs is many ranges, not a task of Spark's."""
+    d = R.running(runs.withColumn("__cost", F.coalesce(F.col("cost").cast("double"), F.lit(0.0))), by, [F.col("ord")], {"spent": "__cost"})
+    return d.withColumn("spent", F.col("spent") - F.col("__cost")).drop("__cost").withColumn("allowed", F.col("spent") + estimate <= limit)
 
 
 #: What is read of an event; unknown fields are ignored.
@@ -127,14 +129,14 @@ def fifo_pairs(events: DataFrame) -> DataFrame:
     """``run, call_ord, result_ord``: every result takes the oldest call that is still open; without one it takes none.
 
     The k-th result that finds a call takes the k-th call.  How many results have found one follows from running sums: the
-    queue is empty as often as the running surplus of results reaches a new height.
+    queue is empty as often as the running surplus of results reaches a new height.  A long run is many ranges, not a task.
     """
-    w = Window.partitionBy("run").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("kind") == "call", 1).otherwise(-1)
-    e = events.withColumn("level", F.sum(step).over(w)).withColumn("results", F.sum((F.col("kind") == "result").cast("int")).over(w)).withColumn("calls", F.sum((F.col("kind") == "call").cast("int")).over(w))
-    e = e.withColumn("idle", F.greatest(F.lit(0), -F.min("level").over(w)))
-    before = Window.partitionBy("run").orderBy("ord")
-    e = e.withColumn("idle_before", F.coalesce(F.lag("idle").over(before), F.lit(0)))
+    e = events.withColumn("step", F.when(F.col("kind") == "call", 1).otherwise(-1).cast("long"))
+    e = e.withColumns({"is_result": (F.col("kind") == "result").cast("long"), "is_call": (F.col("kind") == "call").cast("long")})
+    e = R.running(e, ["run"], [F.col("ord")], {"results": "is_result", "calls": "is_call"})
+    e = R.running_low(e, ["run"], [F.col("ord")], "step", "level", "low", "low_before")
+    idle = lambda x: F.greatest(F.lit(0), -F.coalesce(x, F.lit(0)))
+    e = e.withColumn("idle", idle(F.col("low"))).withColumn("idle_before", idle(F.col("low_before")))
     served = e.where((F.col("kind") == "result") & (F.col("idle") == F.col("idle_before"))).select("run", F.col("ord").alias("result_ord"), (F.col("results") - F.col("idle")).alias("k"))
     calls = e.where("kind = 'call'").select("run", F.col("ord").alias("call_ord"), F.col("calls").alias("k"))
     return calls.join(served, ["run", "k"], "left").select("run", "call_ord", "result_ord")

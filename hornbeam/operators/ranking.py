@@ -44,6 +44,30 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, s
     return joined.select(*(F.col(c) for c in df.columns), *((F.col(f"__in_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums))
 
 
+def running_low(df: DataFrame, by: list[str], order: list[Column], step: str, level: str, low: str, low_before: str) -> DataFrame:
+    """Adds the running sum ``level`` of ``step`` within the group, the least that it has been up to and with the row, and up to
+    the row before (null for a group's first row).
+
+    Like :func:`running`, with one more number for a group's part of a range: a part moves the level by its sum, and its
+    own low counts from the level at its beginning.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(ranges, *(F.col(c) for c in by), *order).withColumn("__b", F.spark_partition_id()), "running")
+    part = Window.partitionBy(*by, "__b").orderBy(*order)
+    upto, before = part.rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.withColumn("__level", F.sum(step).over(upto))
+    inner = inner.withColumn("__low", F.min("__level").over(upto)).withColumn("__was", F.min("__level").over(before))
+    parts = inner.groupBy(*by, "__b").agg(F.sum(step).alias("__sum"), F.min("__level").alias("__least"))
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.withColumn("__from", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    parts = parts.withColumn("__since", F.min(F.col("__from") + F.col("__least")).over(earlier))
+    keys = [f"__k{i}" for i in range(len(by))]
+    parts = parts.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col("__b").alias("__kb"), "__from", "__since")
+    out = inner.join(parts, safe([*by, "__b"], [*keys, "__kb"]))
+    at = lambda x: F.least("__since", F.col("__from") + F.col(x))  # noqa: E731  of what is not null
+    return out.select(*(F.col(c) for c in df.columns), (F.col("__from") + F.col("__level")).alias(level), at("__low").alias(low), at("__was").alias(low_before))
+
+
 def midranks(df: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     """Adds ``name``: twice the average rank of ``column`` within the group, an integer."""
     return several_midranks(df, [(by, column, name)])

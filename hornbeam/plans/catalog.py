@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rank_queries", "group_queries", "inference_queries", "label_queries", "change_queries", "model_queries", "stream_queries", "reader_queries", "report_queries")
+MODULES = ("rank_queries", "group_queries", "inference_queries", "label_queries", "change_queries", "model_queries", "stream_queries", "reader_queries", "report_queries", "cache_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

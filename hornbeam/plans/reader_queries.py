@@ -4,14 +4,13 @@ formats, one folder a cluster, and read back."""
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
 from hornbeam.plans.rank_queries import _rounded
 from hornbeam.sources import history as H
 from hornbeam.sources import readers as S
-from hornbeam.sources.store import shared_dir
+from hornbeam.sources.store import folder
 from hornbeam.sources.tables import COMMITS_SQL, FINDINGS_SQL, UNITS_SQL, commits, findings, read, units
 
 #: The folder of a cluster's documents.
@@ -20,7 +19,7 @@ MARKER = "/cluster="
 
 def _put(spark, rows, by: str | None = "cluster") -> str:
     """Text rows as files; with ``by`` a folder for each value, and one row is one file's content."""
-    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    path = folder(spark, "documents")
     (rows.write.partitionBy(by) if by else rows.write).text(path)
     return path
 
@@ -89,14 +88,14 @@ def read_report_auc(spark, d):
 
 
 def read_issues(spark, d):
-    """Issues cached one a file, the number from the path; a cached 404 has no state."""
-    o = read(spark, d, "orders").where("o_orderkey < 400")
-    body = F.when(F.col("o_orderkey") % 5 == 0, '{"_missing": true}').otherwise(F.to_json(F.struct(F.lit("closed").alias("state"), F.array(F.col("o_orderpriority")).alias("labels"), (F.col("o_orderkey") % 3 == 0).alias("is_pr"))))
-    root = f"{shared_dir(spark)}/issues-{uuid.uuid4().hex}/cluster=c1"
-    o.select(F.col("o_orderkey").alias("n"), body.alias("value")).repartition(8, "n").write.partitionBy("n").text(root)
-    got = S.cached_issues(spark, root, MARKER)
-    number = F.regexp_extract(F.col("_metadata.file_path"), "/n=([0-9]+)/", 1)
-    return got.withColumn("number", number.cast("int")).select("cluster", "number", F.coalesce("state", F.lit("")).alias("state"), F.coalesce("is_pr", F.lit(False)).alias("is_pr"), F.col("_missing").alias("missing"))
+    """Cached issues of all orders, many a folder; a cached 404 has no state."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("number"), F.col("o_orderpriority").alias("priority"))
+    found = F.struct("number", F.lit("closed").alias("state"), F.array("priority").alias("labels"), (F.col("number") % 3 == 0).alias("is_pr"))
+    body = F.when(F.col("number") % 5 == 0, F.to_json(F.struct("number", F.lit(True).alias("_missing")))).otherwise(F.to_json(found))
+    root = folder(spark, "issues") + "/cluster=c1"
+    o.select(body.alias("value"), F.pmod("number", F.lit(8)).alias("n")).write.partitionBy("n").text(root)
+    got = S.cached_issues(spark, root, MARKER, lines=True)
+    return got.select("cluster", "number", F.coalesce("state", F.lit("")).alias("state"), F.coalesce("is_pr", F.lit(False)).alias("is_pr"), F.col("_missing").alias("missing"))
 
 
 def read_commit_log(spark, d):
@@ -123,14 +122,14 @@ def read_json_lines(spark, d):
 def read_class_metrics(spark, d):
     """A CSV of class metrics with a header; what is no number is null."""
     p = read(spark, d, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 9 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("wmc"), F.col("p_retailprice").cast("string").alias("loc"))
-    path = f"{shared_dir(spark)}/classes-{uuid.uuid4().hex}"
+    path = folder(spark, "classes")
     p.write.option("header", True).csv(path)
     return _rounded(S.ck_rows(spark, path, ["wmc", "loc"]).groupBy("name").agg(F.count("*").alias("n"), F.count("wmc").alias("measured"), F.sum("wmc").alias("wmc"), F.sum("loc").alias("loc")), "wmc", "loc")
 
 
 def read_questions(spark, d):
     """Task rows in JSON arrays, one file for each repository."""
-    q = read(spark, d, "documents").where("doc_id % 50 = 0 and source is not null").select("source", F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("repo"), F.lit("dev").alias("split_name"), F.col("lang").alias("question")).alias("q"))
+    q = read(spark, d, "documents").where("source is not null").select("source", F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("repo"), F.lit("dev").alias("split_name"), F.col("lang").alias("question")).alias("q"))
     path = _put(spark, q.groupBy("source").agg(F.to_json(F.collect_list("q")).alias("value")), "source")
     return S.questions(spark, path).groupBy("repo").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.col("answer") == "").alias("unanswered"))
 
@@ -154,13 +153,13 @@ select cluster, files, round(m, 6) as mean_score, nloc, findings, critical, roun
     "read_coverage": f"""{_WC}, n as (select *, regexp_extract(cluster, '[0-9]+')::int as k from uc), c as (select cluster, case when k % 2 = 0 then case when unit_id % 3 <> 0 then score * 10 end else 50.0::double end as pct from n where k % 2 = 0 or k % 3 <> 0)
 select cluster, count(*) as files, count(pct) as measured, round(avg(pct), 6) as mean_pct from c group by 1""",
     "read_report_auc": f"{_WC} select cluster, round(count(*) filter (defects > 0)::double / count(*), 6) as auc from uc group by 1",
-    "read_issues": "select 'c1' as cluster, o_orderkey::int as number, case when o_orderkey % 5 = 0 then '' else 'closed' end as state, o_orderkey % 5 <> 0 and o_orderkey % 3 = 0 as is_pr, o_orderkey % 5 = 0 as missing from orders where o_orderkey < 400",
+    "read_issues": "select 'c1' as cluster, o_orderkey::int as number, case when o_orderkey % 5 = 0 then '' else 'closed' end as state, o_orderkey % 5 <> 0 and o_orderkey % 3 = 0 as is_pr, o_orderkey % 5 = 0 as missing from orders",
     "read_commit_log": f"with {COMMITS_SQL} select sha::varchar as sha, priority || ' by ' || author as subject from c where sha % 50 <> 0",
     "read_file_lines": """with t as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null), e as (select doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as k from t)
 select doc_id, max(k) as lines, sum(length(line) * k)::bigint as weighted from e group by 1""",
     "read_json_lines": "select user_id::varchar as user, count(*) as n, round(sum(value), 6) as total from events where event_id % 7 > 1 group by 1",
     "read_class_metrics": "select p_name as name, count(*) as n, count(*) filter (p_partkey % 9 <> 0) as measured, round(sum(p_size) filter (p_partkey % 9 <> 0), 6)::double as wmc, round(sum(p_retailprice), 6)::double as loc from part group by 1",
-    "read_questions": "select source as repo, count(*) as n, count(*) as ids, count(*) as unanswered from documents where doc_id % 50 = 0 and source is not null group by 1",
+    "read_questions": "select source as repo, count(*) as n, count(*) as ids, count(*) as unanswered from documents where source is not null group by 1",
     "read_configuration": """select n_name as name, n_nationkey::varchar as key, '[".py"]' as extensions, row_number() over (order by n_nationkey) = 4 as asked from nation""",
 }
 

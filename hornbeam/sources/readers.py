@@ -62,9 +62,10 @@ def with_labels(files: DataFrame, labels: DataFrame) -> DataFrame:
     return files.join(named, hit, "left").drop("__c", "__p").fillna(0, ["defect_count"])
 
 
-def cached_issues(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_") -> DataFrame:
-    """Issues cached one a file, number and cluster from the path; a cached 404 has ``_missing`` true."""
-    got = spark.read.schema(ISSUE).option("multiLine", True).json(paths)
+def cached_issues(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_", lines: bool = False) -> DataFrame:
+    """Issues cached one a file, or with ``lines`` one a line; number (where none is told) and cluster from the path; a cached
+    404 has ``_missing`` true."""
+    got = spark.read.schema(ISSUE).option("multiLine", not lines).json(paths)
     number = F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9]+)\.json$", 1).cast("int")
     return got.withColumn("cluster", cluster_of(marker)).withColumn("number", F.coalesce("number", number)).withColumn("_missing", F.coalesce("_missing", F.lit(False)))
 
@@ -125,6 +126,12 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table with a header; texts are quoted where they hold a comma, a quote or a line end.  A null is nothing and an empty
+    text a pair of quotes; Spark's reader takes both for null."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -132,13 +139,3 @@ def append_results(df: DataFrame, path: str) -> None:
 def write_by_key(df: DataFrame, path: str, keys: list[str]) -> None:
     """A folder for each key, as raw outputs are kept."""
     df.write.mode("overwrite").partitionBy(*keys).json(path)
-
-
-def pending(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
-    """What a cache does not hold yet."""
-    return wanted.join(cache.select(*keys), keys, "left_anti")
-
-
-def cache_key(*columns: Column) -> Column:
-    """A digest of the inputs a cached result was made from; lists are sorted first by the caller."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -24,18 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that others write; :func:`scratch` removes it with the rest."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder.  :func:`discard` or :func:`scratch` removes it once nothing reads it."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark.sparkContext.applicationId, path))
     out = spark.read.schema(schema).parquet(path)
     out.stash_path = path
     return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
@@ -43,19 +49,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     path = getattr(df, "stash_path", None)
     if path:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
 @contextmanager
 def scratch(spark: SparkSession, keep: list[DataFrame] | None = None) -> Iterator[None]:
-    """Remove, at the end of the block, the tables that were written in it, but for those in ``keep``: results that read
-    them have to be written (and kept) inside the block."""
+    """Remove, at the end of the block or when it fails, the tables that were written in it, but for those in ``keep``:
+    results that read them have to be written (and kept) inside the block."""
     before = set(_WRITTEN)
-    yield
-    stay = {getattr(df, "stash_path", None) for df in keep or ()}
-    own = spark.sparkContext.applicationId
-    gone = [x for x in _WRITTEN if x not in before and x[0] == own and x[1] not in stay]
-    for _, path in gone:
-        _remove(spark, path)
-    _WRITTEN[:] = [x for x in _WRITTEN if x not in gone]
+    try:
+        yield
+    finally:
+        stay = {getattr(df, "stash_path", None) for df in keep or ()}
+        own = spark.sparkContext.applicationId
+        gone = [x for x in _WRITTEN if x not in before and x[0] == own and x[1] not in stay]
+        for _, path in gone:
+            remove(spark, path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x not in gone]

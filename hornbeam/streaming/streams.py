@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hornbeam.sources.store import shared_dir
+from hornbeam.sources.store import folder
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -61,8 +60,8 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> Dat
     ``append`` adds each batch to the files; ``complete`` replaces what is there by the batch, which is the whole result
     so far.  Nothing of it is held by the driver.
     """
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-log").trigger(availableNow=True)
+    base, log = folder(spark, name), folder(spark, f"{name}-log")
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
     if mode == "append":
         query = out.format("parquet").option("path", base).start()
     else:
@@ -74,7 +73,7 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> Dat
 def appended(stream: DataFrame, path: str, checkpoint: str | None = None):
     """An append-only file sink that resumes where it stopped; returns the finished query."""
     q = stream.writeStream.outputMode("append").format("json").option("path", path)
-    q = q.option("checkpointLocation", checkpoint or f"{shared_dir(stream.sparkSession)}/log-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = q.option("checkpointLocation", checkpoint or folder(stream.sparkSession, "log")).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 

@@ -293,3 +293,35 @@ def test_rescoring_under_interventions(spark):
         + [(4, w.label, 1.0) for w in ways] * 2
     )
     assert rescore(units.limit(0), found, rules, ways).collect() == []
+
+
+def test_scans_over_ranges_with_one_long_group(spark):
+    """One author, run and task with most of the rows: all ranges have parts of it."""
+    from hornbeam.operators import changes as C
+
+    r = random.Random(14)
+    rows = [("big" if r.random() < 0.7 else r.choice("xyz"), i, r.choice(["call", "result", "result", "call"]), r.randrange(9) / 4) for i in range(400)]
+    d = spark.createDataFrame(rows, "run string, ord long, kind string, cost double").repartition(4)
+    want, queues = set(), {}
+    for run, i, kind, _ in rows:
+        q = queues.setdefault(run, [])
+        if kind == "call":
+            q.append(i)
+        elif q:
+            want.add((run, q.pop(0), i))
+    want |= {(run, i, None) for run, q in queues.items() for i in q}
+    assert {tuple(x) for x in P.fifo_pairs(d).select("run", "call_ord", "result_ord").collect()} == want
+    level, low = {}, {}
+    for x in sorted(R.running_low(d.withColumn("step", F.when(F.col("kind") == "call", 1).otherwise(-1).cast("long")), ["run"], [F.col("ord")], "step", "level", "low", "was").collect(), key=lambda x: x["ord"]):
+        was = low.get(x["run"])
+        level[x["run"]] = level.get(x["run"], 0) + (1 if x["kind"] == "call" else -1)
+        low[x["run"]] = level[x["run"]] if was is None else min(was, level[x["run"]])
+        assert (x["level"], x["low"], x["was"]) == (level[x["run"]], low[x["run"]], was)
+    spent = {}
+    for x in sorted(P.budget(d, 30.0, 1.0, ["run"]).collect(), key=lambda x: x["ord"]):
+        assert x["spent"] == pytest.approx(spent.get(x["run"], 0.0)) and x["allowed"] == (spent.get(x["run"], 0.0) + 1.0 <= 30.0)
+        spent[x["run"]] = spent.get(x["run"], 0.0) + x["cost"]
+    seen = {}
+    for x in sorted(C.experience(d.select(F.col("run").alias("author"), F.col("ord").alias("ct"), F.col("ord").alias("sha"))).collect(), key=lambda x: x["ct"]):
+        assert x["exp"] == seen.get(x["author"], 0)
+        seen[x["author"]] = x["exp"] + 1

@@ -54,3 +54,64 @@ def test_streams_drain_to_files_and_report(spark, tmp_path):
     seen = told.wait(q.runId)
     assert seen["rows"] == 50 and seen["ended"] and seen["error"] is None and seen["batches"] >= 4
     spark.streams.removeListener(told)
+
+
+def test_keyed_cache(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from hornbeam.sources.cache import DIGEST, KeyedCache, digest
+
+    cache = KeyedCache(spark, str(tmp_path / "cache"), ["k"])
+    inputs = lambda rows: spark.createDataFrame(rows, "k int, v string").select("k", digest("v").alias(DIGEST))
+    assert cache.read() is None and cache.fill(inputs([]), lambda t: t, 3, 1) is None
+    calls = []
+
+    def compute(part):
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        calls.append(part.count())
+        return part.withColumn("r", F.col("k") * 10)
+
+    rows = [(i, "a") for i in range(40)] + [(None, "a"), (99, None)]
+    try:
+        cache.fill(inputs(rows), compute, 4, 1)
+        raise AssertionError("not stopped")
+    except RuntimeError:
+        pass
+    assert cache.read().count() == sum(calls) and 0 < cache.pending(inputs(rows[:40])).count() == 40 - cache.read().where("k < 40").count()
+    again = []
+
+    def count(part):
+        again.append(part.count())
+        return part.withColumn("r", F.col("k") * 10)
+
+    changed = [(i, "b" if i < 5 else "a") for i in range(40)] + [(99, None)]
+    out = {r["k"]: r["r"] for r in cache.fill(inputs(changed), count, 4, 2).collect()}
+    assert out == {**{i: i * 10 for i in range(40)}, 99: 990}
+    assert cache.fill(inputs(changed), count, 4, 3).count() == 41 and cache.pending(inputs(changed)).count() == 0
+    # a batch without a manifest does not count; one that comes again replaces itself
+    inputs([(77, "z")]).withColumn("r", F.lit(1)).write.parquet(str(tmp_path / "cache/data/batch=000009-000000"))
+    assert cache.read().where("k = 77").count() == 0
+    keep = cache.sink(10)
+    for _ in range(2):
+        keep(inputs([(78, "z"), (3, "b")]).withColumn("r", F.lit(7)), 5)
+    assert cache.read().where("k = 78").count() == 1 and cache.read().where("k = 3").first()["r"] == 7
+    before = sorted((r["k"] is None, r["k"] or 0, r["r"] or 0) for r in cache.read().collect())
+    cache.compact(11)
+    assert cache.batches().count() == 1 and sorted((r["k"] is None, r["k"] or 0, r["r"] or 0) for r in cache.read().collect()) == before
+
+
+def test_scratch_removes_what_a_failing_block_wrote(spark):
+    from hornbeam.sources import store
+
+    try:
+        with store.scratch(spark):
+            t = store.written(spark.range(3), "gone")
+            path = store.folder(spark, "files")
+            spark.range(2).write.parquet(path)
+            raise RuntimeError
+    except RuntimeError:
+        pass
+    from hornbeam.sources.history import existing
+
+    assert existing(spark, [t.stash_path, path]) == []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.functions.special import chi_square_tail, exact_u_tail, normal_tail
 from hornbeam.operators import ranking as R
+from hornbeam.sources.store import written
 
 #: Weight of a finding's severity; any other counts 1.
 SEVERITY = {"low": 1, "medium": 2, "high": 3, "critical": 4}
@@ -203,17 +204,23 @@ def residual(df: DataFrame, by: list[str], y: Column | str, x: Column | str, nam
 def leave_out_auc(df: DataFrame, cluster: str, risk: Column | str, positive: Column | str) -> DataFrame:
     """``cluster, n, positives, auc_within, auc_without``: the metric of each cluster and of all the others together.
 
-    Counts of each distinct risk are summed once; a cluster's complement is the total less its own, so rows are not
-    multiplied by clusters.
+    Counts are summed by distinct risk.  What a cluster takes away from the total's area is a sum over its own risks alone:
+    its positives against all negatives, all positives against its negatives, less its own against its own.  So nothing is
+    multiplied by clusters, and risks may be as many as rows.
     """
     risk, positive = R.column(risk), R.column(positive)
-    own = df.groupBy(cluster, risk.alias("r")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    own = written(df.groupBy(cluster, risk.alias("r")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q")), "risks")
     total = own.groupBy("r").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    grid = own.select(cluster).distinct().crossJoin(F.broadcast(total)).join(own, [cluster, "r"], "left").fillna(0, ["p", "q"])
-    grid = grid.withColumn("op", F.col("tp") - F.col("p")).withColumn("oq", F.col("tq") - F.col("q"))
-    w = Window.partitionBy(cluster).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("uq", F.sum("q").over(w)).withColumn("uo", F.sum("oq").over(w))
-    value = lambda p, q, u: F.try_divide(F.sum(F.col(p) * (2 * F.col(u) - F.col(q))).cast("double"), 2.0 * F.sum(p) * F.sum(q))
-    return grid.groupBy(cluster).agg(
-        F.sum(F.col("p") + F.col("q")).alias("n"), F.sum("p").alias("positives"), value("p", "q", "uq").alias("auc_within"), value("op", "oq", "uo").alias("auc_without")
-    )
+    total = written(R.running(total, [], [F.col("r")], {"upto_p": "tp", "upto_q": "tq"}), "risks-total")
+    wide = lambda x: x.cast("decimal(38,0)")
+    whole = total.agg(F.sum("tp").alias("all_p"), F.sum("tq").alias("all_q"), F.sum(wide(F.col("tp") * (2 * F.col("upto_q") - F.col("tq")))).alias("area"))
+    rows = R.running(own, [cluster], [F.col("r")], {"uq": "q"}).join(total.withColumnRenamed("r", "__r"), F.col("r").eqNullSafe(F.col("__r"))).crossJoin(F.broadcast(whole))
+    mine = F.sum(wide(F.col("p") * (2 * F.col("uq") - F.col("q"))))
+    ours = F.sum(wide(F.col("p") * (2 * F.col("upto_q") - F.col("tq"))))
+    theirs = F.sum(wide(F.col("q") * (2 * (F.col("all_p") - F.col("upto_p")) + F.col("tp"))))
+    p, q, most = F.sum("p"), F.sum("q"), F.max
+    without = most("area") - ours - theirs + mine
+    return rows.groupBy(cluster).agg(
+        (p + q).alias("n"), p.alias("positives"), F.try_divide(mine.cast("double"), 2.0 * p * q).alias("auc_within"),
+        F.try_divide(without.cast("double"), 2.0 * (most("all_p") - p) * (most("all_q") - q)).alias("auc_without"),
+    )

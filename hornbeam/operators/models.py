@@ -1,4 +1,4 @@
-"""Grouped cross-validated logistic models by Newton's method, and a random-intercept model.
+"""Grouped cross-validated logistic models by Newton's method, and a mixed model.
 
 Each Newton step is one aggregate: the gradient and the curvature are sums over rows, so only their few numbers reach the
 driver, whatever the number of rows.
@@ -7,12 +7,14 @@ driver, whatever the number of rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.sources.store import written
+from hornbeam.sources.store import discard, written
 
 
 def scaled(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -89,38 +91,93 @@ def folds(df: DataFrame, label: str, key: str, n: int = 10, seed: str = "7") ->
     return at.withColumn("fold", F.pmod(F.col("__at") - 1, F.lit(n)).cast("int")).drop("__h", "__one", "__at")
 
 
-def random_intercept(sums: DataFrame, cluster: str, rounds: int = 50) -> dict[str, float]:
-    """Fixed effect and deviation of a random intercept for each cluster, by Laplace approximation.
+@dataclass
+class Mixed:
+    """``fixed`` effects (with ``intercept``) on standardised features, deviation ``sd`` of the groups' intercepts, and the written
+    tables ``rows(y, g, x0..)`` of the fit and ``groups(g, u, ...)`` of its last step."""
 
-    ``sums(cluster, x, n, k)``: ``k`` of ``n`` rows with the (binned) feature value ``x`` are positive.  Rows are summed
-    before this, so what is collected is clusters times bins.
+    fixed: dict[str, float]
+    sd: float
+    rows: DataFrame
+    groups: DataFrame
+
+
+def mixed(df: DataFrame, features: list[str], label: str, group: str, prior_sd: float = 2.0, steps: int = 15, tolerance: float = 1e-3, least: float = 1e-4) -> Mixed:
+    """A logistic model with several fixed effects and a random intercept for each ``group``, by Laplace's approximation.
+
+    Fixed effects have a normal prior with ``prior_sd``.  Every step is Newton's for all effects at once: a group contributes its
+    residual, its curvature and its curvature with each feature, all sums over its rows, and is eliminated by itself (the
+    Hessian is an arrow), so the driver sees sums over groups alone and groups' effects stay in a written table.  The
+    variance is set after each step so that it is the mean of squared modes and posterior variances, but not below ``least``.  Null groups are a group; rows with
+    a null label or feature are left out; without rows or with one class all effects are 0 and the deviation is null.
     """
-    rows = [(r[0], float(r[1]), int(r[2]), int(r[3])) for r in sums.select(cluster, "x", "n", "k").orderBy(cluster, "x").collect()]
-    groups: dict[object, list] = {}
-    for g, x, n, k in rows:
-        groups.setdefault(g, []).append((x, n, k))
-    a, b, var = 0.0, 0.0, 1.0
-    u = dict.fromkeys(groups, 0.0)
-    for _ in range(rounds):
-        # fixed effects and random ones by Newton steps in turn, then the variance from modes and curvatures
-        ga = gb = haa = hab = hbb = 0.0
-        spread = 0.0
-        for g, cells in groups.items():
-            for _ in range(5):
-                slope, curve = -u[g] / var, 1 / var
-                for x, n, k in cells:
-                    p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + u[g]))))
-                    slope += k - n * p
-                    curve += n * p * (1 - p)
-                u[g] += slope / curve
-            spread += u[g] ** 2 + 1 / curve
-            for x, n, k in cells:
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + u[g]))))
-                w = n * p * (1 - p)
-                ga, gb = ga + k - n * p, gb + (k - n * p) * x
-                haa, hab, hbb = haa + w, hab + w * x, hbb + w * x * x
-        det = haa * hbb - hab * hab
-        if det > 1e-12:
-            a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
-        var = max(spread / max(len(groups), 1), 1e-6)
-    return {"intercept": a, "slope": b, "sd": math.sqrt(var)}
+    whole = df.where(reduce(lambda p, q: p & q, (F.col(c).isNotNull() for c in [label, *features])))
+    scale, k = scaled(whole, features), len(features)
+    names = ["intercept", *features]
+    x = [F.lit(1.0).alias("x0"), *(((F.col(c) - m) / s).alias(f"x{i}") for i, (c, (m, s)) in enumerate(scale.items(), 1))]
+    rows = written(whole.select(F.col(label).cast("double").alias("y"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), *x), "mixed-rows")
+    groups = written(rows.groupBy("g").agg(F.count("*").alias("n")).select("g", F.lit(0.0).alias("u")), "mixed-groups")
+    seen = rows.agg(F.countDistinct("y"), F.approx_count_distinct("g")).first()
+    if seen[0] < 2:
+        return Mixed(dict.fromkeys(names, 0.0), float("nan"), rows, groups)
+    beta, var, ridge = np.zeros(k + 1), 1.0, 1 / prior_sd**2
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    for _ in range(steps):
+        part = written(_by_group(rows, groups, _numbers(df, beta, var), k), "mixed-part")
+        # sums over groups: residuals and curvature of the fixed effects with the groups taken out
+        got = part.agg(
+            *(F.sum(F.col(f"e{i}") - F.col(f"b{i}") * F.col("r") * F.col("v")) for i in range(k + 1)),
+            *(F.sum(F.col(f"h{i}_{j}") - F.col(f"b{i}") * F.col(f"b{j}") * F.col("v")) for i, j in pairs),
+        ).first()
+        curve = ridge * np.eye(k + 1)
+        for (i, j), value in zip(pairs, got[k + 1 :]):
+            curve[i, j] += value
+            curve[j, i] += value if i != j else 0
+        step = np.linalg.solve(curve, np.array(got[: k + 1], float) - ridge * beta)
+        back = reduce(lambda p, q: p + q, (F.col(f"b{i}") * F.col(f"t{i}") for i in range(k + 1)))
+        move = (F.col("r") - back) * F.col("v")
+        moving = part.crossJoin(F.broadcast(_numbers(df, step, 0.0).drop("var")))
+        after = written(moving.select("g", (F.col("u") + move).alias("u"), move.alias("move"), (1 - F.col("v") / F.col("var")).alias("worth")), "mixed-groups")
+        beta = beta + step
+        told = (F.sum(F.col("u") ** 2), F.sum("worth"))  # squares, and how many groups' worth the data say
+        moved, squares, worth = after.agg(F.max(F.abs("move")), *told).first()
+        was, var = var, max(float(squares) / max(float(worth), 1e-12), least)
+        discard(part)
+        discard(groups)
+        groups = after
+        if max(moved, np.abs(step).max(), abs(var / was - 1) if var > least else 0.0) < tolerance:
+            break
+    return Mixed(dict(zip(names, map(float, beta))), math.sqrt(var), rows, groups)
+
+
+def _numbers(df: DataFrame, values: np.ndarray, var: float) -> DataFrame:
+    """``t0.., var`` as a table of one row: as literals they would be compiled anew at every step."""
+    names = [f"t{i}" for i in range(len(values))]
+    return df.sparkSession.createDataFrame([(*map(float, values), float(var))], ", ".join(f"{n} double" for n in (*names, "var")))
+
+
+def _by_group(rows: DataFrame, groups: DataFrame, at: DataFrame, k: int) -> DataFrame:
+    """For each group its effect ``u``, curvature with each feature ``b_i``, its share of the fixed effects' residuals ``e_i`` and
+    curvature ``h_i_j``, its own slope ``r`` and the variance ``v`` that its effect is left with; ``at`` has the fixed effects."""
+    d = rows.join(groups.select("g", "u"), "g").crossJoin(F.broadcast(at))
+    z = reduce(lambda p, q: p + q, (F.col(f"x{i}") * F.col(f"t{i}") for i in range(k + 1))) + F.col("u")
+    d = d.withColumn("p", 1 / (1 + F.exp(-z)))
+    d = d.withColumn("e", F.col("y") - F.col("p")).withColumn("w", F.col("p") * (1 - F.col("p")))
+    sums = d.groupBy("g", "u", "var").agg(
+        F.sum("e").alias("s"), F.sum("w").alias("d"), *(F.sum(F.col("w") * F.col(f"x{i}")).alias(f"b{i}") for i in range(k + 1)),
+        *(F.sum(F.col("e") * F.col(f"x{i}")).alias(f"e{i}") for i in range(k + 1)), *(F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)),
+    )
+    return sums.withColumns({"r": F.col("s") - F.col("u") / F.col("var"), "v": 1 / (F.col("d") + 1 / F.col("var"))})
+
+
+def slopes(m: Mixed, prior_sd: float = 2.0) -> DataFrame:
+    """``effect, slope`` of the fitted objective at its effects: 0 for each where it is greatest.  ``groups`` has the greatest
+    step that a group's slope asks for, ``variance`` how far the variance is from what the effects say."""
+    k = len(m.fixed) - 1
+    beta = np.array(list(m.fixed.values()))
+    part = _by_group(m.rows, m.groups, _numbers(m.rows, beta, m.sd**2), k)
+    sums = part.agg(
+        *((F.sum(f"e{i}") - float(beta[i]) / prior_sd**2).alias(n) for i, n in enumerate(m.fixed)), F.max(F.abs(F.col("r") * F.col("v"))).alias("groups"),
+        (F.avg(F.col("u") ** 2 + F.col("v")) - F.first("var")).alias("variance"),
+    )
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(n).alias("effect"), F.col(f"`{n}`").alias("slope")) for n in sums.columns))))

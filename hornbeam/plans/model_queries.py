@@ -75,15 +75,37 @@ def jit_constants(spark, d):
     return spark.createDataFrame(rows, "feature string, mean double, deviation double, coefficient double")
 
 
+MIXED = ["size_log", *(f"f_{b}" for b in ROSTER if b != "XX")]
+
+
+def _mixed(spark, d, group):
+    """Defective units by their findings and size, with an intercept for each cluster (repository) or stratum (language)."""
+    f = feature_matrix(spark, d).join(units(spark, d).select("unit_id", "cluster"), "unit_id")
+    f = f.withColumn("family", F.substring_index("stratum", " ", 1)).withColumnRenamed("log_size", "size_log").withColumn("y", F.expr("defects > 1").cast("int"))
+    return M.mixed(f, MIXED, "y", group)
+
+
 def random_intercept(spark, d):
-    u = units(spark, d).withColumn("x", F.round(F.col("score")))
-    sums = u.groupBy("cluster", "x").agg(F.count("*").alias("n"), F.count_if(F.expr("defects > 1")).alias("k"))
-    found = M.random_intercept(sums, "cluster")
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "effect string, value double")
+    """Fixed effects and the deviation of the intercepts by cluster and by family of strata."""
+    rows = []
+    for group in ("cluster", "family"):
+        m = _mixed(spark, d, group)
+        rows += [(group, k, round(v, 5)) for k, v in (*m.fixed.items(), ("sd", m.sd))]
+    return spark.createDataFrame(rows, "model string, effect string, value double")
+
+
+def mixed_slopes(spark, d):
+    """Slopes of the mixed model's objective at its effects, all of which have to be 0."""
+    out = None
+    for group in ("cluster", "family"):
+        one = M.slopes(_mixed(spark, d, group)).select(F.lit(group).alias("model"), "effect", (F.abs("slope") < 1e-2).alias("flat"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _W = "case severity when 'low' then 1 when 'medium' then 2 when 'high' then 3 when 'critical' then 4 else 1 end"
 SQL = {
+    "mixed_slopes": "select model, effect, true as flat from (values ('cluster'), ('family')) a(model), (select unnest(['intercept', " + ", ".join(f"'{x}'" for x in MIXED) + ", 'groups', 'variance']) as effect)",
     "feature_matrix": WF + "w as (select unit_id, " + ", ".join(f"sum({_W}) filter (biomarker = '{b}') as f_{b}" for b in ROSTER) + " from f group by 1) select u.unit_id, stratum, defects, round(ln(1 + size::double), 6) as log_size, "
     + ", ".join(f"coalesce(f_{b}, 0)::bigint as f_{b}" for b in ROSTER) + " from u left join w on w.unit_id = u.unit_id",
     "magnitude_matrix": WF + "w as (select unit_id, " + ", ".join(f"case when count(*) filter (biomarker = '{b}') = 0 then 0.0 else coalesce(ln(1 + max(magnitude) filter (biomarker = '{b}' and magnitude > 0.02)), 1.0) end as m_{b}" for b in ROSTER)
@@ -91,4 +113,4 @@ SQL = {
     "ck_folds": WF + "x as (select unit_id, (defects > 1)::int as y, (row_number() over (partition by (defects > 1)::int order by ('0x' || substr(md5('7|' || unit_id), 1, 12))::bigint, unit_id) - 1) % 10 as fold from u) select fold::int as fold, count(*) as n, sum(y)::bigint as positives, sum(unit_id)::bigint as ids from x group by 1",
 }
 
-QUERIES = {f.__name__: f for f in (feature_matrix, magnitude_matrix, lr_grouped_oof, ck_folds, ck_oof, jit_oof, jit_constants, random_intercept)}
+QUERIES = {f.__name__: f for f in (feature_matrix, magnitude_matrix, lr_grouped_oof, ck_folds, ck_oof, jit_oof, jit_constants, random_intercept, mixed_slopes)}

@@ -325,3 +325,22 @@ def test_scans_over_ranges_with_one_long_group(spark):
     for x in sorted(C.experience(d.select(F.col("run").alias("author"), F.col("ord").alias("ct"), F.col("ord").alias("sha"))).collect(), key=lambda x: x["ct"]):
         assert x["exp"] == seen.get(x["author"], 0)
         seen[x["author"]] = x["exp"] + 1
+
+
+def test_mixed_model_is_at_its_maximum(spark):
+    r = random.Random(3)
+    effect = {g: r.gauss(0, 1) for g in "abcdefgh"}
+    rows = []
+    for i in range(1200):
+        g, x, z = r.choice("abcdefgh"), r.gauss(0, 1), r.gauss(2, 3)
+        rows.append((g, x, z, int(r.random() < 1 / (1 + math.exp(-(0.8 * x - 0.3 * z + effect[g]))))))
+    rows += [("a", None, 1.0, 1), ("a", 1.0, 1.0, None), (None, 0.1, 1.0, 0)]
+    d = spark.createDataFrame(rows, "g string, x double, z double, y int")
+    m = M.mixed(d, ["x", "z"], "y", "g")
+    assert m.fixed["x"] > 0.4 and m.fixed["z"] < -0.4 and 0.4 < m.sd < 2.5 and m.groups.count() == 9
+    assert all(abs(s["slope"]) < 0.05 for s in M.slopes(m).collect())
+    # groups apart explain more than without them
+    u = {x["g"]: x["u"] for x in m.groups.collect()}
+    assert np.corrcoef([u[g] for g in effect], [effect[g] for g in effect])[0, 1] > 0.8
+    one = M.mixed(d.where("y = 1"), ["x"], "y", "g")
+    assert one.fixed == {"intercept": 0.0, "x": 0.0} and math.isnan(one.sd)

@@ -102,14 +102,15 @@ class Mixed:
     groups: DataFrame
 
 
-def mixed(df: DataFrame, features: list[str], label: str, group: str, prior_sd: float = 2.0, steps: int = 15, tolerance: float = 1e-3, least: float = 1e-4) -> Mixed:
+def mixed(df: DataFrame, features: list[str], label: str, group: str, prior_sd: float = 2.0, steps: int = 10, tolerance: float = 1e-3, least: float = 1e-4) -> Mixed:
     """A logistic model with several fixed effects and a random intercept for each ``group``, by Laplace's approximation.
 
     Fixed effects have a normal prior with ``prior_sd``.  Every step is Newton's for all effects at once: a group contributes its
     residual, its curvature and its curvature with each feature, all sums over its rows, and is eliminated by itself (the
     Hessian is an arrow), so the driver sees sums over groups alone and groups' effects stay in a written table.  The
-    variance is set after each step so that it is the mean of squared modes and posterior variances, but not below ``least``.  Null groups are a group; rows with
-    a null label or feature are left out; without rows or with one class all effects are 0 and the deviation is null.
+    variance is set after each step so that it is the mean of squared modes and posterior variances, but not below
+    ``least``.  Null groups are a group; rows with a null label or feature are left out; without rows or with one class all
+    effects are 0 and the deviation is NaN.
     """
     whole = df.where(reduce(lambda p, q: p & q, (F.col(c).isNotNull() for c in [label, *features])))
     scale, k = scaled(whole, features), len(features)
@@ -120,10 +121,12 @@ def mixed(df: DataFrame, features: list[str], label: str, group: str, prior_sd:
     seen = rows.agg(F.countDistinct("y"), F.approx_count_distinct("g")).first()
     if seen[0] < 2:
         return Mixed(dict.fromkeys(names, 0.0), float("nan"), rows, groups)
-    beta, var, ridge = np.zeros(k + 1), 1.0, 1 / prior_sd**2
+    beta, var, ridge, part = np.zeros(k + 1), 1.0, 1 / prior_sd**2, None
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     for _ in range(steps):
-        part = written(_by_group(rows, groups, _numbers(df, beta, var), k), "mixed-part")
+        before, part = part, written(_by_group(rows, groups, _numbers(df, beta, var), k), "mixed-part")
+        if before is not None:
+            discard(before)
         # sums over groups: residuals and curvature of the fixed effects with the groups taken out
         got = part.agg(
             *(F.sum(F.col(f"e{i}") - F.col(f"b{i}") * F.col("r") * F.col("v")) for i in range(k + 1)),
@@ -137,17 +140,14 @@ def mixed(df: DataFrame, features: list[str], label: str, group: str, prior_sd:
         back = reduce(lambda p, q: p + q, (F.col(f"b{i}") * F.col(f"t{i}") for i in range(k + 1)))
         move = (F.col("r") - back) * F.col("v")
         moving = part.crossJoin(F.broadcast(_numbers(df, step, 0.0).drop("var")))
-        after = written(moving.select("g", (F.col("u") + move).alias("u"), move.alias("move"), (1 - F.col("v") / F.col("var")).alias("worth")), "mixed-groups")
+        groups = moving.select("g", (F.col("u") + move).alias("u"), move.alias("move"), (1 - F.col("v") / F.col("var")).alias("worth"))
         beta = beta + step
         told = (F.sum(F.col("u") ** 2), F.sum("worth"))  # squares, and how many groups' worth the data say
-        moved, squares, worth = after.agg(F.max(F.abs("move")), *told).first()
+        moved, squares, worth = groups.agg(F.max(F.abs("move")), *told).first()
         was, var = var, max(float(squares) / max(float(worth), 1e-12), least)
-        discard(part)
-        discard(groups)
-        groups = after
         if max(moved, np.abs(step).max(), abs(var / was - 1) if var > least else 0.0) < tolerance:
             break
-    return Mixed(dict(zip(names, map(float, beta))), math.sqrt(var), rows, groups)
+    return Mixed(dict(zip(names, map(float, beta))), math.sqrt(var), rows, written(groups.select("g", "u"), "mixed-groups"))
 
 
 def _numbers(df: DataFrame, values: np.ndarray, var: float) -> DataFrame:

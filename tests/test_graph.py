@@ -22,29 +22,35 @@ def check(spark, commits, parents, start):
     assert len(got) == len(set(got)) and set(got) == search([x for x in commits if x is not None], parents, start)
 
 
-def test_random_histories(spark):
-    r = random.Random(8)
+def together(parts):
+    """Graphs side by side, their commits numbered apart."""
+    shift = lambda x, i: None if x is None else x + 1000 * i
+    commits = [shift(c, i) for i, (cs, _, _) in enumerate(parts) for c in cs]
+    parents = [(shift(a, i), shift(b, i), k) for i, (_, ps, _) in enumerate(parts) for a, b, k in ps]
+    return commits, parents, [shift(s, i) for i, (_, _, ss) in enumerate(parts) for s in ss]
+
+
+def test_histories_and_odd_graphs(spark):
+    r, parts = random.Random(8), []
     for n, merges, missing in ((1, 0, 0), (40, 0.0, 0.0), (60, 0.3, 0.1), (90, 0.8, 0.05)):
         parents = []
         for i in range(1, n):
-            parents.append((i, 1000 + i if r.random() < missing else max(0, i - r.choice((1, 1, 1, 2, 5))), 0))
+            parents.append((i, 500 + i if r.random() < missing else max(0, i - r.choice((1, 1, 1, 2, 5))), 0))
             if r.random() < merges:
                 parents.append((i, r.randrange(i), 1))
-        check(spark, list(range(n)), parents, [n - 1])
-
-
-def test_odd_graphs(spark):
+        parts.append((range(n), parents, [n - 1]))
     chain = [(i, i - 1, 0) for i in range(1, 30)]
-    check(spark, range(30), chain, [7, 3, 99])
-    check(spark, range(30), [*chain, (0, 29, 0)], [4])  # one cycle
-    check(spark, range(10), [(0, 1, 0), (1, 0, 0), (2, 1, 0), (3, 3, 0), (3, 2, 1), (5, 4, 0), (4, 5, 1)], [3])
-    check(spark, [0, 1, 2, 2, None], [(2, 1, 0), (2, 1, 0), (1, None, 0), (None, 0, 0), (1, 0, 1)], [2])
-    check(spark, range(5), chain[:4], [])
-    check(spark, [], chain[:4], [3])
+    parts += [
+        (range(30), chain, [7, 3, 99]), (range(30), [*chain, (0, 29, 0)], [4]),  # one cycle
+        (range(10), [(0, 1, 0), (1, 0, 0), (2, 1, 0), (3, 3, 0), (3, 2, 1), (5, 4, 0), (4, 5, 1)], [3]),
+        ([0, 1, 2, 2, None], [(2, 1, 0), (2, 1, 0), (1, None, 0), (None, 0, 0), (1, 0, 1)], [2]), (range(5), chain[:4], []), ([], chain[:4], [3]),
+    ]
+    check(spark, *together(parts))
+    check(spark, range(3), chain[:2], [])
 
 
 def test_long_chain_in_few_rounds(spark):
-    n = 3000
+    n = 600
     c = spark.range(n).withColumnRenamed("id", "sha")
     p = spark.range(1, n).selectExpr("id as sha", "id - 1 as parent", "0 as position")
     assert G.chains(c, p).selectExpr("count(distinct chain)", "max(place)").first() == (1, n - 1)

@@ -57,8 +57,8 @@ def kruskal_many(spark, d):
 
 
 def mannwhitney_small(spark, d):
-    """Few units against the others of their stratum, by a score that has ties in some strata: exact where it can be."""
-    return _rounded(G.mann_whitney(units(spark, d), ["stratum"], "unit_id % 6 = 0", "rival", least=2), "u", "p")
+    """Few units against the others of their cluster and stratum, by a score that has ties in some: exact where it can be."""
+    return _rounded(G.mann_whitney(units(spark, d), ["cluster", "stratum"], "unit_id % 4 = 0", "rival", least=2), "u", "p")
 
 
 def cliffs_delta_by_biomarker(spark, d):
@@ -265,18 +265,18 @@ select colour, count(unit_id) as n, round(coalesce(avg(defects), 0), 6) as mean
   round(avg(defects), 6) as mean, round(median(defects), 6)::double as median, min(defects) as min, max(defects) as max, round(coalesce(stddev_samp(defects), 0), 6) as std, sum(defects)::bigint as sum from u group by 1) select * from x""",
     "kruskal_h": WITH + _kruskal_sql("case when score >= 8 then 'green' when score >= 4 then 'yellow' else 'red' end"),
     "kruskal_many": WITH + _kruskal_sql("unit_id % 7"),
-    "mannwhitney_small": "with recursive" + WITH.removeprefix("with") + """a as (select stratum, unit_id % 6 = 0 as f, rival as v,
-  rank() over (partition by stratum order by rival) + (count(*) over (partition by stratum, rival) - 1) / 2.0::double as r from u),
-t as (select stratum, sum(c * c * c - c)::double as ties from (select stratum, v, count(*) as c from a group by all) group by 1),
-s as (select stratum, count(*) filter (f) as n, count(*) filter (not f) as m, sum(r) filter (f) - count(*) filter (f) * (count(*) filter (f) + 1) / 2.0::double as u from a group by 1),
+    "mannwhitney_small": "with recursive" + WITH.removeprefix("with") + """a as (select cluster, stratum, unit_id % 4 = 0 as f, rival as v,
+  rank() over (partition by cluster, stratum order by rival) + (count(*) over (partition by cluster, stratum, rival) - 1) / 2.0::double as r from u),
+t as (select cluster, stratum, sum(c * c * c - c)::double as ties from (select cluster, stratum, v, count(*) as c from a group by all) group by 1, 2),
+s as (select cluster, stratum, count(*) filter (f) as n, count(*) filter (not f) as m, sum(r) filter (f) - count(*) filter (f) * (count(*) filter (f) + 1) / 2.0::double as u from a group by 1, 2),
 w(i, c, x, ways) as (select 0, 0, 0, 1.0::double union all  -- of i values in order c are the first's, x of the others' come before them
   select i + 1, c2, x2, sum(ways) from (select i, c + 1 as c2, x + (i - c) as x2, ways from w where c < 8 union all select i, c, x, ways from w)
   where i < (select max(n + m) from s) group by all),
-g as (select stratum, n, m, u, ties, least(n, m) <= 8 and ties = 0 as exact from s join t using (stratum) where least(n, m) >= 2),
-e as (select stratum, sum(ways) filter (x >= u) / sum(ways) as p from g join w on i = n + m and c = n where exact group by 1),
-z as (select stratum, (u - n * m / 2.0::double - 0.5) / sqrt(n * m / 12.0::double * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))) as z from g where not exact), """
-    + upper_tail_sql("z", "stratum") + """
-select s.stratum, s.n, s.m, round(g.u, 6) as u, g.exact, round(coalesce(e.p, pt.tail), 6) as p from s left join g using (stratum) left join e using (stratum) left join pt using (stratum)""",
+g as (select cluster, stratum, n, m, u, ties, least(n, m) <= 8 and ties = 0 as exact from s join t using (cluster, stratum) where least(n, m) >= 2),
+e as (select cluster, stratum, sum(ways) filter (x >= u) / sum(ways) as p from g join w on i = n + m and c = n where exact group by 1, 2),
+z as (select cluster, stratum, (u - n * m / 2.0::double - 0.5) / sqrt(n * m / 12.0::double * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))) as z from g where not exact), """
+    + upper_tail_sql("z", "cluster, stratum") + """
+select s.cluster, s.stratum, s.n, s.m, round(g.u, 6) as u, g.exact, round(coalesce(e.p, pt.tail), 6) as p from s left join g using (cluster, stratum) left join e using (cluster, stratum) left join pt using (cluster, stratum)""",
     "cliffs_delta_by_biomarker": WF + _MW + " select biomarker, n_with, n_without, round(mean_with, 6) as mean_with, round(mean_without, 6) as mean_without, u, round(delta, 6) as delta, round(z, 6) as z from x",
     "mannwhitney_p": WF + _MW + ", " + upper_tail_sql("x", "biomarker") + " select biomarker, u, round(tail, 6) as p from x left join pt using (biomarker)",
     "biomarker_ranking": WF + _MW + " select row_number() over (order by round(delta, 6) desc, list_position([" + ", ".join(f"'{b}'" for b in ROSTER) + "], biomarker))::int as rank, biomarker, round(delta, 6) as delta from x",

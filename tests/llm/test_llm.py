@@ -399,28 +399,29 @@ def test_language_model_against_brute_force(docs, rows, empty, monkeypatch):
     got = defaultdict(list)
     for r in lm_scoring.score(docs, training, s).collect():
         got[r["doc_id"]].append(r)
-    held = {r[0]: r[1] for r in docs.select("doc_id", F.expr("pmod(xxhash64(doc_id, 5), 3) = 0")).collect()}
+    held = {r[0]: r[1] for r in docs.select("doc_id", F.expr("pmod(xxhash64(coalesce(text, ''), 5), 3) = 0")).collect()}
     tokens = {i: (t or "").encode().translate(LOWER).split() + [None] for i, t in rows}
-    every, word, context, pair = Counter(), Counter(), Counter(), Counter()
+    word, context, pair, triple = Counter(), Counter(), Counter(), Counter()
     for i, _ in rows:
         if i is not None and i % 4 != 1:
-            every.update(tokens[i])
-            if not held[i]:
-                stream = ["<s>", *tokens[i]]
-                word.update(tokens[i])
-                context.update(stream[:-1])
-                pair.update(zip(stream[:-1], stream[1:]))
-    n, v, m = sum(every.values()), len(every), sum(word.values())
-    assert kept["m"].sum(1) == pytest.approx(np.ones(s.buckets))
+            stream = ["<s>", *tokens[i]]
+            word.update(tokens[i])
+            context.update(stream[:-1])
+            pair.update(zip(stream[:-1], stream[1:]))
+            triple.update(zip(stream[:-2], stream[1:-1], stream[2:]))
+    n, v = sum(word.values()), len(word)
+    assert any(held.values()) and not all(held.values())
+    assert kept["m"].sum(1) == pytest.approx(np.ones(2 * s.buckets))
     for i, t in tokens.items():
         r = got[i][0]
-        base = sum(math.log10((every[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        base = sum(math.log10((word[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         total = 0.0
-        for a, b in zip(["<s>", *t[:-1]], t):
-            c = context[a]
-            w = kept["m"][int(lm_scoring.bucket_of(np.array([c]), s)[0])]
-            total += math.log10(w[0] * (pair[a, b] / c if c else 0) + w[1] * word[b] / m + w[2] / (v + 1))
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(every[w] > 0 for w in t), n)
+        for z, a, b in zip([None, "<s>", *t[:-2]], ["<s>", *t[:-1]], t):
+            c, d = context[a], pair[z, a]
+            w = kept["m"][int(lm_scoring.mixture_of(np.array([d]), np.array([c]), s)[0])]
+            p3 = triple[z, a, b] / d if d else 0
+            total += math.log10(w[0] * p3 + w[1] * (pair[a, b] / c if c else 0) + w[2] * word[b] / n + w[3] / (v + 1))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(word[w] > 0 for w in t), n)
         assert (r["base_score"], r["score"]) == (pytest.approx(base), pytest.approx(total))
     assert lm_scoring.score(empty, training, s).collect() == []
     nothing = lm_scoring.score(docs, F.lit(None).cast("boolean"), s).collect()
@@ -430,14 +431,35 @@ def test_language_model_against_brute_force(docs, rows, empty, monkeypatch):
 def test_expectation_maximisation_raises_the_likelihood():
     g = np.random.default_rng(3)
     s = lm_scoring.Settings()
-    p2, p1, n, b = g.random(200) * 0.2, g.random(200) * 0.1, g.integers(1, 9, 200), g.integers(0, 3, 200)
-    w = lm_scoring.expectation_maximisation(b, p2, p1, 1e-3, n, s)
-    like = lambda w: (n * np.log(w[b, 0] * p2 + w[b, 1] * p1 + w[b, 2] * 1e-3)).sum()
+    x, n = g.random((3, 300)) * [[0.3], [0.2], [0.1]], g.integers(1, 9, 300)
+    b = g.choice([0, 1, 2, s.buckets + 1, s.buckets + 3], 300)
+    w = lm_scoring.expectation_maximisation(b, x, 1e-3, n, s)
+    x4 = np.vstack([x, np.full((1, 300), 1e-3)])
+    like = lambda w: (n * np.log((w[b].T * x4).sum(0))).sum()
     for _ in range(20):
-        other = np.maximum(w + g.normal(0, 0.05, w.shape), 1e-9)
-        other[0, 0] = 1e-12
-        assert like(other / other.sum(1, keepdims=True)) <= like(w) + 1e-6
-    assert w[0, 0] == 0
+        other = np.maximum(w + g.normal(0, 0.05, w.shape), 1e-9) * (w > 0)
+        assert like(other / other.sum(1, keepdims=True)) <= like(w) + 1e-3
+    assert w[0, :2].tolist() == [0, 0] and not w[: s.buckets, 0].any() and (w[s.buckets :] > 0).all()
+
+
+def test_counts_are_those_without_the_held_out_texts_while_learning(docs, rows, monkeypatch):
+    """The grid that the weights are learned from, against estimates made word by word."""
+    seen = {}
+    fit = lm_scoring.expectation_maximisation
+    monkeypatch.setattr(lm_scoring, "expectation_maximisation", lambda *a: seen.setdefault("m", a) and fit(*a))
+    s = lm_scoring.Settings(held_out_of=3, block_bytes=2000, bucket_bytes=1000)
+    lm_scoring.score(docs, F.lit(True), s).count()
+    held = {r[0]: r[1] for r in docs.select("text", F.expr("pmod(xxhash64(coalesce(text, ''), 5), 3) = 0")).collect()}
+    streams = [(held[t], ["<s>", *(t or "").encode().translate(LOWER).split(), None]) for _, t in rows]
+    pair, triple = Counter(), Counter()
+    for h, x in streams:
+        if not h:
+            pair.update(zip(x[:-1], x[1:]))
+            triple.update(zip(x[:-2], x[1:-1], x[2:]))
+    wanted = sum(triple[z] / pair[z[:2]] for h, x in streams if h for z in zip(x[:-2], x[1:-1], x[2:]) if pair[z[:2]])
+    _, estimates, _, n, _ = seen["m"]
+    assert n.sum() == sum(len(x) - 1 for h, x in streams if h)
+    assert (estimates[0] * n).sum() == pytest.approx(wanted)
 
 
 def test_packed_numbers():

@@ -120,13 +120,23 @@ class _Block:
         self.triples, _, self.triple_counts = told(_triples(place, word, opens), counted[1:][~opens[1:]])
 
 
+def _dense(raw: bytes) -> bytes:
+    """Entropy-coded; small counts and the high bytes of steps take a few bits each."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _full(raw: bytes) -> bytes:
+    return pa.decompress(memoryview(raw)[4:], int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _small(x: np.ndarray) -> bytes:
     """Counts in a byte each; 255 stands for a count told in full beside."""
     large = np.flatnonzero(x >= 255)
-    return len(large).to_bytes(4, "little") + large.astype("<u4").tobytes() + x[large].astype("<u8").tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes()
+    return _dense(len(large).to_bytes(4, "little") + large.astype("<u4").tobytes() + x[large].astype("<u8").tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes())
 
 
 def _wide(raw: bytes) -> np.ndarray:
+    raw = _full(raw)
     n = int.from_bytes(raw[:4], "little")
     out = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
     out[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<u8", n, 4 + 4 * n).astype(np.int64)
@@ -134,25 +144,27 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _delta(x: np.ndarray, width: int) -> bytes:
-    """Ascending numbers as their differences, in ``width`` bytes each; what a wider step has beyond is told beside."""
+    """Ascending numbers as their differences, in ``width`` bytes each, of which the high one is entropy-coded; what a wider
+    step has beyond is told beside."""
     d = np.diff(x, prepend=U(0)) if len(x) else x
     bits = U(8 * width)
     wide = np.flatnonzero(d >> bits)
-    return (
-        bytes([width]) + len(wide).to_bytes(4, "little") + wide.astype("<u4").tobytes() + (d[wide] >> bits).astype("<u4").tobytes()
-        + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    )
+    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    high = _dense(len(wide).to_bytes(4, "little") + wide.astype("<u4").tobytes() + (d[wide] >> bits).astype("<u4").tobytes() + planes[-1].tobytes())
+    return bytes([width]) + len(high).to_bytes(4, "little") + high + planes[:-1].tobytes()
 
 
 def _undelta(raw: bytes) -> np.ndarray:
-    width, n = raw[0], int.from_bytes(raw[1:5], "little")
-    at = np.frombuffer(raw, "<u4", n, 5)
-    high = np.frombuffer(raw, "<u4", n, 5 + 4 * n)
-    low = np.frombuffer(raw, np.uint8, offset=5 + 8 * n).reshape(-1, width)
-    full = np.zeros((len(low), 8), np.uint8)
-    full[:, :width] = low
+    width, to = raw[0], 5 + int.from_bytes(raw[1:5], "little")
+    high = _full(raw[5:to])
+    n = int.from_bytes(high[:4], "little")
+    at, beyond = np.frombuffer(high, "<u4", n, 4), np.frombuffer(high, "<u4", n, 4 + 4 * n)
+    top = np.frombuffer(high, np.uint8, offset=4 + 8 * n)
+    full = np.zeros((len(top), 8), np.uint8)
+    full[:, : width - 1] = np.frombuffer(raw, np.uint8, offset=to).reshape(width - 1, -1).T
+    full[:, width - 1] = top
     d = full.reshape(-1).view("<u8").copy()
-    d[at] |= high.astype(np.uint64) << U(8 * width)
+    d[at] |= beyond.astype(np.uint64) << U(8 * width)
     return np.cumsum(d, dtype=np.uint64)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hornbeam.operators import changes as C
 from hornbeam.operators import paired as P
 from hornbeam.operators import ranking as R
+from hornbeam.operators.tokens import read_ranks, tokens_per_text
 from hornbeam.plans.rank_queries import _auc_sql, _rounded
 from hornbeam.sources.tables import COMMITS_SQL, FILES_SQL, commit_files, commits, read
 
@@ -157,7 +158,11 @@ def cost_model(spark, d):
 
 def tokens(spark, d):
     """Documents as commits: characters over 4 are a text's tokens, its length's remainders a diff's and a context's."""
-    t = read(spark, d, "documents").select(F.col("source").alias("repo"), F.floor(F.col("n_chars") / 4).alias("naive"), F.pmod("n_chars", F.lit(97)).alias("diff"), F.pmod("n_chars", F.lit(53)).alias("context"))
+    return _commits(read(spark, d, "documents"), F.floor(F.col("n_chars") / 4))
+
+
+def _commits(docs, naive):
+    t = docs.select(F.col("source").alias("repo"), naive.alias("naive"), F.pmod("n_chars", F.lit(97)).alias("diff"), F.pmod("n_chars", F.lit(53)).alias("context"))
     return t.withColumn("skipped", F.when(F.col("naive") < 100, "all-files-excluded").when(F.col("context") < 5, "undersized"))
 
 
@@ -165,6 +170,17 @@ def token_summary_rollup(spark, d):
     return _rounded(P.token_summary(tokens(spark, d)), "pooled_naive", "pooled_diff", "mean_ratio_naive", "mean_ratio_diff", "median_ratio", "max_ratio")
 
 
+#: Ranks of a public byte-level vocabulary; any file of the form will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def token_summary_bpe(spark, d, vocabulary=VOCABULARY):
+    """As ``token_summary_rollup``, with a text's tokens counted by byte-pair merges."""
+    docs = read(spark, d, "documents").select("source", "n_chars", "text")
+    t = tokens_per_text(docs, read_ranks(spark, vocabulary), F.col("text")).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
+    return _rounded(P.token_summary(_commits(t, F.col("n_tokens"))), "pooled_naive", "pooled_diff", "mean_ratio_naive", "mean_ratio_diff", "median_ratio", "max_ratio")
+
+
 def skip_reasons(spark, d):
     return tokens(spark, d).where("skipped is not null").groupBy("skipped").agg(F.count("*").alias("n"))
 
@@ -321,7 +337,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         commit_features, change_entropy, numstat_lines, author_experience, right_censor, time_split, jit_effort, jit_auc, temporal_windows, temporal_summary, last_row_wins, paired_metrics, win_counts, paired_totals,
-        trimmed_mean, best_worst, delta_quantiles, turn_histogram, judge_score, resume_antijoin, budget_gate, cost_model, token_summary_rollup, skip_reasons, repo_histogram, stream_summary, failure_reasons, fifo_pairs,
+        trimmed_mean, best_worst, delta_quantiles, turn_histogram, judge_score, resume_antijoin, budget_gate, cost_model, token_summary_rollup, token_summary_bpe, skip_reasons, repo_histogram, stream_summary, failure_reasons, fifo_pairs,
         resume_set, task_selection, pr_signals,
     )
 }

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.sources.store import discard, scratch, shared_dir, written
 
-__all__ = ["components", "discard", "partitions", "scratch", "shared_dir", "stash", "table", "tidy"]
+__all__ = ["components", "discard", "few_at_a_time", "partitions", "scratch", "shared_dir", "stash", "table", "tidy"]
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -23,13 +25,26 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def stash(df: DataFrame) -> DataFrame:
+@contextmanager
+def few_at_a_time(spark: SparkSession, rows: int = 8) -> Iterator[None]:
+    """For what runs in the block, Python gets batches of a few rows: rows of a megabyte in batches of the usual 10,000 would
+    be a whole partition in the memory of both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stash(df: DataFrame, wide: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
 
     ``stash_path`` on the returned frame names the folder; :func:`discard` removes it once nothing reads it, and
-    :func:`scratch` all those of a block.
+    :func:`scratch` all those of a block.  ``wide`` is for rows of a megabyte or so.
     """
-    out = written(df, "stash")
+    out = written(df, "stash", wide)
     del df  # with it goes what its shuffles keep on disk
     tidy(out.sparkSession)
     return out

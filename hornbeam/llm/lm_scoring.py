@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hornbeam.llm.common import partitions, stash, tidy
+from hornbeam.llm.common import few_at_a_time, partitions, stash, tidy
 from hornbeam.llm.kernels import U, Words, chunks, mix, release, slices
 
 _START, _END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
@@ -180,7 +180,10 @@ _REPLY = "block long, kind int, bucket int, learn binary, all binary, learn3 bin
 
 
 def _packed(rows: DataFrame, s: Settings) -> DataFrame:
-    """``rows(doc_id, text, part)`` as ``block, held, ids, texts, parts``, a row for each block; runs where it reads."""
+    """``rows(doc_id, text, part)`` as ``block, held, body``, a row for each block; runs where it reads.
+
+    The body is one compressed value: as arrays, a hundred blocks would be open in a page of the written table, and texts
+    would be shuffled at nearly their full size."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,9 +197,8 @@ def _packed(rows: DataFrame, s: Settings) -> DataFrame:
             ids, texts, parts = zip(*open_blocks[held])
             open_blocks[held] = []
             made += 1
-            columns = [pa.array([task + made], pa.int64()), pa.array([held])]
-            columns += [pa.array([list(x)], pa.list_(t)) for x, t in ((ids, pa.int64()), (texts, pa.string()), (parts, pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "held", "ids", "texts", "parts"])
+            body = pa.array([_body(pa.table({"ids": pa.array(ids, pa.int64()), "texts": pa.array(texts, pa.string()), "parts": pa.array(parts, pa.int64())}))], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([task + made], pa.int64()), pa.array([held]), body], names=["block", "held", "body"])
 
         size = {True: 0, False: 0}
         for batch in slices(batches):
@@ -211,13 +213,22 @@ def _packed(rows: DataFrame, s: Settings) -> DataFrame:
             if open_blocks[held]:
                 yield close(held)
 
-    return rows.mapInArrow(pack, "block long, held boolean, ids array<long>, texts array<string>, parts array<long>")
+    return rows.mapInArrow(pack, "block long, held boolean, body binary")
+
+
+def _body(texts: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, texts.schema) as out:
+        out.write_table(texts)
+    return pa.compress(sink.getvalue(), codec="zstd", asbytes=True) + len(sink.getvalue()).to_bytes(8, "little")
 
 
-def _unpacked(row: pa.RecordBatch | pa.Table) -> tuple[pa.Array, np.ndarray]:
-    """Texts and parts of a block's row."""
-    texts, parts = (row[c].combine_chunks() if isinstance(row, pa.Table) else row.column(c) for c in ("texts", "parts"))
-    return texts.flatten(), parts.flatten().to_numpy()
+def _unpacked(row: pa.RecordBatch | pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Ids, texts and parts of a block's row."""
+    raw = memoryview(row["body"][0].as_py())
+    body = pa.ipc.open_stream(pa.decompress(raw[:-8], int.from_bytes(raw[-8:], "little"), codec="zstd")).read_all()
+    ids, texts, parts = (body[c].combine_chunks() for c in ("ids", "texts", "parts"))
+    return ids, texts, parts.to_numpy()
 
 
 def _trained(parts: np.ndarray) -> np.ndarray:
@@ -235,7 +246,7 @@ def _count(rows: DataFrame, buckets: int) -> DataFrame:
 
     def one_block(row: pa.RecordBatch) -> pa.RecordBatch:
         block, held = row.column("block")[0].as_py(), row.column("held")[0].as_py()
-        texts, parts = _unpacked(row)
+        _, texts, parts = _unpacked(row)
         b = _Block(texts, _trained(parts))
         out = []
         # a step between neighbours is about 2**45 for words and 2**35 for pairs
@@ -299,7 +310,7 @@ def _count(rows: DataFrame, buckets: int) -> DataFrame:
             }
         )
 
-    return rows.select("block", "held", "texts", "parts").mapInArrow(listed, _LIST).groupBy("kind", "bucket").applyInArrow(summed, _REPLY)
+    return rows.mapInArrow(listed, _LIST).groupBy("kind", "bucket").applyInArrow(summed, _REPLY)
 
 
 class _Known:
@@ -367,7 +378,7 @@ def _learn(rows: DataFrame, replies: DataFrame, sizes: tuple[int, int, int], s:
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         cells: dict[int, np.ndarray] = {}
         if left.num_rows and right.num_rows:
-            texts, parts = _unpacked(left)
+            _, texts, parts = _unpacked(left)
             for _, _, counts in _Known(texts, parts, right, "learn").tokens(texts):
                 p = _estimates(*counts, model_tokens)
                 # octaves; 0 is told apart
@@ -381,8 +392,8 @@ def _learn(rows: DataFrame, replies: DataFrame, sizes: tuple[int, int, int], s:
         items = sorted(cells.items())
         return pa.table({"cell": pa.array([c for c, _ in items], pa.int64()), **{k: pa.array([float(v[i]) for _, v in items], pa.float64()) for i, k in enumerate(sums)}})
 
-    held = rows.where("held").select("block", "texts", "parts")
-    told = replies.join(held.select("block"), "block", "left_semi")
+    held = rows.where("held").select("block", "body")
+    told = replies.select("block", "kind", "bucket", "learn", "learn3").join(held.select("block"), "block", "left_semi")
     grid = held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(gather, "cell long, n double, p3 double, p2 double, p1 double")
     cells = grid.groupBy("cell").agg(*(F.sum(c).alias(c) for c in sums)).orderBy("cell").collect()
     n = np.array([c["n"] for c in cells])
@@ -415,8 +426,9 @@ def score(docs: DataFrame, training: Column, s: Settings = Settings()) -> DataFr
     part = F.when(F.coalesce(training, F.lit(False)), F.when(held, HELD_OUT).otherwise(COUNTED)).otherwise(UNSEEN)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), part.cast("long").alias("part"))
     # which text is in which block must not change any more: replies have their block's order
-    rows = stash(_packed(rows, s))
-    replies = stash(_count(rows, buckets))
+    rows = stash(_packed(rows, s), wide=True)
+    with few_at_a_time(spark):
+        replies = stash(_count(rows, buckets))
     sizes = tuple(int(x or 0) for x in replies.agg(F.sum("tokens"), F.sum("model_tokens"), F.sum("distinct")).first())
     tokens, model_tokens, distinct = sizes
     mixture = _learn(rows, replies, sizes, s) if model_tokens else np.tile([0.0, 0.0, 0.0, 1.0], (2 * s.buckets, 1))
@@ -425,7 +437,7 @@ def score(docs: DataFrame, training: Column, s: Settings = Settings()) -> DataFr
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: pa.array([], pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in RESULT})
-        texts, parts = _unpacked(left)
+        ids, texts, parts = _unpacked(left)
         n = len(texts)
         known = _Known(texts, parts, right)
         out = np.zeros((4, n))
@@ -437,7 +449,8 @@ def score(docs: DataFrame, training: Column, s: Settings = Settings()) -> DataFr
             m = int(row.max()) + 1
             for k, x in enumerate((None, (word > 0).astype(float), base, np.log10(p))):
                 out[k, first : first + m] += np.bincount(row, x, m)
-        columns = [left["ids"].combine_chunks().flatten(), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(out[2]), pa.array(out[3])]
+        columns = [ids, pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(out[2]), pa.array(out[3])]
         return pa.table(dict(zip(RESULT.names, columns)))
 
-    return rows.drop("held").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, RESULT)
+    told = replies.select("block", "kind", "bucket", "all", "all3")
+    return rows.select("block", "body").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, RESULT)

@@ -31,11 +31,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+#: For rows of a megabyte: the writer looks at its size after every row, not after the first hundred, and closes groups of
+#: rows early, as a reader takes up to a group of rows at once.
+_WIDE = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.max": 1, "parquet.block.size": 16 << 20}
+
+
+def written(df: DataFrame, name: str = "table", wide: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder.  :func:`discard` or :func:`scratch` removes it once nothing reads it."""
     spark, schema = df.sparkSession, df.schema
     path = folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**_WIDE if wide else {}).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stash_path = path
     return out

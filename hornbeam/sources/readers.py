@@ -18,17 +18,26 @@ ISSUE = "number int, state string, labels array<string>, is_pr boolean, created_
 COVERAGE = "files map<string,struct<line_coverage_pct:double>>"
 
 
+#: Ends a document where a file has many, as in JSON text sequences; no document has it inside, JSON escapes it.
+RECORD = "\u001e"
+
+
+def whole_texts(spark: SparkSession, paths: str | list[str], sep: str | None = None) -> DataFrame:
+    """One text a file; with ``sep`` one for each document that it ends."""
+    return spark.read.text(paths, wholetext=sep is None, lineSep=sep)
+
+
 def cluster_of(marker: str) -> Column:
     """The folder after ``marker`` in the path of the file a row came from."""
     return F.regexp_extract(F.col("_metadata.file_path"), marker + "([^/]+)/", 1)
 
 
-def health_documents(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_") -> DataFrame:
+def health_documents(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_", sep: str | None = None) -> DataFrame:
     """``cluster, doc``: the JSON document within a tool's noisy output, from its first ``{"kpis"``.
 
-    Output without one, or with a broken one, is a row with a null ``doc``.
+    Output without one, or with a broken one, is a row with a null ``doc``.  A file is one output, or with ``sep`` many.
     """
-    text = spark.read.text(paths, wholetext=True).select(cluster_of(marker).alias("cluster"), "value")
+    text = whole_texts(spark, paths, sep).select(cluster_of(marker).alias("cluster"), "value")
     at = F.instr("value", '{"kpis"')
     return text.select("cluster", F.when(at > 0, F.from_json(F.substr("value", at), DOCUMENT)).alias("doc"))
 
@@ -47,9 +56,9 @@ def joined_rows(spark: SparkSession, paths: str | list[str], schema: str, marker
     return spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("cluster", cluster_of(marker))
 
 
-def label_map(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_") -> DataFrame:
+def label_map(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_", sep: str | None = None) -> DataFrame:
     """``cluster, file_path, defect_count`` from objects of path to count; ``{}`` has no row."""
-    text = spark.read.text(paths, wholetext=True).select(cluster_of(marker).alias("cluster"), F.from_json("value", "map<string,int>").alias("m"))
+    text = whole_texts(spark, paths, sep).select(cluster_of(marker).alias("cluster"), F.from_json("value", "map<string,int>").alias("m"))
     return text.select("cluster", F.explode("m").alias("file_path", "defect_count"))
 
 
@@ -79,15 +88,16 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: str, keys: l
     return rows.select(F.struct("f", "i").alias("ord"), "r.*").drop("_broken")
 
 
-def coverage(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_") -> DataFrame:
-    """``cluster, file_path, line_coverage_pct`` of coverage artifacts; a file without a number stays null, not 0."""
-    got = spark.read.schema(COVERAGE).option("multiLine", True).json(paths).select(cluster_of(marker).alias("cluster"), F.explode("files").alias("file_path", "c"))
+def coverage(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_", lines: bool = False) -> DataFrame:
+    """``cluster, file_path, line_coverage_pct`` of coverage artifacts, one a file or with ``lines`` one a line; a file without a
+    number stays null, not 0."""
+    got = spark.read.schema(COVERAGE).option("multiLine", not lines).json(paths).select(cluster_of(marker).alias("cluster"), F.explode("files").alias("file_path", "c"))
     return got.select("cluster", "file_path", "c.line_coverage_pct")
 
 
-def second_scores(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_") -> DataFrame:
+def second_scores(spark: SparkSession, paths: str | list[str], marker: str = "/health_defect_", sep: str | None = None) -> DataFrame:
     """``cluster, file_path, score`` of another scorer's cache; a null score (nothing to score) stays a row."""
-    text = spark.read.text(paths, wholetext=True).select(cluster_of(marker).alias("cluster"), F.from_json("value", "map<string,double>").alias("m"))
+    text = whole_texts(spark, paths, sep).select(cluster_of(marker).alias("cluster"), F.from_json("value", "map<string,double>").alias("m"))
     return text.select("cluster", F.explode("m").alias("file_path", "score"))
 
 
@@ -108,9 +118,9 @@ def ck_rows(spark: SparkSession, paths: str | list[str], columns: list[str]) ->
     return raw.select("name", *(F.col(c).try_cast("double").alias(c) for c in columns))
 
 
-def questions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Task rows of a JSON array; an absent id becomes the row's place, absent texts are empty."""
-    rows = spark.read.schema("id string, repo string, split_name string, question string, answer string").option("multiLine", True).json(paths)
+def questions(spark: SparkSession, paths: str | list[str], lines: bool = False) -> DataFrame:
+    """Task rows of a JSON array, or with ``lines`` of one a line; an absent id becomes the row's place, absent texts are empty."""
+    rows = spark.read.schema("id string, repo string, split_name string, question string, answer string").option("multiLine", not lines).json(paths)
     at = F.row_number().over(Window.partitionBy("repo").orderBy(F.monotonically_increasing_id())) - 1
     return rows.select(F.coalesce("id", F.concat_ws("-", "repo", at.cast("string"))).alias("id"), "repo", "split_name", *(F.coalesce(c, F.lit("")).alias(c) for c in ("question", "answer")))
 

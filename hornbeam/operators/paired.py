@@ -79,9 +79,10 @@ def token_summary(rows: DataFrame) -> DataFrame:
 
 def budget(runs: DataFrame, limit: float, estimate: float, by: list[str]) -> DataFrame:
     """Adds ``spent`` before each run, and ``allowed``: whether that and an estimate stay within the limit.  A null cost is 0; a
-    task with very many runs is many ranges, not a task of Spark's."""
-    d = R.running(runs.withColumn("__cost", F.coalesce(F.col("cost").cast("double"), F.lit(0.0))), by, [F.col("ord")], {"spent": "__cost"})
-    return d.withColumn("spent", F.col("spent") - F.col("__cost")).drop("__cost").withColumn("allowed", F.col("spent") + estimate <= limit)
+    task with very many runs is many ranges, not a task of Spark's.  A run's own cost is never added: taken off again, it
+    would leave a rounding error that decides at the limit."""
+    d = R.running(runs.withColumn("__cost", F.coalesce(F.col("cost").cast("double"), F.lit(0.0))), by, [F.col("ord")], {"spent": "__cost"}, own=False)
+    return d.drop("__cost").withColumn("allowed", F.col("spent") + estimate <= limit)
 
 
 #: What is read of an event; unknown fields are ignored.

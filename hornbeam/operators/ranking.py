@@ -22,9 +22,9 @@ def safe(by: list[str], other: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(by, other)), F.lit(True))
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds for each ``{name: column}`` the sum of ``column`` up to and with the row, within its group.  Rows that agree in
-    all of ``order`` get sums in an arbitrary order.
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], own: bool = True) -> DataFrame:
+    """Adds for each ``{name: column}`` the sum of ``column`` up to and with the row, within its group, or without ``own`` up to
+    the row before, 0 for the first.  Rows that agree in all of ``order`` get sums in an arbitrary order.
 
     The ranges are as many as ``spark.sql.shuffle.partitions``, so their number follows the input, and neither a large
     group nor many rows with one score make a large range.  Rows are written once with their range: drawn again, the
@@ -32,8 +32,9 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, s
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = written(df.repartitionByRange(ranges, *(F.col(c) for c in by), *order).withColumn("__b", F.spark_partition_id()), "running")
-    inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.select("*", *(F.sum(c).over(inner).alias(f"__in_{n}") for n, c in sums.items()))
+    inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    upto = (lambda c: F.sum(c).over(inner)) if own else (lambda c: F.coalesce(F.sum(c).over(inner), F.lit(0)))
+    out = placed.select("*", *(upto(c).alias(f"__in_{n}") for n, c in sums.items()))
     totals = placed.groupBy(*by, "__b").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     keys = [f"__k{i}" for i in range(len(by))]

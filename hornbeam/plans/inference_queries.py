@@ -71,15 +71,15 @@ def head_to_head(spark, d):
 
 
 def _auc_cells(spark, d):
-    """Units as cells of equal cluster, risk and outcome ``y``."""
+    """Units with risk and outcome ``y``, each of which draws for itself."""
     u = units(spark, d).select("cluster", F.expr(RISK).alias("risk"), F.expr(POSITIVE).cast("int").alias("y"), "ord")
-    return B.cells(u, ["cluster", "risk", "y"], "ord", SEED)
+    return B.single(u, "ord", SEED)
 
 
 def boot_ci_auc(spark, d):
     """Interval of each cluster's AUC by drawing its units."""
     arrays = B.areas(_auc_cells(spark, d), "cluster", [F.col("risk")], F.col("y"), 1 - F.col("y"), reps=REPS)
-    per = B.by_draw(arrays, "auc").select(F.col("g").alias("cluster"), F.coalesce("auc", F.lit(0.5)).alias("auc"))
+    per = B.by_draw(arrays, "auc").where("x + y > 0").select(F.col("g").alias("cluster"), F.coalesce("auc", F.lit(0.5)).alias("auc"))
     return _rounded(I.interval(per, ["cluster"], "auc"), "lo", "hi")
 
 
@@ -222,11 +222,12 @@ cx as (select *, ('0x' || substr(md5('{seed}|' || ord), 1, 8))::bigint % {I.PRIM
 
 
 _DRAWN = lambda j: f"len(list_filter(t, lambda v: v <= (ha + ({j}) * hb) % {I.PRIME}))"
-_CELLS = "ce as (select cluster, 10 - score as risk, (defects > 0)::int as defects, count(*) as n, min(ord) as ord from u group by 1, 2, 3), " + _drawn_sql("ce")
-_WITHIN = _CELLS + f", ds as (select cluster, rep, risk, defects, {_DRAWN('rep')} as weight from cx, range({REPS}) a(rep)), "
+_DRAWS = f"""ub as (select *, ('0x' || substr(md5('{SEED}|' || ord), 1, 8))::bigint % {I.PRIME} as ha, ('0x' || substr(md5('{SEED}|' || ord), 9, 8))::bigint % {I.PRIME} as hb from u)"""
+_TAKEN = lambda j: "(" + " + ".join(f"(((ha + ({j}) * hb) % {I.PRIME}) >= {x})::int" for x in B.LIMITS) + ")"
+_WITHIN = _DRAWS + f", ds as (select * from (select *, {_TAKEN('rep')} as weight from ub, range({REPS}) a(rep)) where weight > 0), "
 _SLOTS = _NAMES + f""", sl as (select rep, slot, {_IDX('k', f"'{SEED}|c'", 'rep', 'slot')} as cluster_at from range({REPS}) a(rep), kk, (select unnest(range(k)) as slot from kk)),
 sl2 as (select cluster, rep, slot, (select k from kk) as k from sl join nm using (cluster_at)),
-ds as (select rep, slot, risk, defects, {_DRAWN('rep * k + slot')} as weight from cx join sl2 using (cluster))"""
+ds as (select * from (select rep, slot, score, defects, {_TAKEN('rep * k + slot')} as weight from ub join sl2 using (cluster)) where weight > 0)"""
 
 
 def _weighted_popt(side: str) -> str:
@@ -260,7 +261,7 @@ x3 as (select tool, round(count(*) filter (defects > 0)::double / count(*), 6) a
 ck as (select tool, {corr_sql('x', 'y')} as a, {corr_sql('x', 'z')} as b, {corr_sql('y', 'z')} as c from rk group by 1),
 x4 as (select tool, round(case when sqrt((1 - b * b) * (1 - c * c)) = 0 then 0.0 else (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) end, 6) as partial_rho from ck)
 select * from x1 join x2 using (tool) join x3 using (tool) join x4 using (tool)""",
-    "boot_ci_auc": WITH + _WITHIN + _weighted_auc("cluster, rep", "ds", "risk") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
+    "boot_ci_auc": WITH + _WITHIN + _weighted_auc("cluster, rep", "ds") + f" select cluster, {_CI('auc')}, count(auc) as n_boot from per group by 1",
     "within_boot_delta": WITH + "cw as (select cluster, 10 - score as a, 10 - rival as b, greatest(size, 1) as size, defects, count(*) as n, min(ord) as ord from u group by 1, 2, 3, 4, 5), " + _drawn_sql("cw")
     + f", dw as (select cluster, rep, a, b, size, defects, ord, {_DRAWN('rep')} as weight from cx, range({WITHIN_REPS}) r(rep)), "
     + _weighted_auc("cluster, rep", "dw", "a", "null").replace("g as (", "g1 as (").replace("from g)", "from g1)").replace("c as (", "c1 as (").replace("from c group", "from c1 group").replace("per as (", "pa as (")
@@ -268,8 +269,8 @@ select * from x1 join x2 using (tool) join x3 using (tool) join x4 using (tool)"
     + """, m as (select 'auc' as of, rep, avg(pa.auc - pb.auc) as d from pa join pb using (cluster, rep) group by 2 union all select 'popt', rep, avg(p_a.popt - p_b.popt) from p_a join p_b using (cluster, rep) group by 2),
 l as (select of, list(d order by d) filter (d is not null) as v, avg(d) as mean from m group by 1)
 select of, round(mean, 6) as mean, round(v[floor(0.025 * len(v))::int + 1], 6) as lo, round(v[floor(0.975 * len(v))::int + 1], 6) as hi from l""",
-    "cluster_boot_mean_auc": WITH + _CELLS + ", " + _SLOTS + ", " + _weighted_auc("rep, slot", "ds", "risk", degenerate="null") + f", mm as (select rep, avg(auc) as auc from per group by 1) select 'mean' as of, {_CI('auc')}, count(auc) as n_boot from mm",
-    "pooled_boot": WITH + _CELLS + ", " + _SLOTS + ", " + _weighted_auc("rep", "ds", "risk") + f" select 'pooled' as of, {_CI('auc')}, count(auc) as n_boot from per",
+    "cluster_boot_mean_auc": WITH + _DRAWS + ", " + _SLOTS + ", " + _weighted_auc("rep, slot", "ds", degenerate="null") + f", mm as (select rep, avg(auc) as auc from per group by 1) select 'mean' as of, {_CI('auc')}, count(auc) as n_boot from mm",
+    "pooled_boot": WITH + _DRAWS + ", " + _SLOTS + ", " + _weighted_auc("rep", "ds") + f" select 'pooled' as of, {_CI('auc')}, count(auc) as n_boot from per",
     "cluster_ci_ratio": WITH + _WEIGHTS + """, s as (select cluster, sum(defects) filter (score < 4) as da, count(*) filter (score < 4) as na, sum(defects) filter (score >= 8) as dh, count(*) filter (score >= 8) as nh from u group by 1),
 per as (select rep, (sum(coalesce(da, 0) * weight) / nullif(sum(na * weight), 0)::double) / nullif(sum(coalesce(dh, 0) * weight) / nullif(sum(nh * weight), 0)::double, 0) as ratio from s join cw using (cluster) group by 1)
 select 'ratio' as of, """ + _CI("ratio") + ", count(ratio) as n_boot from per",

@@ -23,17 +23,21 @@ def scaled(train: DataFrame, features: list[str]) -> dict[str, tuple[float, floa
     return {c: (float(row[f"m{i}"] or 0), float(row[f"s{i}"] or 0) or 1.0) for i, c in enumerate(features)}
 
 
-def fit(train: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True, steps: int = 12):
+def fit(train: DataFrame, features: list[str], label: str, c: float = 1.0, balanced: bool = True, steps: int = 12, keep: bool = True):
     """A logistic model on standardised features: coefficients, offset and the scaling, or None with one class.
 
     The objective is half the squared weights plus ``c`` times the weighted losses, with a free offset; ``balanced`` gives
-    each class half of the weight.
+    each class half of the weight.  With ``keep`` the features are written once, as every step reads them: what they are made of
+    is not made again; without, ``train`` is a written table itself.
     """
+    train = written(train.select(label, *features), "train") if keep else train
     scale = scaled(train, features)
     data = train.select(F.col(label).cast("double").alias("__y"), *(((F.col(x) - m) / s).alias(f"__x{i}") for i, (x, (m, s)) in enumerate(scale.items())))
     counts = {int(r[0]): r[1] for r in data.groupBy("__y").count().collect()}
     n = sum(counts.values())
     if len(counts) < 2:
+        if keep:
+            discard(train)
         return None
     weight = F.when(F.col("__y") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])) if balanced else F.lit(1.0)
     k = len(features)
@@ -55,6 +59,8 @@ def fit(train: DataFrame, features: list[str], label: str, c: float = 1.0, balan
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
+    if keep:
+        discard(train)
     return [float(v) for v in w[:k]], float(w[k]), scale
 
 
@@ -75,7 +81,7 @@ def out_of_fold(df: DataFrame, fold: str, features: list[str], label: str, c: fl
     out = None
     df = written(df, "folds")  # read by every step of every fit
     for (value,) in df.select(fold).distinct().orderBy(fold).collect():
-        model = fit(df.where(~F.col(fold).eqNullSafe(F.lit(value))), features, label, c, balanced)
+        model = fit(df.where(~F.col(fold).eqNullSafe(F.lit(value))), features, label, c, balanced, keep=False)
         part = predict(df.where(F.col(fold).eqNullSafe(F.lit(value))), features, model)
         out = part if out is None else out.unionByName(part)
     return out

@@ -10,6 +10,7 @@ from hornbeam.operators import models as M
 from hornbeam.operators import ranking as R
 from hornbeam.plans.group_queries import ROSTER, WF
 from hornbeam.plans.rank_queries import POSITIVE, _rounded
+from hornbeam.sources.store import written
 from hornbeam.sources.tables import commit_files, commits, findings, units
 
 
@@ -58,8 +59,8 @@ def jit_oof(spark, d):
     f = C.features(commit_files(spark, d)).join(C.experience(commits(spark, d)), "sha")
     names = ["la", "ld", "nf", "nd", "ns", "exp"]
     f = f.select("sha", "ct", "entropy", (F.col("priority") == "1-URGENT").cast("int").alias("y"), *(F.log1p(c).alias(c) for c in names))
-    s = C.time_split(f)
-    model = M.fit(s.where("train"), ["entropy", *names], "y")
+    s = written(C.time_split(written(f, "changes")), "changes")  # the split reads them three times, the fit in every step
+    model = M.fit(s.where("train"), ["entropy", *names], "y", keep=False)
     out = R.auc(M.predict(s.where(~F.col("train")), ["entropy", *names], model), [], F.round("p", 9), "y = 1")
     return _rounded(out, "auc")
 

@@ -70,7 +70,7 @@ def parents(spark, d):
 def t0_ancestors(spark, d):
     """What is reachable from the last commit at or before T0."""
     start = L.last_before(commits(spark, d), F.lit(T0)).select("sha")
-    return G.ancestors(commits(spark, d).select("sha"), parents(spark, d), start)
+    return G.ancestors(commits(spark, d).select("sha", "ct"), parents(spark, d), start, "ct")
 
 
 def szz_files(spark, d):

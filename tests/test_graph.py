@@ -55,3 +55,35 @@ def test_long_chain_in_few_rounds(spark):
     p = spark.range(1, n).selectExpr("id as sha", "id - 1 as parent", "0 as position")
     assert G.chains(c, p).selectExpr("count(distinct chain)", "max(place)").first() == (1, n - 1)
     assert G.ancestors(c, p, spark.createDataFrame([(n // 2,)], "sha long")).count() == n // 2 + 1
+
+
+def lanes(n, wide, far=0):
+    """Lanes side by side with merges, now and then a missing first parent or one far back, a cycle, and repeated rows."""
+    r = random.Random(wide)
+    parents = [(i, i - wide, 0) for i in range(wide, n) if i % 23] + [(i, i - 1 - i % 7, 1) for i in range(8, n) if i % 11 == 0]
+    parents += [(r.randrange(n), r.randrange(n), 2) for _ in range(far)]
+    return range(n), [*parents, (n // 2, n // 2 + wide, 0), *parents[:5]]
+
+
+def test_blocks_contracted_and_searched(spark):
+    for block, (commits, parents) in ((16, lanes(3000, 3)), (40, lanes(1500, 5, 2)), (2, lanes(50, 4, 3))):
+        c = spark.createDataFrame([(f"c{x}", x) for x in commits], "sha string, ct long")
+        p = spark.createDataFrame([(f"c{a}", f"c{b}", k) for a, b, k in parents], "sha string, parent string, position int")
+        start = [len(commits) - 1, len(commits) - 40]
+        got = [int(r[0][1:]) for r in G.ancestors(c, p, spark.createDataFrame([(f"c{x}",) for x in start], "sha string"), "ct", block).collect()]
+        assert len(got) == len(set(got)) and set(got) == search(commits, parents, start)
+
+
+def test_jobs_do_not_grow_with_cut_chains(spark):
+    """Each chain of a shallow clone is entered from the one before by a merge; there was a round for every chain."""
+    def jobs(n):
+        c = spark.range(n).selectExpr("id as sha", "id as ct")
+        p = c.selectExpr("sha", "inline(array(struct(if(sha % 10 = 0, -sha, sha - 1) as parent, 0 as position), struct(if(sha % 10 = 5, sha - 6, null) as parent, 1 as position)))").where("parent is not null")
+        group = f"ancestors-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = G.ancestors(c, p, spark.createDataFrame([(n - 2,)], "sha long")).count()
+        spark.sparkContext.setJobGroup("", "")
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    (few, a), (many, b) = jobs(100), jobs(1000)
+    assert (few, many) == (99, 999) and b < 2 * a

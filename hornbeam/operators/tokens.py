@@ -24,18 +24,32 @@ def read_ranks(spark: SparkSession, path: str) -> DataFrame:
 def merged(piece: bytes, ranks: dict[bytes, int]) -> int:
     """Tokens that are left when the neighbours of least rank, the first of equals, are joined until none can be."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, MAX_RANKS), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+    pairs = [ranks.get(piece[i : i + 2], MAX_RANKS) for i in range(len(piece) - 1)]  # of each part with the next
+    while pairs:
+        rank = min(pairs)
         if rank == MAX_RANKS:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        at = pairs.index(rank)
+        parts[at] += parts.pop(at + 1)
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = ranks.get(parts[at] + parts[at + 1], MAX_RANKS)
+        if at:
+            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], MAX_RANKS)
     return len(parts)
 
 
+@lru_cache(1)
+def _known(shared):
+    """Counts of pieces by broadcast ranks, remembered for all tasks of a Python worker."""
+    ranks = shared.value
+    return lru_cache(1 << 16)(lambda piece: merged(piece.encode(), ranks))
+
+
 def token_counter(ranks: DataFrame):
     """A column function: tokens of a text, null for a null text, 0 for an empty one.
 
-    Texts are split in the JVM; a task merges each distinct piece once and remembers the last 65,536 of up to 64 bytes.
+    Texts are split in the JVM; a worker merges each distinct piece once and remembers the last 65,536 of up to 64 characters.
     A piece is merged in time that grows with the square of its length.  No shuffle.
     """
     spark = ranks.sparkSession
@@ -46,14 +60,17 @@ def token_counter(ranks: DataFrame):
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = lru_cache(1 << 16)(lambda piece: merged(piece, shared.value))
+        known = _known(shared)
         for batch in batches:
-            yield pd.Series([None if x is None else sum(known(p) if len(p) <= 64 else merged(p, shared.value) for p in (w.encode() for w in x)) for x in batch], dtype="Int64")
+            yield pd.Series([None if x is None else sum(known(p) if len(p) <= 64 else merged(p.encode(), shared.value) for p in x) for x in batch], dtype="Int64")
 
     count = count.asNondeterministic()  # so that it is not worked out again for each use of its result
     return lambda text: count(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)))
 
 
 def tokens_per_text(docs: DataFrame, ranks: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with ``n_tokens``; an existing column of the name is replaced."""
-    return docs.withColumn("n_tokens", token_counter(ranks)(text))
+    """``docs`` with ``n_tokens``; an existing column of the name is replaced.  The texts are dealt out first: a table that is
+    read in fewer pieces than there are cores, as one of few groups of rows is, would leave the others idle."""
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return docs.repartition(tasks).withColumn("n_tokens", token_counter(ranks)(text))

@@ -2,6 +2,7 @@
 
 import base64
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,28 @@ def test_merges_by_rank():
     assert [merged(x, ranks) for x in (b"", b"a", b"ab", b"abc", b"abab", b"xyz")] == [0, 1, 1, 1, 2, 3]
 
 
+def test_merges_equal_a_plain_search():
+    def plain(parts, ranks):
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return len(parts)
+        at = min(found)[1]
+        return plain([*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]], ranks)
+
+    r = random.Random(3)
+    for _ in range(300):
+        ranks = {bytes(r.choices(b"abc", k=r.randint(2, 5))): i for i in range(25)}
+        piece = bytes(r.choices(b"abc", k=r.randint(0, 40)))
+        assert merged(piece, ranks) == plain([piece[i : i + 1] for i in range(len(piece))], ranks)
+
+
+def test_texts_of_one_partition_are_many_tasks(spark):
+    docs = spark.createDataFrame([(i, "ab abc") for i in range(200)], "id long, text string").coalesce(1)
+    out = tokens_per_text(docs, spark.createDataFrame([(b"ab", 0)], "token binary, rank int"), F.col("text"))
+    assert {r[0] for r in out.select("n_tokens").distinct().collect()} == {4}  # ab, the space, ab, c
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
 @pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary here")
 def test_counts_of_whole_texts(spark):
     tiktoken = pytest.importorskip("tiktoken")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hornbeam.operators.inference import indexed
 
+#: Lines of commits that one task sums.
+TASK_LINES = 250_000
+
 
 def numstat(lines: Column) -> Column:
     """``la, ld, path`` of a numstat line; what is no number counts 0, a line without three fields is null."""
@@ -19,15 +24,21 @@ def features(files: DataFrame) -> DataFrame:
     """``sha, la, ld, nf, nd, ns, churn, entropy`` from ``sha, path, la, ld``.
 
     Entropy is that of the shares of churn, in bits, files without churn left out.  A file in the root has the folder
-    ``""`` and is its own first segment.  Files are summed within a commit first, so a commit's files meet as one row each.
+    ``""`` and is its own first segment.  Lines are dealt out by commit, in tasks whose number follows theirs, before anything is
+    summed: sums before would be as large as what a task reads.  Files, folders and first segments are then summed one after
+    the other where they are, as a folder that is not the root's has one first segment.
     """
-    f = files.groupBy("sha", "path").agg(F.sum("la").alias("la"), F.sum("ld").alias("ld"))
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(files.count() / TASK_LINES))
+    f = files.select("sha", "path", "la", "ld").repartition(tasks, "sha").groupBy("sha", "path").agg(F.sum("la").alias("la"), F.sum("ld").alias("ld"))
     parts = F.split("path", "/")
     f = f.withColumn("dir", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).withColumn("top", F.element_at(parts, 1)).withColumn("churn", F.col("la") + F.col("ld"))
-    out = f.groupBy("sha").agg(
-        F.sum("la").alias("la"), F.sum("ld").alias("ld"), F.count("*").alias("nf"), F.countDistinct("dir").alias("nd"), F.countDistinct("top").alias("ns"), F.sum("churn").alias("churn"),
-        F.sum(F.when(F.col("churn") > 0, F.col("churn") * F.log2(F.col("churn").cast("double")))).alias("__s"),
-    )
+    f = f.withColumn("__s", F.when(F.col("churn") > 0, F.col("churn") * F.log2(F.col("churn").cast("double"))))
+    sums = [F.sum(c).alias(c) for c in ("la", "ld", "churn", "__s")]
+    f = f.groupBy("sha", "top", "dir").agg(*sums, F.count("*").alias("nf"))
+    f = f.groupBy("sha", "top").agg(*sums, F.sum("nf").alias("nf"), F.count_if(F.col("dir") != "").alias("nd"), F.max((F.col("dir") == "").cast("long")).alias("__root"))
+    none = F.lit(0).cast("long")
+    out = f.groupBy("sha").agg(*sums, F.sum("nf").alias("nf"), (F.sum("nd") + F.coalesce(F.max("__root"), none)).alias("nd"), F.count("top").alias("ns"))
+    out = out.select("sha", "la", "ld", *(F.coalesce(c, none).alias(c) for c in ("nf", "nd", "ns")), "churn", "__s")
     # -sum(p log2 p) with p = churn / total, by sums alone
     entropy = F.when(F.col("churn") > 0, F.log2(F.col("churn").cast("double")) - F.col("__s") / F.col("churn")).otherwise(0.0)
     return out.withColumn("entropy", entropy).drop("__s")

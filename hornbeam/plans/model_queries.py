@@ -10,8 +10,8 @@ from hornbeam.operators import models as M
 from hornbeam.operators import ranking as R
 from hornbeam.plans.group_queries import ROSTER, WF
 from hornbeam.plans.rank_queries import POSITIVE, _rounded
-from hornbeam.sources.store import written
-from hornbeam.sources.tables import commit_files, commits, findings, units
+from hornbeam.sources.store import discard, written
+from hornbeam.sources.tables import commit_files, commits, findings, read, units
 
 
 def feature_matrix(spark, d):
@@ -79,18 +79,21 @@ def jit_constants(spark, d):
 MIXED = ["size_log", *(f"f_{b}" for b in ROSTER if b != "XX")]
 
 
-def _mixed(spark, d, group):
-    """Defective units by their findings and size, with an intercept for each cluster (repository) or stratum (language)."""
-    f = feature_matrix(spark, d).join(units(spark, d).select("unit_id", "cluster"), "unit_id")
+def _mixed(spark, d):
+    """Defective units by their findings and size, with an intercept for each cluster (repository) or stratum (language): the
+    names of the groups and their models.  What both are fitted to is made and written once."""
+    f = feature_matrix(spark, d).join(read(spark, d, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_brand").alias("cluster")), "unit_id")
     f = f.withColumn("family", F.substring_index("stratum", " ", 1)).withColumnRenamed("log_size", "size_log").withColumn("y", F.expr("defects > 1").cast("int"))
-    return M.mixed(f, MIXED, "y", group)
+    f = written(f.select("y", "cluster", "family", *MIXED), "mixed")
+    for group in ("cluster", "family"):
+        yield group, M.mixed(f, MIXED, "y", group)
+    discard(f)
 
 
 def random_intercept(spark, d):
     """Fixed effects and the deviation of the intercepts by cluster and by family of strata."""
     rows = []
-    for group in ("cluster", "family"):
-        m = _mixed(spark, d, group)
+    for group, m in _mixed(spark, d):
         rows += [(group, k, round(v, 5)) for k, v in (*m.fixed.items(), ("sd", m.sd))]
     return spark.createDataFrame(rows, "model string, effect string, value double")
 
@@ -98,8 +101,8 @@ def random_intercept(spark, d):
 def mixed_slopes(spark, d):
     """Slopes of the mixed model's objective at its effects, all of which have to be 0."""
     out = None
-    for group in ("cluster", "family"):
-        one = M.slopes(_mixed(spark, d, group)).select(F.lit(group).alias("model"), "effect", (F.abs("slope") < 1e-2).alias("flat"))
+    for group, m in _mixed(spark, d):
+        one = M.slopes(m).select(F.lit(group).alias("model"), "effect", (F.abs("slope") < 1e-2).alias("flat"))
         out = one if out is None else out.unionByName(one)
     return out
 
